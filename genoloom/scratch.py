@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,12 @@ def drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's garbage go, and with it shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
