@@ -8,16 +8,18 @@ their full shingle sets. The result is exact: no bound drops a pair that links.
 
 Boxes over many unrelated texts bound nothing, so points first go to the buckets of a routing
 level: the shingles of a set are put in one global order (rare ones first, by a fixed-size count
-sketch over all texts) and a set goes to the buckets of its first n - ceil(t * n) + 1 shingles.
-Two sets with similarity t share one of these. Sets that meet in no bucket are never compared.
+sketch over all texts) and a set goes to the buckets of its first shingles, so many (``prefix_size``)
+that two sets with similarity t share about n / SPARE of these. Sets that share fewer are never
+compared.
 
-Inside a bucket nothing emits all pairs:
+Nothing emits the pairs of a bucket. A bucket's sets of neighbouring size classes form a family, named
+after its smallest set, so the many buckets that near-copies share collapse into one family:
 
-1. each set is compared with the bucket's smallest sets of its size class (a star: one pair per
-   row), the verified links give components;
-2. buckets that still hold several components are cut into leaves-blocks of at most ``BLOCK``
-   points; each pair of blocks is one small task group, in which the R-tree join finds pairs of
-   different components whose bound allows a link; these are verified and join the components.
+1. each set is compared with the first set of the family it shares most buckets with (a star: one
+   pair a set, the rows of a large family salted); the verified links give components;
+2. families that still hold several components are cut into blocks of at most ``BLOCK`` sets; a
+   task joins the R-trees of one pair of blocks at a time, verifies what their bounds leave between
+   different components, and emits only links that merge components (fewer than it has sets).
 
 Equal sets are one class from the start (map-side and by their hash), so copies cost nothing.
 """
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
 from genoloom.operators.graph import connected_components
-from genoloom.scratch import drop, stage
+from genoloom.scratch import drop, release, stage
 
-#: Groups of the count vectors; counters of the rarity sketch; points of a block; points of a leaf.
-GROUPS, SKETCH, BLOCK, LEAF = 64, 1 << 20, 1024, 16
+#: Groups of the count vectors; counters of the rarity sketch; sets of a block; points of a leaf.
+GROUPS, SKETCH, BLOCK, LEAF = 256, 1 << 20, 512, 16
 #: Bits of the filter that keeps sets which no candidate pair names out of the shuffle (1 MB).
 FILTER_BITS = 1 << 23
+#: Sets of n shingles go to n // SPARE buckets more than one common bucket would need.
+SPARE = 20
 U = np.uint64
 
 SETS = "doc_id long, n_shingles long, node long, shingles binary"
@@ -50,8 +54,13 @@ def needed(n_a, n_b, percent: int):
 
 
 def prefix_size(n, percent: int):
-    """How many first shingles of a set of n one of which every partner shares."""
-    return n - -(-percent * n // 100) + 1
+    """How many first shingles of a set of n go to buckets.
+
+    n - ceil(t * n) + 1 would make sure that partners share one; n // SPARE more make sure that they
+    share 1 + min(n_a // SPARE, n_b // SPARE): if fewer lay in both prefixes, at most that many and
+    the ceil(t * n) - 1 - n // SPARE shingles after the prefix that ends first could be common.
+    """
+    return n - -(-percent * n // 100) + 1 + n // SPARE
 
 
 def count_vectors(of: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarray:
@@ -168,15 +177,17 @@ def routed(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     return sets.where("n_shingles > 0").select("n_shingles", "node", "shingles").mapInArrow(emit, "bucket long, node long, n int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link, by their full shingle sets (one row per class)."""
-    pairs = stage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (node and others) with the shingles of their node, by one shuffle of those sets only.
+
+    A filter of fixed size keeps sets that no row names where they are; what it lets through by
+    chance falls out of the join.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for c in range(2):
-                bits[(ts.mix(batch.column(c).to_numpy().view(U)) & U(FILTER_BITS - 1)).astype(np.int64)] = True
+            bits[(ts.mix(batch.column(0).to_numpy().view(U)) & U(FILTER_BITS - 1)).astype(np.int64)] = True
         for k, part in enumerate(np.packbits(bits).reshape(16, -1)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()])], names=["part", "bits"])
@@ -191,7 +202,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     shape = "part long, bits binary"
     bits = np.zeros((16, FILTER_BITS // 8 // 16), np.uint8)
-    for k, data in pairs.mapInArrow(mark, shape).repartition(4, "part").mapInArrow(either, shape).collect():
+    for k, data in rows.select("node").mapInArrow(mark, shape).repartition(4, "part").mapInArrow(either, shape).collect():
         bits[k] = np.frombuffer(data, np.uint8)
     held = sets.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
@@ -205,71 +216,136 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if new:
                 yield batch.take(pa.array(new))
 
-    shape = "node long, shingles binary"
-    full = sets.where("n_shingles > 0").select("node", "shingles").mapInArrow(named, shape).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    full = stage(full, "full")
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    full = sets.where("n_shingles > 0").select("node", "shingles").mapInArrow(named, "node long, shingles binary")
+    return rows.join(full.repartition("node").dropDuplicates(["node"]), "node")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = ts.unpack48(x.as_buffer()), ts.unpack48(y.as_buffer())
-                z = np.sort(np.concatenate((x, y)))
-                both = int(np.count_nonzero(z[1:] == z[:-1]))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = stage(both.mapInArrow(verify, "a long, b long"), "links")
-    drop(pairs, full)
-    return out
 
+def families(shared: DataFrame, percent: int) -> DataFrame:
+    """(hub, band, node, f, own): sets that share buckets and a size class, under the first of them.
+
+    Classes are powers of 4/3. A set is in its own class and the one below, so two sets whose sizes
+    allow a link meet in the lower one's class. f counts the buckets of the class that a set has
+    under a hub. Partners of a set share at least ``least`` buckets with it: a set with fewer is
+    left out, and so are its hubs of the smallest f that make up less than half of ``least``, for
+    the partner leaves out less than half too, and a common bucket under a kept hub remains.
+    """
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    rows = shared.select("bucket", F.explode(F.array(band, band - 1)).alias("band"), band.alias("at"), "node", "n")
+    hub = rows.groupBy("bucket", "band").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "band", F.col("hub.node").alias("hub"))
+    counted = rows.join(hub, ["bucket", "band"]).groupBy("hub", "band", "node", "n", "at").agg(F.count(F.lit(1)).alias("f"))
+    least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SPARE)
+    mine = Window.partitionBy("node", "band")
+    counted = counted.withColumns({"least": least, "total": F.sum("f").over(mine), "tail": F.sum("f").over(mine.orderBy("f", "hub"))})
+    return counted.where("total >= least AND 2 * tail >= least").select("hub", "band", "node", "f", (F.col("at") == F.col("band")).alias("own"))
+
+
+def overlaps(one: np.ndarray, flat: np.ndarray, first: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others of a list (flat and first: all sets)."""
+    n = first[others + 1] - first[others]
+    at = np.repeat(first[others], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    x = flat[at]
+    same = one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x
+    sums = np.concatenate(([0], np.cumsum(same)))
+    ends = np.cumsum(n)
+    return sums[ends] - sums[ends - n]
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All sets of a column in one array, and where each begins."""
+    data = column.to_pylist()
+    return ts.unpack48(b"".join(data)), np.concatenate(([0], np.cumsum([len(x) // 6 for x in data])))
+
+
+def star_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of each set with the first set of its largest family, verified on full sets."""
+    best = family.where("own").groupBy("node").agg(F.max(F.struct("f", "hub")).alias("best"))
+    pairs = best.select(F.col("best.hub").alias("hub"), "node").where("hub <> node")
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    rows = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "node")
+    hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("hub").alias("node"))
+    rows = stage(rows.unionByName(hubs).select("node", "hub", "salt", "member"), "stars-of-families")
+    dealt = with_sets(rows, sets).select("hub", "salt", "member", "node", "shingles").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """Each set with the smallest set of its bucket and size class: a pair per row at most."""
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)))
-    rows = shared.select("bucket", band.alias("band"), "node", "n")
-    hub = rows.groupBy("bucket", "band").agg(F.min(F.struct("n", "node")).alias("hub"))
-    found = rows.join(hub, ["bucket", "band"]).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    return found.where("a <> b").distinct()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (hub, _), part in _groups(batches, 2):
+            flat, first = _flat(part.column(4))
+            n = np.diff(first)
+            both = overlaps(flat[: n[0]], flat, first, np.arange(len(n)))
+            ok = (100 * both >= percent * (n + n[0] - both)) & (part.column(2).to_numpy() == 1)
+            node = part.column(3).to_numpy()[ok]
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), hub)), pa.array(node)], names=["a", "b"])
+
+    out = stage(dealt.mapInArrow(verify, "a long, b long"), "links")
+    drop(rows)
+    return out
 
 
-def crossing_pairs(shared: DataFrame, component: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose bound allows a link.
+def merging_links(comp: np.ndarray, flat: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among candidate pairs that merge components, verified on full sets.
 
-    A bucket is cut into blocks of about BLOCK sets; each row goes to its block's pairs of blocks,
-    and a task joins the R-trees of one pair of blocks at a time.
+    comp: a component number of each set. Pairs of one component (as merged so far) are not tested.
     """
-    rows = shared.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = stage(rows.join(mixed, "bucket"), "mixed")
-    named = points.join(rows.select("node").distinct(), "node", "left_semi")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.join(named, "node").select("bucket", mine.alias("mine"), other.alias("other"), "node", "component", "point")
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "node", "component", "point")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "second", "node").select("bucket", "i", "j", "second", "node", "component", "point")
+    parent = {c: c for c in np.unique(comp).tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    size = np.diff(first)
+    found: list[tuple[int, int]] = []
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    cuts = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1], [True]))) if len(left) else [0]
+    for s, t in zip(cuts[:-1], cuts[1:], strict=True):
+        a = int(left[s])
+        mine = root(int(comp[a]))
+        other = np.array([b for b in right[s:t].tolist() if root(int(comp[b])) != mine], np.int64)
+        for i in range(0, len(other), 256):
+            b = other[i : i + 256]
+            both = overlaps(flat[first[a] : first[a + 1]], flat, first, b)
+            for x in b[100 * both >= percent * (size[a] + size[b] - both)].tolist():
+                c, d = root(int(comp[a])), root(int(comp[x]))
+                if c != d:
+                    parent[max(c, d)] = min(c, d)
+                    found.append((a, x))
+    return found
+
+
+def crossing_links(family: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that merge components of a family, by the R-trees of pairs of its blocks."""
+    rows = family.join(component, "node", "left").select("hub", "band", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rows.groupBy("hub", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("hub", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.join(mixed, ["hub", "band"]).select("node", "hub", "band", "component", mine.alias("mine"), other.alias("other"))
+    dealt = stage(dealt.select("node", "hub", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("second"), "component"), "blocks")
+    full = with_sets(dealt, sets).select("hub", "band", "i", "j", "second", "node", "component", "shingles")
+    full = full.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j", "second", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part in _groups(batches, 3):
-            second = part.column(3).to_numpy(zero_copy_only=False)
-            node, comp = part.column(4).to_numpy(), part.column(5).to_numpy()
-            p = np.frombuffer(b"".join(part.column(6).to_pylist()), np.int32).reshape(-1, GROUPS)
-            if key[1] == key[2]:
-                tree = CountRTree(p)
+        for key, part in _groups(batches, 4):
+            second = part.column(4).to_numpy()
+            node, comp = part.column(5).to_numpy(), part.column(6).to_numpy()
+            flat, first = _flat(part.column(7))
+            points = count_vectors(np.repeat(np.arange(len(node)), np.diff(first)), flat, len(node))
+            if key[2] == key[3]:
+                tree = CountRTree(points)
                 a, b = tree.join(tree, percent)
+                a, b = a[a < b], b[a < b]
             else:
-                f, s = np.flatnonzero(~second), np.flatnonzero(second)
-                a, b = CountRTree(p[f]).join(CountRTree(p[s]), percent)
+                f, s = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
+                a, b = CountRTree(points[f]).join(CountRTree(points[s]), percent)
                 a, b = f[a], s[b]
             keep = comp[a] != comp[b]
-            a, b = node[a[keep]], node[b[keep]]
-            if len(a):
-                found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            found = merging_links(comp, flat, first, a[keep], b[keep], percent)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    out = stage(dealt.mapInArrow(join, "a long, b long"), "crossing")
-    drop(rows)
+    out = stage(full.mapInArrow(join, "a long, b long"), "crossing")
+    drop(dealt)
     return out
 
 
@@ -307,23 +383,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = Window.partitionBy("bucket")
     shared = shared.repartition("bucket").dropDuplicates(["bucket", "node"])
     shared = stage(shared.withColumn("m", F.count(F.lit(1)).over(alone)).where("m > 1").select("bucket", "node", "n"), "shared")
-    links = verified(star_pairs(shared), sets, percent)
-    near = connected_components(links)
-
-    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            new = [i for i, x in enumerate(batch.column(0).to_pylist()) if not (x in seen or seen.add(x))]
-            if new:
-                part = batch.take(pa.array(new))
-                n = part.column(1).to_numpy()
-                h = ts.unpack48(b"".join(part.column(2).to_pylist()))
-                p = count_vectors(np.repeat(np.arange(len(n)), n), h, len(n)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in p])], names=["node", "point"])
-
-    points = sets.where("n_shingles > 0").select("node", "n_shingles", "shingles").mapInArrow(point, "node long, point binary").groupBy("node").agg(F.first("point").alias("point"))
-    more = verified(crossing_pairs(shared, near, points, percent), sets, percent)
+    family = stage(families(shared, percent), "families")
     drop(shared)
+    release(docs.sparkSession)
+    links = star_links(family, sets, percent)
+    near = connected_components(links)
+    release(docs.sparkSession)
+    more = crossing_links(family, near, sets, percent)
+    drop(family)
     parts = connected_components(links.unionByName(more)).withColumnRenamed("component", "part")
     ids = sets.select("doc_id", "n_shingles", "node").join(parts, "node", "left")
     ids = ids.withColumn("part", F.when(F.col("n_shingles") > 0, F.coalesce("part", "node")))
