@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.scratch import drop, stage
@@ -48,3 +48,114 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = roots.join(leaves, "node", "left_anti").select("node", F.col("node").alias("component"))
     return leaves.unionByName(roots)
+
+
+def canonical_edges(edges: DataFrame, a: str = "a", b: str = "b", place: str = "at") -> DataFrame:
+    """One row per undirected edge (a <= b): of its copies the attributes with the largest ``place``."""
+    rest = [c for c in edges.columns if c not in (a, b, place)]
+    rows = edges.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b), F.struct(place, *rest).alias("_last"))
+    kept = rows.groupBy(a, b).agg(F.max("_last").alias("_last"))
+    return kept.select(a, b, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def ranked_components(nodes: DataFrame) -> DataFrame:
+    """(component, rank, size): rank 0 is the largest; equal sizes are ordered by component name."""
+    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return global_rank(sizes, [F.desc("size"), F.asc("component")], "size").withColumn("rank", F.col("rank") - 1)
+
+
+def global_rank(rows: DataFrame, order: list, bucket: str) -> DataFrame:
+    """``rows`` with rank (1 up) in the given order, whose first key is ``bucket`` descending.
+
+    Numbers rows inside each value of the first key and adds the rows before that value, so no task
+    sorts the whole table unless all of it has one value.
+    """
+    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
+    return rows.withColumn("_k", inside).join(before, bucket).withColumn("rank", F.col("_k") + F.col("_before")).drop("_k", "_before")
+
+
+def large_components(edges: DataFrame, at_least: int = 1, a: str = "a", b: str = "b") -> DataFrame:
+    """(rank, size, node) of components with at least so many nodes."""
+    nodes = connected_components(edges, a, b)
+    sizes = ranked_components(nodes).where(F.col("size") >= at_least)
+    return nodes.join(sizes, "component").select("rank", "size", "node")
+
+
+def component_edges(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges of the components in ``nodes``, with their rank (both ends share it)."""
+    return edges.join(nodes.select(F.col("node").alias(a), "rank"), a)
+
+
+def degrees(edges: DataFrame, keys: list[str] | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """(keys, node, degree); a self edge counts twice."""
+    keys = keys or []
+    return edges.select(*keys, F.explode(F.array(a, b)).alias("node")).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def degree_histogram(edges: DataFrame, keys: list[str] | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """(keys, degree, n, share): how many nodes have a degree, and their share of all nodes."""
+    keys = keys or []
+    counts = degrees(edges, keys, a, b).groupBy(*keys, "degree").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def sweep_statistics(edges: DataFrame, weight: str, thresholds: list[float], a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
+    """(statistics, tagged edges) of the graph at each threshold and of its largest component.
+
+    All thresholds run in one component loop, keyed by (th, node). statistics: th, nodes, edges,
+    components, largest_hub, lc_nodes, lc_edges, lc_largest_hub. tagged: th, a, b, in_lc.
+    """
+    ths = F.array(*[F.lit(float(t)) for t in thresholds])
+    tagged = edges.select(a, b, F.explode(F.filter(ths, lambda t: F.col(weight) >= t)).alias("th"))
+    key = lambda c: F.struct("th", F.col(c).alias("node"))
+    nodes = connected_components(tagged.select(key(a).alias("a"), key(b).alias("b")))
+    nodes = nodes.select("node.th", F.col("node.node").alias("node"), F.col("component.node").alias("component"))
+    sizes = nodes.groupBy("th", "component").agg(F.count(F.lit(1)).alias("size"))
+    top = F.row_number().over(Window.partitionBy("th").orderBy(F.desc("size"), "component"))
+    lc = sizes.withColumn("k", top).where("k = 1").select("th", "component", F.col("size").alias("lc_nodes"))
+    of = nodes.join(lc, ["th", "component"], "left_semi").select("th", F.col("node").alias(a), F.lit(True).alias("in_lc"))
+    tagged = tagged.join(of, ["th", a], "left").withColumn("in_lc", F.coalesce("in_lc", F.lit(False)))
+    deg = degrees(tagged.where(F.col(a).isNotNull()), ["th", "in_lc"], a, b)
+    hubs = deg.groupBy("th").agg(F.max("degree").alias("largest_hub"), F.max(F.when(F.col("in_lc"), F.col("degree"))).alias("lc_largest_hub"), F.count(F.lit(1)).alias("nodes"))
+    counts = tagged.groupBy("th").agg(F.count(F.lit(1)).alias("edges"), F.count_if("in_lc").alias("lc_edges"))
+    comps = sizes.groupBy("th").agg(F.count(F.lit(1)).alias("components"))
+    stats = hubs.join(counts, "th").join(comps, "th").join(lc.drop("component"), "th")
+    return stats.select("th", "nodes", "edges", "components", "largest_hub", "lc_nodes", "lc_edges", "lc_largest_hub"), tagged
+
+
+def power_law(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): least squares fit of share = a * degree ** -b, by damped Gauss-Newton from (1, 1).
+
+    A histogram has at most a row per degree, so each group is small; fewer than two degrees give
+    nulls.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group["degree"].to_numpy(float), group["share"].to_numpy(float)
+        p, damp = np.array([1.0, 1.0]), 1e-3
+        gap = lambda q: y - q[0] * x ** -q[1]
+        best = (gap(p) ** 2).sum()
+        for _ in range(500 if len(x) > 1 else 0):
+            j = np.stack((x ** -p[1], -p[0] * np.log(x) * x ** -p[1]), axis=1)
+            h = j.T @ j
+            step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), j.T @ gap(p))
+            new = (gap(p + step) ** 2).sum()
+            if new <= best:
+                done = best - new <= 1e-15 * max(best, 1e-300)
+                p, best, damp = p + step, new, damp / 3
+                if done and np.abs(step).max() < 1e-12:
+                    break
+            elif damp > 1e12:
+                break
+            else:
+                damp *= 4
+        a, b = p if len(x) > 1 else (None, None)
+        return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, "a": a, "b": b}])
+
+    kinds = dict(histogram.dtypes)
+    shape = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return histogram.select(*keys, "degree", "share").groupBy(*keys).applyInPandas(fit, f"{shape}, a double, b double")

@@ -1,0 +1,99 @@
+"""Readers and writers of matrices, networks, lists, reports and search outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NETWORK = "snp1 string, snp2 string, ig double, mi double"
+REPORT = "metric_row string, precision double, recall double, f1 double, support double"
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Rows with sid: file position made explicit (files in path order, lines in file order)."""
+    return lines.withColumn("sid", F.monotonically_increasing_id())
+
+
+def read_matrix_csv(spark: SparkSession, path: str, label: str = "Labels", sep: str = ",") -> tuple[DataFrame, list[str]]:
+    """(sid, label, g) and the feature names of a headed genotype file; the label column may stand
+    anywhere. Codes are read as integers; a cell that is none becomes null and falls in no bucket."""
+    header = spark.read.option("header", True).option("sep", sep).csv(path)
+    names = [c for c in header.columns if c != label]
+    g = F.array(*[F.expr(f"try_cast(`{c}` AS DOUBLE)").cast("int") for c in names])
+    return _numbered(header).select("sid", F.col(f"`{label}`").cast("double").cast("int").alias("label"), g.alias("g")), names
+
+
+def read_matrix_tsv(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """(sid, label, g) of a headless numeric file whose last column is the label; any cell that is
+    blank or no number is an error."""
+    cells = F.split(F.col("value"), sep, -1).cast("array<double>").cast("array<int>")
+    rows = _numbered(spark.read.text(path)).select("sid", cells.alias("c"))
+    return rows.select("sid", F.element_at("c", -1).alias("label"), F.slice("c", 1, F.size("c") - 1).alias("g"))
+
+
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """NETWORK rows of a headless file, split at any white space."""
+    p = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.trim("value") != "").select(p[0].alias("snp1"), p[1].alias("snp2"), p[2].cast("double").alias("ig"), p[3].cast("double").alias("mi"))
+
+
+def read_edges(spark: SparkSession, path: str, header: bool = True, sep: str = "\t") -> DataFrame:
+    return spark.read.schema(NETWORK).option("header", header).option("sep", sep).option("mode", "FAILFAST").csv(path)
+
+
+def read_index_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    rows = spark.read.schema("f1 double, f2 double").option("sep", sep).option("mode", "FAILFAST").csv(path)
+    return rows.select(F.col("f1").cast("int").alias("f1"), F.col("f2").cast("int").alias("f2"))
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("snp string").csv(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """REPORT rows of all files under a path or pattern, with the file's name."""
+    rows = spark.read.schema(REPORT).option("header", True).csv(path)
+    return rows.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
+def read_lines(spark: SparkSession, folder: str, suffix: str = ".txt", pattern: str | None = None) -> DataFrame:
+    """(file, value): lines of all files with the suffix under a folder, at any depth; those that
+    match ``pattern`` if given; blank lines are skipped."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    return rows.where(F.col("value").rlike(pattern)) if pattern else rows
+
+
+def search_rows(lines: DataFrame, header: list[str], sep: str = "\t") -> DataFrame:
+    """Search output lines as columns of ``header``; another number of fields is an error; the
+    trailing empty field counts."""
+    parts = F.split("value", sep, -1)
+    fields = F.when(F.size(parts) == len(header), parts).otherwise(F.raise_error(F.concat(F.lit("fields: "), F.col("value"))).cast("array<string>"))
+    return lines.withColumn("_f", fields).select("file", *[F.col("_f")[i].alias(c) for i, c in enumerate(header)])
+
+
+def write_network(df: DataFrame, path: str, header: bool = False, sep: str = "\t") -> None:
+    """Network rows with ig and mi to nine decimals, ordered by name."""
+    text = df.orderBy("snp1", "snp2").select("snp1", "snp2", *[F.format_string("%.9f", F.col(c)).alias(c) for c in ("ig", "mi")])
+    text.write.option("header", header).option("sep", sep).csv(path)
+
+
+def write_parts(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") -> None:
+    """One folder per key value (component rank, fold, cohort)."""
+    df.repartition(*keys).write.partitionBy(*keys).format(fmt).save(path)
+
+
+def transcode(spark: SparkSession, source: str, target: str, sep_in: str, sep_out: str) -> None:
+    """A headless delimited text with another delimiter, cells unchanged."""
+    spark.read.option("sep", sep_in).csv(source).write.option("sep", sep_out).csv(target)
+
+
+def replace_text(spark: SparkSession, source: str, old: str, new: str) -> DataFrame:
+    """(file, value): whole files with a literal replaced."""
+    rows = spark.read.text(source, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit(old), F.lit(new)).alias("value"))
+
+
+def label_last(df: DataFrame, name: str = "target", to: str = "Labels") -> DataFrame:
+    """The label column renamed and moved to the end."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col(f"`{name}`").alias(to))

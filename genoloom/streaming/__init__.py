@@ -1,0 +1,13 @@
+"""Incremental pair counts: cell counts add up, so a stream of subjects keeps them current."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from genoloom.operators.pairs import pair_cells
+
+
+def streamed_cells(subjects: DataFrame, width: int) -> DataFrame:
+    """Cell counts of a streaming matrix (sid, label, g); write it in update or complete mode. State
+    has at most nine rows a pair."""
+    return pair_cells(subjects, width)
