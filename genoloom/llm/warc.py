@@ -25,6 +25,8 @@ from genoloom.scratch import new_path, stage
 
 #: Plain bytes of a frame; payloads of fewer bytes are never deduplicated.
 FRAME, LEAST = 1 << 20, 100
+#: Frames that a reading task gets.
+FRAMES_A_TASK = 16
 #: Fixed values of the seekable format and of WARC.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -185,6 +187,8 @@ def read_bundles(index: DataFrame, with_html: bool = False) -> DataFrame:
     says; a revisit has those of its header. html is null unless asked for.
     """
     frames = index.groupBy("bundle", "frame").count()
+    # A row here is a whole frame, which planners take for a few bytes: deal frames out by number.
+    frames = frames.repartition(max(1, -(-frames.count() // FRAMES_A_TASK)), "bundle", "frame")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
