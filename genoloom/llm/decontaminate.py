@@ -159,11 +159,12 @@ def _marked(part: pa.RecordBatch, words: ts.Words, index: WindowIndex) -> pa.Rec
     edge = np.zeros(len(words.hash) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + index.length[w], -1)
+    covered = np.cumsum(edge) > 0
     runs, items = part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist()
     for t in {*words.of[start].tolist(), *(i for i, x in enumerate(runs) if x)}:
         a, b = words.first[t], words.first[t + 1]
         hit = np.zeros(b - a + 2, bool)
-        hit[1:-1] = np.cumsum(edge[a:b]) > 0
+        hit[1:-1] = covered[a:b]
         for x, y in zip(runs[t][::2], runs[t][1::2], strict=True):
             hit[x + 1 : y + 1] = True
         runs[t] = np.flatnonzero(hit[1:] != hit[:-1]).tolist()

@@ -87,13 +87,14 @@ class ByteCNN:
         g["embed"][0] = 0  # padding stays neutral
         return float(loss), g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 3e-3, seed: int = 7) -> ByteCNN:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, steps: int = 800, batch: int = 128, rate: float = 3e-3, seed: int = 7) -> ByteCNN:
+        """Adam over ``epochs`` of the windows, or as many more as make ``steps`` of them."""
         rng = np.random.default_rng(seed)
         self.p["embed"][0] = 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
         t = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps // -(-len(x) // batch)))):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 t += 1
@@ -150,7 +151,8 @@ def train(rows: list[tuple[str, str]], each: int = WINDOWS_EACH, **options) -> t
     x, y = [], []
     for text, lang in rows:
         w = text_windows(text.encode())
-        w = w[LETTER_BYTE[w].sum(axis=1) >= WINDOW // 4]
+        letters = LETTER_BYTE[w].sum(axis=1)
+        w = w[letters >= max(1, min(WINDOW // 4, letters.max()))]
         for k in sorted({int(k) for k in np.linspace(0, len(w) - 1, each)} if len(w) else ()):
             x.append(w[k])
             y.append(langs.index(lang))

@@ -54,8 +54,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = stage(window_hashes(rows), "line-windows")
     runs = covered_runs(windows).select(F.col("id").alias("_id"), F.col("own").alias("_own"), F.col("runs").alias("_runs"))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    plain = docs.select(*[F.col(f"`{c}`") for c in keep if c != text_col], _lines(F.col(f"`{text_col}`").cast("string")).alias("_lines"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_hash"))
-    both = plain.join(runs, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left")
+    text = F.col(f"`{text_col}`").cast("string")
+    # Other columns travel in one struct, so none of theirs can clash with those used here.
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep if c != text_col])
+    plain = docs.select(rest.alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_key"), _lines(text).alias("_lines"), F.xxhash64(text).alias("_hash"))
+    both = plain.join(runs, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left")
     n = F.size("_lines")
     starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last"] + 1))
     ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(n))
@@ -64,4 +67,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.array_join(F.when(F.col("_runs").isNull(), F.col("_lines")).otherwise(left), "\n")
     gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
     lines = F.when(F.col("_lines").isNotNull(), n)
-    return both.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in keep], lines.cast("long").alias("n_lines"), F.when(F.col("_lines").isNotNull(), gone).cast("long").alias("n_removed"))
+    return both.select(*[(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c)) for c in keep], lines.cast("long").alias("n_lines"), F.when(F.col("_lines").isNotNull(), gone).cast("long").alias("n_removed"))

@@ -75,7 +75,7 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     edge[at[twice]] += 1
     edge[at[twice] + 5] -= 1
     out["n_repeat_words"] = _per_text(np.cumsum(edge[:-1]) > 0, w.first)
-    out["n_upper"], out["n_letters"], out["n_bang"] = (_per_text(t[buf], offs) for t in (UPPER, LETTERS, _table("!")))
+    out["n_upper"], out["n_letters"], out["n_bang"] = (_per_text(t, offs) for t in (UPPER[buf], LETTERS[buf] & ((buf & 0xC0) != 0x80), _table("!")[buf]))
     letters = np.concatenate(([0], np.cumsum(LETTERS[buf], dtype=np.int64)))
     out["n_spelt"] = _per_text(letters[w.end] > letters[w.start], w.first)
     return out
@@ -116,6 +116,7 @@ def rules() -> list[tuple[str, Column]]:
         ("repeated_words", _vote(F.col("n_repeat_words") / words, 0.15, 0.05)),
         ("capitals", _vote(F.col("n_upper") / letters, 0.4, 0.1)),
         ("exclamations", _vote(F.col("n_bang") / words, 0.3, 0.05)),
+        ("letter_share", _vote(1 - F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1)), 0.25, 0.12)),
         ("spelt_words", _vote(1 - F.col("n_spelt") / words, 0.25, 0.1)),
         ("closed_lines", _vote(1 - F.col("n_closed") / lines, 0.8, 0.4)),
     ]
