@@ -26,6 +26,7 @@ Equal sets are one class from the start (map-side and by their hash), so copies
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ from genoloom.scratch import drop, release, stage
 
 #: Groups of the count vectors; counters of the rarity sketch; sets of a block; points of a leaf.
 GROUPS, SKETCH, BLOCK, LEAF = 256, 1 << 20, 512, 16
+SKETCH_PARTS = 64
 #: Bits of the filter that keeps sets which no candidate pair names out of the shuffle (1 MB).
 FILTER_BITS = 1 << 23
 #: Sets of n shingles go to n // SPARE buckets more than one common bucket would need.
@@ -126,28 +128,33 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def rarity_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of all shingles of all texts by hash modulo SKETCH: of fixed size, summed on executors."""
-    rows = 1 << 16
+    """Counts of all shingles of all texts by hash modulo SKETCH: of fixed size, summed on executors.
+
+    A task packs its counters into SKETCH_PARTS parts, which as many tasks add up.
+    """
+
+    def packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = [zlib.compress(np.minimum(x, 2**31 - 1).astype(np.int32).tobytes(), 1) for x in total.reshape(SKETCH_PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array(parts)], names=["part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             h = ts.unpack48(b"".join(batch.column(0).to_pylist()))
             total += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        parts = total.reshape(-1, rows)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array([x.tobytes() for x in parts])], names=["part", "counts"])
+        yield from packed(total)
 
     def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in groups:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(data.as_py(), np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data.as_buffer()), np.int32).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()])], names=["part", "counts"])
 
-    n = min(8, SKETCH // rows)
-    found = sets.select("shingles").where("n_shingles > 0").mapInArrow(count, "part long, counts binary").repartition(n, "part").mapInArrow(add, "part long, counts binary").collect()
-    out = np.zeros((SKETCH // rows, rows), np.int32)
+    shape = "part long, counts binary"
+    found = sets.select("shingles").where("n_shingles > 0").mapInArrow(count, shape).repartition(SKETCH_PARTS, "part").mapInArrow(add, shape).collect()
+    out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int32)
     for part, data in found:
         out[part] = np.frombuffer(data, np.int32)
     return out.reshape(-1)
