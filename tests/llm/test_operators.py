@@ -490,7 +490,7 @@ def test_suffix_array_covers_repeats(streams):
         w = tokens[i : i + 3].tolist()
         if min(w) >= 0 and any(tokens[j : j + 3].tolist() == w and page[j] != page[i] for j in range(len(tokens) - 2)):
             want[i : i + 3] = True
-    assert html_extract.covered_tokens(tokens, page, 3).tolist() == want.tolist()
+    assert html_extract.Runs(tokens, page, 3).covered().tolist() == want.tolist()
 
 
 def test_repeated_blocks_of_a_host_go(spark, monkeypatch):
@@ -505,6 +505,35 @@ def test_repeated_blocks_of_a_host_go(spark, monkeypatch):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_groups_of_a_host_change_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(24):
+        blocks = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
+        rows.append((i, f"http://h{i % 2}/{i}", "".join(f"<div>{b}</div>" for b in blocks)))
+    rows += [(100 + i, rows[3][1], rows[3][2]) for i in range(5)]  # copies of a page are one page
+    where = {}
+    for i, url, page in rows[:24]:
+        for _, b in html_extract.blocks(page):
+            w = b.split()
+            for j in range(len(w) - html_extract.RUN + 1):
+                where.setdefault((url[:9], *w[j : j + html_extract.RUN]), set()).add(i)
+    want = Counter()
+    for i, url, page in rows:
+        kept = []
+        for _, b in html_extract.blocks(page):
+            w, hit = b.split(), set()
+            for j in range(len(w) - html_extract.RUN + 1):
+                if len(where[(url[:9], *w[j : j + html_extract.RUN])]) > 1:
+                    hit.update(range(j, j + html_extract.RUN))
+            kept += [b] if len(hit) <= html_extract.COVERED * len(w) else []
+        want[i, "\n".join(kept)] += 1
+    for group, chars in ((500, 1 << 20), (2, 1 << 20), (500, 30)):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        monkeypatch.setattr(html_extract, "GROUP_CHARS", chars)
+        assert Counter((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == want
+
+
 # ---------------------------------------------------------------- 10 decontamination
 
 
