@@ -124,6 +124,13 @@ def name_edges_to_index(edges: DataFrame, names: list[str]) -> DataFrame:
     return edges.join(a, "snp1", "left").join(b, "snp2", "left").select(known("f1", "snp1"), known("f2", "snp2"))
 
 
+def join_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(sid, label, g): columns of two files side by side for pairs across them, labels of the left
+    one only; subjects of the longer file that the other lacks fall out."""
+    both = left.select("sid", "label", F.col("g").alias("ga")).join(right.select("sid", F.col("g").alias("gb")), "sid")
+    return both.select("sid", "label", F.concat("ga", "gb").alias("g"))
+
+
 def merge_subsets(left: DataFrame, right: DataFrame) -> DataFrame:
     """(sid, label, g): two column blocks of the same subjects side by side, labels from the right.
 

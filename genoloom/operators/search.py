@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,14 @@ def permuted(m: DataFrame, permutations: int, seed: int, start: int = 0) -> Data
     return places.join(ranks, ["perm", "rank"]).select("perm", "sid", "label", "g")
 
 
+def permutation_chunks(permutations: int, jobs: int, start: int = 0) -> list[tuple[int, int]]:
+    """(start, number) of each job's permutations; they must divide evenly."""
+    if jobs < 1 or permutations % jobs:
+        raise ValueError(f"{permutations} permutations do not divide into {jobs} jobs")
+    each = permutations // jobs
+    return [(start + i * each, each) for i in range(jobs)]
+
+
 def permutation_rank(results: DataFrame, order: list[Column], real: str = "is_real", by: list[str] | None = None) -> DataFrame:
     """``results`` with rank: real rows take a rank but do not use one up."""
     before = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,3 +80,18 @@ def distinct_attributes(top: DataFrame) -> DataFrame:
 def job_states(jobs: DataFrame) -> DataFrame:
     """Counters of job states and rows: expected against found."""
     return jobs.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("done", "running", "failed", "missing")], F.sum("expected").alias("expected"), F.sum("found").alias("found"), (F.sum("expected") == F.sum("found")).alias("complete"))
+
+
+def sweep(base: dict, lists: dict[str, list]) -> list[dict]:
+    """One parameter set for each combination of the listed values over ``base`` (none listed: base)."""
+    return [base | dict(zip(lists, values, strict=True)) for values in product(*lists.values())]
+
+
+def reanalysed(m: DataFrame, width: int, ways: list[int], top: DataFrame) -> DataFrame:
+    """The search again, over only the attributes of the best models ``top`` (attributes array)."""
+    best = sorted(int(r["attribute"]) for r in distinct_attributes(top).collect())  # at most ``width`` rows
+    narrow = m.select("sid", "label", F.array(*[F.col("g")[i] for i in best]).alias("g"))
+    found = kway_models(narrow, len(best), [k for k in ways if k <= len(best)])
+    names = F.array(*[F.lit(str(i)) for i in best])
+    original = F.array_join(F.transform(F.split("attributes", ","), lambda i: F.get(names, i.cast("int"))), ",")
+    return found.withColumn("attributes", original)

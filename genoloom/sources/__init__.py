@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NETWORK = "snp1 string, snp2 string, ig double, mi double"
@@ -10,8 +10,23 @@ REPORT = "metric_row string, precision double, recall double, f1 double, support
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Rows with sid: file position made explicit (files in path order, lines in file order)."""
-    return lines.withColumn("sid", F.monotonically_increasing_id())
+    """Rows of a file scan with sid, their number from 0: files in path order, lines in file order.
+
+    Rows of a split lie together in one task, so a row's number is its distance from the split's
+    first row plus the rows of all splits before it. Splits are counted, rows are not moved, and the
+    numbers do not depend on how the files are split.
+    """
+    rows = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_place"))
+    splits = rows.groupBy("_file", "_from").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    return rows.join(splits, ["_file", "_from"]).withColumn("sid", F.col("_place") + F.col("_before")).drop("_file", "_from", "_place", "_before")
+
+
+def attribute_count(spark: SparkSession, path: str, sep: str = "\t") -> int:
+    """Attributes of a headed file: the fields of its first line less the label."""
+    first = spark.read.text(path).limit(1).select(F.size(F.split("value", sep, -1)).alias("n")).first()
+    return first["n"] - 1 if first else 0
 
 
 def read_matrix_csv(spark: SparkSession, path: str, label: str = "Labels", sep: str = ",") -> tuple[DataFrame, list[str]]:
@@ -83,6 +98,33 @@ def write_parts(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") -> N
     df.repartition(*keys).write.partitionBy(*keys).format(fmt).save(path)
 
 
+def write_models(models: DataFrame, path: str) -> None:
+    """Sparse pair models as headed CSV, in the order of their keys."""
+    models.orderBy(*[c for c in models.columns if c != "n"]).write.option("header", True).csv(path)
+
+
+def write_top_models(top: DataFrame, path: str, level: str = "n_attributes") -> None:
+    """One folder per level, one distinct attribute set (comma list) per line, in order."""
+    sets = top.select(level, F.array_join("attributes", ",").alias("value")).distinct()
+    sets.repartition(level).sortWithinPartitions(level, "value").write.partitionBy(level).text(path)
+
+
+def write_permutation_report(ranked: DataFrame, p_values: DataFrame, states: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
+    """The collated file of a permutation study, in three folders: ``warning`` has a line if results
+    are missing, ``ranked`` the rows in rank order (the unpermuted row's rank is written ``=====>``),
+    ``p_values`` the block of p-values."""
+    warning = states.where("NOT complete").select(F.concat_ws(" ", F.lit("partial results:"), F.col("found").cast("string"), F.lit("of"), F.col("expected").cast("string"), F.lit("rows")).alias("value"))
+    warning.write.text(f"{path}/warning")
+    rows = ranked.orderBy("rank", F.desc("is_real")).select(F.when(F.col("is_real"), "=====>").otherwise(F.col("rank").cast("string")).alias("rank"), *columns)
+    rows.write.option("header", True).option("sep", sep).csv(f"{path}/ranked")
+    p_values.orderBy("p_value").select(*columns, F.format_string("%.4f", "p_value").alias("p_value")).write.option("header", True).option("sep", sep).csv(f"{path}/p_values")
+
+
+def result_path(root: str, **parameters) -> str:
+    """The folder of a result, named by its parameters in the order given."""
+    return "/".join([root.rstrip("/"), "_".join(f"{k}_{v}" for k, v in parameters.items())])
+
+
 def transcode(spark: SparkSession, source: str, target: str, sep_in: str, sep_out: str) -> None:
     """A headless delimited text with another delimiter, cells unchanged."""
     spark.read.option("sep", sep_in).csv(source).write.option("sep", sep_out).csv(target)

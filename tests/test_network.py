@@ -219,6 +219,52 @@ def test_sources_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 2
 
 
+def test_rows_keep_their_place_however_files_are_split(spark, tmp_path):
+    wide = [[i % 3, i // 3 % 3, i // 9 % 3, i % 2] for i in range(900)]
+    for folder, columns in (("a", (0, 3)), ("b", (0, 1, 2, 0, 1, 2, 0, 1, 2, 3))):
+        (tmp_path / folder).mkdir()
+        for k, part in enumerate((wide[:200], wide[200:])):  # the second file is larger
+            (tmp_path / folder / f"{k}.csv").write_text("\n".join([",".join([*(f"c{j}" for j in range(len(columns) - 1)), "Labels"]), *(",".join(str(r[j]) for j in columns) for r in part)]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        a, b = (sources.read_matrix_csv(spark, str(tmp_path / f))[0] for f in "ab")
+        assert a.rdd.getNumPartitions() > 2
+        assert [(r.sid, r.label, r.g) for r in a.orderBy("sid").collect()] == [(i, r[3], [r[0]]) for i, r in enumerate(wide)]
+        merged = pairs.merge_subsets(a, b).orderBy("sid").collect()
+        assert [r.g for r in merged] == [[r[0], *r[:3] * 3] for r in wide]
+        assert pairs.join_blocks(a.where("sid < 5"), b).count() == 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sources.attribute_count(spark, str(tmp_path / "b" / "0.csv"), ",") == 9
+
+
+def test_search_outputs(spark, rows, tmp_path):
+    assert search.permutation_chunks(6, 3, 10) == [(10, 2), (12, 2), (14, 2)]
+    with pytest.raises(ValueError):
+        search.permutation_chunks(7, 3)
+    assert search.sweep({"seed": 1}, {"min": [1, 2], "max": [3]}) == [{"seed": 1, "min": 1, "max": 3}, {"seed": 1, "min": 2, "max": 3}]
+    assert search.sweep({"seed": 1}, {}) == [{"seed": 1}]
+    assert sources.result_path("out/", igCutoff=0.0208, minCompSize=60) == "out/igCutoff_0.0208_minCompSize_60"
+    results = spark.createDataFrame([("a", 0.9, False), ("b", 0.8, True), ("c", 0.1, False)], "name string, score double, is_real boolean")
+    ranked = search.permutation_rank(results, [F.desc("score")])
+    jobs = spark.createDataFrame([("done", 3, 2)], "state string, expected long, found long")
+    sources.write_permutation_report(ranked, search.p_values(ranked), search.job_states(jobs), str(tmp_path / "r"), ["name", "score"])
+    read = lambda x: sorted(tuple(r) for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "r" / x)).collect())
+    assert read("ranked") == [("1", "a", "0.9"), ("2", "c", "0.1"), ("=====>", "b", "0.8")]
+    assert read("p_values") == [("b", "0.8", "0.6667")]
+    assert spark.read.text(str(tmp_path / "r" / "warning")).first()[0] == "partial results: 2 of 3 rows"
+    top = spark.createDataFrame([(1, ["2"]), (2, ["0", "2"]), (2, ["0", "2"])], "n_attributes int, attributes array<string>")
+    sources.write_top_models(top, str(tmp_path / "top"))
+    assert sorted((r.n_attributes, r.value) for r in spark.read.text(str(tmp_path / "top")).collect()) == [(1, "2"), (2, "0,2")]
+    m = spark.createDataFrame(rows, M)
+    again = {tuple(r) for r in search.reanalysed(m, 4, [1, 2], top).collect()}
+    assert again == {tuple(r) for r in search.kway_models(m, 4, [1, 2]).where("attributes IN ('0', '2', '0,2')").collect()}
+    models = pairs.sparse_models(m.withColumn("label", F.col("label") % 2 + 1), 4)
+    sources.write_models(models, str(tmp_path / "models"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "models")).count() == models.count()
+
+
 def test_streamed_cells_add_up(spark, rows, tmp_path):
     m = spark.createDataFrame(rows, M)
     m.repartition(3).write.parquet(str(tmp_path / "in"))
