@@ -260,7 +260,7 @@ def test_search_outputs(spark, rows, tmp_path):
     m = spark.createDataFrame(rows, M)
     again = {tuple(r) for r in search.reanalysed(m, 4, [1, 2], top).collect()}
     assert again == {tuple(r) for r in search.kway_models(m, 4, [1, 2]).where("attributes IN ('0', '2', '0,2')").collect()}
-    models = pairs.sparse_models(m.withColumn("label", F.col("label") % 2 + 1), 4)
+    models = pairs.sparse_models(m.where("label IN (0, 1)").withColumn("label", F.col("label") + 1), 4)
     sources.write_models(models, str(tmp_path / "models"))
     assert spark.read.option("header", True).csv(str(tmp_path / "models")).count() == models.count()
 
