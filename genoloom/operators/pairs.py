@@ -2,23 +2,34 @@
 
 A matrix is (sid long, label int, g array<int>). Pairs come from one row's own array, so counting
 needs no join and no row key: one scan, a partial count per task, one shuffle of at most nine rows
-a pair and task.
+a pair and task (of one row where only the gains are asked for).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.functions import entropy
 
+#: Pairs exploded from a row; more are counted by matrix products, features in tiles of TILE, rows in
+#: slices of ROWS, at most HELD bytes of counters at once (more tile pairs take another scan).
+EXPLODED, TILE, ROWS, HELD = 64, 256, 1024, 256 << 20
+CELLS = [f"c{k}" for k in range(9)] + [f"d{k}" for k in range(9)]
+
 
 def exploded_pairs(m: DataFrame, width: int, left: range | None = None, right: range | None = None, keys: list[str] | None = None) -> DataFrame:
     """(keys, sid, label, f1, f2, v1, v2) for every pair f1 < f2, or left x right for two blocks."""
     keep = [*(keys or []), "sid", "label"]
     pairs = [(i, j) for i in range(width) for j in range(i + 1, width)] if left is None else [(i, j) for i in left for j in right]
     if len(pairs) <= 64:
-        items = F.array(*[F.struct(F.lit(i).alias("f1"), F.lit(j).alias("f2"), F.col("g")[i].alias("v1"), F.col("g")[j].alias("v2")) for i, j in pairs])
+        items = F.array(*[F.struct(F.lit(i).alias("f1"), F.lit(j).alias("f2"), F.get("g", F.lit(i)).alias("v1"), F.get("g", F.lit(j)).alias("v2")) for i, j in pairs])
         return m.select(*keep, F.inline(items))
     firsts = F.explode(F.sequence(F.lit(0), F.lit(width - 2))) if left is None else F.explode(F.sequence(F.lit(left.start), F.lit(left.stop - 1)))
     rows = m.select(*keep, "g", firsts.alias("f1"))
@@ -27,13 +38,20 @@ def exploded_pairs(m: DataFrame, width: int, left: range | None = None, right: r
     return rows.select(*keep, "f1", "f2", F.get("g", F.col("f1")).alias("v1"), F.get("g", F.col("f2")).alias("v2"))
 
 
-def pair_cells(m: DataFrame, width: int, keys: list[str] | None = None, **blocks: range) -> DataFrame:
+def pair_cells(m: DataFrame, width: int, keys: list[str] | None = None, left: range | None = None, right: range | None = None) -> DataFrame:
     """(keys, f1, f2, v1, v2, ctl, cas): controls and cases of each observed cell; codes other than 0, 1,
     2 and labels other than 0, 1 (nulls too) fall in no cell."""
-    rows = exploded_pairs(m, width, keys=keys, **blocks).where("v1 IN (0, 1, 2) AND v2 IN (0, 1, 2) AND label IN (0, 1)")
+    if not (keys or m.isStreaming) and _number(width, left, right) > EXPLODED:
+        cells = F.array(*[F.struct(F.lit(k // 3).alias("v1"), F.lit(k % 3).alias("v2"), F.col(f"c{k}").alias("ctl"), F.col(f"d{k}").alias("cas")) for k in range(9)])
+        return pair_counts(m, width, None, left, right).select("f1", "f2", F.inline(cells)).where("ctl + cas > 0")
+    rows = exploded_pairs(m, width, left, right, keys).where("v1 IN (0, 1, 2) AND v2 IN (0, 1, 2) AND label IN (0, 1)")
     return rows.groupBy(*(keys or []), "f1", "f2", "v1", "v2").agg(F.count_if(F.col("label") == 0).alias("ctl"), F.count_if(F.col("label") == 1).alias("cas"))
 
 
+def _number(width: int, left: range | None, right: range | None) -> int:
+    return width * (width - 1) // 2 if left is None else len(left) * len(right)
+
+
 def gain(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, f1, f2, ig, mi, main_f1, main_f2) of each pair, balanced: controls are scaled by the pair's
     own ratio of cases to controls, so the label has one bit.
@@ -54,6 +72,84 @@ def gain(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.select(*pair, (mi - m1 - m2).alias("ig"), mi.alias("mi"), m1.alias("main_f1"), m2.alias("main_f2"))
 
 
+def _codes(column: pa.Array, width: int) -> np.ndarray:
+    """Rows by features of a list column; what a row lacks, and nulls, are -1."""
+    n = pa.compute.list_value_length(column).fill_null(0).to_numpy()
+    values = pa.compute.fill_null(column.flatten(), -1).to_numpy()
+    if len(n) and (n == width).all():
+        return values.reshape(-1, width)
+    out = np.full((len(n), width), -1, values.dtype)
+    inside = np.arange(width) < n[:, None]
+    out[inside] = values[((np.cumsum(n) - n)[:, None] + np.arange(width))[inside]]
+    return out
+
+
+def _tile_counts(m: DataFrame, width: int, tiles: list[tuple[range, range]]) -> DataFrame:
+    """(f1, f2, CELLS) of the pairs f1 < f2 or f1 x f2 of these tiles, one row a pair and task.
+
+    With a row per subject and a 0/1 column per feature and code, the products of the columns of
+    two tiles are the counts of all their cells.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 3 * len(a), 3 * len(b)), np.int32) for a, b in tiles]
+        some = False
+        for batch in batches:
+            label, g = batch.column(0).fill_null(-1).to_numpy(), _codes(batch.column(1), width)
+            some = some or len(label) > 0
+            for y in (0, 1):
+                mine = np.flatnonzero(label == y)
+                for at in range(0, len(mine), ROWS):
+                    rows = g[mine[at : at + ROWS]]
+                    hot = {t: (rows[:, t.start : t.stop, None] == np.arange(3)).reshape(len(rows), -1).astype(np.float32) for t in {t for pair in tiles for t in pair}}
+                    for sums, (a, b) in zip(held, tiles, strict=True):
+                        sums[y] += (hot[a].T @ hot[b]).astype(np.int32)
+        for sums, (a, b) in zip(held if some else [], tiles if some else [], strict=True):
+            cells = sums.reshape(2, len(a), 3, len(b), 3).transpose(1, 3, 0, 2, 4).reshape(len(a), len(b), 18)
+            i, j = np.nonzero(np.less.outer(np.array(a), np.array(b)) if a == b else np.ones((len(a), len(b)), bool))
+            yield pa.RecordBatch.from_arrays([pa.array((i + a.start).astype(np.int32)), pa.array((j + b.start).astype(np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in cells[i, j].T]], names=["f1", "f2", *CELLS])
+
+    return m.select("label", F.col("g").cast("array<int>").alias("g")).mapInArrow(count, "f1 int, f2 int, " + ", ".join(f"{c} int" for c in CELLS))
+
+
+def pair_counts(m: DataFrame, width: int, keys: list[str] | None = None, left: range | None = None, right: range | None = None) -> DataFrame:
+    """(keys, f1, f2, c0..c8, d0..d8): controls and cases of cell 3 * v1 + v2, a row for every pair.
+
+    Codes and labels out of their domains (nulls too) fall in no cell. An empty table gives no rows.
+    """
+    group = [*(keys or []), "f1", "f2"]
+    if keys or _number(width, left, right) <= EXPLODED:
+        rows = exploded_pairs(m, width, left, right, keys)
+        cell = F.when(F.col("v1").isin(0, 1, 2) & F.col("v2").isin(0, 1, 2), 3 * F.col("v1") + F.col("v2"))
+        rows = rows.select(*group, "label", cell.alias("cell"))
+        return rows.groupBy(*group).agg(*[F.count_if((F.col("label") == y) & (F.col("cell") == k)).alias(CELLS[9 * y + k]) for y in (0, 1) for k in range(9)])
+    cut = lambda r: [range(i, min(i + TILE, r.stop)) for i in range(r.start, r.stop, TILE)]
+    tiles = cut(range(width)) if left is None else []
+    pairs = [(a, b) for k, a in enumerate(tiles) for b in tiles[k:]] if left is None else [(a, b) for a in cut(left) for b in cut(right)]
+    each = max(1, HELD // (2 * (3 * TILE) ** 2 * 4))
+    parts = [_tile_counts(m, width, pairs[i : i + each]) for i in range(0, len(pairs), each)]
+    return reduce(DataFrame.unionByName, parts).groupBy("f1", "f2").agg(*[F.sum(c).alias(c) for c in CELLS])
+
+
+def pair_gains(m: DataFrame, width: int, keys: list[str] | None = None, left: range | None = None, right: range | None = None) -> DataFrame:
+    """What ``gain`` gives of ``pair_cells``, from one row a pair: one shuffle, then arithmetic.
+
+    A pair without any valid cell has 0 everywhere.
+    """
+    group = [*(keys or []), "f1", "f2"]
+    plus = lambda columns: reduce(lambda a, b: a + b, columns)
+    rows = pair_counts(m, width, keys, left, right)
+    rows = rows.withColumns({"all_ctl": plus([F.col(c) for c in CELLS[:9]]), "all_cas": plus([F.col(c) for c in CELLS[9:]])})
+    rows = rows.withColumn("ratio", F.try_divide(F.col("all_cas").cast("double"), F.col("all_ctl")))
+    ways = {"h": [[k] for k in range(9)], "h1": [[3 * v, 3 * v + 1, 3 * v + 2] for v in range(3)], "h2": [[v, v + 3, v + 6] for v in range(3)]}
+    part = lambda ctl, cas: (ctl + cas) * entropy(ctl, cas)
+    bits = {name: F.try_divide(plus([part(plus([F.col(f"c{k}") for k in b]) * F.col("ratio"), plus([F.col(f"d{k}") for k in b]).cast("double")) for b in buckets]), 2.0 * F.col("all_cas")) for name, buckets in ways.items()}
+    rows = rows.select(*group, "all_ctl", "all_cas", *[h.alias(n) for n, h in bits.items()])
+    empty = F.when((F.col("all_cas") > 0) & (F.col("all_ctl") == 0), float("nan")).otherwise(0.0)
+    mi, m1, m2 = (F.when(F.col(n).isNotNull(), 1 - F.col(n)).otherwise(empty) for n in ways)
+    return rows.select(*group, (mi - m1 - m2).alias("ig"), mi.alias("mi"), m1.alias("main_f1"), m2.alias("main_f2"))
+
+
 def sparse_models(m: DataFrame, width: int) -> DataFrame:
     """(f1_i, f1_v, f2_i, f2_v, l, n): observed genotype pairs by label; 1 is '0', 2 is '1', any other
     label is an error."""

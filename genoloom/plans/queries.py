@@ -109,12 +109,12 @@ def pair_cells(spark, sf_dir):
 
 @query(f"WITH {GAIN_SQL} SELECT f1, f2, {GAIN_COLS} FROM gains")
 def pair_ig(spark, sf_dir):
-    return rounded(pairs.gain(pairs.pair_cells(matrix(spark, sf_dir), WIDTH)).select("f1", "f2", "ig", "mi"), "ig", "mi")
+    return rounded(pairs.pair_gains(matrix(spark, sf_dir), WIDTH).select("f1", "f2", "ig", "mi"), "ig", "mi")
 
 
 @query(f"WITH {GAIN_SQL} SELECT f1, f2, {GAIN_COLS}, round(main_f2, 9) AS main_f2, round(main_f1, 9) AS main_f1 FROM gains")
 def pair_main_effects(spark, sf_dir):
-    return rounded(pairs.gain(pairs.pair_cells(matrix(spark, sf_dir), WIDTH)), "ig", "mi", "main_f2", "main_f1")
+    return rounded(pairs.pair_gains(matrix(spark, sf_dir), WIDTH), "ig", "mi", "main_f2", "main_f1")
 
 
 @query(f"WITH {M_SQL}, {P_SQL} SELECT f1 AS f1_i, g[f1 + 1] AS f1_v, f2 AS f2_i, g[f2 + 1] AS f2_v, CAST(label AS VARCHAR) AS l, count(*) AS n FROM m, p GROUP BY ALL")
@@ -124,20 +124,20 @@ def pair_models_sparse(spark, sf_dir):
 
 @query(f"WITH {GAIN_SQL} SELECT f1, f2, {GAIN_COLS} FROM gains WHERE f1 < 2 AND f2 >= 2")
 def pair_ig_bipartite(spark, sf_dir):
-    cells = pairs.pair_cells(matrix(spark, sf_dir), WIDTH, left=range(0, 2), right=range(2, 4))
-    return rounded(pairs.gain(cells).select("f1", "f2", "ig", "mi"), "ig", "mi")
+    found = pairs.pair_gains(matrix(spark, sf_dir), WIDTH, left=range(0, 2), right=range(2, 4))
+    return rounded(found.select("f1", "f2", "ig", "mi"), "ig", "mi")
 
 
 @query(f"WITH {GAIN_SQL} SELECT f1, f2, {GAIN_COLS} FROM gains ORDER BY mi - main_f1 - main_f2 DESC, f1, f2 LIMIT 3")
 def top_pairs(spark, sf_dir):
-    found = pairs.gain(pairs.pair_cells(matrix(spark, sf_dir), WIDTH))
+    found = pairs.pair_gains(matrix(spark, sf_dir), WIDTH)
     return rounded(found.orderBy(F.desc("ig"), "f1", "f2").limit(3).select("f1", "f2", "ig", "mi"), "ig", "mi")
 
 
 @query(f"""WITH {M_SQL.replace("CAST(o_orderstatus = 'F' AS INTEGER) AS label", "CAST((o_orderkey % 3 + CAST(floor(o_totalprice) AS INTEGER) % 3) % 3 = 0 AS INTEGER) AS label")}, {GAIN_SQL.removeprefix(M_SQL + ", ")} SELECT f1, f2, {GAIN_COLS} FROM gains""")
 def planted_pair_ig(spark, sf_dir):
     m = matrix(spark, sf_dir).withColumn("label", ((F.col("g")[0] + F.col("g")[1]) % 3 == 0).cast("int"))
-    return rounded(pairs.gain(pairs.pair_cells(m, WIDTH)).select("f1", "f2", "ig", "mi"), "ig", "mi")
+    return rounded(pairs.pair_gains(m, WIDTH).select("f1", "f2", "ig", "mi"), "ig", "mi")
 
 
 # ---------------------------------------------------------------- thresholds and graphs
@@ -405,9 +405,9 @@ def distinct_top_attributes(spark, sf_dir):
 def permutation_test(spark, sf_dir):
     """Pair gains under ten label permutations beside the real ones, ranked per pair, with p-values."""
     m = matrix(spark, sf_dir)
-    real = pairs.gain(pairs.pair_cells(m, WIDTH)).withColumn("is_real", F.lit(True))
+    real = pairs.pair_gains(m, WIDTH).withColumn("is_real", F.lit(True))
     shuffled = search.permuted(m, 10, SEED)
-    many = pairs.gain(pairs.pair_cells(shuffled, WIDTH, keys=["perm"]), ["perm"]).drop("perm").withColumn("is_real", F.lit(False))
+    many = pairs.pair_gains(shuffled, WIDTH, keys=["perm"]).drop("perm").withColumn("is_real", F.lit(False))
     ranked = search.permutation_rank(real.unionByName(many), [F.desc("ig")], by=["f1", "f2"])
     return search.p_values(ranked, by=["f1", "f2"])
 

@@ -219,6 +219,26 @@ def test_sources_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 2
 
 
+def test_counts_by_matrix_products(spark, rows, monkeypatch):
+    """Tiles, slices and several scans give what exploded rows give, bad codes and labels included."""
+    rng = random.Random(3)
+    odd = [(i, rng.choice([0, 1, 0, 1, 2, None]), None if i == 5 else [rng.choice([0, 1, 2, 0, 1, 2, 3, None]) for _ in range(rng.choice([9, 9, 9, 6, 11]))]) for i in range(300)]
+    m = spark.createDataFrame(odd, M).repartition(3)
+    table = lambda df: sorted(tuple(-9 if x != x else round(x, 9) for x in r) for r in df.collect())
+    for blocks in ({}, {"left": range(1, 4), "right": range(5, 9)}):
+        narrow = [table(f(m, 9, **blocks)) for f in (pairs.pair_cells, pairs.pair_counts, pairs.pair_gains)]
+        assert table(pairs.gain(pairs.pair_cells(m, 9, **blocks))) == narrow[2]
+        with monkeypatch.context() as patched:
+            for name, value in (("EXPLODED", 0), ("TILE", 2), ("ROWS", 50), ("HELD", 1)):
+                patched.setattr(pairs, name, value)
+            assert [table(f(m, 9, **blocks)) for f in (pairs.pair_cells, pairs.pair_counts, pairs.pair_gains)] == narrow
+            patched.setattr(pairs, "HELD", 1 << 20)
+            assert table(pairs.pair_gains(m, 9, **blocks)) == narrow[2]
+            assert pairs.pair_gains(m.limit(0), 9, **blocks).count() == 0
+    one = lambda label: pairs.pair_gains(spark.createDataFrame([(1, label, [0, 1])], M), 2).first()
+    assert one(0)[2:] == one(None)[2:] == (0.0, 0.0, 0.0, 0.0) and math.isnan(one(1).ig)
+
+
 def test_rows_keep_their_place_however_files_are_split(spark, tmp_path):
     wide = [[i % 3, i // 3 % 3, i // 9 % 3, i % 2] for i in range(900)]
     for folder, columns in (("a", (0, 3)), ("b", (0, 1, 2, 0, 1, 2, 0, 1, 2, 3))):
