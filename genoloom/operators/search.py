@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,15 +12,36 @@ from pyspark.sql import functions as F
 from genoloom.operators.splits import shuffled_rank
 
 
+#: Combinations listed in one literal array; more are exploded feature by feature.
+LISTED = 256
+
+
+def combined(m: DataFrame, width: int, ways: list[int]) -> DataFrame:
+    """(label, attributes, n_attributes, cell) of every row and combination of features, from the
+    row's own array: no join. A null code, or one that a short row lacks, is a code of its own."""
+    code = lambda i: F.coalesce(F.get("g", i).cast("string"), F.lit("-"))
+    ways = sorted({k for k in ways if 0 < k <= width})
+    if sum(comb(width, k) for k in ways) <= LISTED:
+        sets = [c for k in ways for c in combinations(range(width), k)]
+        items = [F.struct(F.lit(",".join(map(str, c))).alias("attributes"), F.lit(len(c)).alias("n_attributes"), F.concat_ws(",", *[code(F.lit(i)) for i in c]).alias("cell")) for c in sets]
+        return m.select("label", F.inline(F.array(*items))) if sets else m.select("label", F.lit("").alias("attributes"), F.lit(0).alias("n_attributes"), F.lit("").alias("cell")).limit(0)
+    parts = []
+    for k in ways:
+        rows = m.select("label", "g", F.lit(-1).alias("last"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("codes"))
+        for level in range(k):
+            rows = rows.select("label", "g", "names", "codes", F.explode(F.sequence(F.col("last") + 1, F.lit(width - k + level))).alias("last"))
+            rows = rows.select("label", "g", "last", F.array_append("names", F.col("last").cast("string")).alias("names"), F.array_append("codes", code(F.col("last"))).alias("codes"))
+        parts.append(rows.select("label", F.array_join("names", ",").alias("attributes"), F.lit(k).alias("n_attributes"), F.array_join("codes", ",").alias("cell")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def kway_models(m: DataFrame, width: int, ways: list[int]) -> DataFrame:
     """(attributes, n_attributes, balanced_accuracy) of every combination of features.
 
     A cell is high risk if its cases exceed its controls times the ratio of all cases to controls;
-    high-risk cells predict cases. Combinations come from one row's own array: no join.
+    high-risk cells predict cases.
     """
-    sets = [list(c) for k in ways for c in combinations(range(width), k)]
-    items = F.array(*[F.struct(F.lit(",".join(map(str, c))).alias("attributes"), F.lit(len(c)).alias("n_attributes"), F.concat_ws(",", *[F.col("g")[i].cast("string") for i in c]).alias("cell")) for c in sets])
-    cells = m.where("label IN (0, 1)").select("label", F.inline(items)).groupBy("attributes", "n_attributes", "cell").agg(F.count_if(F.col("label") == 0).alias("ctl"), F.count_if(F.col("label") == 1).alias("cas"))
+    cells = combined(m.where("label IN (0, 1)"), width, ways).groupBy("attributes", "n_attributes", "cell").agg(F.count_if(F.col("label") == 0).alias("ctl"), F.count_if(F.col("label") == 1).alias("cas"))
     all_ = Window.partitionBy("attributes")
     rows = cells.withColumns({"all_ctl": F.sum("ctl").over(all_), "all_cas": F.sum("cas").over(all_)})
     high = F.col("cas") * F.col("all_ctl") > F.col("ctl") * F.col("all_cas")

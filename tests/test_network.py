@@ -239,6 +239,23 @@ def test_counts_by_matrix_products(spark, rows, monkeypatch):
     assert one(0)[2:] == one(None)[2:] == (0.0, 0.0, 0.0, 0.0) and math.isnan(one(1).ig)
 
 
+def test_combinations_listed_or_exploded(spark, monkeypatch):
+    rng = random.Random(4)
+    m = spark.createDataFrame([(i, rng.choice([0, 1, None]), [rng.choice([0, 1, 2, None]) for _ in range(rng.choice([5, 5, 4]))]) for i in range(80)], M)
+    listed = {(r.attributes, r.n_attributes): round(r.balanced_accuracy, 9) for r in search.kway_models(m, 5, [1, 2, 3, 6]).collect()}
+    assert len(listed) == 5 + 10 + 10
+    monkeypatch.setattr(search, "LISTED", 0)
+    assert {(r.attributes, r.n_attributes): round(r.balanced_accuracy, 9) for r in search.kway_models(m, 5, [1, 2, 3, 6]).collect()} == listed
+    rows = [(r.label, tuple((r.g + [None] * 5)[:5])) for r in m.collect() if r.label is not None]
+    n = [sum(1 for y, _ in rows if y == k) for k in (0, 1)]
+    cells = {}
+    for y, g in rows:
+        cells.setdefault((g[0], g[3]), [0, 0])[y] += 1
+    high = [c for c in cells.values() if c[1] * n[0] > c[0] * n[1]]
+    want = (sum(c[1] for c in high) / n[1] + (n[0] - sum(c[0] for c in high)) / n[0]) / 2
+    assert listed["0,3", 2] == round(want, 9)
+
+
 def test_rows_keep_their_place_however_files_are_split(spark, tmp_path):
     wide = [[i % 3, i // 3 % 3, i // 9 % 3, i % 2] for i in range(900)]
     for folder, columns in (("a", (0, 3)), ("b", (0, 1, 2, 0, 1, 2, 0, 1, 2, 3))):
