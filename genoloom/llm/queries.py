@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, reshard, warc
-from genoloom.scratch import stage
+from genoloom.scratch import new_path
 
 #: Public vocabulary files; the first is the one that counts, the second the same as ranks.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -61,9 +61,11 @@ FROM rows GROUP BY conv_id
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", reshard.row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), reshard.old_layout(docs, SHARDS).alias("old"), F.xxhash64("text", "doc_id").alias("tie"))
-    placed, _ = reshard.reshard(stage(rows, "rows"), SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    path = new_path(spark, "shards")
+    reshard.write_shards(docs, reshard.old_layout(docs, SHARDS), path)
+    reshard.reshard_files(spark, path, docs.schema, SHARDS)
+    rows = reshard.read_shards(spark, path, docs.schema)
+    return rows.select("doc_id", reshard.row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Old shard sizes and new capacities make a small transport problem: staying is fr
 costs one (or what a cost matrix says). Its solution, by successive shortest paths, names the block
 transfers that move the fewest bytes. Rows of an old shard stand in one order (large ones first);
 the flow cuts that order into a part that stays and blocks that go, so cuts fall among small rows
-and new sizes are near equal. Only shards that a transfer touches are rewritten.
+and new sizes are near equal. Only shards that a transfer touches are rewritten, each under a new name
+that is then renamed.
 
 The order needs running sums over a whole shard. They come from bucket sums (BUCKETS a shard, added
 up on executors; the driver sees buckets, never rows) and a window inside each bucket.
@@ -14,11 +15,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from genoloom.scratch import stage
+from genoloom.scratch import drop, stage
 
 #: Buckets of a shard: SIZE_CLASSES classes of row size times SPREAD hash values.
 SIZE_CLASSES, SPREAD = 40, 16
@@ -87,17 +90,14 @@ def old_layout(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int")
 
 
-def reshard(rows: DataFrame, new_shards: int, cost: list[list[float]] | None = None) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """(rows with shard int and slot long, the transfers {(old, new): bytes}).
-
-    rows: old int (0 up), size long (at least 1), tie long (a hash that spreads rows) and others; it
-    is read twice, so it should be a table. slot numbers a shard's rows from 0 without gaps. Sizes of
-    new shards differ from their capacities by less than a row at each cut of the order. An empty
-    table gives an empty one. Equal rows are placed one by one; which of them lies where is open.
-    """
+def _bucketed(rows: DataFrame) -> DataFrame:
     band = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(SIZE_CLASSES - 1))
-    bucket = ((SIZE_CLASSES - 1 - band) * SPREAD + F.pmod("tie", F.lit(SPREAD))).cast("int")
-    rows = rows.withColumn("_bucket", bucket)
+    spread = F.pmod("tie", F.lit(SPREAD))
+    return rows.withColumns({"_spread": spread, "_bucket": ((SIZE_CLASSES - 1 - band) * SPREAD + spread).cast("int")})
+
+
+def _solve(rows: DataFrame, new_shards: int, cost: list[list[float]] | None) -> tuple[dict[tuple[int, int], int], DataFrame, DataFrame]:
+    """(transfers, offsets of buckets, cuts of old shards) of bucketed rows."""
     sums = {(r["old"], r["_bucket"]): r["bytes"] for r in rows.groupBy("old", "_bucket").agg(F.sum("size").alias("bytes")).collect()}
     n_old = 1 + max([k[0] for k in sums], default=-1)
     supply = [0] * n_old
@@ -119,28 +119,125 @@ def reshard(rows: DataFrame, new_shards: int, cost: list[list[float]] | None = N
     # Both tables have at most shards times buckets (or shards times shards) rows.
     offsets = spark.createDataFrame([(o, b, s) for (o, b), s in starts.items()], "old int, _bucket int, _offset long")
     pieces = spark.createDataFrame([(o, [(x, y, n) for c, x, y, n in cuts if c == o]) for o in range(n_old)], "old int, _cuts array<struct<from: long, to: long, new: int>>")
-    order = Window.partitionBy("old", "_bucket").orderBy(F.desc("size"), "tie")
-    placed = rows.join(F.broadcast(offsets), ["old", "_bucket"]).join(F.broadcast(pieces), "old")
-    middle = F.col("_offset") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") + F.floor((F.col("size") - 1) / 2)
+    return transfers, offsets, pieces
+
+
+def _cut(rows: DataFrame, offsets: DataFrame, pieces: DataFrame, ties: list[str]) -> DataFrame:
+    """Bucketed rows with shard and _rank (in the part of a bucket that goes to one shard)."""
+    group = ["old", "_spread", "_bucket"]
+    order = [F.desc("size"), "tie", *ties]
+    placed = rows.repartition("old", "_spread").join(F.broadcast(offsets), ["old", "_bucket"]).join(F.broadcast(pieces), "old")
+    middle = F.col("_offset") + F.sum("size").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") + F.floor((F.col("size") - 1) / 2)
     placed = placed.withColumn("_at", middle)
     placed = placed.withColumn("shard", F.filter("_cuts", lambda c: (F.col("_at") >= c["from"]) & (F.col("_at") < c["to"]))[0]["new"]).drop("_cuts", "_at", "_offset")
-    rank = F.row_number().over(Window.partitionBy("old", "_bucket", "shard").orderBy(F.desc("size"), "tie"))
-    placed = stage(placed.withColumn("_rank", (rank - 1).cast("long")), "placed")
+    rank = F.row_number().over(Window.partitionBy(*group, "shard").orderBy(*order))
+    return placed.withColumn("_rank", (rank - 1).cast("long"))
+
+
+def _bases(placed: DataFrame) -> tuple[DataFrame, set[int]]:
+    """(the first slot of each part of a bucket, the shards that rows leave or enter)."""
     counts = placed.groupBy("shard", "old", "_bucket").count().collect()  # at most shards * buckets * cuts
     base, total = [], {}
     for r in sorted(counts):
         base.append((r["shard"], r["old"], r["_bucket"], total.get(r["shard"], 0)))
         total[r["shard"]] = base[-1][-1] + r["count"]
-    table = spark.createDataFrame(base, "shard int, old int, _bucket int, _base long")
-    out = placed.join(F.broadcast(table), ["shard", "old", "_bucket"])
-    return out.withColumn("slot", F.col("_base") + F.col("_rank")).drop("_bucket", "_rank", "_base"), transfers
+    table = placed.sparkSession.createDataFrame(base, "shard int, old int, _bucket int, _base long")
+    return table, {k for r in counts if r["old"] != r["shard"] for k in (r["old"], r["shard"])}
+
+
+def _slots(placed: DataFrame, bases: DataFrame) -> DataFrame:
+    out = placed.join(F.broadcast(bases), ["shard", "old", "_bucket"])
+    return out.withColumn("slot", F.col("_base") + F.col("_rank")).drop("_bucket", "_spread", "_rank", "_base")
+
+
+def reshard(rows: DataFrame, new_shards: int, cost: list[list[float]] | None = None) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """(rows with shard int and slot long, the transfers {(old, new): bytes}).
+
+    rows: old int (0 up), size long (at least 1), tie long (a hash that spreads rows) and others; it
+    is read twice, so it should be a table. slot numbers a shard's rows from 0 without gaps. Sizes of
+    new shards differ from their capacities by less than a row at each cut of the order. An empty
+    table gives an empty one. Equal rows are placed one by one; which of them lies where is open.
+    """
+    rows = _bucketed(rows)
+    transfers, offsets, pieces = _solve(rows, new_shards, cost)
+    placed = stage(_cut(rows, offsets, pieces, []), "placed")
+    return _slots(placed, _bases(placed)[0]), transfers
+
+
+def write_shards(docs: DataFrame, old: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` as Parquet folders shard=N, by ``old``. No column may be named shard or slot."""
+    spread = F.pmod(F.xxhash64(text_col, id_col), F.lit(SPREAD))
+    docs.withColumn("shard", old).repartition("shard", spread).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of shard folders: columns of ``schema``, shard, slot, and their place (_file, _row).
+
+    slot is what the file says; files of the first layout don't, there it is the row's place in the
+    shard's files in the order of their names.
+    """
+    full = StructType([*schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    rows = spark.read.schema(full).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("shard", "_file").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return rows.join(F.broadcast(files), ["shard", "_file"]).withColumn("slot", F.coalesce("slot", F.col("_before") + F.col("_row"))).drop("_before")
+
+
+def reshard_files(spark: SparkSession, path: str, schema: StructType, new_shards: int, cost: list[list[float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict[tuple[int, int], int]:
+    """Reshard the folders shard=N of ``path`` in place; the transfers {(old, new): bytes}.
+
+    Rows are told apart by file and place in it, so null and repeated ids are rows like others. A
+    narrow table gives cuts and slots; then rows of touched shards are read, placed by the same
+    order and written. Shards that no row leaves or enters keep their files.
+    """
+    docs = read_shards(spark, path, schema).drop("slot").withColumnRenamed("shard", "old")
+    docs = docs.withColumns({"size": row_size(F.col(text_col)), "tie": F.xxhash64(text_col, id_col)})
+    place = ["_file", "_row"]
+    rows = stage(docs.select("old", "size", "tie", *place), "rows")
+    transfers, offsets, pieces = _solve(_bucketed(rows), new_shards, cost)
+    placed = stage(_cut(_bucketed(rows), offsets, pieces, place), "placed")
+    bases, touched = _bases(placed)
+    drop(rows, placed)
+    if touched:
+        moved = _slots(_cut(_bucketed(docs.where(F.col("old").isin(*touched))), offsets, pieces, place), bases)
+        _swap(moved.select(*schema.names, "slot", "shard"), path, touched)
+    return transfers
+
+
+def _swap(rows: DataFrame, path: str, touched: set[int]) -> None:
+    """Write ``rows`` beside the shards of ``path``, then rename each touched shard into its place."""
+    spark = rows.sparkSession
+    name = uuid.uuid4().hex
+    new, gone = f"{path}/_new-{name}", f"{path}/_gone-{name}"
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(new)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(gone))
+    for a, b in ((path, gone), (new, path)):
+        for k in sorted(touched):
+            if fs.exists(at(f"{a}/shard={k}")) and not fs.rename(at(f"{a}/shard={k}"), at(f"{b}/shard={k}")):
+                raise OSError(f"{a}/shard={k} can't be renamed")
+    for x in (gone, new):
+        fs.delete(at(x), True)
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, keys: list[str]) -> None:
     """Write the shards that transfers touch as Parquet folders shard=N; untouched ones are left.
 
-    keys: columns of ``docs`` that tell rows apart; ``placed`` has them with old and shard.
+    ``placed`` has all rows of ``docs`` with old, shard and slot. Rows meet null-safely on ``keys`` and
+    all other columns that both have, equal ones one by one; so what both have must tell apart rows
+    of different size or old shard.
     """
-    moved = placed.where("old <> shard").select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
-    touched = placed.join(F.broadcast(moved), "shard", "left_semi")
-    docs.join(touched.select(*keys, "shard", "slot"), keys).repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    touched = {r["shard"] for r in placed.where("old <> shard").select(F.explode(F.array("old", "shard")).alias("shard")).distinct().collect()}
+    if not touched:
+        return
+    both = [*keys, *[c for c in docs.columns if c in placed.columns and c not in (*keys, "old", "shard", "slot")]]
+    # Grouping takes nulls as equal, so a number among equals needs no key of its own.
+    nth = F.row_number().over(Window.partitionBy(*both).orderBy(F.lit(0)))
+    left = docs.withColumn("_nth", nth)
+    right = placed.withColumn("_nth", nth).where(F.col("shard").isin(*touched)).select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(both)], F.col("_nth").alias("_n"), "shard", "slot")
+    same = F.col("_nth") == F.col("_n")
+    for i, c in enumerate(both):
+        same &= F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    rows = left.drop("old", "shard", "slot").join(right, same)
+    _swap(rows.select(*[c for c in docs.columns if c not in ("old", "shard", "slot")], "slot", "shard").repartition("shard").sortWithinPartitions("shard", "slot"), path, touched)

@@ -178,6 +178,37 @@ def test_reshard_odd_rows_and_rewrite(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
 
 
+def test_touched_shards_are_rewritten_in_place(spark, tmp_path):
+    """Shard 1 has its capacity already: its files stay; null and repeated ids stay rows of their own."""
+    nine = lambda x: x * 9
+    texts = [(0, None, nine("a")), (0, None, nine("a")), (0, None, nine("a")), (0, 7, nine("b")), (0, 7, nine("b")), (0, 7, nine("c")), (1, 8, nine("d")), (1, None, nine("d")), *[(1, 9, None)] * 10, (1, 9, nine("d")), (2, 3, nine("e")), (2, None, nine("e"))]
+    rows = spark.createDataFrame(texts, "old int, doc_id long, text string")
+    schema = rows.drop("old").schema
+    path = str(tmp_path / "shards")
+    rows.withColumnRenamed("old", "shard").write.partitionBy("shard").parquet(path)
+    files = lambda k: sorted(p.name for p in (tmp_path / "shards" / f"shard={k}").glob("*.parquet"))
+    before = {k: files(k) for k in range(3)}
+    transfers = reshard.reshard_files(spark, path, schema, 3)
+    assert {k for k in transfers if k[0] != k[1]} == {(0, 2)}
+    assert files(1) == before[1] and not set(files(0)) & set(before[0]) and not set(files(2)) & set(before[2])
+    assert {p.name for p in (tmp_path / "shards").iterdir() if p.is_dir()} == {"shard=0", "shard=1", "shard=2"}
+    got = reshard.read_shards(spark, path, schema).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in rows.collect())
+    for k in range(3):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+        assert abs(sum(len(r.text or "") + 1 for r in got if r.shard == k) - 40) < 10
+
+
+def test_rewrite_leaves_other_shards_and_repeats(spark, tmp_path):
+    docs = spark.createDataFrame([(0, None, "x"), (0, None, "x"), (0, 1, "y"), (1, 1, "z")], "old int, doc_id long, text string")
+    path = str(tmp_path / "out")
+    spark.createDataFrame([(2, 50, "kept", 0)], "shard int, doc_id long, text string, slot long").write.partitionBy("shard").parquet(path)
+    placed = spark.createDataFrame([(0, None, "x", 0, 0), (0, None, "x", 1, 0), (0, 1, "y", 0, 1), (1, 1, "z", 1, 1)], "old int, doc_id long, text string, shard int, slot long")
+    reshard.rewrite(docs.drop("old"), placed, path, ["doc_id"])
+    got = sorted((r.shard, r.slot, r.doc_id or 0, r.text) for r in spark.read.parquet(path).collect())
+    assert got == [(0, 0, 0, "x"), (0, 1, 1, "y"), (1, 0, 0, "x"), (1, 1, 1, "z"), (2, 0, 50, "kept")]
+
+
 # ---------------------------------------------------------------- 3 Jaccard join
 
 
