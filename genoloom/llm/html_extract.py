@@ -5,7 +5,9 @@ article (menus, footers, forms, scripts ...) is left out, and where a page has a
 element, its blocks are the article and stay whole. Of every other page the remaining blocks go to
 the host's suffix array: the token streams of its pages are concatenated, sorted suffixes give the
 substrings of at least RUN tokens that stand on two distinct pages, and a block mostly covered by
-them is boilerplate; the other blocks are the page's unique runs.
+them is boilerplate; the other blocks are the page's unique runs. With ``spans`` (the registered
+query) substrings run on from block to block of a page, so menus of short items are covered too;
+without, each block is a stream of its own, and a block of less than RUN tokens always stays.
 
 A host may hold a third of all pages, so a large one is cut into groups by a hash, each with a suffix
 array of its own. Every group also gives each distinct run of RUN tokens once, as a hash; those that
@@ -153,7 +155,7 @@ def common_prefixes(tokens: np.ndarray, order: np.ndarray, most: int) -> np.ndar
 class Runs:
     """Families of the places of a token stream that share their first ``run`` tokens.
 
-    tokens: a host's token streams, one negative separator after each block; page: of each token.
+    tokens: a host's token streams, a negative separator after each block or page; page: of each token.
     ``shared`` tells of each family whether it has two distinct pages.
     """
 
@@ -187,34 +189,38 @@ class Runs:
         return np.cumsum(hit[:-1]) > 0
 
 
-def concatenated(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
-    """(tokens, word hashes, page numbers, (start, end) of each block of each page) of pages of blocks."""
+def concatenated(pages: list[list[str]], spans: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """(tokens, word hashes, page numbers, (start, end) of each block of each page) of pages of blocks,
+    with a separator after each block, or after each page if runs may span blocks."""
     import xxhash
 
     ids: dict[str, int] = {}
-    tokens, page, spans = [], [], []
+    tokens, page, places = [], [], []
     for k, found in enumerate(pages):
         mine = []
         for b in found:
             words = [ids.setdefault(w, len(ids)) for w in b.split(" ")]
             mine.append((len(tokens), len(tokens) + len(words)))
-            tokens += [*words, -1 - len(tokens)]
+            tokens += words if spans else [*words, -1 - len(tokens)]
+        if spans:
+            tokens.append(-1 - len(tokens))
         page += [k] * (len(tokens) - len(page))
-        spans.append(mine)
+        places.append(mine)
     of = np.array(tokens, np.int64)
     known = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in ids)], np.uint64)
-    return of, known[np.maximum(of + 1, 0)], np.array(page, np.int64), spans
+    return of, known[np.maximum(of + 1, 0)], np.array(page, np.int64), places
 
 
 ROWS = "row long, page_id long, url string, host string, main boolean, blocks array<string>"
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spans: bool = False) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, one \\n between.
 
     A null html is empty and gives an empty text. Repeated rows give a row each and count as one page
     (a page is told by url and html, so copies under one url do not make its text boilerplate). A
-    null url is a host of its own. An empty table gives no rows; extra columns are ignored.
+    null url is a host of its own. An empty table gives no rows; extra columns are ignored. spans: runs
+    may span the blocks of a page.
     """
     spark = pages.sparkSession
     ts.small_batches(spark)
@@ -237,12 +243,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sure = parsed.where("main").select("page_id", "url", text.alias("text"))
     open_ = parsed.where("NOT main AND size(blocks) > 0")
     empty = parsed.where("NOT main AND size(blocks) = 0").select("page_id", "url", F.lit("").alias("text"))
-    kept = unique_runs(open_.groupBy("host", "row").agg(F.first("blocks").alias("blocks")))
+    kept = unique_runs(open_.groupBy("host", "row").agg(F.first("blocks").alias("blocks")), spans)
     rest = open_.select("host", "row", "page_id", "url").join(kept, ["host", "row"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     return sure.unionByName(empty).unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def unique_runs(pages: DataFrame) -> DataFrame:
+def unique_runs(pages: DataFrame, spans: bool = False) -> DataFrame:
     """(host, row, text) of distinct pages (host, row, blocks): blocks that the host's repeated runs don't cover."""
     pages = stage(pages, "host-pages")
     chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
@@ -253,7 +259,7 @@ def unique_runs(pages: DataFrame) -> DataFrame:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
-            tokens, words, page, _ = concatenated(part.column("blocks").to_pylist())
+            tokens, words, page, _ = concatenated(part.column("blocks").to_pylist(), spans)
             h = Runs(tokens, page).hashes(words)
             for i in range(0, len(h), 1 << 16):
                 x = h[i : i + (1 << 16)]
@@ -270,11 +276,11 @@ def unique_runs(pages: DataFrame) -> DataFrame:
             mine = part.filter(pa.compute.equal(part.column("kind"), 1))
             known = part.column("gram").drop_null().to_numpy()
             pages = mine.column("blocks").to_pylist()
-            tokens, words, page, spans = concatenated(pages)
+            tokens, words, page, places = concatenated(pages, spans)
             runs = Runs(tokens, page)
             runs.shared[np.flatnonzero(runs.whole)[np.isin(runs.hashes(words), known)]] = True
             hit = np.concatenate(([0], np.cumsum(runs.covered())))
-            text = ["\n".join(b for b, (s, t) in zip(found, m, strict=True) if hit[t] - hit[s] <= COVERED * (t - s)) for found, m in zip(pages, spans, strict=True)]
+            text = ["\n".join(b for b, (s, t) in zip(found, m, strict=True) if hit[t] - hit[s] <= COVERED * (t - s)) for found, m in zip(pages, places, strict=True)]
             yield pa.RecordBatch.from_arrays([mine.column("host").combine_chunks(), mine.column("row").combine_chunks(), pa.array(text, pa.string())], names=["host", "row", "text"])
 
     dealt = stream.drop("groups").unionByName(back).repartition("host", "group").sortWithinPartitions(*order)

@@ -144,7 +144,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(table(spark, sf_dir, "pages"), spans=True)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -565,6 +565,24 @@ def test_groups_of_a_host_change_nothing(spark, monkeypatch):
         assert Counter((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == want
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def plain_page(*blocks):
+    return "".join(f"<div>{b}</div>" for b in blocks)
+
+
+def test_menus_of_short_items_go(spark, monkeypatch, tmp_path):
+    menu = "<ul>" + "".join(f"<li>{x}</li>" for x in ("Home", "News", "Our team", "Sport", "Contact us", "Read more")) + "</ul>"
+    own = [f"page {i} tells of number {i * 7} and has words {i}a {i}b {i}c of its own" for i in range(6)]
+    rows = [(i, f"http://h/{i}", menu + plain_page(own[i])) for i in range(6)] + [(9, "http://other/1", menu)]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    for group in (500, 1):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        got = {r.page_id: r.text for r in queries.op9_html_extract(spark, str(tmp_path)).collect()}
+        assert got == dict(enumerate(own)) | {9: "Home\nNews\nOur team\nSport\nContact us\nRead more"}
+
+
 # ---------------------------------------------------------------- 10 decontamination
 
 
