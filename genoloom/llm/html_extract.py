@@ -6,13 +6,16 @@ element, its blocks are the article and stay whole. Of every other page the rema
 the host's suffix array: the token streams of its pages are concatenated, sorted suffixes give the
 substrings of at least RUN tokens that stand on two distinct pages, and a block mostly covered by
 them is boilerplate; the other blocks are the page's unique runs. With ``spans`` (the registered
-query) substrings run on from block to block of a page, so menus of short items are covered too;
-without, each block is a stream of its own, and a block of less than RUN tokens always stays.
+query) substrings run on from block to block of a page, so menus of short items are covered too: a
+block that they cover wholly goes, of any other block only what substrings inside it cover (what
+reaches into it from a neighbour may be chance), and its unique runs stay. Without, each block is a
+stream of its own, and a block of less than RUN tokens always stays.
 
 A host may hold a third of all pages, so a large one is cut into groups by a hash, each with a suffix
 array of its own. Every group also gives each distinct run of RUN tokens once, as a hash; those that
 two groups have are counted per host and handed back to the groups. So the result is that of one
-array over the whole host, whatever the groups are. Copies of one page are dealt with once.
+array over the whole host, whatever the groups are. Pages of a host with the same blocks are one page,
+whatever their urls, and are dealt with once.
 """
 
 from __future__ import annotations
@@ -180,10 +183,12 @@ class Runs:
             out = out * np.uint64(0x9E3779B97F4A7C15) + words[self.first[self.whole] + j]
         return out.view(np.int64)
 
-    def covered(self) -> np.ndarray:
-        """True for tokens in a run of a shared family."""
+    def covered(self, block: np.ndarray | None = None) -> np.ndarray:
+        """True for tokens in a run of a shared family; given each token's block, in one within a block."""
         hit = np.zeros(self.n + 1, np.int64)
         starts = self.order[self.shared[self.family]]
+        if block is not None:
+            starts = starts[block[starts] == block[np.minimum(starts + self.run, self.n) - 1]]
         hit[starts] += 1
         hit[np.minimum(starts + self.run, self.n)] -= 1
         return np.cumsum(hit[:-1]) > 0
@@ -211,37 +216,37 @@ def concatenated(pages: list[list[str]], spans: bool = False) -> tuple[np.ndarra
     return of, known[np.maximum(of + 1, 0)], np.array(page, np.int64), places
 
 
-ROWS = "row long, page_id long, url string, host string, main boolean, blocks array<string>"
+ROWS = "page_id long, url string, host string, main boolean, blocks array<string>"
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spans: bool = False) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, one \\n between.
 
     A null html is empty and gives an empty text. Repeated rows give a row each and count as one page
-    (a page is told by url and html, so copies under one url do not make its text boilerplate). A
-    null url is a host of its own. An empty table gives no rows; extra columns are ignored. spans: runs
-    may span the blocks of a page.
+    (a host's page is told by its blocks, so copies under any urls do not make its text boilerplate).
+    A null url is a host of its own. An empty table gives no rows; extra columns are ignored. spans:
+    runs may span the blocks of a page, and the unique runs of a block stay.
     """
     spark = pages.sparkSession
     ts.small_batches(spark)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = rows.select(F.xxhash64("url", "html").alias("row"), "page_id", "url", host.alias("host"), "html")
+    rows = rows.select("page_id", "url", host.alias("host"), "html")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             main, out = [], []
-            for x in batch.column(4).to_pylist():
+            for x in batch.column(3).to_pylist():
                 found = blocks(x)
                 article = [t for inside, t in found if inside]
                 main.append(bool(article))
                 out.append(article or [t for _, t in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(main, pa.bool_()), pa.array(out, pa.list_(pa.string()))], names=["row", "page_id", "url", "host", "main", "blocks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(main, pa.bool_()), pa.array(out, pa.list_(pa.string()))], names=["page_id", "url", "host", "main", "blocks"])
 
     parsed = stage(rows.mapInArrow(cut, ROWS), "blocks")
     text = F.array_join("blocks", "\n")
     sure = parsed.where("main").select("page_id", "url", text.alias("text"))
-    open_ = parsed.where("NOT main AND size(blocks) > 0")
+    open_ = parsed.where("NOT main AND size(blocks) > 0").withColumn("row", F.xxhash64("blocks"))
     empty = parsed.where("NOT main AND size(blocks) = 0").select("page_id", "url", F.lit("").alias("text"))
     kept = unique_runs(open_.groupBy("host", "row").agg(F.first("blocks").alias("blocks")), spans)
     rest = open_.select("host", "row", "page_id", "url").join(kept, ["host", "row"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
@@ -249,7 +254,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def unique_runs(pages: DataFrame, spans: bool = False) -> DataFrame:
-    """(host, row, text) of distinct pages (host, row, blocks): blocks that the host's repeated runs don't cover."""
+    """(host, row, text) of distinct pages (host, row, blocks): what the host's repeated runs don't cover."""
     pages = stage(pages, "host-pages")
     chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
     sizes = pages.groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum(chars) / GROUP_CHARS)).alias("groups"))
@@ -280,13 +285,25 @@ def unique_runs(pages: DataFrame, spans: bool = False) -> DataFrame:
             runs = Runs(tokens, page)
             runs.shared[np.flatnonzero(runs.whole)[np.isin(runs.hashes(words), known)]] = True
             hit = np.concatenate(([0], np.cumsum(runs.covered())))
-            text = ["\n".join(b for b, (s, t) in zip(found, m, strict=True) if hit[t] - hit[s] <= COVERED * (t - s)) for found, m in zip(pages, places, strict=True)]
+            if spans:
+                block = np.full(len(tokens), -1)
+                for i, (s, t) in enumerate(x for m in places for x in m):
+                    block[s:t] = i
+                gone = runs.covered(block)
+                text = ["\n".join(_left(b, gone[s:t]) for b, (s, t) in zip(found, m, strict=True) if hit[t] - hit[s] < t - s) for found, m in zip(pages, places, strict=True)]
+            else:
+                text = ["\n".join(b for b, (s, t) in zip(found, m, strict=True) if hit[t] - hit[s] <= COVERED * (t - s)) for found, m in zip(pages, places, strict=True)]
             yield pa.RecordBatch.from_arrays([mine.column("host").combine_chunks(), mine.column("row").combine_chunks(), pa.array(text, pa.string())], names=["host", "row", "text"])
 
     dealt = stream.drop("groups").unionByName(back).repartition("host", "group").sortWithinPartitions(*order)
     return dealt.mapInArrow(keep, "host string, row long, text string")
 
 
+def _left(block: str, gone: np.ndarray) -> str:
+    """The words of a block that are not gone."""
+    return " ".join(w for w, g in zip(block.split(" "), gone.tolist(), strict=True) if not g) if gone.any() else block
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each (host, group), of batches sorted by them."""
     key, kept = None, []

@@ -583,6 +583,45 @@ def test_menus_of_short_items_go(spark, monkeypatch, tmp_path):
         assert got == dict(enumerate(own)) | {9: "Home\nNews\nOur team\nSport\nContact us\nRead more"}
 
 
+def test_copies_under_two_urls_and_quoting_blocks_keep_their_words(spark, tmp_path):
+    quote, text = "these are ten words that two pages of it quote", "a whole text that stands under two addresses of the host"
+    rows = [(1, "http://h/1", plain_page(text)), (2, "http://h/1?page=2", plain_page(text)), (3, "http://h/3", plain_page(f"first says {quote}")), (4, "http://h/4", plain_page(f"{quote} so it goes on"))]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.text for r in queries.op9_html_extract(spark, str(tmp_path)).collect()}
+    assert got == {1: text, 2: text, 3: "first says", 4: "so it goes on"}
+
+
+def test_spanning_runs_match_brute_force(spark, monkeypatch):
+    rng, n = random.Random(6), html_extract.RUN
+    rows = []
+    for i in range(24):
+        found = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
+        rows.append((i, f"http://h{i % 2}/{i}", plain_page(*found)))
+    rows += [(100 + i, f"http://h1/copy{i}", rows[3][2]) for i in range(5)]
+    streams = {i: [(k, w) for k, (_, b) in enumerate(html_extract.blocks(page)) for w in b.split()] for i, _, page in rows}
+    where = {}
+    for i, url, page in rows:
+        for j in range(len(streams[i]) - n + 1):
+            where.setdefault((url[:9], *[w for _, w in streams[i][j : j + n]]), set()).add(page)
+    want = Counter()
+    for i, url, _ in rows:
+        s, hit, inside = streams[i], set(), set()
+        for j in range(len(s) - n + 1):
+            if len(where[(url[:9], *[w for _, w in s[j : j + n]])]) > 1:
+                hit.update(range(j, j + n))
+                inside.update(range(j, j + n) if s[j][0] == s[j + n - 1][0] else ())
+        kept = []
+        for k in sorted({k for k, _ in s}):
+            at = [j for j, (x, _) in enumerate(s) if x == k]
+            kept += [] if hit.issuperset(at) else [" ".join(s[j][1] for j in at if j not in inside)]
+        want[i, "\n".join(kept)] += 1
+    for group, chars in ((500, 1 << 20), (2, 1 << 20), (500, 30)):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        monkeypatch.setattr(html_extract, "GROUP_CHARS", chars)
+        got = html_extract.extract(spark.createDataFrame(rows, PAGES), spans=True)
+        assert Counter((r.page_id, r.text) for r in got.collect()) == want
+
+
 # ---------------------------------------------------------------- 10 decontamination
 
 
