@@ -1,12 +1,13 @@
 """A corpus pipeline of five operators: quality rules, line dedup, near-copies, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
-DataFrame, written as Parquet and read again as the next stage's ``docs``.
+DataFrame, written as Parquet and read again as the next stage's ``docs``. Verdicts are on rows, not
+on ids: rows with a null id, an id that other texts have, or copies of a row are rows like others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
@@ -17,22 +18,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' label model keeps."""
-    judged = quality_rules.quality(docs, columns=["doc_id"]).where("kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows that the rules' label model keeps (a null text has no words and goes)."""
+    return quality_rules.quality(docs, columns=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated three-line windows; emptied ones go."""
+    """Documents without later copies of repeated three-line windows; emptied ones go, null texts stay."""
     cut = line_dedup.dedup_lines(docs)
-    cut = cut.where("n_removed = 0 OR text <> ''")
+    cut = cut.where("text IS NULL OR n_removed = 0 OR text <> ''")
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy component: that with the smallest id."""
-    kept = jaccard_join.jaccard_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each near-copy component: of those with the smallest id (null last) any one.
+
+    A text without words is a component of its own in every row, so each such row stays.
+    """
+    tagged = docs.withColumn("_tag", F.xxhash64(*COLUMNS))
+    found = jaccard_join.jaccard_components(tagged, id_col="_tag").dropDuplicates(["doc_id"]).join(tagged.select(F.col("_tag").alias("doc_id"), F.col("doc_id").alias("_id")).dropDuplicates(["doc_id"]), "doc_id")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("doc_id").alias("_tag"), "n_shingles"))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select("first._tag", "first.n_shingles")
+    # Equal rows share a tag; one of them stays.
+    nth = F.row_number().over(Window.partitionBy("_tag").orderBy("_tag"))
+    return tagged.join(kept, "_tag").withColumn("_nth", nth).where("n_shingles = 0 OR _nth = 1").select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,44 @@ def test_packing_stage_and_run(kept, spark, sf_dir):
         by_doc[r.doc_id, r.doc_tokens] += r.length
     assert all(n == tokens for (_, tokens), n in by_doc.items())
     assert sorted(pipeline.run(spark, sf_dir).collect()) == sorted(pieces)
+
+
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def kept_by(step, spark, pairs, sf_dir):
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in pairs], ROW)
+    return Counter(rows(step(spark, docs, sf_dir)))
+
+
+def test_quality_judges_rows_not_ids(kept, spark, sf_dir):
+    pairs = rows(kept[0])
+    good = rows(kept[1])[0]
+    odd = [(None, good[1]), (None, good[1]), good, (good[0], "too short"), (good[0], None)]
+    assert kept_by(pipeline.quality, spark, pairs + odd, sf_dir) == Counter(rows(kept[1])) + Counter(odd[:3])
+
+
+def test_lines_keep_null_texts_and_odd_ids(spark, sf_dir):
+    pairs = [(1, None), (None, None), (None, "a\nb\nc"), (2, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, ""), (4, "x"), (4, "x"), (4, "y")]
+    want = Counter(pairs) - Counter([(2, "a\nb\nc"), (2, "a\nb\nc\nd")]) + Counter([(2, "d")])
+    assert kept_by(pipeline.lines, spark, pairs, sf_dir) == want
+
+
+def test_near_copies_keep_one_row_a_component(spark, sf_dir):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    pairs = [(5, text("a")), (5, text("a")), (6, text("a")), (None, text("a")), (5, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (7, None), (7, None), (None, ""), (8, text("e")), (8, text("e") + " end")]
+    got = kept_by(pipeline.near_copies, spark, pairs, sf_dir)
+    last = [k for k in got if k[0] == 8]
+    assert len(last) == 1
+    assert got == Counter([(5, text("a")), (5, text("b")), (None, text("c")), (None, text("d")), (7, None), (7, None), (None, ""), last[0]])
+
+
+def test_benchmark_stage_judges_rows_not_ids(kept, spark, sf_dir):
+    hit = next(r for r in rows(kept[3]) if r not in set(rows(kept[4])))
+    pairs = [hit, (None, hit[1]), (None, "a clean text"), (None, "a clean text"), (hit[0], "a clean text"), (1, None)]
+    assert kept_by(pipeline.clean_of_benchmarks, spark, pairs, sf_dir) == Counter(pairs[2:])
+
+
+def test_packing_keeps_odd_rows(spark, sf_dir):
+    docs = spark.createDataFrame([(None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (1, None, "en", "s", 0), (1, "c", "en", "s", 1)], ROW)
+    assert Counter(r.doc_id for r in pipeline.packed(spark, docs, sf_dir).collect()) == {None: 2, 1: 2}
