@@ -166,13 +166,15 @@ def at_edges(m: DataFrame, edges: DataFrame) -> DataFrame:
     """Every row of ``m`` with every distinct edge (f1, f2).
 
     Up to LITERAL_EDGES edges are exploded from one array inside the scan; more become a table
-    that the planner joins with each row's own features (a row has as many as its array is long).
+    that the planner joins with each row's copies, one for every f1 that an edge has. Neither looks
+    at the row's array, so short and null ones meet every edge.
     """
     found = edges.select("f1", "f2").distinct().limit(LITERAL_EDGES + 1).collect()
     if len(found) <= LITERAL_EDGES:
         pairs = F.array(*[F.struct(F.lit(r[0]).alias("f1"), F.lit(r[1]).alias("f2")) for r in found]) if found else F.array().cast("array<struct<f1:int,f2:int>>")
         return m.select("*", F.inline(pairs))
-    return m.select("*", F.posexplode("g").alias("f1", "_v")).drop("_v").join(edges.select("f1", "f2").distinct(), "f1")
+    firsts = edges.agg(F.collect_set("f1").alias("_f1s"))  # at most as many as there are features
+    return m.crossJoin(F.broadcast(firsts)).select(*m.columns, F.explode("_f1s").alias("f1")).join(edges.select("f1", "f2").distinct(), "f1")
 
 
 def cell_signs(train: DataFrame, edges: DataFrame) -> DataFrame:

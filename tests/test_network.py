@@ -310,3 +310,17 @@ def test_streamed_cells_add_up(spark, rows, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("cells").collect()} == {tuple(r) for r in pairs.pair_cells(m, 4).collect()}
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_short_and_null_arrays_meet_every_edge(spark, monkeypatch, most):
+    monkeypatch.setattr(pairs, "LITERAL_EDGES", most)
+    m = spark.createDataFrame([(1, 1, [0, 1, 2]), (2, 0, [0]), (3, 1, None), (4, 0, [])], "sid long, label int, g array<int>")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 0)], "f1 int, f2 int")
+    met = [(r.sid, r.f1, r.f2) for r in pairs.at_edges(m, edges).collect()]
+    assert sorted(met) == [(s, *e) for s in (1, 2, 3, 4) for e in ((0, 1), (1, 2), (2, 0))]
+    none = spark.createDataFrame([], "f1 int, f2 int, v1 int, v2 int, sign int")
+    dd = {r.sid: r.dd for r in pairs.delta_degrees(m, edges, none, 3).collect()}
+    assert dd == dict.fromkeys((1, 2, 3, 4), [3, 2, 3])
+    signs = pairs.cell_signs(m, edges).collect()
+    assert sum((r.f1, r.f2, r.v1, r.v2) == (0, 1, 0, None) for r in signs) == 1 and len(signs) == 8
