@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
-from genoloom.scratch import stage
+from genoloom.scratch import drop, release, stage
 
 #: Triples are enumerated with one of so many most frequent lengths; combinations may waste SLACK ids.
 COMMON, SLACK, GROUP = 48, 8, 20_000
+#: Bytes of an id in binary columns, and their numpy type.
+ID_BYTES, ID_TYPE = 2, "<u2"
 #: Texts up to this code point are encoded by the rank file of the same vocabulary (see Encoder).
 PLAIN = "ɏ"
 
@@ -63,7 +65,10 @@ PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, ranks: str | None, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """PIECES rows (and ids array<int> if asked): each document's ids and end_id, cut at windows."""
+    """PIECES rows (and ids binary if asked): each document's ids and end_id, cut at windows.
+
+    ids are unsigned little-endian numbers of ID_BYTES each, which take half of what integers take.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -81,12 +86,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, ranks: str | None, window: in
                             column.append(x)
                 columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())]
                 if with_ids:
-                    columns.append(pa.array([x.astype(np.int32) for x in out[5]], pa.list_(pa.int32())))
+                    if any(len(x) and x.max() >= 1 << 8 * ID_BYTES for x in out[5]):
+                        raise ValueError("an id does not fit ID_BYTES")
+                    columns.append(pa.array([x.astype(ID_TYPE).tobytes() for x in out[5]], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     ts.small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -228,12 +235,52 @@ def assign(pieces: DataFrame, window: int = 2048) -> DataFrame:
     return rows.select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, doc_tokens, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, doc_tokens, start, length, ids_crc32, (ids if asked,) sequence_id, offset.
 
     A null or empty text is its end id alone. Pieces of a sequence lie side by side from offset 0 and
     fill at most ``window`` ids; each id of a document lies in one piece. Null ids and repeated rows
     are packed like others; an empty table gives no rows; extra columns are ignored.
     """
-    pieces = stage(token_pieces(docs, vocabulary, ranks, window, id_col=id_col, text_col=text_col), "pieces")
-    return assign(pieces, window)
+    pieces = stage(token_pieces(docs, vocabulary, ranks, window, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces")
+    out = assign(pieces, window)
+    if with_ids:  # the shuffles of assign() carry ids; they end here
+        out = stage(out, "assigned")
+        drop(pieces)
+        release(docs.sparkSession)
+    return out
+
+
+def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
+    """(sequence_id, ids binary of ``window`` ids, pieces): the packed sequences, padded at the end.
+
+    ``packed`` comes from pack() with ids. pieces are structs of offset, length, doc_id, doc_tokens and
+    start in order of offset; what lies behind the last one is padding.
+    """
+    piece = F.struct("offset", F.col("length").cast("long").alias("length"), "doc_id", "doc_tokens", "start", "ids")
+    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(piece), lambda a, b: (a["offset"] - b["offset"]).cast("int")).alias("_p"))
+    ids = F.aggregate("_p", F.lit(b""), lambda x, p: F.concat(x, p["ids"]))
+    padding = F.lit(pad_id.to_bytes(ID_BYTES, "little") * window)
+    padded = F.concat(ids, F.substring(padding, F.lit(1), F.lit(window * ID_BYTES) - F.octet_length(ids)))
+    return rows.select("sequence_id", padded.alias("ids"), F.transform("_p", lambda p: p.dropFields("ids")).alias("pieces"))
+
+
+DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """DIGESTS of each piece, from the ids that ``sequences`` gave."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], [], []]
+            for sequence, ids, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                flat = np.frombuffer(ids, ID_TYPE).astype("<u4")
+                for p in found:
+                    mine = flat[p["offset"] : p["offset"] + p["length"]]
+                    for column, x in zip(out, (p["doc_id"], p["start"], len(mine), zlib.crc32(mine.tobytes()), p["doc_tokens"], sequence, p["offset"]), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    ts.small_batches(packed.sparkSession)
+    return packed.mapInArrow(scan, DIGESTS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, reshard, warc
-from genoloom.scratch import new_path
+from genoloom.scratch import new_path, stage
 
 #: Public vocabulary files; the first is the one that counts, the second the same as ranks.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -121,8 +121,8 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY), vocabulary(RANKS))
-    return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY), vocabulary(RANKS), with_ids=True)
+    return packing.digests(stage(packing.sequences(packed), "sequences"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,6 +398,27 @@ def test_packing_without_rows(spark):
     assert packing.pack(frames(spark)[2], queries.vocabulary(queries.VOCABULARY)).count() == 0
 
 
+def test_sequences_hold_the_ids_and_their_padding(spark, documents):
+    names = [queries.vocabulary(queries.VOCABULARY), queries.vocabulary(queries.RANKS)]
+    rows = [(1, None, "en"), (None, "a b", "en"), (2, "x y", "en"), (2, "x y", "en"), *documents[:60]]
+    packed = packing.pack(spark.createDataFrame(rows, DOCS), *names, with_ids=True)
+    found = packing.sequences(packed)
+    encoder, want, got = packing.Encoder(*names), Counter(), Counter()
+    for d, t, _ in rows:
+        ids = [*encoder.encode(t or ""), 1]
+        want.update((d, at, tuple(ids[at : at + 2048])) for at in range(0, len(ids), 2048))
+    for r in found.collect():
+        end = 0
+        for p in r.pieces:
+            assert p.offset == end
+            end += p.length
+            got[p.doc_id, p.start, tuple(np.frombuffer(r.ids, packing.ID_TYPE)[p.offset : end].tolist())] += 1
+        assert len(r.ids) == 2048 * packing.ID_BYTES and not any(r.ids[end * packing.ID_BYTES :])
+    assert got == want
+    crcs = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.digests(found).collect())
+    assert crcs == Counter({}) + sum((Counter({(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())): n}) for (d, s, i), n in want.items()), Counter())
+
+
 # ---------------------------------------------------------------- 7 WARC
 
 
