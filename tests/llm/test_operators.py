@@ -528,21 +528,38 @@ def test_structure():
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=1, max_size=5))
-def test_suffix_array_covers_repeats(streams):
-    tokens, page = [], []
-    for k, s in enumerate(streams):
-        page += [k] * (len(s) + 1)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=1, max_size=5), st.integers(1, 6), st.integers(1, 3))
+def test_suffix_array_sorts_and_groups(streams, depth, least):
+    tokens = []
+    for s in streams:
         tokens += [*s, -1 - len(tokens)]
-    tokens, page = np.array(tokens), np.array(page)
-    order = html_extract.suffix_array(tokens)
-    assert order.tolist() == sorted(range(len(tokens)), key=lambda i: tokens[i:].tolist())
-    want = np.zeros(len(tokens), bool)
-    for i in range(len(tokens) - 2):
-        w = tokens[i : i + 3].tolist()
-        if min(w) >= 0 and any(tokens[j : j + 3].tolist() == w and page[j] != page[i] for j in range(len(tokens) - 2)):
-            want[i : i + 3] = True
-    assert html_extract.Runs(tokens, page, 3).covered().tolist() == want.tolist()
+    tokens = np.array(tokens)
+    starts, family = html_extract.suffix_array(tokens, depth, least)
+    fits = [i for i in range(len(tokens)) if i + depth <= len(tokens) and min(tokens[i : i + depth]) >= 0]
+    count = Counter(tuple(tokens[i : i + depth].tolist()) for i in fits)
+    keys = [tuple(tokens[i : i + depth].tolist()) for i in starts]
+    assert sorted(starts.tolist()) == [i for i in fits if count[tuple(tokens[i : i + depth].tolist())] >= least]
+    assert keys == sorted(keys)
+    assert family.tolist() == [sorted(set(keys)).index(k) for k in keys]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", min_size=1, max_size=30), min_size=1, max_size=6), st.integers(1, 3))
+def test_runs_count_pages(texts, least):
+    texts = [" ".join(t.split()) for t in texts]
+    words = ts.Words(pa.array(texts), lower=False)
+    runs = html_extract.Runs(words, least)
+    where = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - html_extract.RUN + 1):
+            where.setdefault(tuple(w[j : j + html_extract.RUN]), set()).add((k, j))
+    flat = [w for t in texts for w in t.split()]
+    got = {}
+    for at, f in zip(runs.starts.tolist(), runs.family.tolist(), strict=True):
+        got.setdefault(f, set()).add(at)
+    want = {tuple(sorted(int(words.first[k]) + j for k, j in v)): len({k for k, _ in v}) for v in where.values() if len({k for k, _ in v}) >= least}
+    assert {tuple(sorted(v)): int(runs.pages[f]) for f, v in got.items()} == want and len(flat) == len(words.hash)
 
 
 def test_repeated_blocks_of_a_host_go(spark, monkeypatch):
@@ -557,35 +574,6 @@ def test_repeated_blocks_of_a_host_go(spark, monkeypatch):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_groups_of_a_host_change_nothing(spark, monkeypatch):
-    rng = random.Random(5)
-    rows = []
-    for i in range(24):
-        blocks = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
-        rows.append((i, f"http://h{i % 2}/{i}", "".join(f"<div>{b}</div>" for b in blocks)))
-    rows += [(100 + i, rows[3][1], rows[3][2]) for i in range(5)]  # copies of a page are one page
-    where = {}
-    for i, url, page in rows[:24]:
-        for _, b in html_extract.blocks(page):
-            w = b.split()
-            for j in range(len(w) - html_extract.RUN + 1):
-                where.setdefault((url[:9], *w[j : j + html_extract.RUN]), set()).add(i)
-    want = Counter()
-    for i, url, page in rows:
-        kept = []
-        for _, b in html_extract.blocks(page):
-            w, hit = b.split(), set()
-            for j in range(len(w) - html_extract.RUN + 1):
-                if len(where[(url[:9], *w[j : j + html_extract.RUN])]) > 1:
-                    hit.update(range(j, j + html_extract.RUN))
-            kept += [b] if len(hit) <= html_extract.COVERED * len(w) else []
-        want[i, "\n".join(kept)] += 1
-    for group, chars in ((500, 1 << 20), (2, 1 << 20), (500, 30)):
-        monkeypatch.setattr(html_extract, "GROUP", group)
-        monkeypatch.setattr(html_extract, "GROUP_CHARS", chars)
-        assert Counter((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == want
-
-
 PAGES = "page_id long, url string, html string"
 
 
@@ -612,35 +600,114 @@ def test_copies_under_two_urls_and_quoting_blocks_keep_their_words(spark, tmp_pa
     assert got == {1: text, 2: text, 3: "first says", 4: "so it goes on"}
 
 
-def test_spanning_runs_match_brute_force(spark, monkeypatch):
-    rng, n = random.Random(6), html_extract.RUN
-    rows = []
-    for i in range(24):
-        found = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
-        rows.append((i, f"http://h{i % 2}/{i}", plain_page(*found)))
-    rows += [(100 + i, f"http://h1/copy{i}", rows[3][2]) for i in range(5)]
-    streams = {i: [(k, w) for k, (_, b) in enumerate(html_extract.blocks(page)) for w in b.split()] for i, _, page in rows}
-    where = {}
+def left_of_pages(rows):
+    """page_id -> text, by the rules of html_extract on sets of runs, without arrays or groups."""
+    n, parsed, hosts = html_extract.RUN, [], {}
     for i, url, page in rows:
-        for j in range(len(streams[i]) - n + 1):
-            where.setdefault((url[:9], *[w for _, w in streams[i][j : j + n]]), set()).add(page)
+        found = html_extract.blocks(page or "")
+        marked = any(x for x, _ in found)
+        text = "\n".join(t for x, t in found if x or not marked)
+        host = re.sub(r"^\w+://([^/]*).*", r"\1", url or "")
+        parsed.append((i, host, marked, text))
+        if text:
+            hosts.setdefault(host, set()).add((marked, text))
+    where = {}
+    for host, pages in hosts.items():
+        for page in pages:
+            w = page[1].split()
+            for j in range(len(w) - n + 1):
+                where.setdefault((host, *w[j : j + n]), set()).add(page)
     want = Counter()
-    for i, url, _ in rows:
-        s, hit, inside = streams[i], set(), set()
-        for j in range(len(s) - n + 1):
-            if len(where[(url[:9], *[w for _, w in s[j : j + n]])]) > 1:
-                hit.update(range(j, j + n))
-                inside.update(range(j, j + n) if s[j][0] == s[j + n - 1][0] else ())
+    for i, host, marked, text in parsed:
+        w = [(k, x) for k, line in enumerate(text.split("\n")) for x in line.split()]
+        hits = {}
+        for rule in (html_extract.LOOSE, html_extract.STRICT):
+            hit, inside = set(), set()
+            for j in range(len(w) - n + 1):
+                if len(where[(host, *[x for _, x in w[j : j + n]])]) >= max(rule[0], rule[1] * len(hosts[host])):
+                    hit.update(range(j, j + n))
+                    inside.update(range(j, j + n) if w[j][0] == w[j + n - 1][0] else ())
+            hits[rule] = hit, inside
+        copy = len(w) >= html_extract.COPY_TOKENS and len(hits[html_extract.LOOSE][0]) >= html_extract.COPY * len(w)
+        hit, inside = hits[html_extract.STRICT if marked or copy else html_extract.LOOSE]
+        if marked and len(hit) > html_extract.ARTICLE_COPY * len(w):
+            hit, inside = set(), set()
         kept = []
-        for k in sorted({k for k, _ in s}):
-            at = [j for j, (x, _) in enumerate(s) if x == k]
-            kept += [] if hit.issuperset(at) else [" ".join(s[j][1] for j in at if j not in inside)]
+        for k in range(text.count("\n") + 1):
+            at = [j for j, (x, _) in enumerate(w) if x == k]
+            kept += [] if hit.issuperset(at) else [" ".join(w[j][1] for j in at if j not in inside)]
         want[i, "\n".join(kept)] += 1
-    for group, chars in ((500, 1 << 20), (2, 1 << 20), (500, 30)):
-        monkeypatch.setattr(html_extract, "GROUP", group)
-        monkeypatch.setattr(html_extract, "GROUP_CHARS", chars)
-        got = html_extract.extract(spark.createDataFrame(rows, PAGES), spans=True)
-        assert Counter((r.page_id, r.text) for r in got.collect()) == want
+    return want
+
+
+def random_pages(seed, n):
+    """Pages of two hosts: random words, shared sentences, marked articles or none, copies, odd rows."""
+    rng = random.Random(seed)
+    shared = [" ".join(f"s{k}w{j}" for j in range(rng.randint(5, 14))) for k in range(5)]
+    rows = []
+    for i in range(n):
+        own = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 5))]
+        for k, x in enumerate(shared):
+            if rng.random() < (0.8, 0.55, 0.4, 0.1, 0.05)[k]:
+                own.insert(rng.randint(0, len(own)), x if rng.random() < 0.7 else f"{own[0]} {x} {own[-1]}")
+        page = plain_page(*own)
+        rows.append((i, f"http://h{i % 2}/{i}", f"<article>{page}</article>" if i % 4 < 3 and i % 2 else page))
+    rows += [(1000 + i, f"http://h1/copy{i}", rows[3][2]) for i in range(5)]
+    long = " ".join(f"t{j}" for j in range(90))
+    rows += [(2000 + i, f"http://h{j}/near{i}", f"{'<article>' if j == 3 else ''}<p>{long} edit{i}</p>") for j in (2, 3) for i in range(6)]
+    return rows + [(3000, None, None), (3001, "", ""), (None, "odd", "<p>one"), (None, "http://h0/", "<p>" + shared[0])]
+
+
+def test_unique_runs_match_brute_force(spark, monkeypatch):
+    for seed, n in ((1, 24), (2, 90)):
+        rows = random_pages(seed, n)
+        want = left_of_pages(rows)
+        for group, chars in ((500, 8 << 20), (7, 8 << 20), (500, 900)):
+            monkeypatch.setattr(html_extract, "GROUP", group)
+            monkeypatch.setattr(html_extract, "GROUP_CHARS", chars)
+            got = html_extract.extract(spark.createDataFrame(rows, PAGES).withColumns({"text": F.lit(1), "page": F.lit(2), "gram": F.lit(3), "new_text": F.lit(4), "host": F.lit(5)}))
+            assert Counter((r.page_id, r.text) for r in got.collect()) == want
+
+
+def test_changes_without_a_broadcast_are_the_same(spark, monkeypatch):
+    rows = random_pages(3, 30)
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(html_extract, "GROUP", 5)
+    assert Counter((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()) == left_of_pages(rows)
+
+
+def test_every_page_goes_through_the_array(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    scanned = spark.sparkContext.accumulator(0)
+    html_extract.extract(pages, scanned=scanned).collect()
+    texts = {(re.sub(r"^\w+://([^/]*).*", r"\1", r.url or "").lower(), tuple(html_extract.blocks(r.html or ""))) for r in pages.collect()}
+    assert scanned.value == len({x for x in texts if x[1]})
+
+
+def test_boilerplate_inside_articles_goes(spark):
+    """A call to subscribe in every article of a host goes; what two articles quote, and copies, stay."""
+    call, quote = "subscribe now and never miss a story of ours", "these are ten words that two articles of it quote"
+    own = [f"<p>article {i} tells of number {i * 7} and has words {i}a {i}b {i}c of its own</p>" + (f"<p>{quote}</p>" if i < 2 else "") for i in range(6)]
+    rows = [(i, f"http://h/{i}", f"<main>{own[i]}<div>{call}</div></main>") for i in range(6)]
+    rows += [(10 + i, f"http://copies/{i}", f"<main>{own[0]} <p>version {i}</p></main>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    lines = lambda x: "\n".join(re.findall(r"<p>(.*?)</p>", x))
+    assert got == {i: lines(own[i]) for i in range(6)} | {10 + i: f"{lines(own[0])}\nversion {i}" for i in range(5)}
+
+
+def test_markup_of_the_contract():
+    text = lambda page: [t for _, t in html_extract.blocks(page)]
+    inside = lambda page: [t for x, t in html_extract.blocks(page) if x]
+    assert inside("<article>own</article><article class='comment'>reader</article><article class='related'>r</article><article class=ad>a</article>") == ["own"]
+    assert inside("<article><p>own</p><article class='user-comment'>reader</article></article>") == ["own"]
+    assert text('<p title="x>Hello</p><p class="y">there</p>') == ["Hello", "there"]
+    assert text('<p title="a > b">one</p><p title="<b>">two</p><p don\'t>three</p>') == ["one", "two", "three"]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["if x=2 holds"]
+    assert text("<section class='related work'>earlier studies</section><div id='share-price'>12 points</div>") == ["earlier studies", "12 points"]
+    assert text("<div class=adslot>a</div><div id=comments2>c</div><div class='site-notice'>n</div><div class='related-posts'>r</div><div id=site-header>h</div><ul class='share-buttons'><li>s</ul>ok") == ["ok"]
+    assert inside("<h1>Title</h1><p>teaser</p><article><p>body</p></article>") == ["Title", "body"]
+    assert inside("<h1>Site</h1><article><h1>Title</h1><p>body</p></article>") == ["Title", "body"]
+    assert text("<div class='content has-sidebar'>article</div>") == ["article"]
 
 
 # ---------------------------------------------------------------- 10 decontamination
