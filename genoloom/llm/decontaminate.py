@@ -129,7 +129,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     without items nothing is hit. Columns of ``docs`` of these three names are replaced.
     """
     spark = docs.sparkSession
-    ts.small_batches(spark)
     keep = [c for c in docs.columns if c.lower() not in ("dc_words", "dc_runs", "dc_items")]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias("dc_words"), F.array().cast("array<long>").alias("dc_runs"), F.array().cast("array<string>").alias("dc_items"))
     plain = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -179,7 +179,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     langs, net = train(sample(rows.where("NOT held_out")))
-    ts.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net.p if net else None)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,6 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` (all columns but clashing ones) with COUNTS; a null text counts as empty."""
-    ts.small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() not in COUNTS]
     shape = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.lit(0).cast("long").alias(c) for c in COUNTS])
 

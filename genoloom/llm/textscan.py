@@ -35,13 +35,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have
 
 
-def small_batches(spark, most: int = 1000) -> None:
-    """Bound the rows of the Arrow batches that Python workers get (long texts make rows large)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > most:
-        spark.conf.set(key, str(most))
-
-
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Slices of a batch whose texts hold about ``most_bytes`` each (a longer text stands alone)."""
     sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)

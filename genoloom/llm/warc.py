@@ -154,7 +154,6 @@ def write_bundles(pages: DataFrame, path: str, **columns: str) -> DataFrame:
     Repeated rows get a record each. Without rows no bundle is written.
     """
     rows = with_revisits(pages, **columns)
-    ts.small_batches(rows.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
