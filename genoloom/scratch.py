@@ -1,15 +1,14 @@
 """Tables that cut a plan's lineage: written to the folder all executors share, then read again.
 
-The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset (tests, a
-notebook) a temporary folder of this machine is used. The folders this process made are deleted
-when it ends; ``drop`` deletes one early.
+The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset and Spark runs on
+this machine alone (tests, a notebook) a temporary folder is used; a cluster without one is refused.
+The folders this process made are deleted when it ends; ``drop`` deletes one early.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -23,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a slash at its end."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="genoloom-")
@@ -38,11 +40,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Queries in here delete their shuffle files when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again (its lineage ends there)."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with _shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._genoloom_path = path
     return out
 
@@ -55,12 +71,6 @@ def drop(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's garbage go, and with it shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
