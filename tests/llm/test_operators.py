@@ -733,19 +733,38 @@ def contaminated(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [16 << 20, 60])
+@pytest.mark.parametrize("block", [16 << 20, 600])
 def test_contamination_matches_brute_force(spark, sf_dir, documents, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", block)
     items = [(1, "shared line one shared line two shared line three own line 1"), (2, "Two"), (3, None), (None, "own LINE"), (5, "..."), (5, "null id has words"), (6, "w1 w2 w3 x x x x x x x x x x x x")]
-    if block > 60:
+    if block > 600:
         items += [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    rows = odd_documents() + documents[: 200 if block > 60 else 20]
+    rows = odd_documents() + documents[: 200 if block > 600 else 20]
     df = spark.createDataFrame(rows, DOCS)
     for docs in (df, df.withColumns({k: F.lit(v) for k, v in CLASH.items()})):
         got = decontaminate.hits(decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r.item_ids)) for r in got.collect()) == contaminated(rows, items)
 
 
+def test_equal_words_cost_no_more_than_others(spark):
+    """Windows are kept by content: an item and a text of thousands of equal words meet once a place."""
+    import tracemalloc
+
+    items = [(1, "la " * 2000), (2, "la " * 1000 + "end"), (3, "la la la"), (4, "no " * 40)]
+    rows = [(1, "la " * 5000, "en"), (2, "x " + "la " * 12 + "end y", "en"), (3, "la la", "en"), (4, "la " * 3, "en")]
+    got = decontaminate.hits(decontaminate.find_contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r.item_ids)) for r in got) == contaminated(rows, items)
+    index = decontaminate.WindowIndex([str(i) for i, _ in items], [t for _, t in items], 10)
+    index.choose({s: np.ones(len(k), np.int64) for s, k in index.known().items()})
+    assert len(index.start) == 4  # ten la, nine with the end, three la, ten no
+    batch = pa.record_batch({"text": ["la " * 300_000]})
+    tracemalloc.start()
+    out = decontaminate._marked(batch, ts.Words(batch.column(0), ts.ALNUM), [vars(index)])
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert out.column("dc_runs").to_pylist() == [[0, 300_000]] and out.column("dc_items").to_pylist() == [["1", "2", "3"]]
+
+
 def test_contamination_of_nothing(spark):
     plain, _, none = frames(spark)
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
