@@ -11,6 +11,7 @@ piece goes; pieces are numbered inside salted groups of their length and look th
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -25,7 +26,9 @@ from genoloom.llm import textscan as ts
 from genoloom.scratch import drop, stage
 
 #: Triples are enumerated with one of so many most frequent lengths; combinations may waste SLACK ids.
-COMMON, SLACK, GROUP = 48, 8, 20_000
+COMMON, SLACK = 48, 8
+#: Pieces of a length that one task numbers, and groups of a length at most (then groups are larger).
+GROUP, GROUPS = 2_000, 1_000_000
 #: Bytes of an id in binary columns, and their numpy type.
 ID_BYTES, ID_TYPE = 2, "<u2"
 #: Texts up to this code point are encoded by the rank file of the same vocabulary (see Encoder).
@@ -33,11 +36,11 @@ PLAIN = "ɏ"
 
 
 class Encoder:
-    """Token ids of a byte-level BPE vocabulary, as the ``tokenizers`` library gives them.
+    """Token ids of a byte-level BPE vocabulary: those of ``tokenizers``, encode(add_special_tokens=False).
 
     Texts of Latin letters are encoded by ``tiktoken`` from the same vocabulary as ranks, which is
     three times as fast and gives the same ids there (tested); any other text goes to ``tokenizers``,
-    whose Unicode tables decide. Strings of special tokens in a text are ordinary text.
+    whose Unicode tables decide, and so does a text with a string of an added token, which has its id.
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None):
@@ -48,7 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(vocabulary)
-        self.full.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.fast = None
         if ranks:
             with open(ranks, "rb") as lines:
@@ -56,7 +60,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is not None and (text.isascii() or max(text) <= PLAIN):
+        if self.fast is not None and (text.isascii() or max(text) <= PLAIN) and not self.added.search(text):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 
@@ -211,13 +215,13 @@ def places(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[in
 def assign(pieces: DataFrame, window: int = 2048) -> DataFrame:
     """``pieces`` (a table with length int and columns that order them) with sequence_id, offset long.
 
-    Pieces of one length may be most of all rows, so they are numbered in groups of about GROUP by a
-    hash, each after the groups before it. Equal rows take different places; which one is open.
+    Pieces of one length may be most of all rows, so they are numbered in groups by a hash, each after
+    the groups before it. Equal rows take different places; which one is open.
     """
     spark = pieces.sparkSession
     sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``window`` rows
     packed = places(plan(sizes, window))
-    where = spark.createDataFrame([(k, -(-n // GROUP), [tuple(map(int, p)) for p in packed[k]]) for k, n in sorted(sizes.items())], "length int, _groups long, _places array<struct<first: long, sequence: long, copies: long, offset: long>>")
+    where = spark.createDataFrame([(k, -(-n // max(GROUP, -(-n // GROUPS))), [tuple(map(int, p)) for p in packed[k]]) for k, n in sorted(sizes.items())], "length int, _groups long, _places array<struct<first: long, sequence: long, copies: long, offset: long>>")
     mine = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_groups"))
     rows = pieces.join(F.broadcast(where.select("length", "_groups")), "length").withColumn("_group", mine)
     per = rows.groupBy("length", "_group").count()

@@ -377,8 +377,7 @@ def test_pieces_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(queries.vocabulary(queries.VOCABULARY))
-    full.encode_special_tokens = True
-    rows = [r for r in odd_documents() if r[0] != 7] + documents[:120] + [(900, "<|endoftext|> 中文 Ωμέγα ́x 𝒳 ʼn\u00a0\u2003 don't  \n\n 12ⅷ", None)]
+    rows = odd_documents() + documents[:120] + [(900, "<|endoftext|> 中文 Ωμέγα ́x 𝒳 ʼn\u00a0\u2003 don't  \n\n 12ⅷ", None), (901, "x <|endoftext|> y", None), (902, "<|endoftext|><|endoftext", None)]
     got = packing.pack(spark.createDataFrame(rows, DOCS), queries.vocabulary(queries.VOCABULARY), queries.vocabulary(queries.RANKS)).collect()
     want = Counter()
     for d, t, _ in rows:
