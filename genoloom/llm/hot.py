@@ -1,0 +1,29 @@
+"""Joins of rows with one row a key, where a key may hold a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from genoloom.scratch import stage
+
+#: Keys of more rows are hot; so many hot keys are broadcast at most (if there were more, HOT doubles).
+HOT, BROADCAST_KEYS = 50_000, 20_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (a table) inner-joined with ``groups`` (a row a key, with n, its number of rows), less n.
+
+    Rows of hot keys meet a broadcast of these keys where they are; the others are shuffled by key.
+    Null keys meet nothing. There are at most rows / HOT hot keys, and HOT grows until they are few.
+    """
+    groups = stage(groups.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)), "groups")
+    top, hot = HOT, groups.where(F.col("n") > HOT).count()
+    while hot > BROADCAST_KEYS:
+        top *= 2
+        hot = groups.where(F.col("n") > top).count()
+    if not hot:
+        return rows.join(groups.drop("n"), keys)
+    few = F.broadcast(groups.where(F.col("n") > top).drop("n"))
+    cold = rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(groups.where(F.col("n") <= top).drop("n"), keys)
+    return rows.join(few, keys).unionByName(cold)

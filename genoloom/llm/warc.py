@@ -4,7 +4,8 @@ A bundle is a ``.warc.zst`` file. Its records are grouped into frames of about F
 compressed on its own; the last frame is a skippable one in the public seekable format: for each
 frame its compressed and its plain size, then the number of frames and a magic number. A reader
 gets any record with the footer, one seek and one frame. The index maps record identifiers to
-bundle, frame and place in the frame.
+bundle, frame and place in the frame. An identifier is ``<urn:page:ID>``, or, if the page's id is
+null or not the only one of its kind, ``<urn:page:ID:TASK-NUMBER>``, so no two records share one.
 
 Tasks write a bundle under a name of their own and rename it when whole, so a task that is lost and
 run again leaves at most an unnamed file, and only bundles that tasks report are read.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm import textscan as ts
+from genoloom.llm.hot import join_groups
 from genoloom.scratch import new_path, stage
 
 #: Plain bytes of a frame; payloads of fewer bytes are never deduplicated.
@@ -35,14 +36,20 @@ DATE = "2000-01-01T00:00:00Z"
 INDEX = "record_id string, bundle string, frame int, offset int, length int"
 
 
-def record(page: int | None, url: str | None, payload: bytes, size: int, digest: str, refers: int | None) -> bytes:
+def urn(page: int | None, nth: str = "") -> str:
+    """The identifier of a page's record; nth tells records of one page id apart."""
+    return f"<urn:page:{'null' if page is None else page}{':' * bool(nth)}{nth}>"
+
+
+def record(page: int | None, url: str | None, payload: bytes, size: int, digest: str, refers: int | None, nth: str = "") -> bytes:
     """A WARC/1.1 response, or (refers given) a revisit, whose HTTP header keeps the full length."""
+    name = urn(page, nth)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="".join(chr(c) for c in range(33, 127) if chr(c) != "%")))
     if refers is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {urn(refers)}", f"WARC-Profile: {PROFILE}"]
         payload = b""
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(head) + len(payload)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + head + payload + b"\r\n\r\n"
@@ -65,7 +72,7 @@ def fields(headers: dict[str, str], block: bytes) -> dict:
     """What a record says: id, url, payload (None for revisits), full size, digest, type, reference."""
     head, _, payload = block.partition(b"\r\n\r\n")
     size = int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
-    number = lambda x: None if x in (None, "<urn:page:null>") else int(x[10:-1])
+    number = lambda x: None if x is None or x.startswith("<urn:page:null") else int(x[10:-1].split(":")[0])
     kind, url = headers["WARC-Type"], headers.get("WARC-Target-URI")
     return {"page_id": number(headers["WARC-Record-ID"]), "url": None if url is None else unquote(url), "payload": payload if kind == "response" else None, "size": size, "digest": headers["WARC-Payload-Digest"].removeprefix("sha256:"), "type": kind, "refers_to": number(headers.get("WARC-Refers-To"))}
 
@@ -133,18 +140,24 @@ def _store(path: str):
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of every row.
+    """(page_id, url, payload, payload_bytes, payload_digest, refers_to, repeated) of every row.
 
     Among equal payloads of at least LEAST bytes that with the smallest id (null last) is kept; rows
-    with that same id are kept too; the others refer to it. Only ids and digests are grouped.
+    with that same id are kept too; the others refer to it. repeated: other rows have the same id.
+    Only ids and digests are grouped; a digest that very many rows have is joined by broadcast.
     """
     text = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), text.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    ids = stage(rows.where(F.col("payload_bytes") >= LEAST).select("page_id", "payload_digest"), "digests")
-    first = ids.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("refers_to")).where("n > 1 AND refers_to IS NOT NULL")
-    again = ids.join(first, "payload_digest").where("page_id IS NULL OR page_id <> refers_to").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct()
-    return rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_id", "_digest")
+    ids = stage(rows.select("page_id", "payload_digest", "payload_bytes"), "digests")
+    long = ids.where(F.col("payload_bytes") >= LEAST).select("page_id", "payload_digest")
+    first = long.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("refers_to")).where("n > 1 AND refers_to IS NOT NULL")
+    again = join_groups(long, first, ["payload_digest"]).where("page_id IS NULL OR page_id <> refers_to").select("page_id", "payload_digest", "refers_to", F.lit(False).alias("repeated"))
+    many = join_groups(ids.select("page_id", "payload_digest"), ids.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["page_id"])
+    many = many.select("page_id", "payload_digest", F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("repeated"))
+    told = again.unionByName(many).groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("refers_to").alias("refers_to"), F.max("repeated").alias("repeated"))
+    out = rows.join(told, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_id", "_digest")
+    return out.withColumn("repeated", F.coalesce("repeated", F.lit(False)) | F.col("page_id").isNull())
 
 
 def write_bundles(pages: DataFrame, path: str, **columns: str) -> DataFrame:
@@ -158,6 +171,8 @@ def write_bundles(pages: DataFrame, path: str, **columns: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
+        from pyspark import TaskContext
+
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
         name = uuid.uuid4().hex
@@ -165,8 +180,9 @@ def write_bundles(pages: DataFrame, path: str, **columns: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 writer = writer or BundleWriter(store.open_output_stream(f"{folder}/_{name}"))
-                data = record(r["page_id"], r["url"], r["payload"].encode(), r["payload_bytes"], r["payload_digest"], r["refers_to"])
-                index.append((*writer.add(data), len(data), f"<urn:page:{'null' if r['page_id'] is None else r['page_id']}>"))
+                nth = f"{TaskContext.get().partitionId()}-{len(index)}" if r["repeated"] else ""
+                data = record(r["page_id"], r["url"], r["payload"].encode(), r["payload_bytes"], r["payload_digest"], r["refers_to"], nth)
+                index.append((*writer.add(data), len(data), urn(r["page_id"], nth)))
         if writer:
             writer.close()
             store.move(f"{folder}/_{name}", f"{folder}/{name}.warc.zst")
@@ -213,9 +229,13 @@ def read_bundles(index: DataFrame, with_html: bool = False) -> DataFrame:
 
 
 def fetch(index: DataFrame, record_ids: list[str]) -> dict[str, dict]:
-    """The records of these ids, each by one seek and one frame (for a few ids, on the driver)."""
+    """The records of these ids, each by one seek and one frame (for a few ids, on the driver).
+
+    ``<urn:page:ID>`` of a page id that several rows have gives all its records, under their own ids.
+    """
     out = {}
-    for r in index.where(F.col("record_id").isin(record_ids)).collect():
+    plain = F.regexp_replace("record_id", r":[0-9]+-[0-9]+>$", ">")
+    for r in index.where(F.col("record_id").isin(record_ids) | plain.isin(record_ids)).collect():
         store, file = _store(r["bundle"])
         data = BundleReader(store.open_input_file(file)).read(r["frame"])
         out[r["record_id"]] = fields(*parse(data, r["offset"])[:2])
