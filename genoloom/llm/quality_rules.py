@@ -162,14 +162,17 @@ def judge(counted: DataFrame, keep_from: float = 0.5) -> tuple[DataFrame, LabelM
     named = rules()
     k = len(named)
     digits = sum(((vote + 1) * 3**i for i, (_, vote) in enumerate(named)), F.lit(0))
-    coded = counted.drop("base_failed", "p_good", "kept").withColumns({"base_failed": base_failed(), "_pattern": digits})
-    seen = coded.where(~F.col("base_failed")).groupBy("_pattern").count().collect()  # at most 3 ** k rows
-    codes = np.array([r["_pattern"] for r in seen], np.int64)
+    pattern = "_pattern"  # a name that no column has
+    while pattern in [c.lower() for c in counted.columns]:
+        pattern += "_"
+    coded = counted.drop("base_failed", "p_good", "kept").withColumns({"base_failed": base_failed(), pattern: digits})
+    seen = coded.where(~F.col("base_failed")).groupBy(pattern).count().collect()  # at most 3 ** k rows
+    codes = np.array([r[pattern] for r in seen], np.int64)
     decode = lambda c: c[:, None] // 3 ** np.arange(k) % 3 - 1
     model = LabelModel(decode(codes), np.array([r["count"] for r in seen], float))
     p = dict(zip(codes.tolist(), model.posterior(decode(codes)).tolist(), strict=True))
-    table = counted.sparkSession.createDataFrame(sorted(p.items()) or [(-1, 0.0)], "_pattern int, p_good double")
-    out = coded.join(F.broadcast(table), "_pattern", "left").drop("_pattern")
+    table = counted.sparkSession.createDataFrame(sorted(p.items()) or [(-1, 0.0)], f"{pattern} int, p_good double")
+    out = coded.join(F.broadcast(table), pattern, "left").drop(pattern)
     out = out.withColumn("p_good", F.when(F.col("base_failed"), 0.0).otherwise(F.col("p_good")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_from)), model
 
