@@ -11,6 +11,7 @@ the sum of two looked-up rows, so a batch of windows costs a few gathers and a m
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from genoloom.llm import textscan as ts
 
 #: Bytes of a window; widths and number of filters of each; size of an embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 4, 6), 12, 8
-#: The training sample: at most so many documents, and windows of each.
+#: The training sample: at most so many documents, the same number of each language, and windows of
+#: each document (and a short beginning).
 DOCUMENTS, WINDOWS_EACH = 2400, 6
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -134,36 +136,55 @@ def probabilities(p: dict[str, np.ndarray], tables: dict[int, list[np.ndarray]],
     return np.concatenate(out)
 
 
-def sample(labelled: DataFrame, most: int = DOCUMENTS) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``most`` rows, those of the smallest hashes: ids first, then texts."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("id", "lang", "text")
-    key = F.xxhash64(F.coalesce("id", F.lit(0)), "lang")
-    bound = rows.select(key.alias("k")).orderBy("k").limit(most).agg(F.max("k")).first()[0]
-    if bound is None:
+def training_windows(text: bytes, each: int = WINDOWS_EACH) -> np.ndarray:
+    """Up to ``each`` windows with letters, spread over the text, and a short beginning."""
+    w = text_windows(text)
+    letters = LETTER_BYTE[w].sum(axis=1)
+    w = w[letters >= max(1, min(WINDOW // 4, letters.max()))]
+    if not len(w):
+        return w
+    short = w[0].copy()  # so that short texts are known too
+    short[24 + zlib.crc32(text) % (WINDOW - 48) :] = 0
+    return np.concatenate((w[sorted({int(k) for k in np.linspace(0, len(w) - 1, each)})], short[None]))
+
+
+def sample(labelled: DataFrame, most: int = DOCUMENTS) -> list[tuple[str, bytes]]:
+    """(lang, windows) of at most ``most`` different texts, about the same number of each language.
+
+    Each language's texts are dealt by a hash into most // languages buckets, and the smallest hash of
+    each bucket is taken; so a language of few texts keeps nearly all, and copies count once. Of more
+    than ``most`` languages the most frequent are taken. Windows are cut on executors.
+    """
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("text").alias("key"), "text")
+    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    if not langs:
         return []
-    found = rows.where(key <= bound).select("text", "lang", key.alias("k")).orderBy("k", "text").limit(most)
-    return [(r["text"], r["lang"]) for r in found.collect()]
-
-
-def train(rows: list[tuple[str, str]], each: int = WINDOWS_EACH, **options) -> tuple[list[str], ByteCNN | None]:
-    """(languages, network) from (text, lang) rows: up to ``each`` windows spread over each text."""
-    langs = sorted({lang for _, lang in rows})
-    x, y = [], []
-    for text, lang in rows:
-        w = text_windows(text.encode())
-        letters = LETTER_BYTE[w].sum(axis=1)
-        w = w[letters >= max(1, min(WINDOW // 4, letters.max()))]
-        for k in sorted({int(k) for k in np.linspace(0, len(w) - 1, each)} if len(w) else ()):
-            x.append(w[k])
-            y.append(langs.index(lang))
-        if len(w):  # a short beginning of each, so that short texts are known too
-            short = w[0].copy()
-            short[24 + (len(x) * 37) % (WINDOW - 48) :] = 0
-            x.append(short)
-            y.append(langs.index(lang))
-    if not x:
+    bucket = F.pmod("key", F.lit(most // len(langs)))
+    least = rows.where(F.col("lang").isin(langs)).groupBy("lang", bucket).agg(F.min("key").alias("key")).collect()  # at most ``most`` rows
+    chosen = {(r["lang"], r["key"]) for r in least}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            found: list[tuple[str, int, bytes]] = []
+            for lang, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, key) in chosen and (lang, key) not in seen:
+                    seen.add((lang, key))
+                    found.append((lang, key, training_windows(text.encode()).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "key", "windows"])
+
+    picked = rows.where(F.col("key").isin([k for _, k in chosen])).mapInArrow(cut, "lang string, key long, windows binary")
+    return [(r["lang"], bytes(r["windows"])) for r in picked.dropDuplicates(["lang", "key"]).orderBy("lang", "key").collect()]
+
+
+def train(rows: list[tuple[str, bytes]], **options) -> tuple[list[str], ByteCNN | None]:
+    """(languages, network) from (lang, windows) rows."""
+    langs = sorted({lang for lang, w in rows if w})
+    x = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in rows]
+    if not langs:
         return langs, None
-    return langs, ByteCNN(len(langs)).fit(np.array(x), np.array(y), **options)
+    y = np.repeat([langs.index(lang) if w else 0 for lang, w in rows], [len(a) for a in x])
+    return langs, ByteCNN(len(langs)).fit(np.concatenate(x), y, **options)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"

@@ -306,10 +306,25 @@ def test_quality_counts_and_verdicts(spark, documents, sf_dir):
 
 def test_quality_takes_clashing_columns_and_no_rows(spark):
     _, clash, none = frames(spark)
-    assert quality_rules.quality(clash).count() == len(odd_documents())
+    got = quality_rules.quality(clash)
+    assert got.count() == len(odd_documents())
+    # A user's columns stay, but for those that the operator gives.
+    assert {k: v for k, v in got.first().asDict().items() if k in CLASH and k not in (*quality_rules.COUNTS, "kept", "p_good")} == {k: v for k, v in CLASH.items() if k not in (*quality_rules.COUNTS, "kept", "p_good")}
     assert quality_rules.quality(none).count() == 0
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from genoloom.llm import hot
+
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 3), (3, 1), (None, 4), (4, 12)) for i in range(n)], "k int, i int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least")).where("n > 1")
+    want = Counter((k, i, 0) for k, n in ((1, 30), (2, 3), (4, 12)) for i in range(n))
+    for top, keys in ((50_000, 20_000), (10, 20_000), (10, 1)):
+        monkeypatch.setattr(hot, "HOT", top)
+        monkeypatch.setattr(hot, "BROADCAST_KEYS", keys)
+        assert Counter((r.k, r.i, r.least) for r in hot.join_groups(rows, groups, ["k"]).collect()) == want
+
+
 def test_em_finds_planted_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(20_000) < 0.8
@@ -438,6 +453,10 @@ def test_archives_round_trip(spark):
         again = len(b) >= 100 and i != least
         want[i, u, None if again else h or "", len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", least if again else None] += 1
     assert Counter(tuple(r) for r in got) == want
+    ids = [r.record_id for r in index.collect()]
+    assert len(ids) == len(set(ids)) == len(rows)
+    both = warc.fetch(index, ["<urn:page:7>"])
+    assert len(both) == 2 and all(x["page_id"] == 7 and x["payload"] == ("é" * 60).encode() for x in both.values())
     found = warc.fetch(index, ["<urn:page:9>", "<urn:page:2>"])
     assert found["<urn:page:9>"]["payload"] == rows[-1][2].encode() and found["<urn:page:2>"]["refers_to"] == 1
     assert warc.archive(df.limit(0)).count() == 0
@@ -503,6 +522,20 @@ def test_languages_are_told_apart(spark, documents):
     assert language_id.identify(frames(spark)[1]).count() == len(odd_documents())
 
 
+def test_samples_are_of_every_language_and_bounded(spark):
+    """Rare languages are learnt, copies count once, the driver gets windows and no texts."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "and", "of", "to", "in"]) for _ in range(20_000 if i == 5 else 30)), "en") for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.choice(["der", "und", "von", "zu"]) for _ in range(30)), "de") for i in range(6)] + [(2000 + i, rows[0][1], "en") for i in range(300)]
+    rows += [(3000, "x", None), (3001, None, "fr"), (3002, "...", "und2")]
+    found = language_id.sample(spark.createDataFrame(rows, DOCS), 100)
+    langs = Counter(lang for lang, _ in found)
+    assert langs["de"] >= 5 and 25 <= langs["en"] <= 33 and sum(langs.values()) <= 100 and "fr" not in langs
+    assert max(len(w) for _, w in found) <= (language_id.WINDOWS_EACH + 1) * language_id.WINDOW
+    known, net = language_id.train(found, steps=20)
+    assert known == ["de", "en"] and net is not None
+
+
 # ---------------------------------------------------------------- 9 HTML extraction
 
 
