@@ -47,28 +47,58 @@ def thread(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Da
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def branch_nodes(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(tree, leaf, up, node): every message of every root-to-leaf path, up steps above the leaf."""
-    ids = stage(messages.select("tree", "node", "parent"), "tree")
+def _same(node: str) -> Column:
+    """Tree and a node column are t and n of the other side (a null tree is a tree)."""
+    return F.col("tree").eqNullSafe(F.col("t")) & (F.col(node) == F.col("n"))
+
+
+def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of (tree, node, top), top 1, 2, 4, ... steps up; (tree, node) without end).
+
+    Without a circle every round has fewer rows than the one before, for the rows nearest to a root
+    fall out. A round that has as many holds only messages below or in a circle.
+    """
+    ids = messages.select("tree", "node", "parent")
     known = ids.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    jumps = [stage(ids.where("parent IS NOT NULL").join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left_semi").select("tree", "node", F.col("parent").alias("top")), "jump")]
-    while not jumps[-1].isEmpty():
-        if len(jumps) > most_rounds:
-            raise ValueError("the replies form a circle")
+    jumps = [stage(ids.where("parent IS NOT NULL").join(known, _same("parent"), "left_semi").select("tree", "node", F.col("parent").alias("top")), "jump")]
+    left = jumps[0].count()
+    while left:
         j = jumps[-1]
         k = j.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("top").alias("next"))
-        jumps.append(stage(j.join(k, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n"))).select("tree", "node", F.col("next").alias("top")), "jump"))
-    answered = jumps[0].select(F.col("tree").alias("t"), F.col("top").alias("n"))
-    leaves = ids.join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+        jumps.append(stage(j.join(k, _same("top")).select("tree", "node", F.col("next").alias("top")), "jump"))
+        before, left = left, jumps[-1].count()
+        if left == before:
+            break
+    return jumps[:-1], jumps[-1].select("tree", "node")
+
+
+def circular_messages(messages: DataFrame) -> DataFrame:
+    """(tree, node) of the messages whose replies lead into a circle; no path of theirs has a root."""
+    return jump_tables(messages)[1]
+
+
+def branch_nodes(messages: DataFrame, circles: str = "raise") -> DataFrame:
+    """(tree, leaf, up, node): every message of every root-to-leaf path, up steps above the leaf.
+
+    circles: "raise" refuses messages that lead into a circle, "skip" leaves them out (what
+    ``circular_messages`` gives).
+    """
+    ids = stage(messages.select("tree", "node", "parent"), "tree")
+    jumps, endless = jump_tables(ids)
+    if circles != "skip" and (n := endless.count()):
+        raise ValueError(f"the replies of {n} messages form circles")
+    lost = endless.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    answered = ids.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("n"))
+    leaves = ids.join(answered, _same("node"), "left_anti").join(lost, _same("node"), "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("up"), "node")
-    for i in reversed(range(len(jumps) - 1)):
+    for i in reversed(range(len(jumps))):
         k = jumps[i].select(F.col("tree").alias("t"), F.col("node").alias("n"), "top")
-        more = paths.join(k, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", (F.col("up") + 2**i).alias("up"), F.col("top").alias("node"))
+        more = paths.join(k, _same("node")).select("tree", "leaf", (F.col("up") + 2**i).alias("up"), F.col("top").alias("node"))
         paths = stage(paths.unionByName(more), "paths")
     return paths
 
 
-def format_trees(messages: DataFrame, best: int | None = None, loss_role: str = "assistant") -> DataFrame:
+def format_trees(messages: DataFrame, best: int | None = None, loss_role: str = "assistant", circles: str = "raise") -> DataFrame:
     """(tree, leaf, branch_rank, branch_score, n_messages, formatted, loss_spans) of reply trees.
 
     messages: (tree, node, parent, role, text, score); (tree, node) is unique, a parent that is null
@@ -76,11 +106,12 @@ def format_trees(messages: DataFrame, best: int | None = None, loss_role: str =
     scores (null: 0); ranks run from 1 by score down, ties by leaf; ``best`` keeps that many
     branches of each tree (None: all). loss_spans: 0-based start and length, in code points of
     ``formatted``, of each text of ``loss_role``. A null text or role is empty; a null tree is a tree
-    of its own; extra columns are ignored; no rows give no rows; a circle of replies raises. Repeated
-    (tree, node) rows must be told apart by the caller (``thread`` numbers rows).
+    of its own; extra columns are ignored; no rows give no rows; for circles of replies see
+    ``branch_nodes``. Repeated (tree, node) rows must be told apart by the caller (``thread`` numbers
+    rows).
     """
     rows = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    paths = branch_nodes(messages)
+    paths = branch_nodes(messages, circles)
     full = paths.join(rows, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
     if best is not None:
         scores = full.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"))
