@@ -1,8 +1,9 @@
 """Line dedup by overlapping three-line windows, with DataFrame functions only.
 
-Every three consecutive lines are hashed (128 bits); windows are counted over all documents, with
-the first place of each, aggregated before the shuffle. Windows that occur again are later
-occurrences; the lines they cover are merged into runs, and what lies between the runs is kept.
+Every three consecutive lines are hashed (128 bits); a text of fewer lines is one window. Windows are
+counted over all documents, with the first place of each, aggregated before the shuffle. Windows that
+occur again are later occurrences; the lines they cover are merged into runs, and what lies between
+the runs is kept. A window that very many texts have meets them by broadcast.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.llm.hot import join_groups
 from genoloom.scratch import stage
 
 LINES = 3
@@ -20,20 +22,22 @@ def _lines(text: Column) -> Column:
 
 
 def window_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(id, own, at, h1, h2): each window of LINES lines; own is a hash of the whole text."""
+    """(id, own, at, h1, h2): each window of LINES lines, or of all lines if these are fewer (an empty
+    text has none); own is a hash of the whole text."""
     lines = _lines(F.col(text_col))
     n = F.size(lines)
-    shifted = [F.slice(lines, 1 + i, n - (LINES - 1)).alias(f"l{i}") for i in range(LINES)]
-    long = docs.where(n >= LINES).select("id", F.xxhash64(text_col).alias("own"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
-    parts = [F.col(f"w.l{i}") for i in range(LINES)]
-    return long.select("id", "own", "at", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+    shifted = [F.when(n >= LINES, F.slice(lines, 1 + i, F.greatest(n - (LINES - 1), F.lit(0)))).otherwise(F.array(F.get(lines, F.lit(i)))).alias(f"l{i}") for i in range(LINES)]
+    each = docs.where(F.col(text_col) != "").select("id", F.xxhash64(text_col).alias("own"), F.least(n, F.lit(LINES)).alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    parts = [F.col("n"), *[F.col(f"w.l{i}") for i in range(LINES)]]
+    return each.select("id", "own", "at", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
 
 
 def covered_runs(windows: DataFrame) -> DataFrame:
-    """(id, own, runs): the merged line runs [first, last] that later occurrences cover."""
+    """(id, own, runs): the merged line runs [first, last] that later occurrences cover (last may lie
+    behind a text of fewer than LINES lines)."""
     place = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), "own", "at")
     firsts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = windows.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("id", "own", "at").distinct()
+    later = join_groups(windows, firsts, ["h1", "h2"]).where(place != F.col("first")).select("id", "own", "at").distinct()
     by_doc = Window.partitionBy("id", "own").orderBy("at")
     fresh = F.coalesce((F.col("at") > F.lag("at").over(by_doc) + LINES).cast("int"), F.lit(1))
     islands = later.withColumn("island", F.sum(fresh).over(by_doc))
@@ -46,8 +50,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Lines lie between line feeds and are compared exactly. Occurrences are ordered by id (null
     first), text hash and line; the first of a window stays unless another window's later
-    occurrence covers it. Texts of fewer than LINES lines, empty ones and nulls stay as they are (a
-    null has null counts); a text may become empty; rows stay whole. Rows with the same id and text
+    occurrence covers it. A text of fewer than LINES lines is compared whole, with others of as many
+    lines. Empty texts and nulls stay as they are (a null has null counts); a text may become empty;
+    rows stay whole. Rows with the same id and text
     are one document: each gets its result. Columns named n_lines or n_removed are replaced.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -60,6 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.select(rest.alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_key"), _lines(text).alias("_lines"), F.xxhash64(text).alias("_hash"))
     both = plain.join(runs, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left")
     n = F.size("_lines")
+    both = both.withColumn("_runs", F.transform("_runs", lambda r: F.struct(r["first"].alias("first"), F.least(r["last"], n - 1).alias("last"))))
     starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last"] + 1))
     ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(n))
     both = both.withColumn("_kept", F.arrays_zip(starts.alias("a"), ends.alias("b")))

@@ -110,10 +110,15 @@ def test_trees_are_enumerated_ranked_and_read_back(spark):
     assert chat_format.format_trees(df.limit(0)).count() == 0
 
 
-def test_circles_are_refused(spark):
-    df = spark.createDataFrame([(1, 1, 2, "u", "t", 1.0), (1, 2, 1, "u", "t", 1.0)], "tree long, node long, parent long, role string, text string, score double")
-    with pytest.raises(ValueError):
-        chat_format.branch_nodes(df, most_rounds=4)
+def test_circles_are_refused_or_set_aside(spark):
+    """One tree with a circle, one message below it and a path of its own; another tree without."""
+    rows = [(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 4, 3), (1, 10, None), (1, 11, 10), *[(2, i, i - 1 if i else None) for i in range(20)], (None, 5, 5)]
+    df = spark.createDataFrame([(t, n, p, "user", "x", 1.0) for t, n, p in rows], "tree long, node long, parent long, role string, text string, score double")
+    with pytest.raises(ValueError, match="5 messages"):
+        chat_format.branch_nodes(df)
+    assert Counter(tuple(r) for r in chat_format.circular_messages(df).collect()) == Counter([(1, 1), (1, 2), (1, 3), (1, 4), (None, 5)])
+    got = chat_format.format_trees(df, circles="skip").collect()
+    assert {(r.tree, r.leaf, r.n_messages) for r in got} == {(1, 11, 2), (2, 19, 20)}
 
 
 def test_linear_threads_take_nulls_and_ties(spark):
@@ -338,22 +343,32 @@ def test_em_finds_planted_accuracies():
 # ---------------------------------------------------------------- 5 line dedup
 
 
-def test_lines_match_brute_force(spark):
-    rows = [(i, t, "en") for i, t in enumerate(["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb", "", None, "l\nl\nl\nl\nl", "a\nb\nc\nd", "b\nc\nd\ne\n", "p\na\nb\nc\nd\nq"])]
-    seen, want = set(), {}
-    for d, t, _ in rows:
+def left_lines(rows):
+    """[(text, n_lines, n_removed)] of (id, text) rows in their order, by a set of windows seen."""
+    seen, out = set(), []
+    for _, t, *_ in rows:
         if t is None:
-            want[d] = (None, None, None)
+            out.append((None, None, None))
             continue
         x, gone = t.split("\n"), set()
-        for i in range(len(x) - 2):
+        for i in range(max(len(x) - 2, 1) if t else 0):
             w = tuple(x[i : i + 3])
             if w in seen:
-                gone |= {i, i + 1, i + 2}
+                gone |= {i, i + 1, i + 2} & set(range(len(x)))
             seen.add(w)
-        want[d] = ("\n".join(v for i, v in enumerate(x) if i not in gone), len(x), len(gone))
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == want
+        out.append(("\n".join(v for i, v in enumerate(x) if i not in gone), len(x), len(gone)))
+    return out
+
+
+def test_lines_match_brute_force(spark, monkeypatch):
+    from genoloom.llm import hot
+
+    rows = [(i, t, "en") for i, t in enumerate(["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb", "", None, "l\nl\nl\nl\nl", "a\nb\nc\nd", "b\nc\nd\ne\n", "p\na\nb\nc\nd\nq", "a\nb", "one line", "", "one line", "a", "a\n", "a\n", "one line\na\nb"])]
+    want = {d: x for (d, *_), x in zip(rows, left_lines(rows), strict=True)}
+    for top in (50_000, 2):
+        monkeypatch.setattr(hot, "HOT", top)
+        got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+        assert got == want
 
 
 def test_lines_of_odd_rows(spark):

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from test_operators import base_counts, components, contaminated
+from test_operators import base_counts, components, contaminated, left_lines
 
 import corpus_pipeline as pipeline
 
@@ -41,16 +41,8 @@ def test_quality_stage(kept, spark, sf_dir):
 
 
 def test_line_stage(kept):
-    seen, want = set(), {}
-    for d, t in sorted(rows(kept[1])):
-        x, gone = t.split("\n"), set()
-        for i in range(len(x) - 2):
-            w = tuple(x[i : i + 3])
-            gone |= {i, i + 1, i + 2} if w in seen else set()
-            seen.add(w)
-        left = "\n".join(v for i, v in enumerate(x) if i not in gone)
-        if left or not gone:
-            want[d] = left
+    before = sorted(rows(kept[1]))
+    want = {d: left for (d, _), (left, _, gone) in zip(before, left_lines(before), strict=True) if left or not gone}
     assert dict(rows(kept[2])) == want
 
 
@@ -97,8 +89,8 @@ def test_quality_judges_rows_not_ids(kept, spark, sf_dir):
 
 
 def test_lines_keep_null_texts_and_odd_ids(spark, sf_dir):
-    pairs = [(1, None), (None, None), (None, "a\nb\nc"), (2, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, ""), (4, "x"), (4, "x"), (4, "y")]
-    want = Counter(pairs) - Counter([(2, "a\nb\nc"), (2, "a\nb\nc\nd")]) + Counter([(2, "d")])
+    pairs = [(1, None), (None, None), (None, "a\nb\nc"), (2, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, ""), (4, "x"), (4, "x"), (4, "y"), (5, "x"), (6, "")]
+    want = Counter(pairs) - Counter([(2, "a\nb\nc"), (2, "a\nb\nc\nd"), (5, "x")]) + Counter([(2, "d")])
     assert kept_by(pipeline.lines, spark, pairs, sf_dir) == want
 
 
