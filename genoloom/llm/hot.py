@@ -1,4 +1,4 @@
-"""Joins of rows with one row a key, where a key may hold a third of all rows."""
+"""Joins with tables of checked size, and with one row a key where a key may hold a third of all rows."""
 
 from __future__ import annotations
 
@@ -27,3 +27,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     few = F.broadcast(groups.where(F.col("n") > top).drop("n"))
     cold = rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(groups.where(F.col("n") <= top).drop("n"), keys)
     return rows.join(few, keys).unionByName(cold)
+
+
+def few(table: DataFrame, most: int) -> DataFrame:
+    """``table`` as a broadcast if it has at most ``most`` rows; else as it is, for a shuffled join."""
+    rows = table.limit(most + 1).collect()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= most else table

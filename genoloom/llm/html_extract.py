@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
+from genoloom.llm.hot import few
 from genoloom.scratch import stage
 
 #: Tokens of a run; pages and code points of a suffix array, about.
@@ -284,12 +285,6 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(cut, ROWS)
 
 
-def few(table: DataFrame) -> DataFrame:
-    """``table`` as a broadcast if it has at most BROADCAST_ROWS rows; else as it is, for a shuffled join."""
-    rows = table.limit(BROADCAST_ROWS + 1).collect()
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= BROADCAST_ROWS else table
-
-
 GROUPED = ["host", "group", "pages", "page", "marked", "text", "gram", "kind"]
 
 
@@ -367,7 +362,7 @@ def changed_pages(parsed: DataFrame, scanned=None) -> DataFrame:
     each = texts.groupBy("host", "page").agg(F.max(F.length("text")).cast("long").alias("chars"), F.max("marked").alias("marked"))
     sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.min("marked").alias("closed"))
     sizes = sizes.select("host", "pages", "closed", F.greatest(F.ceil(F.col("pages") / GROUP), F.ceil(F.col("chars") / GROUP_CHARS)).alias("groups"))
-    large = few(stage(sizes.where("groups > 1"), "large-hosts"))
+    large = few(stage(sizes.where("groups > 1"), "large-hosts"), BROADCAST_ROWS)
     dealt = texts.select("host", "page", "marked", "text").join(large, "host", "left")
     dealt = dealt.withColumns({"group": F.pmod("page", F.coalesce("groups", F.lit(1))), "pages": F.coalesce(F.when(F.col("closed"), -F.col("pages")).otherwise(F.col("pages")), F.lit(0))})
     small = _by_group(dealt.where("pages = 0")).mapInArrow(clean, CHANGED)
@@ -376,7 +371,7 @@ def changed_pages(parsed: DataFrame, scanned=None) -> DataFrame:
     found = stage(found.distinct().join(large, "host").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))), "candidates")
     if found.isEmpty():
         return small
-    split = split.join(few(found.select("host").distinct()), "host", "left_semi")
+    split = split.join(few(found.select("host").distinct(), BROADCAST_ROWS), "host", "left_semi")
     counts = _by_group(split, found.withColumn("kind", F.lit(0))).mapInArrow(count, "host string, gram long, n long").groupBy("host", "gram").agg(F.sum("n").alias("n"))
     need = lambda rule: F.greatest(F.lit(rule[0]), F.ceil(F.lit(rule[1]) * F.col("pages")))
     known = found.join(counts, ["host", "gram"]).withColumn("kind", F.when(F.col("n") >= need(STRICT), 2).when(F.col("n") >= need(LOOSE), 1))
@@ -393,7 +388,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     extra columns are ignored. scanned: see ``changed_pages``.
     """
     parsed = stage(parsed_pages(pages, id_col, url_col, html_col), "pages")
-    changed = few(stage(changed_pages(parsed, scanned), "changed"))
+    changed = few(stage(changed_pages(parsed, scanned), "changed"), BROADCAST_ROWS)
     out = parsed.select("page_id", "url", "page", "text").join(changed, "page", "left")
     return out.select("page_id", "url", F.coalesce("new_text", "text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -7,8 +7,9 @@ the flow cuts that order into a part that stays and blocks that go, so cuts fall
 and new sizes are near equal. Only shards that a transfer touches are rewritten, each under a new name
 that is then renamed.
 
-The order needs running sums over a whole shard. They come from bucket sums (BUCKETS a shard, added
-up on executors; the driver sees buckets, never rows) and a window inside each bucket.
+The order needs running sums over a whole shard. They come from sums of buckets (size classes times
+hash values, added up on executors; the driver sees buckets, never rows) and a window inside each
+bucket. A document's columns travel in one struct, so their names can't clash with those used here.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from genoloom.llm.hot import few
 from genoloom.scratch import drop, stage
 
-#: Buckets of a shard: SIZE_CLASSES classes of row size times SPREAD hash values.
-SIZE_CLASSES, SPREAD = 40, 16
+#: Classes of row size; hash values of each, at least; rows of a class that one task orders, about.
+SIZE_CLASSES, SPREAD, BUCKET = 40, 16, 1_000_000
+#: Files of a layout whose row counts are broadcast; those of more are joined by a shuffle.
+FILES = 100_000
 
 
 def capacities(total: int, shards: int) -> list[int]:
@@ -90,10 +94,15 @@ def old_layout(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int")
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame) -> int:
+    """Hash values of a size class: as many as keep a bucket of the largest shard at about BUCKET rows."""
+    return max(SPREAD, *(-(-r["count"] // BUCKET) for r in rows.groupBy("old").count().collect()), 0)  # a row a shard
+
+
+def _bucketed(rows: DataFrame, spread: int) -> DataFrame:
     band = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(SIZE_CLASSES - 1))
-    spread = F.pmod("tie", F.lit(SPREAD))
-    return rows.withColumns({"_spread": spread, "_bucket": ((SIZE_CLASSES - 1 - band) * SPREAD + spread).cast("int")})
+    part = F.pmod("tie", F.lit(spread))
+    return rows.withColumns({"_spread": part, "_bucket": ((SIZE_CLASSES - 1 - band) * spread + part).cast("int")})
 
 
 def _solve(rows: DataFrame, new_shards: int, cost: list[list[float]] | None) -> tuple[dict[tuple[int, int], int], DataFrame, DataFrame]:
@@ -150,6 +159,16 @@ def _slots(placed: DataFrame, bases: DataFrame) -> DataFrame:
     return out.withColumn("slot", F.col("_base") + F.col("_rank")).drop("_bucket", "_spread", "_rank", "_base")
 
 
+def _packed(rows: DataFrame, own: list[str]) -> DataFrame:
+    """``rows`` with the columns but ``own`` in one struct, _doc."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in (*own, "shard", "slot")]
+    return rows.select(*own, F.struct(*(others or [F.lit(0).alias("none")])).alias("_doc"))
+
+
+def _fields(names: list[str]) -> list[Column]:
+    return [F.col("_doc").getField(c).alias(c) for c in names if c.lower() not in ("shard", "slot")]
+
+
 def reshard(rows: DataFrame, new_shards: int, cost: list[list[float]] | None = None) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """(rows with shard int and slot long, the transfers {(old, new): bytes}).
 
@@ -157,30 +176,45 @@ def reshard(rows: DataFrame, new_shards: int, cost: list[list[float]] | None = N
     is read twice, so it should be a table. slot numbers a shard's rows from 0 without gaps. Sizes of
     new shards differ from their capacities by less than a row at each cut of the order. An empty
     table gives an empty one. Equal rows are placed one by one; which of them lies where is open.
+    Columns named shard or slot are replaced, all others stay.
     """
-    rows = _bucketed(rows)
-    transfers, offsets, pieces = _solve(rows, new_shards, cost)
-    placed = stage(_cut(rows, offsets, pieces, []), "placed")
-    return _slots(placed, _bases(placed)[0]), transfers
+    own = ["old", "size", "tie"]
+    packed = _bucketed(_packed(rows, own), _spread(rows))
+    transfers, offsets, pieces = _solve(packed, new_shards, cost)
+    placed = stage(_cut(packed, offsets, pieces, []), "placed")
+    out = _slots(placed, _bases(placed)[0])
+    return out.select(*own, *_fields([c for c in rows.columns if c.lower() not in own]), "shard", "slot"), transfers
+
+
+def _stored(name: str) -> str:
+    """A document column's name in the files: those that a layout uses, or that begin so, get a mark."""
+    return f"~{name}" if name.startswith("~") or name.lower() in ("shard", "slot") else name
 
 
 def write_shards(docs: DataFrame, old: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet folders shard=N, by ``old``. No column may be named shard or slot."""
+    """Write ``docs`` as Parquet folders shard=N, by ``old``; its columns shard and slot as ~shard and ~slot."""
     spread = F.pmod(F.xxhash64(text_col, id_col), F.lit(SPREAD))
-    docs.withColumn("shard", old).repartition("shard", spread).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    rows = docs.select(*[F.col(f"`{c}`").alias(_stored(c)) for c in docs.columns], old.alias("shard"), spread.alias("~"))
+    rows.repartition("shard", "~").drop("~").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(_doc, shard, slot, _file, _row): documents in a struct, and their place in the files."""
+    full = StructType([*[StructField(_stored(f.name), f.dataType) for f in schema], StructField("slot", LongType()), StructField("shard", IntegerType())])
+    doc = F.struct(*[F.col(f"`{_stored(f.name)}`").alias(f.name) for f in schema])
+    rows = spark.read.schema(full).parquet(path).select(doc.alias("_doc"), "shard", "slot", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("shard", "_file").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return rows.join(few(files, FILES), ["shard", "_file"]).withColumn("slot", F.coalesce("slot", F.col("_before") + F.col("_row"))).drop("_before")
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of shard folders: columns of ``schema``, shard, slot, and their place (_file, _row).
+    """The rows of shard folders: columns of ``schema`` (but any named shard or slot), shard and slot.
 
     slot is what the file says; files of the first layout don't, there it is the row's place in the
     shard's files in the order of their names.
     """
-    full = StructType([*schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
-    rows = spark.read.schema(full).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("shard", "_file").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return rows.join(F.broadcast(files), ["shard", "_file"]).withColumn("slot", F.coalesce("slot", F.col("_before") + F.col("_row"))).drop("_before")
+    return _read(spark, path, schema).select(*_fields(schema.names), "shard", "slot")
 
 
 def reshard_files(spark: SparkSession, path: str, schema: StructType, new_shards: int, cost: list[list[float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict[tuple[int, int], int]:
@@ -190,17 +224,19 @@ def reshard_files(spark: SparkSession, path: str, schema: StructType, new_shards
     narrow table gives cuts and slots; then rows of touched shards are read, placed by the same
     order and written. Shards that no row leaves or enters keep their files.
     """
-    docs = read_shards(spark, path, schema).drop("slot").withColumnRenamed("shard", "old")
-    docs = docs.withColumns({"size": row_size(F.col(text_col)), "tie": F.xxhash64(text_col, id_col)})
+    docs = _read(spark, path, schema).drop("slot").withColumnRenamed("shard", "old")
+    text, key = F.col("_doc").getField(text_col), F.col("_doc").getField(id_col)
+    docs = docs.withColumns({"size": row_size(text), "tie": F.xxhash64(text, key)})
     place = ["_file", "_row"]
     rows = stage(docs.select("old", "size", "tie", *place), "rows")
-    transfers, offsets, pieces = _solve(_bucketed(rows), new_shards, cost)
-    placed = stage(_cut(_bucketed(rows), offsets, pieces, place), "placed")
+    spread = _spread(rows)
+    transfers, offsets, pieces = _solve(_bucketed(rows, spread), new_shards, cost)
+    placed = stage(_cut(_bucketed(rows, spread), offsets, pieces, place), "placed")
     bases, touched = _bases(placed)
     drop(rows, placed)
     if touched:
-        moved = _slots(_cut(_bucketed(docs.where(F.col("old").isin(*touched))), offsets, pieces, place), bases)
-        _swap(moved.select(*schema.names, "slot", "shard"), path, touched)
+        moved = _slots(_cut(_bucketed(docs.where(F.col("old").isin(*touched)), spread), offsets, pieces, place), bases)
+        _swap(moved.select(*[F.col("_doc").getField(f.name).alias(_stored(f.name)) for f in schema], "slot", "shard"), path, touched)
     return transfers
 
 

@@ -204,6 +204,33 @@ def test_touched_shards_are_rewritten_in_place(spark, tmp_path):
         assert abs(sum(len(r.text or "") + 1 for r in got if r.shard == k) - 40) < 10
 
 
+def test_resharding_keeps_clashing_columns(spark, tmp_path):
+    names = ["_base", "_offset", "_cuts", "_rank", "_spread", "_bucket", "_at", "_file", "_row", "_doc", "~", "shard", "slot", "old", "size", "tie"]
+    rows = spark.createDataFrame([(i % 3, i // 2, "t" * (i % 40)) for i in range(120)], "k int, doc_id long, text string")
+    more = rows.drop("k").withColumns({c: F.lit(f"user {c}") for c in names})
+    path = str(tmp_path / "shards")
+    reshard.write_shards(more, F.pmod("doc_id", F.lit(2)).cast("int"), path)
+    reshard.reshard_files(spark, path, more.schema, 3)
+    got = reshard.read_shards(spark, path, more.schema).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in rows.collect())
+    assert {r.shard for r in got} == {0, 1, 2} and all(r[c] == f"user {c}" for r in got for c in names if c not in ("shard", "slot"))
+    stored = spark.read.parquet(path).first()
+    assert stored["~shard"] == "user shard" and stored["~slot"] == "user slot"
+    given = rows.withColumnRenamed("k", "old").withColumns({"size": F.length("text") + 1, "tie": F.xxhash64("text")}).withColumns({c: F.lit(f"user {c}") for c in names if c not in ("old", "size", "tie")})
+    out = reshard.reshard(given, 2)[0].collect()
+    assert len(out) == 120 and {r.shard for r in out} == {0, 1} and all(r[c] == f"user {c}" for r in out for c in names[:11])
+
+
+def test_spread_of_buckets_changes_no_law(spark, monkeypatch):
+    monkeypatch.setattr(reshard, "BUCKET", 3)
+    rows = spark.createDataFrame([(i % 2, 1 + i % 7, i * 7919) for i in range(300)], "old int, size long, tie long")
+    got = reshard.reshard(rows, 4)[0].collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert len(got) == 300 and max(sizes.values()) - min(sizes.values()) < 14
+
+
 def test_rewrite_leaves_other_shards_and_repeats(spark, tmp_path):
     docs = spark.createDataFrame([(0, None, "x"), (0, None, "x"), (0, 1, "y"), (1, 1, "z")], "old int, doc_id long, text string")
     path = str(tmp_path / "out")
