@@ -3,29 +3,33 @@
 Every text's distinct shingles are hashed into ``GROUPS`` groups; the counts per group are the
 text's point. For two sets, the sum of the smaller counts over all groups is at least the size of
 their intersection, and the same sum against the upper corner of a box bounds every point in the
-box. So a tree of boxes prunes whole leaves of texts, and only pairs that survive are verified on
+box. So a tree of boxes prunes whole branches of texts, and only pairs that survive are verified on
 their full shingle sets. The result is exact: no bound drops a pair that links.
 
 Boxes over many unrelated texts bound nothing, so points first go to the buckets of a routing
 level: the shingles of a set are put in one global order (rare ones first, by a fixed-size count
 sketch over all texts) and a set goes to the buckets of its first shingles, so many (``prefix_size``)
 that two sets with similarity t share about n / SPARE of these. Sets that share fewer are never
-compared.
-
-Nothing emits the pairs of a bucket. A bucket's sets of neighbouring size classes form a family, named
-after its smallest set, so the many buckets that near-copies share collapse into one family:
-
-1. each set is compared with the first set of the family it shares most buckets with (a star: one
-   pair a set, the rows of a large family salted); the verified links give components;
-2. families that still hold several components are cut into blocks of at most ``BLOCK`` sets; a
-   task joins the R-trees of one pair of blocks at a time, verifies what their bounds leave between
-   different components, and emits only links that merge components (fewer than it has sets).
-
-Equal sets are one class from the start (map-side and by their hash), so copies cost nothing.
+compared. Inside, every pair that is verified comes out of a tree. Nothing emits the pairs of a
+bucket: its sets of neighbouring size classes form a family, named after its smallest set, so the
+many buckets that near-copies share collapse into one family, and
+
+1. the first set of the family in which a set shares most buckets is searched in the tree of these
+   sets (one pair a set; a large family has many trees); verified links give components;
+2. families that still hold several components are joined tree with tree. A family of more than
+   ``BLOCK`` sets is cut into blocks, each written once to the shared folder; pairs of blocks whose
+   boxes allow a link are read by the task that joins them. A task verifies what the bounds leave
+   between different components and emits only links that merge components.
+
+Equal sets are one class from the start (map-side and by 128 bits of hash), so copies cost nothing.
+Shingles are told apart by 64 bits when a set is counted and by 48 when two are compared: between
+two sets of 1,000 a false match has a chance of 4e-9.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,19 +39,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
+from genoloom.llm.hot import join_groups
+from genoloom.llm.warc import store_of
 from genoloom.operators.graph import connected_components
-from genoloom.scratch import drop, stage
+from genoloom.scratch import drop, new_path, stage
 
-#: Groups of the count vectors; counters of the rarity sketch; sets of a block; points of a leaf.
-GROUPS, SKETCH, BLOCK, LEAF = 256, 1 << 20, 512, 16
+#: Groups of the count vectors; counters of the rarity sketch; points of a leaf; children of a box.
+GROUPS, SKETCH, LEAF, FAN = 256, 1 << 20, 16, 8
 SKETCH_PARTS = 64
+#: Sets of a star's tree and of a block; rows of a bucket that one task counts, about.
+STAR, BLOCK, BUCKET = 256, 512, 100_000
+#: Pairs of blocks that a task joins.
+PAIRS_A_TASK = 64
 #: Bits of the filter that keeps sets which no candidate pair names out of the shuffle (1 MB).
 FILTER_BITS = 1 << 23
 #: Sets of n shingles go to n // SPARE buckets more than one common bucket would need.
 SPARE = 20
 U = np.uint64
 
-SETS = "doc_id long, n_shingles long, node long, shingles binary"
+SETS = "doc_id long, n_shingles long, node long, other long, shingles binary"
 
 
 def needed(n_a, n_b, percent: int):
@@ -72,33 +82,64 @@ def count_vectors(of: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarra
 
 
 class CountRTree:
-    """A packed R-tree of count vectors: leaves of LEAF points in curve order, and their boxes."""
+    """A packed R-tree of count vectors: leaves of LEAF points that lie near each other on a fixed
+    projection, boxes of FAN nodes up to one root. ``levels`` go from the leaves up; each has the
+    upper corner of its nodes, and the least and the largest size of a set below them."""
 
     def __init__(self, points: np.ndarray):
-        size = points.sum(axis=1)
-        order = np.lexsort((points[:, 1], points[:, 0], size)) if len(points) else np.zeros(0, np.int64)
-        self.order, self.points = order, points[order].astype(np.int32)
-        self.leaves = [slice(i, min(i + LEAF, len(order))) for i in range(0, len(order), LEAF)]
-        self.high = np.array([self.points[s].max(axis=0) for s in self.leaves], np.int32).reshape(-1, points.shape[1])
-        self.least = np.array([self.points[s].sum(axis=1).min() for s in self.leaves], np.int64)
-        self.most = np.array([self.points[s].sum(axis=1).max() for s in self.leaves], np.int64)
+        line = points @ np.random.default_rng(11).standard_normal(points.shape[1])
+        self.order = np.argsort(line, kind="stable")
+        self.points = points[self.order].astype(np.int32)
+        self.sizes = self.points.sum(axis=1)
+        self.levels, fan, level = [], LEAF, (self.points, self.sizes, self.sizes)
+        while not self.levels or len(self.levels[-1][0]) > 1:
+            at = np.arange(0, len(level[0]), fan)
+            if not len(at):
+                break
+            level = np.maximum.reduceat(level[0], at), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at)
+            self.levels.append(level)
+            fan = FAN
+
+    def below(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes of a level, or (-1) the points."""
+        return self.levels[depth] if depth >= 0 else (self.points, self.sizes, self.sizes)
 
     def join(self, other: CountRTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (in the two inputs) of all pairs of points whose bound allows a link."""
-        left, right = [], []
-        for i, s in enumerate(self.leaves):
-            near = 100 * np.minimum(other.most, self.most[i]) >= percent * np.maximum(other.least, self.least[i])
-            bound = np.minimum(other.high, self.high[i]).sum(axis=1)
-            for j in np.flatnonzero(near & (bound >= needed(other.least, self.least[i], percent))):
-                t = other.leaves[j]
-                a, b = self.points[s], other.points[t]
-                both = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2)
-                x, y = np.nonzero(both >= needed(a.sum(axis=1)[:, None], b.sum(axis=1)[None, :], percent))
-                left.append(self.order[s][x])
-                right.append(other.order[t][y])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(left), np.concatenate(right)
+        none = np.zeros(0, np.int64)
+        if not (self.levels and other.levels):
+            return none, none
+        d, e = len(self.levels) - 1, len(other.levels) - 1
+        a = b = np.zeros(1, np.int64)
+        while d >= 0 or e >= 0:
+            # The higher side goes down a level, both do if they are level.
+            down_a, down_b = d >= e, e >= d
+            if down_a:
+                a, b = _children(a, b, LEAF if d == 0 else FAN, len(self.below(d - 1)[0]))
+                d -= 1
+            if down_b:
+                b, a = _children(b, a, LEAF if e == 0 else FAN, len(other.below(e - 1)[0]))
+                e -= 1
+            kept = [_possible(self.below(d), other.below(e), a[i : i + 4096], b[i : i + 4096], percent) for i in range(0, len(a), 4096)]
+            a, b = (np.concatenate(x) for x in zip((none, none), *kept, strict=True))
+        return self.order[a], other.order[b]
+
+
+def _children(nodes: np.ndarray, partners: np.ndarray, fan: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The children (of n in all) of each of ``nodes``, with the node's partner."""
+    first = nodes * fan
+    count = np.minimum(first + fan, n) - first
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(first, count) + step, np.repeat(partners, count)
+
+
+def _possible(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of nodes a, b below which the summed smaller counts allow a link."""
+    (high, least, most), (high2, least2, most2) = left, right
+    near = (100 * most2[b] >= percent * least[a]) & (100 * most[a] >= percent * least2[b])
+    a, b = a[near], b[near]
+    ok = np.minimum(high[a], high2[b]).sum(axis=1) >= needed(least[a].astype(np.int64), least2[b].astype(np.int64), percent)
+    return a[ok], b[ok]
 
 
 def _int64(values: np.ndarray) -> pa.Array:
@@ -106,7 +147,11 @@ def _int64(values: np.ndarray) -> pa.Array:
 
 
 def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """SETS rows: the distinct 48-bit shingle hashes of each text; node: a hash of the whole set."""
+    """SETS rows: the distinct shingles of each text (48 bits of each); node, other: hashes of the whole set."""
+
+    def whole(h: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+        sums = np.concatenate(([U(0)], np.cumsum(ts.mix(h ^ U(salt)))))
+        return ts.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,18 +159,28 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 words = ts.Words(part.column(1))
                 of, h = ts.shingle_sets(words, size)
                 counts = np.bincount(of, minlength=words.n_texts)
-                sums = np.concatenate(([U(0)], np.cumsum(ts.mix(h ^ U(0x5851F42D4C957F2D)))))
                 first = np.concatenate(([0], np.cumsum(counts)))
-                node = ts.mix(sums[first[1:]] - sums[first[:-1]] + counts.astype(U))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), _int64(counts), _int64(node), ts.binary_rows(ts.pack48(h), counts)],
-                    names=["doc_id", "n_shingles", "node", "shingles"],
+                    [part.column(0).cast(pa.int64()), _int64(counts), _int64(whole(h, first, 0x5851F42D4C957F2D)), _int64(whole(h, first, 0x14057B7EF767814F)), ts.binary_rows(ts.pack48(h >> U(16)), counts)],
+                    names=["doc_id", "n_shingles", "node", "other", "shingles"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(scan, SETS)
 
 
+def told_apart(sets: DataFrame) -> DataFrame:
+    """``sets`` with other nodes for sets that share theirs with a different set.
+
+    Among n sets about n * n / 4e19 are expected to: few enough for a list up to any n.
+    """
+    seen = sets.where("n_shingles > 0").groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    bad = [r["node"] for r in seen.where("lo <> hi").collect()]
+    if not bad:
+        return sets
+    return sets.withColumn("node", F.when(F.col("node").isin(bad), F.xxhash64("node", "other")).otherwise(F.col("node")))
+
+
 def rarity_sketch(sets: DataFrame) -> np.ndarray:
     """Counts of all shingles of all texts by hash modulo SKETCH: of fixed size, summed on executors.
 
@@ -160,8 +215,13 @@ def rarity_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def routed(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(bucket, node, n): a row for each bucket of each set; once for each class of a task."""
+    """(bucket, salt, salts, node, n): a row for each bucket of each set; once for each class of a task.
+
+    salts: into how many parts the bucket is cut, by what its shingle's counter has over two times the
+    mean (a counter holds the counts of many shingles).
+    """
     held = sets.sparkSession.sparkContext.broadcast(sketch)
+    mean, bucket = 2 * int(sketch.mean()), BUCKET
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = held.value, set()
@@ -174,13 +234,24 @@ def routed(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
             h = ts.unpack48(b"".join(part.column(2).to_pylist()))
             n = part.column(0).to_numpy()
             of = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, counts[(h & U(SKETCH - 1)).astype(np.int64)], of))
+            often = counts[(h & U(SKETCH - 1)).astype(np.int64)]
+            order = np.lexsort((h, often, of))
             rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             keep = order[rank < np.repeat(prefix_size(n, percent), n)]
             keep_of = of[keep]
-            yield pa.RecordBatch.from_arrays([_int64(h[keep]), pa.array(part.column(1).to_numpy()[keep_of]), pa.array(n[keep_of].astype(np.int32))], names=["bucket", "node", "n"])
+            node = part.column(1).to_numpy()[keep_of]
+            salts = 1 + np.maximum(often[keep].astype(np.int64) - mean, 0) // bucket
+            salt = (ts.mix(node.view(U)) % salts.astype(U)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_int64(h[keep]), pa.array(salt), pa.array(salts.astype(np.int32)), pa.array(node), pa.array(n[keep_of].astype(np.int32))], names=["bucket", "salt", "salts", "node", "n"])
+
+    return sets.where("n_shingles > 0").select("n_shingles", "node", "shingles").mapInArrow(emit, "bucket long, salt int, salts int, node long, n int")
 
-    return sets.where("n_shingles > 0").select("n_shingles", "node", "shingles").mapInArrow(emit, "bucket long, node long, n int")
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, node, n) of the buckets that several sets may be in: one shuffle, a hot bucket in parts."""
+    part = ["bucket", "salt"]
+    rows = rows.repartition(*part).dropDuplicates([*part, "node"]).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+    return rows.where("m > 1 OR salts > 1").select("bucket", "node", "n")
 
 
 def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,10 +307,10 @@ def families(shared: DataFrame, percent: int) -> DataFrame:
     the partner leaves out less than half too, and a common bucket under a kept hub remains.
     """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    rows = shared.select("bucket", F.explode(F.array(band, band - 1)).alias("band"), band.alias("at"), "node", "n")
-    hub = rows.groupBy("bucket", "band").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "band", F.col("hub.node").alias("hub"))
-    counted = rows.join(hub, ["bucket", "band"]).groupBy("hub", "band", "node", "n", "at").agg(F.count(F.lit(1)).alias("f"))
-    least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SPARE)
+    rows = shared.select("bucket", F.explode(F.array(band, band - 1)).alias("band"), band.alias("at"), "node", F.col("n").alias("size"))
+    hub = rows.groupBy("bucket", "band").agg(F.min(F.struct("size", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "band", F.col("hub.node").alias("hub"), "n")
+    counted = join_groups(rows, hub, ["bucket", "band"]).groupBy("hub", "band", "node", "size", "at").agg(F.count(F.lit(1)).alias("f"))
+    least = 1 + F.floor(F.ceil(percent * F.col("size") / 100) / SPARE)
     mine = Window.partitionBy("node", "band")
     counted = counted.withColumns({"least": least, "total": F.sum("f").over(mine), "tail": F.sum("f").over(mine.orderBy("f", "hub"))})
     return counted.where("total >= least AND 2 * tail >= least").select("hub", "band", "node", "f", (F.col("at") == F.col("band")).alias("own"))
@@ -262,13 +333,17 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return ts.unpack48(b"".join(data)), np.concatenate(([0], np.cumsum([len(x) // 6 for x in data])))
 
 
-def star_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of each set with the first set of its largest family, verified on full sets."""
+def star_links(family: DataFrame, sets: DataFrame, percent: int, candidates=None) -> DataFrame:
+    """(a, b): links of each set with the first set of its largest family.
+
+    That set is searched in trees of at most about STAR others; what is found is verified on full
+    sets. candidates: an accumulator that counts what the trees give.
+    """
     best = family.where("own").groupBy("node").agg(F.max(F.struct("f", "hub")).alias("best"))
-    pairs = best.select(F.col("best.hub").alias("hub"), "node").where("hub <> node")
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    rows = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "node")
-    hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("hub").alias("node"))
+    pairs = stage(best.select(F.col("best.hub").alias("hub"), "node").where("hub <> node"), "stars")
+    trees = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR).cast("int"))
+    rows = join_groups(pairs, trees, ["hub"]).select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "node")
+    hubs = trees.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("hub").alias("node"))
     rows = stage(rows.unionByName(hubs).select("node", "hub", "salt", "member"), "stars-of-families")
     dealt = with_sets(rows, sets).select("hub", "salt", "member", "node", "shingles").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
 
@@ -276,14 +351,17 @@ def star_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for (hub, _), part in _groups(batches, 2):
             flat, first = _flat(part.column(4))
             n = np.diff(first)
-            both = overlaps(flat[: n[0]], flat, first, np.arange(len(n)))
-            ok = (100 * both >= percent * (n + n[0] - both)) & (part.column(2).to_numpy() == 1)
-            node = part.column(3).to_numpy()[ok]
+            points = count_vectors(np.repeat(np.arange(len(n)), n), flat, len(n))
+            found = np.sort(CountRTree(points[1:]).join(CountRTree(points[:1]), percent)[0]) + 1
+            if candidates is not None:
+                candidates.add(len(found))
+            both = overlaps(flat[: n[0]], flat, first, found)
+            node = part.column(3).to_numpy()[found[100 * both >= percent * (n[found] + n[0] - both)]]
             if len(node):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), hub)), pa.array(node)], names=["a", "b"])
 
     out = stage(dealt.mapInArrow(verify, "a long, b long"), "links")
-    drop(rows)
+    drop(rows, pairs)
     return out
 
 
@@ -320,39 +398,102 @@ def merging_links(comp: np.ndarray, flat: np.ndarray, first: np.ndarray, left: n
     return found
 
 
-def crossing_links(family: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that merge components of a family, by the R-trees of pairs of its blocks."""
-    rows = family.join(component, "node", "left").select("hub", "band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("hub", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("hub", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.join(mixed, ["hub", "band"]).select("node", "hub", "band", "component", mine.alias("mine"), other.alias("other"))
-    dealt = stage(dealt.select("node", "hub", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("second"), "component"), "blocks")
-    full = with_sets(dealt, sets).select("hub", "band", "i", "j", "second", "node", "component", "shingles")
-    full = full.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j", "second", "node")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part in _groups(batches, 4):
-            second = part.column(4).to_numpy()
-            node, comp = part.column(5).to_numpy(), part.column(6).to_numpy()
-            flat, first = _flat(part.column(7))
-            points = count_vectors(np.repeat(np.arange(len(node)), np.diff(first)), flat, len(node))
-            if key[2] == key[3]:
-                tree = CountRTree(points)
-                a, b = tree.join(tree, percent)
-                a, b = a[a < b], b[a < b]
-            else:
-                f, s = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
-                a, b = CountRTree(points[f]).join(CountRTree(points[s]), percent)
-                a, b = f[a], s[b]
-            keep = comp[a] != comp[b]
-            found = merging_links(comp, flat, first, a[keep], b[keep], percent)
-            if found:
-                a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-
-    out = stage(full.mapInArrow(join, "a long, b long"), "crossing")
-    drop(dealt)
-    return out
+class Block:
+    """Sets of a family: nodes, components, shingles, and the tree of their points."""
+
+    def __init__(self, node: np.ndarray, comp: np.ndarray, flat: np.ndarray, first: np.ndarray):
+        self.node, self.comp, self.flat, self.first = node, comp, flat, first
+        self.tree = CountRTree(count_vectors(np.repeat(np.arange(len(node)), np.diff(first)), flat, len(node)))
+
+    def pack(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, node=self.node, comp=self.comp, flat=self.flat, first=self.first)
+        return out.getvalue()
+
+    @staticmethod
+    def unpack(data: bytes) -> Block:
+        with np.load(io.BytesIO(data)) as x:
+            return Block(x["node"], x["comp"], x["flat"], x["first"])
+
+    def links(self, other: Block, percent: int, candidates=None) -> pa.RecordBatch:
+        """(a, b): the links with ``other`` (or inside) that merge components."""
+        a, b = self.tree.join(other.tree, percent)
+        node, comp, flat, first = self.node, self.comp, self.flat, self.first
+        if other is self:
+            a, b = a[a < b], b[a < b]
+        else:
+            b = b + len(node)
+            first = np.concatenate((first, first[-1] + other.first[1:]))
+            node, comp, flat = (np.concatenate(x) for x in ((node, other.node), (comp, other.comp), (flat, other.flat)))
+        keep = comp[a] != comp[b]
+        if candidates is not None:
+            candidates.add(int(keep.sum()))
+        found = np.array(merging_links(comp, flat, first, a[keep], b[keep], percent), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+
+INSIDE = "a long, b long, hub long, band int, block int, path string, least long, most long, high binary"
+
+
+def crossing_links(family: DataFrame, component: DataFrame, sets: DataFrame, percent: int, candidates=None) -> DataFrame:
+    """(a, b): links that merge components of a family, by the R-trees of its blocks.
+
+    Each block is joined with itself by the task that gathers it. The blocks of a larger family are
+    written once; an index of their boxes gives the pairs of blocks that are read and joined.
+    candidates: an accumulator that counts pairs of different components that the trees give.
+    """
+    spark = family.sparkSession
+    keys = ["hub", "band"]
+    rows = stage(family.join(component, "node", "left").select(*keys, "node", F.coalesce("component", "node").alias("component")), "family-components")
+    mixed = rows.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n")
+    dealt = stage(join_groups(rows, mixed, keys).select("node", *keys, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "component"), "blocks")
+    full = with_sets(dealt, sets).select(*keys, "block", "blocks", "node", "component", "shingles")
+    full = full.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "node")
+    folder = new_path(spark, "block-files")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in INSIDE.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        for (hub, band, k, blocks), part in _groups(batches, 4):
+            block = Block(part.column(4).to_numpy(), part.column(5).to_numpy(), *_flat(part.column(6)))
+            links = block.links(block, percent, candidates)
+            cells = [*links.columns, *[pa.nulls(len(links), t) for t in types[2:]]]
+            yield pa.RecordBatch.from_arrays(cells, names=names)
+            if blocks > 1:
+                store, place = store_of(folder)
+                store.create_dir(place, recursive=True)
+                name = uuid.uuid4().hex
+                with store.open_output_stream(f"{place}/_{name}") as out:
+                    out.write(block.pack())
+                store.move(f"{place}/_{name}", f"{place}/{name}")
+                (high,), (least,), (most,) = block.tree.levels[-1]
+                row = (None, None, hub, band, k, f"{folder}/{name}", int(least), int(most), high.astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+
+    found = stage(full.mapInArrow(inside, INSIDE), "inside-blocks")
+    drop(dealt, rows)
+    index = found.where("path IS NOT NULL")
+    links = found.where("path IS NULL").select("a", "b")
+    if index.isEmpty():
+        return links
+    pair = index.select(*keys, "block", "path", "least", "most", "high").join(index.select(*keys, F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("path", "least", "most", "high")]), keys)
+    pair = pair.where("block < block2").select("path", "least", "most", "high", "path2", "least2", "most2", "high2")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, least, most, high, path2, least2, most2, high2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                box, box2 = ((np.frombuffer(h, np.int32)[None], np.array([x]), np.array([y])) for h, x, y in ((high, least, most), (high2, least2, most2)))
+                if len(_possible(box, box2, np.zeros(1, np.int64), np.zeros(1, np.int64), percent)[0]):
+                    blocks = []
+                    for p in (path, path2):
+                        store, place = store_of(p)
+                        with store.open_input_file(place) as file:
+                            blocks.append(Block.unpack(file.read()))
+                    yield blocks[0].links(blocks[1], percent, candidates)
+
+    # A row here stands for two files, which planners take for a few bytes: deal pairs out by number.
+    pair = pair.repartition(max(1, -(-pair.count() // PAIRS_A_TASK)), "path", "path2")
+    return links.unionByName(stage(pair.mapInArrow(across, "a long, b long"), "across-blocks"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -374,7 +515,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, pa.Table.from_batches(kept).combine_chunks()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, candidates=None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: near-copies share the smallest id.
 
     Two texts link when 100 * |both sets| >= percent * |either set|, sets of distinct ``size``-word
@@ -382,21 +523,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null text, or one without words, has an empty set, links with nothing and is its own component.
     Copies and repeated rows form one class; rows of one id keep a row each. A null id takes no part
     in choosing a component's smallest id unless all of its component are null. An empty table
-    gives no rows. Extra columns are ignored.
+    gives no rows. Extra columns are ignored. candidates: an accumulator that counts the pairs that
+    trees give to be verified.
     """
-    sets = stage(shingle_table(docs, id_col, text_col, size), "sets")
-    shared = routed(sets, rarity_sketch(sets), percent)
-    alone = Window.partitionBy("bucket")
-    shared = shared.repartition("bucket").dropDuplicates(["bucket", "node"])
-    shared = stage(shared.withColumn("m", F.count(F.lit(1)).over(alone)).where("m > 1").select("bucket", "node", "n"), "shared")
+    sets = told_apart(stage(shingle_table(docs, id_col, text_col, size), "sets"))
+    shared = stage(shared_buckets(routed(sets, rarity_sketch(sets), percent)), "shared")
     family = stage(families(shared, percent), "families")
     drop(shared)
-    links = star_links(family, sets, percent)
-    near = connected_components(links)
-    more = crossing_links(family, near, sets, percent)
+    links = star_links(family, sets, percent, candidates)
+    more = crossing_links(family, connected_components(links), sets, percent, candidates)
     drop(family)
     parts = connected_components(links.unionByName(more)).withColumnRenamed("component", "part")
-    ids = sets.select("doc_id", "n_shingles", "node").join(parts, "node", "left")
-    ids = ids.withColumn("part", F.when(F.col("n_shingles") > 0, F.coalesce("part", "node")))
-    least = ids.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("part").isNull(), F.col("doc_id"))).alias("component_id"))
+    # Classes first: a row for each set, so that a set of very many copies costs one.
+    ids = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "node")
+    classes = ids.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).join(parts, "node", "left")
+    classes = stage(classes.withColumn("part", F.coalesce("part", "node")), "classes")
+    least = classes.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("component_id"))
+    known = join_groups(classes.withColumnRenamed("n", "rows"), least, ["part"]).select("node", F.col("rows").alias("n"), "component_id")
+    found = join_groups(ids, known, ["node"]).select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

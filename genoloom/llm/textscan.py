@@ -129,7 +129,7 @@ class Words:
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 48-bit hash) of each text's distinct shingles, sorted by both. Up to 65,536 texts.
+    """(text, hash) of each text's distinct shingles, sorted by both. Up to 65,536 texts.
 
     A text of fewer words than ``size`` has its whole sequence as its one shingle; one without
     words has none.
@@ -138,10 +138,16 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     few = np.flatnonzero((words.count > 0) & (words.count < size))
     of = np.concatenate((words.of[at], few)).astype(U)
     h = np.concatenate((h, words.whole(few)))
-    keys = np.sort((of << U(48)) | (h >> U(16)))
-    if len(keys):
-        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    return (keys >> U(48)).astype(np.int64), keys & U((1 << 48) - 1)
+    keys = (of << U(48)) | (h >> U(16))
+    order = np.argsort(keys)
+    keys, of, h = keys[order], of[order], h[order]
+    again = keys[1:] == keys[:-1]
+    if (again & (h[1:] != h[:-1])).any():  # the last 16 bits tell some apart
+        order = np.lexsort((h, of))
+        of, h = of[order], h[order]
+        again = (of[1:] == of[:-1]) & (h[1:] == h[:-1])
+    new = np.concatenate(([True], ~again))[: len(h)]
+    return of[new].astype(np.int64), h[new]
 
 
 def pack48(values: np.ndarray) -> np.ndarray:

@@ -133,7 +133,8 @@ class BundleReader:
         return self.unzip.decompress(self.file.read(self.packed[frame]), max_output_size=self.plain[frame])
 
 
-def _store(path: str):
+def store_of(path: str):
+    """(file system, place in it) of a path in the shared folder, for tasks that read and write files."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path)
@@ -173,7 +174,7 @@ def write_bundles(pages: DataFrame, path: str, **columns: str) -> DataFrame:
 
         from pyspark import TaskContext
 
-        store, folder = _store(path)
+        store, folder = store_of(path)
         store.create_dir(folder, recursive=True)
         name = uuid.uuid4().hex
         writer, index = None, []
@@ -212,7 +213,7 @@ def read_bundles(index: DataFrame, with_html: bool = False) -> DataFrame:
         for batch in batches:
             for bundle, frame, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle not in readers:
-                    store, file = _store(bundle)
+                    store, file = store_of(bundle)
                     readers = {bundle: BundleReader(store.open_input_file(file))}
                 data, at, rows = readers[bundle].read(frame), 0, []
                 while at < len(data):
@@ -236,7 +237,7 @@ def fetch(index: DataFrame, record_ids: list[str]) -> dict[str, dict]:
     out = {}
     plain = F.regexp_replace("record_id", r":[0-9]+-[0-9]+>$", ">")
     for r in index.where(F.col("record_id").isin(record_ids) | plain.isin(record_ids)).collect():
-        store, file = _store(r["bundle"])
+        store, file = store_of(r["bundle"])
         data = BundleReader(store.open_input_file(file)).read(r["frame"])
         out[r["record_id"]] = fields(*parse(data, r["offset"])[:2])
     return out

@@ -282,10 +282,55 @@ def test_jaccard_matches_all_pairs(spark, documents):
 
 def test_blocks_and_salts_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "STAR", 3)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
     got = jaccard_join.jaccard_components(frames(spark)[0])
     assert sorted((tuple(r) for r in got.collect()), key=repr) == components(odd_documents())
 
 
+def chained_documents(n=60):
+    """Each text is near the next ones only, so one star can't link them: trees of blocks have to."""
+    words = [f"c{i}" for i in range(200 + 6 * n)]
+    return [(i, " ".join(words[6 * i : 6 * i + 200]), "en") for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_come_out_of_trees(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = chained_documents() + odd_documents()
+    df = spark.createDataFrame(rows, DOCS)
+    trees = spark.sparkContext.accumulator(0)
+    got = jaccard_join.jaccard_components(df, candidates=trees)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == components(rows) and trees.value >= 60
+    # The trees of blocks add links that stars don't have.
+    sets = jaccard_join.stage(jaccard_join.shingle_table(df), "sets")
+    family = jaccard_join.stage(jaccard_join.families(jaccard_join.shared_buckets(jaccard_join.routed(sets, jaccard_join.rarity_sketch(sets), 75)), 75), "family")
+    stars = jaccard_join.connected_components(jaccard_join.star_links(family, sets, 75))
+    crossing = spark.sparkContext.accumulator(0)
+    pairs = jaccard_join.crossing_links(family, stars, sets, 75, crossing)
+    assert pairs.count() > 0 and crossing.value >= pairs.count()
+
+
+def test_sets_with_one_hash_are_told_apart(spark):
+    rows = [(1, 3, 77, 1), (2, 3, 77, 2), (3, 3, 77, 1), (4, 3, 78, 5), (5, 0, 9, 9), (6, 0, 9, 8)]
+    got = {r.doc_id: r.node for r in jaccard_join.told_apart(spark.createDataFrame(rows, "doc_id long, n_shingles long, node long, other long")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 78
+
+
+def test_trees_have_levels_and_prune():
+    rng = np.random.default_rng(5)
+    centres = rng.poisson(2.0, (8, jaccard_join.GROUPS))
+    points = np.repeat(centres, 60, axis=0) + (rng.random((480, jaccard_join.GROUPS)) < 0.01)
+    tree = jaccard_join.CountRTree(points)
+    assert [len(x[0]) for x in tree.levels] == [30, 4, 1]
+    a, b = tree.join(tree, 75)
+    size = points.sum(axis=1)
+    both = np.minimum(points[:, None], points[None]).sum(axis=2)
+    want = {(i, j) for i, j in zip(*np.nonzero(both >= jaccard_join.needed(size[:, None], size[None], 75)), strict=True)}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(want) < 480 * 480 / 4
+    assert [len(x) for x in jaccard_join.CountRTree(points[:0]).join(tree, 75)] == [0, 0]
+
+
 def test_tree_join_drops_no_pair():
     rng = np.random.default_rng(0)
     points = rng.poisson(1.0, (120, 32))
