@@ -28,7 +28,7 @@ from genoloom.scratch import drop, stage
 #: Triples are enumerated with one of so many most frequent lengths; combinations may waste SLACK ids.
 COMMON, SLACK = 48, 8
 #: Pieces of a length that one task numbers, and groups of a length at most (then groups are larger).
-GROUP, GROUPS = 2_000, 1_000_000
+GROUP, GROUPS = 500, 1_000_000
 #: Bytes of an id in binary columns, and their numpy type.
 ID_BYTES, ID_TYPE = 2, "<u2"
 #: Texts up to this code point are encoded by the rank file of the same vocabulary (see Encoder).
