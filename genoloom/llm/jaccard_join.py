@@ -194,8 +194,9 @@ def rarity_sketch(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            h = ts.unpack48(b"".join(batch.column(0).to_pylist()))
-            total += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for part in ts.pieces(batch, "shingles"):
+                h = ts.unpack48(b"".join(part.column(0).to_pylist()))
+                total += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         yield from packed(total)
 
     def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,23 +227,20 @@ def routed(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = held.value, set()
         for batch in batches:
-            node = batch.column(1).to_numpy()
-            new = [i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))]
-            if not new:
-                continue
-            part = batch.take(pa.array(new))
-            h = ts.unpack48(b"".join(part.column(2).to_pylist()))
-            n = part.column(0).to_numpy()
-            of = np.repeat(np.arange(len(n)), n)
-            often = counts[(h & U(SKETCH - 1)).astype(np.int64)]
-            order = np.lexsort((h, often, of))
-            rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            keep = order[rank < np.repeat(prefix_size(n, percent), n)]
-            keep_of = of[keep]
-            node = part.column(1).to_numpy()[keep_of]
-            salts = 1 + np.maximum(often[keep].astype(np.int64) - mean, 0) // bucket
-            salt = (ts.mix(node.view(U)) % salts.astype(U)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_int64(h[keep]), pa.array(salt), pa.array(salts.astype(np.int32)), pa.array(node), pa.array(n[keep_of].astype(np.int32))], names=["bucket", "salt", "salts", "node", "n"])
+            new = [i for i, x in enumerate(batch.column(1).to_pylist()) if not (x in seen or seen.add(x))]
+            for part in ts.pieces(batch.take(pa.array(new, pa.int64())), "shingles"):
+                h = ts.unpack48(b"".join(part.column(2).to_pylist()))
+                n = part.column(0).to_numpy()
+                of = np.repeat(np.arange(len(n)), n)
+                often = counts[(h & U(SKETCH - 1)).astype(np.int64)]
+                order = np.lexsort((h, often, of))
+                rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep = order[rank < np.repeat(prefix_size(n, percent), n)]
+                keep_of = of[keep]
+                node = part.column(1).to_numpy()[keep_of]
+                salts = 1 + np.maximum(often[keep].astype(np.int64) - mean, 0) // bucket
+                salt = (ts.mix(node.view(U)) % salts.astype(U)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_int64(h[keep]), pa.array(salt), pa.array(salts.astype(np.int32)), pa.array(node), pa.array(n[keep_of].astype(np.int32))], names=["bucket", "salt", "salts", "node", "n"])
 
     return sets.where("n_shingles > 0").select("n_shingles", "node", "shingles").mapInArrow(emit, "bucket long, salt int, salts int, node long, n int")
 
