@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.order import sum_before
 from genoloom.scratch import drop, stage
 
 
@@ -58,22 +61,20 @@ def canonical_edges(edges: DataFrame, a: str = "a", b: str = "b", place: str = "
     return kept.select(a, b, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def ranked_components(nodes: DataFrame) -> DataFrame:
-    """(component, rank, size): rank 0 is the largest; equal sizes are ordered by component name."""
-    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return global_rank(sizes, [F.desc("size"), F.asc("component")], "size").withColumn("rank", F.col("rank") - 1)
+def merge_networks(networks: list[DataFrame], weight: str, at_least: float, a: str = "a", b: str = "b") -> DataFrame:
+    """(a, b, weight): one network of the edges of several, less those under ``at_least``.
 
+    Weak edges go before anything is shuffled. An edge that several networks have, in either
+    direction, keeps its largest weight.
+    """
+    kept = [n.where(F.col(weight) >= at_least).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b), weight) for n in networks]
+    return reduce(DataFrame.unionByName, kept).groupBy(a, b).agg(F.max(weight).alias(weight))
 
-def global_rank(rows: DataFrame, order: list, bucket: str) -> DataFrame:
-    """``rows`` with rank (1 up) in the given order, whose first key is ``bucket`` descending.
 
-    Numbers rows inside each value of the first key and adds the rows before that value, so no task
-    sorts the whole table unless all of it has one value.
-    """
-    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
-    return rows.withColumn("_k", inside).join(before, bucket).withColumn("rank", F.col("_k") + F.col("_before")).drop("_k", "_before")
+def ranked_components(nodes: DataFrame) -> DataFrame:
+    """(component, rank, size): rank 0 is the largest; equal sizes are ordered by component name."""
+    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sum_before(sizes, [F.desc("size"), F.asc("component")], F.lit(1), "rank")
 
 
 def large_components(edges: DataFrame, at_least: int = 1, a: str = "a", b: str = "b") -> DataFrame:

@@ -28,7 +28,7 @@ def exploded_pairs(m: DataFrame, width: int, left: range | None = None, right: r
     """(keys, sid, label, f1, f2, v1, v2) for every pair f1 < f2, or left x right for two blocks."""
     keep = [*(keys or []), "sid", "label"]
     pairs = [(i, j) for i in range(width) for j in range(i + 1, width)] if left is None else [(i, j) for i in left for j in right]
-    if len(pairs) <= 64:
+    if len(pairs) <= EXPLODED:
         items = F.array(*[F.struct(F.lit(i).alias("f1"), F.lit(j).alias("f2"), F.get("g", F.lit(i)).alias("v1"), F.get("g", F.lit(j)).alias("v2")) for i, j in pairs])
         return m.select(*keep, F.inline(items))
     firsts = F.explode(F.sequence(F.lit(0), F.lit(width - 2))) if left is None else F.explode(F.sequence(F.lit(left.start), F.lit(left.stop - 1)))
@@ -134,19 +134,23 @@ def pair_counts(m: DataFrame, width: int, keys: list[str] | None = None, left: r
 def pair_gains(m: DataFrame, width: int, keys: list[str] | None = None, left: range | None = None, right: range | None = None) -> DataFrame:
     """What ``gain`` gives of ``pair_cells``, from one row a pair: one shuffle, then arithmetic.
 
-    A pair without any valid cell has 0 everywhere.
+    A pair without any valid cell has 0 everywhere. The entropies are sums over an array of buckets
+    (cells, then the margins of either feature), so the plan's code stays small.
     """
     group = [*(keys or []), "f1", "f2"]
     plus = lambda columns: reduce(lambda a, b: a + b, columns)
-    rows = pair_counts(m, width, keys, left, right)
-    rows = rows.withColumns({"all_ctl": plus([F.col(c) for c in CELLS[:9]]), "all_cas": plus([F.col(c) for c in CELLS[9:]])})
+    ways = [*[("h", [k]) for k in range(9)], *[("h1", [3 * v, 3 * v + 1, 3 * v + 2]) for v in range(3)], *[("h2", [v, v + 3, v + 6]) for v in range(3)]]
+    buckets = F.array(*[F.struct(F.lit(way).alias("way"), plus([F.col(f"c{k}") for k in ks]).cast("double").alias("ctl"), plus([F.col(f"d{k}") for k in ks]).cast("double").alias("cas")) for way, ks in ways])
+    rows = pair_counts(m, width, keys, left, right).select(*group, buckets.alias("b"), plus([F.col(c) for c in CELLS[:9]]).alias("all_ctl"), plus([F.col(c) for c in CELLS[9:]]).alias("all_cas"))
     rows = rows.withColumn("ratio", F.try_divide(F.col("all_cas").cast("double"), F.col("all_ctl")))
-    ways = {"h": [[k] for k in range(9)], "h1": [[3 * v, 3 * v + 1, 3 * v + 2] for v in range(3)], "h2": [[v, v + 3, v + 6] for v in range(3)]}
-    part = lambda ctl, cas: (ctl + cas) * entropy(ctl, cas)
-    bits = {name: F.try_divide(plus([part(plus([F.col(f"c{k}") for k in b]) * F.col("ratio"), plus([F.col(f"d{k}") for k in b]).cast("double")) for b in buckets]), 2.0 * F.col("all_cas")) for name, buckets in ways.items()}
-    rows = rows.select(*group, "all_ctl", "all_cas", *[h.alias(n) for n, h in bits.items()])
+    bits = lambda x: (x["ctl"] * F.col("ratio") + x["cas"]) * entropy(x["ctl"] * F.col("ratio"), x["cas"])
+    rows = rows.withColumn("parts", F.transform("b", lambda x: F.struct(x["way"].alias("way"), F.coalesce(bits(x), F.lit(0.0)).alias("bits"))))
+    total = lambda way: F.try_divide(F.aggregate("parts", F.lit(0.0), lambda n, x: n + F.when(x["way"] == way, x["bits"]).otherwise(0.0)), 2.0 * F.col("all_cas"))
+    some = (F.col("all_cas") > 0) & (F.col("all_ctl") > 0)
     empty = F.when((F.col("all_cas") > 0) & (F.col("all_ctl") == 0), float("nan")).otherwise(0.0)
-    mi, m1, m2 = (F.when(F.col(n).isNotNull(), 1 - F.col(n)).otherwise(empty) for n in ways)
+    mi, m1, m2 = (F.when(some, 1 - total(way)).otherwise(empty) for way in ("h", "h1", "h2"))
+    rows = rows.select(*group, F.array(mi, m1, m2).alias("x"))
+    mi, m1, m2 = (F.col("x")[i] for i in range(3))
     return rows.select(*group, (mi - m1 - m2).alias("ig"), mi.alias("mi"), m1.alias("main_f1"), m2.alias("main_f2"))
 
 
@@ -158,23 +162,27 @@ def sparse_models(m: DataFrame, width: int) -> DataFrame:
     return rows.groupBy(F.col("f1").alias("f1_i"), F.col("v1").alias("f1_v"), F.col("f2").alias("f2_i"), F.col("v2").alias("f2_v"), "l").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Edges that fit one literal array; more are joined as a table.
-LITERAL_EDGES = 10_000
+#: Distinct edges that travel with every row in one broadcast array; more are joined as a table.
+PACKED_EDGES = 100_000
+
+
+def _one_row(table: DataFrame, name: str) -> DataFrame:
+    """All rows of a small table in one array of structs, to be broadcast."""
+    return F.broadcast(table.agg(F.collect_list(F.struct(*table.columns)).alias(name)))
 
 
 def at_edges(m: DataFrame, edges: DataFrame) -> DataFrame:
     """Every row of ``m`` with every distinct edge (f1, f2).
 
-    Up to LITERAL_EDGES edges are exploded from one array inside the scan; more become a table
-    that the planner joins with each row's copies, one for every f1 that an edge has. Neither looks
-    at the row's array, so short and null ones meet every edge.
+    Up to PACKED_EDGES edges are broadcast in one array and exploded inside the scan; more become a
+    table that the planner joins with each row's copies, one for every f1 that an edge has. Neither
+    looks at the row's array, so short and null ones meet every edge.
     """
-    found = edges.select("f1", "f2").distinct().limit(LITERAL_EDGES + 1).collect()
-    if len(found) <= LITERAL_EDGES:
-        pairs = F.array(*[F.struct(F.lit(r[0]).alias("f1"), F.lit(r[1]).alias("f2")) for r in found]) if found else F.array().cast("array<struct<f1:int,f2:int>>")
-        return m.select("*", F.inline(pairs))
+    distinct = edges.select("f1", "f2").distinct()
+    if distinct.limit(PACKED_EDGES + 1).count() <= PACKED_EDGES:
+        return m.crossJoin(_one_row(distinct, "_edges")).select(*m.columns, F.inline("_edges"))
     firsts = edges.agg(F.collect_set("f1").alias("_f1s"))  # at most as many as there are features
-    return m.crossJoin(F.broadcast(firsts)).select(*m.columns, F.explode("_f1s").alias("f1")).join(edges.select("f1", "f2").distinct(), "f1")
+    return m.crossJoin(F.broadcast(firsts)).select(*m.columns, F.explode("_f1s").alias("f1")).join(distinct, "f1")
 
 
 def cell_signs(train: DataFrame, edges: DataFrame) -> DataFrame:
@@ -194,15 +202,27 @@ def delta_degrees(subjects: DataFrame, edges: DataFrame, signs: DataFrame, width
 
     For an edge, +1 to both ends if the subject's cell is protective or was never seen in training,
     else -1. An edge listed twice counts twice, a self edge both ends; features without an edge are
-    0. ``signs`` comes from training subjects only. sid tells subjects apart.
+    0. ``signs`` comes from training subjects only. Up to PACKED_EDGES edges, each with the cells that
+    count -1, are broadcast by feature, and a subject's degrees come from its own row: no shuffle of
+    subjects. A larger network is cut into parts of that size, whose degrees add up row by row.
     """
+    cell = lambda v1, v2: v1.cast("long") * 2**32 + v2.cast("long")
     times = edges.groupBy("f1", "f2").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    rows = at_edges(subjects, edges).select("sid", "f1", "f2", F.get("g", F.col("f1")).alias("v1"), F.get("g", F.col("f2")).alias("v2"))
-    rows = rows.join(times, ["f1", "f2"]).join(signs, ["f1", "f2", "v1", "v2"], "left").withColumn("s", F.coalesce("sign", F.lit(1)) * F.col("times"))
-    ends = rows.select("sid", "s", F.explode(F.array("f1", "f2")).alias("f")).groupBy("sid", "f").agg(F.sum("s").cast("int").alias("d"))
-    maps = ends.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("f", "d"))).alias("by"))
-    dd = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda f: F.coalesce(F.try_element_at(F.col("by"), f), F.lit(0)))
-    return subjects.join(maps, "sid", "left").select("sid", "label", dd.alias("dd"))
+    minus = signs.where("sign < 0 AND v1 IS NOT NULL AND v2 IS NOT NULL").groupBy("f1", "f2").agg(F.collect_list(cell(F.col("v1"), F.col("v2"))).alias("minus"))
+    known = times.join(minus, ["f1", "f2"], "left").withColumn("minus", F.coalesce("minus", F.array().cast("array<bigint>")))
+    parts = -(-known.count() // PACKED_EDGES) or 1
+    known = known.withColumn("part", F.pmod(F.xxhash64("f1", "f2"), F.lit(parts)))
+    ends = known.select("part", F.explode(F.array("f1", "f2")).alias("f"), "f1", "f2", "times", "minus")
+    by_end = ends.groupBy("part", "f").agg(F.collect_list(F.struct("f1", "f2", "times", "minus")).alias("es"))
+    out = subjects.select("sid", "label", "g", F.array_repeat(F.lit(0), width).alias("dd"))
+    for part in range(parts):
+        packed = _one_row(by_end.where(F.col("part") == part).select("f", "es"), "_by")
+        at = lambda e: cell(F.get("g", e["f1"]), F.get("g", e["f2"]))
+        step = lambda e: F.when(F.array_contains(e["minus"], at(e)), -e["times"]).otherwise(e["times"])
+        degree = lambda x: F.aggregate(x["es"], F.lit(0), lambda n, e: n + step(e))
+        mine = F.map_from_entries(F.transform("_by", lambda x: F.struct(x["f"], degree(x))))
+        out = out.crossJoin(packed).withColumn("_d", mine).select("sid", "label", "g", F.transform("dd", lambda n, f: n + F.coalesce(F.try_element_at(F.col("_d"), f), F.lit(0))).alias("dd"))
+    return out.select("sid", "label", "dd")
 
 
 def project_nodes(m: DataFrame, names: list[str], nodes: DataFrame) -> DataFrame:

@@ -9,29 +9,33 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators.order import sum_before
+from genoloom.operators.pairs import exploded_pairs, gain, pair_gains
 from genoloom.operators.splits import shuffled_rank
+from genoloom.scratch import stage
 
 
 #: Combinations listed in one literal array; more are exploded feature by feature.
 LISTED = 256
 
 
-def combined(m: DataFrame, width: int, ways: list[int]) -> DataFrame:
-    """(label, attributes, n_attributes, cell) of every row and combination of features, from the
+def combined(m: DataFrame, width: int, ways: list[int], keys: list[str] | None = None) -> DataFrame:
+    """(keys, label, attributes, n_attributes, cell) of every row and combination of features, from the
     row's own array: no join. A null code, or one that a short row lacks, is a code of its own."""
+    own = ["label", *(keys or [])]
     code = lambda i: F.coalesce(F.get("g", i).cast("string"), F.lit("-"))
     ways = sorted({k for k in ways if 0 < k <= width})
     if sum(comb(width, k) for k in ways) <= LISTED:
         sets = [c for k in ways for c in combinations(range(width), k)]
         items = [F.struct(F.lit(",".join(map(str, c))).alias("attributes"), F.lit(len(c)).alias("n_attributes"), F.concat_ws(",", *[code(F.lit(i)) for i in c]).alias("cell")) for c in sets]
-        return m.select("label", F.inline(F.array(*items))) if sets else m.select("label", F.lit("").alias("attributes"), F.lit(0).alias("n_attributes"), F.lit("").alias("cell")).limit(0)
+        return m.select(*own, F.inline(F.array(*items))) if sets else m.select(*own, F.lit("").alias("attributes"), F.lit(0).alias("n_attributes"), F.lit("").alias("cell")).limit(0)
     parts = []
     for k in ways:
-        rows = m.select("label", "g", F.lit(-1).alias("last"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("codes"))
+        rows = m.select(*own, "g", F.lit(-1).alias("last"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("codes"))
         for level in range(k):
-            rows = rows.select("label", "g", "names", "codes", F.explode(F.sequence(F.col("last") + 1, F.lit(width - k + level))).alias("last"))
-            rows = rows.select("label", "g", "last", F.array_append("names", F.col("last").cast("string")).alias("names"), F.array_append("codes", code(F.col("last"))).alias("codes"))
-        parts.append(rows.select("label", F.array_join("names", ",").alias("attributes"), F.lit(k).alias("n_attributes"), F.array_join("codes", ",").alias("cell")))
+            rows = rows.select(*own, "g", "names", "codes", F.explode(F.sequence(F.col("last") + 1, F.lit(width - k + level))).alias("last"))
+            rows = rows.select(*own, "g", "last", F.array_append("names", F.col("last").cast("string")).alias("names"), F.array_append("codes", code(F.col("last"))).alias("codes"))
+        parts.append(rows.select(*own, F.array_join("names", ",").alias("attributes"), F.lit(k).alias("n_attributes"), F.array_join("codes", ",").alias("cell")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -50,17 +54,99 @@ def kway_models(m: DataFrame, width: int, ways: list[int]) -> DataFrame:
     return sums.select("attributes", "n_attributes", (half(F.col("tp"), F.col("n1")) + half(F.col("tn"), F.col("n0"))).alias("balanced_accuracy"))
 
 
-def permuted(m: DataFrame, permutations: int, seed: int, start: int = 0) -> DataFrame:
-    """(perm, sid, label, g): rows with labels shuffled for each permutation number from ``start``.
+def permuted_labels(m: DataFrame, permutations: int, seed: int, start: int = 0) -> DataFrame:
+    """(sid, label, g, labels array<int>): ``m`` with its shuffled labels, from permutation ``start`` on.
 
-    A permutation pairs the rows' order by sid with the labels' order by md5(seed + number:sid).
+    A permutation pairs the rows' order by md5(seed:place:sid) with the labels' order by
+    md5(seed:number:sid). Only (number, rank, label) rows are dealt out; the matrix moves once.
     """
     numbers = F.explode(F.sequence(F.lit(start), F.lit(start + permutations - 1))).alias("perm")
-    many = m.select(numbers, "sid", "label", "g")
-    hashed = many.withColumn("_key", F.concat_ws(":", "perm", "sid"))
-    ranks = shuffled_rank(hashed, seed, "_key", ["perm"]).select("perm", "label", "rank")
-    places = shuffled_rank(hashed.withColumn("_key2", F.concat(F.lit("place:"), F.col("sid").cast("string"))), seed, "_key2", ["perm"]).select("perm", "sid", "g", "rank")
-    return places.join(ranks, ["perm", "rank"]).select("perm", "sid", "label", "g")
+    many = m.select(numbers, "sid", "label").withColumn("_key", F.concat_ws(":", "perm", "sid"))
+    ranks = shuffled_rank(many, seed, "_key", ["perm"])
+    labels = ranks.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("perm", "label"))).alias("_l")).select("rank", F.transform("_l", lambda x: x["label"]).alias("labels"))
+    places = shuffled_rank(m.withColumn("_key", F.concat(F.lit("place:"), F.col("sid").cast("string"))), seed, "_key")
+    return places.join(labels, "rank").select("sid", "label", "g", "labels")
+
+
+def permuted(m: DataFrame, permutations: int, seed: int, start: int = 0) -> DataFrame:
+    """(perm, sid, label, g): rows with labels shuffled for each permutation number from ``start``."""
+    rows = permuted_labels(m, permutations, seed, start)
+    return rows.select("sid", "g", F.posexplode("labels").alias("perm", "label")).select((F.col("perm") + start).alias("perm"), "sid", "label", "g")
+
+
+#: Permutations that one aggregation counts, each in two columns.
+COUNTED = 50
+
+
+def permuted_gains(m: DataFrame, width: int, permutations: int, seed: int, start: int = 0) -> DataFrame:
+    """(perm, f1, f2, ig, mi, main_f1, main_f2) of every pair under every permutation of labels.
+
+    All permutations of a slice are counted at once: a row's pairs are exploded once, and each cell
+    has two counters a permutation.
+    """
+    rows = stage(permuted_labels(m, permutations, seed, start), "permuted")
+    cells = exploded_pairs(rows, width, keys=["labels"]).where("v1 IN (0, 1, 2) AND v2 IN (0, 1, 2)")
+    parts = []
+    for at in range(0, permutations, COUNTED):
+        numbers = range(at, min(at + COUNTED, permutations))
+        counts = [F.count_if(F.get("labels", F.lit(p)) == y).alias(f"{n}{p}") for p in numbers for y, n in ((0, "ctl"), (1, "cas"))]
+        each = F.array(*[F.struct(F.lit(p + start).alias("perm"), F.col(f"ctl{p}").alias("ctl"), F.col(f"cas{p}").alias("cas")) for p in numbers])
+        parts.append(cells.groupBy("f1", "f2", "v1", "v2").agg(*counts).select("f1", "f2", "v1", "v2", F.inline(each)))
+    return gain(reduce(DataFrame.unionByName, parts).where("ctl + cas > 0"), ["perm"])
+
+
+def explicit_test(m: DataFrame, width: int, permutations: int, seed: int) -> DataFrame:
+    """(f1, f2, ig, n_above, p_value): an explicit test of interaction for every pair.
+
+    Each permutation shuffles every feature by itself inside each class: what a feature alone says of
+    the label stays, what two say together goes. n_above permutations have at least the real gain;
+    p_value = (1 + n_above) / (1 + permutations). A row's values come from the rows of its class whose
+    rank by md5(seed:number:feature:sid) is the row's own rank by md5(seed:place:sid).
+    """
+    place = shuffled_rank(m.select("sid", "label").withColumn("_key", F.concat(F.lit("place:"), F.col("sid").cast("string"))), seed, "_key", ["label"]).select("sid", "label", "rank")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
+    padded = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("g", i))
+    values = m.select("sid", "label", F.posexplode(padded).alias("f", "v")).select("sid", "label", "f", "v", numbers)
+    values = shuffled_rank(values.withColumn("_key", F.concat_ws(":", "perm", "f", "sid")), seed, "_key", ["perm", "f", "label"])
+    g = F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda x: x["v"])
+    mixed = values.groupBy("perm", "label", "rank").agg(g.alias("g")).join(place, ["label", "rank"]).select("perm", "sid", "label", "g")
+    null = pair_gains(mixed, width, keys=["perm"]).select("f1", "f2", F.col("ig").alias("_ig"))
+    real = pair_gains(m, width).select("f1", "f2", "ig")
+    above = F.count_if(F.col("_ig") >= F.col("ig") - 1e-12)
+    out = real.join(null, ["f1", "f2"], "left").groupBy("f1", "f2", "ig").agg(above.alias("n_above"))
+    return out.withColumn("p_value", F.round((1 + F.col("n_above")) / (1 + permutations), 4))
+
+
+def kway_cross_validated(m: DataFrame, width: int, ways: list[int], folds: int) -> DataFrame:
+    """(attributes, n_attributes, cv_training, cv_testing, cvc, overall) of every combination of features.
+
+    ``m`` has a column fold, 0 .. folds - 1. Cells are high risk by the rows outside a fold, as in
+    ``kway_models``; balanced accuracies inside (testing) and outside (training) the fold are averaged
+    over folds. cvc counts the folds in which a combination trains best of its size (ties: the first
+    by name). overall: the balanced accuracy on all rows. Every cell is counted once for all folds.
+    """
+    rows = combined(m.where("label IN (0, 1)"), width, ways, ["fold"])
+    ks = range(folds)
+    count = lambda y, k: F.count_if((F.col("label") == y) & (F.col("fold") == k))
+    cells = rows.groupBy("attributes", "n_attributes", "cell").agg(*[count(y, k).alias(f"n{y}_{k}") for y in (0, 1) for k in ks])
+    every = lambda y: reduce(Column.__add__, [F.col(f"n{y}_{k}") for k in ks])
+    # Fold -1 stands for all rows: trained on them and tested on them.
+    each = [F.struct(F.lit(k).alias("fold"), (every(0) - F.col(f"n0_{k}")).alias("r0"), (every(1) - F.col(f"n1_{k}")).alias("r1"), F.col(f"n0_{k}").alias("t0"), F.col(f"n1_{k}").alias("t1")) for k in ks]
+    each.append(F.struct(F.lit(-1).alias("fold"), every(0).alias("r0"), every(1).alias("r1"), every(0).alias("t0"), every(1).alias("t1")))
+    cells = cells.select("attributes", "n_attributes", "cell", F.inline(F.array(*each)))
+    totals = Window.partitionBy("attributes", "fold")
+    cells = cells.withColumns({f"all_{c}": F.sum(c).over(totals) for c in ("r0", "r1", "t0", "t1")})
+    high = F.col("r1") * F.col("all_r0") > F.col("r0") * F.col("all_r1")
+    hit = lambda t: [F.sum(F.when(high, F.col(f"{t}1")).otherwise(0)).alias(f"{t}p"), F.sum(F.when(high, 0).otherwise(F.col(f"{t}0"))).alias(f"{t}n")]
+    sums = cells.groupBy("attributes", "n_attributes", "fold").agg(*hit("r"), *hit("t"), *[F.max(f"all_{c}").alias(f"all_{c}") for c in ("r0", "r1", "t0", "t1")])
+    half = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)) / 2
+    scored = sums.select("attributes", "n_attributes", "fold", (half("rp", "all_r1") + half("rn", "all_r0")).alias("training"), (half("tp", "all_t1") + half("tn", "all_t0")).alias("testing"))
+    # The best of a fold and size by one aggregate; rounding makes ties of equal models.
+    best = scored.where("fold >= 0").groupBy("n_attributes", "fold").agg(F.min(F.struct(-F.round("training", 9), "attributes")).alias("_b")).select("n_attributes", "fold", F.col("_b.attributes").alias("attributes"), F.lit(1).alias("won"))
+    joined = scored.join(best, ["n_attributes", "fold", "attributes"], "left")
+    inside = F.col("fold") >= 0
+    mean = lambda c: F.avg(F.when(inside, F.col(c)))
+    return joined.groupBy("attributes", "n_attributes").agg(mean("training").alias("cv_training"), mean("testing").alias("cv_testing"), F.coalesce(F.sum("won"), F.lit(0)).alias("cvc"), F.max(F.when(~inside, F.col("training"))).alias("overall"))
 
 
 def permutation_chunks(permutations: int, jobs: int, start: int = 0) -> list[tuple[int, int]]:
@@ -72,9 +158,18 @@ def permutation_chunks(permutations: int, jobs: int, start: int = 0) -> list[tup
 
 
 def permutation_rank(results: DataFrame, order: list[Column], real: str = "is_real", by: list[str] | None = None) -> DataFrame:
-    """``results`` with rank: real rows take a rank but do not use one up."""
-    before = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return results.withColumn("rank", F.coalesce(F.sum((~F.col(real)).cast("long")).over(before), F.lit(0)) + 1)
+    """``results`` with rank: real rows take a rank but do not use one up.
+
+    Ranks are sums over the global order less those at the start of their group, so no group of
+    ``by`` has to fit a task.
+    """
+    by = by or []
+    rows = sum_before(results, [*[F.asc(c) for c in by], *order], (~F.col(real)).cast("long"), "_before")
+    if not by:
+        return rows.withColumn("rank", F.col("_before") + 1).drop("_before")
+    starts = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_before").alias("_start"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return rows.join(starts, same).withColumn("rank", F.col("_before") - F.col("_start") + 1).drop("_before", "_start", *[f"_{c}" for c in by])
 
 
 def p_values(ranked: DataFrame, real: str = "is_real", by: list[str] | None = None) -> DataFrame:

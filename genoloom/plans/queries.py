@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom import functions as fn
 from genoloom.operators import graph, learn, pairs, reports, search, splits
+from genoloom.plans.study import study
 from genoloom.scratch import stage
 
 WIDTH, SEED, FOLDS = 4, 25, 5
@@ -80,6 +81,25 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_orderstatus") == "F").cast("int").alias("label"), g.alias("g"))
 
 
+#: A wider matrix: digits to the base 3 of three columns, the month and the priority.
+DIGITS = [(c, 3**k) for c in ("o_orderkey", "o_custkey", "floor(o_totalprice)") for k in range(4)]
+WIDE = len(DIGITS) + 2
+WIDE_NAMES = [f"n{i}" for i in range(WIDE)]
+W_SQL = f"""w0 AS (SELECT o_orderkey AS sid, CAST(o_orderstatus = 'F' AS INTEGER) AS status,
+  [{', '.join(f'CAST(CAST({c} AS BIGINT) // {d} % 3 AS INTEGER)' for c, d in DIGITS)}, CAST(month(o_orderdate) AS INTEGER) % 3, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 3] AS g FROM orders),
+m AS (SELECT sid, CASE WHEN sid % 7 < 5 THEN CAST((g[1] + g[6]) % 3 = 0 AS INTEGER) ELSE status END AS label, g FROM w0)"""
+WP_SQL = f"p(f1, f2) AS (SELECT a.i, b.i FROM range({WIDE}) a(i), range({WIDE}) b(i) WHERE a.i < b.i)"
+
+
+def wide_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen features of orders; the label of most rows tells of features 0 and 5 together."""
+    digits = [F.expr(f"CAST(CAST({c} AS BIGINT) DIV {d} % 3 AS INT)") for c, d in DIGITS]
+    g = F.array(*digits, F.expr("CAST(month(o_orderdate) AS INT) % 3"), F.expr("CAST(substr(o_orderpriority, 1, 1) AS INT) % 3"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_orderstatus") == "F").cast("int").alias("status"), g.alias("g"))
+    planted = ((F.col("g")[0] + F.col("g")[5]) % 3 == 0).cast("int")
+    return rows.select("sid", F.when(F.col("sid") % 7 < 5, planted).otherwise(F.col("status")).alias("label"), "g")
+
+
 def network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, ig): parts and suppliers that meet in three rows or more."""
     counts = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").count().where("count >= 3")
@@ -140,6 +160,32 @@ def planted_pair_ig(spark, sf_dir):
     return rounded(pairs.pair_gains(m, WIDTH).select("f1", "f2", "ig", "mi"), "ig", "mi")
 
 
+WIDE_CELLS_SQL = CELLS_SQL.replace(M_SQL, W_SQL).replace(P_SQL, WP_SQL)
+WIDE_GAIN_SQL = GAIN_SQL.replace(M_SQL, W_SQL).replace(P_SQL, WP_SQL)
+
+
+@query(f"WITH {WIDE_CELLS_SQL} SELECT CAST(f1 AS INTEGER) AS f1, CAST(f2 AS INTEGER) AS f2, v1, v2, ctl, cas FROM cells")
+def wide_pair_cells(spark, sf_dir):
+    """91 pairs: counted by matrix products."""
+    return pairs.pair_cells(wide_matrix(spark, sf_dir), WIDE).select("f1", "f2", "v1", "v2", F.col("ctl").cast("long").alias("ctl"), F.col("cas").cast("long").alias("cas"))
+
+
+@query(f"WITH {WIDE_GAIN_SQL} SELECT CAST(f1 AS INTEGER) AS f1, CAST(f2 AS INTEGER) AS f2, {GAIN_COLS} FROM gains")
+def wide_pair_ig(spark, sf_dir):
+    return rounded(pairs.pair_gains(wide_matrix(spark, sf_dir), WIDE).select("f1", "f2", "ig", "mi"), "ig", "mi")
+
+
+@query(f"WITH {WIDE_GAIN_SQL} SELECT 'n' || f1 AS a, 'n' || f2 AS b, max(round(mi - main_f1 - main_f2, 9)) AS ig FROM gains WHERE (f1 < 7) = (f2 < 7) AND round(mi - main_f1 - main_f2, 9) >= 0.0002 GROUP BY ALL")
+def merged_networks(spark, sf_dir):
+    """The networks of two blocks of columns, one of them given twice and turned round, as one."""
+    m = wide_matrix(spark, sf_dir)
+    block = lambda lo, hi, one, two: pairs.pair_gains(m.withColumn("g", F.slice("g", lo + 1, hi - lo)), hi - lo).select(F.concat(F.lit("n"), F.col("f1") + lo).alias(one), F.concat(F.lit("n"), F.col("f2") + lo).alias(two), F.round("ig", 9).alias("ig"))
+    found = graph.merge_networks([block(0, 7, "a", "b"), block(7, WIDE, "a", "b"), block(0, 7, "b", "a")], "ig", 0.0002)
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    turn = number("a") > number("b")
+    return found.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), "ig")
+
+
 # ---------------------------------------------------------------- thresholds and graphs
 
 
@@ -215,11 +261,19 @@ def network_stats(spark, sf_dir):
     return graph.sweep_statistics(network(spark, sf_dir), "ig", [0.02, 0.025, 0.03])[0]
 
 
+SWEEP = [round(0.03 - 0.0002 * i, 4) for i in range(76)]
+
+
+@query(STATS_SQL.replace("t(th) AS (VALUES (0.02::DOUBLE), (0.025), (0.03))", f"t(th) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in SWEEP)})"))
+def network_sweep(spark, sf_dir):
+    """Statistics at all 76 thresholds, in one component loop."""
+    return graph.sweep_statistics(network(spark, sf_dir), "ig", SWEEP)[0]
+
+
 @query()
 def threshold_study(spark, sf_dir):
     """Statistics and power-law exponents at 76 thresholds, of the graph and its largest component."""
-    ths = [round(0.03 - 0.0002 * i, 4) for i in range(76)]
-    stats, tagged = graph.sweep_statistics(network(spark, sf_dir), "ig", ths)
+    stats, tagged = graph.sweep_statistics(network(spark, sf_dir), "ig", SWEEP)
     whole = graph.power_law(graph.degree_histogram(tagged, ["th"]), ["th"]).select("th", F.col("b").alias("power_coeff"))
     lc = graph.power_law(graph.degree_histogram(tagged.where("in_lc"), ["th"]), ["th"]).select("th", F.col("b").alias("lc_power_coeff"))
     return stats.join(whole, "th", "left").join(lc, "th", "left")
@@ -401,30 +455,90 @@ def distinct_top_attributes(spark, sf_dir):
     return search.distinct_attributes(top.withColumn("attributes", F.split("attributes", ",")))
 
 
-@query()
+def _keyed_gains(rows: str, key: str = "perm") -> str:
+    """The gains of x (perm, g, label), by perm."""
+    tail = GAIN_SQL.removeprefix(CELLS_SQL)
+    cells = f"cells AS (SELECT {key}, f1, f2, g[f1 + 1] AS v1, g[f2 + 1] AS v2, count(*) FILTER (label = 0) AS ctl, count(*) FILTER (label = 1) AS cas FROM x, p GROUP BY ALL)"
+    return f"{rows}, {P_SQL}, {cells}" + tail.replace("f1, f2", f"{key}, f1, f2") + ", rounded AS (SELECT perm, f1, f2, round(mi - main_f1 - main_f2, 9) AS ig FROM gains)"
+
+
+PERMUTED_SQL = _keyed_gains(f"""{M_SQL}, places AS (SELECT g, row_number() OVER (ORDER BY md5('{SEED}:place:' || sid), 'place:' || sid) AS r FROM m),
+labs AS (SELECT perm, label, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}:' || perm || ':' || sid), perm || ':' || sid) AS r FROM m, range(10) t(perm)),
+x AS (SELECT perm, g, label FROM places JOIN labs USING (r) UNION ALL SELECT -1, g, label FROM m)""")
+
+
+@query(f"WITH {PERMUTED_SQL} SELECT CAST(perm AS INTEGER) AS perm, f1, f2, ig FROM rounded WHERE perm >= 0")
+def permuted_gains(spark, sf_dir):
+    """Gains of every pair under ten permutations of the labels, all counted in one pass."""
+    return rounded(search.permuted_gains(matrix(spark, sf_dir), WIDTH, 10, SEED).select("perm", "f1", "f2", "ig"), "ig")
+
+
+@query(f"WITH {PERMUTED_SQL} SELECT a.f1, a.f2, a.ig, 1 + count(*) FILTER (b.ig > a.ig) AS rank, round((1 + count(*) FILTER (b.ig > a.ig)) / 11.0, 4)::DOUBLE AS p_value FROM rounded a JOIN rounded b ON a.perm = -1 AND b.perm >= 0 AND a.f1 = b.f1 AND a.f2 = b.f2 GROUP BY a.f1, a.f2, a.ig")
 def permutation_test(spark, sf_dir):
     """Pair gains under ten label permutations beside the real ones, ranked per pair, with p-values."""
     m = matrix(spark, sf_dir)
-    real = pairs.pair_gains(m, WIDTH).withColumn("is_real", F.lit(True))
-    shuffled = search.permuted(m, 10, SEED)
-    many = pairs.pair_gains(shuffled, WIDTH, keys=["perm"]).drop("perm").withColumn("is_real", F.lit(False))
-    ranked = search.permutation_rank(real.unionByName(many), [F.desc("ig")], by=["f1", "f2"])
-    return search.p_values(ranked, by=["f1", "f2"])
+    real = pairs.pair_gains(m, WIDTH).select("f1", "f2", "ig", F.lit(True).alias("is_real"))
+    many = search.permuted_gains(m, WIDTH, 10, SEED).select("f1", "f2", "ig", F.lit(False).alias("is_real"))
+    ranked = search.permutation_rank(rounded(real.unionByName(many), "ig"), [F.desc("ig"), F.desc("is_real")], by=["f1", "f2"])
+    return search.p_values(ranked, by=["f1", "f2"]).select("f1", "f2", "ig", "rank", "p_value")
+
+
+EXPLICIT_SQL = _keyed_gains(f"""{M_SQL}, vals AS (SELECT perm, f, label, g[f + 1] AS v, row_number() OVER (PARTITION BY perm, f, label ORDER BY md5('{SEED}:' || perm || ':' || f || ':' || sid), perm || ':' || f || ':' || sid) AS r FROM m, range(5) t(perm), range({WIDTH}) u(f)),
+x AS (SELECT perm, list(v ORDER BY f) AS g, label FROM vals GROUP BY perm, label, r UNION ALL SELECT -1, g, label FROM m)""")
+
+
+@query(f"WITH {EXPLICIT_SQL} SELECT a.f1, a.f2, a.ig, count(*) FILTER (b.ig >= a.ig) AS n_above, round((1 + count(*) FILTER (b.ig >= a.ig)) / 6.0, 4)::DOUBLE AS p_value FROM rounded a JOIN rounded b ON a.perm = -1 AND b.perm >= 0 AND a.f1 = b.f1 AND a.f2 = b.f2 GROUP BY a.f1, a.f2, a.ig")
+def explicit_test(spark, sf_dir):
+    """The test of interaction that keeps main effects: features shuffled inside classes, five times."""
+    return rounded(search.explicit_test(matrix(spark, sf_dir), WIDTH, 5, SEED), "ig")
+
+
+CV_SQL = KWAY_SQL.split("n AS (SELECT")[0] + f"""folds AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {FOLD_SQL}, sid) - 1) % 5 AS fold FROM m),
+c AS (SELECT attributes, n_attributes, g[i + 1] AS x, g[j + 1] AS y, g[k + 1] AS z, fold, count(*) FILTER (label = 0) AS ctl, count(*) FILTER (label = 1) AS cas FROM folds, a GROUP BY ALL),
+r AS (SELECT t, attributes, n_attributes, x, y, z, coalesce(sum(ctl) FILTER (fold <> t), 0) AS r0, coalesce(sum(cas) FILTER (fold <> t), 0) AS r1, coalesce(sum(ctl) FILTER (t = -1 OR fold = t), 0) AS t0, coalesce(sum(cas) FILTER (t = -1 OR fold = t), 0) AS t1 FROM c, range(-1, 5) f(t) GROUP BY ALL),
+n AS (SELECT t, attributes, sum(r0) AS a0, sum(r1) AS a1, sum(t0) AS b0, sum(t1) AS b1 FROM r GROUP BY ALL),
+q AS (SELECT t, attributes, n_attributes, (coalesce(sum(r1) FILTER (r1 * a0 > r0 * a1), 0) / any_value(a1) + coalesce(sum(r0) FILTER (r1 * a0 <= r0 * a1), 0) / any_value(a0)) / 2 AS training, (coalesce(sum(t1) FILTER (r1 * a0 > r0 * a1), 0) / any_value(b1) + coalesce(sum(t0) FILTER (r1 * a0 <= r0 * a1), 0) / any_value(b0)) / 2 AS testing FROM r JOIN n USING (t, attributes) GROUP BY ALL),
+w AS (SELECT *, CAST(t >= 0 AND row_number() OVER (PARTITION BY t, n_attributes ORDER BY round(training, 9) DESC, attributes) = 1 AS BIGINT) AS won FROM q)"""
+
+
+@query(f"WITH {CV_SQL} SELECT attributes, n_attributes, round(avg(training) FILTER (t >= 0), 9) AS cv_training, round(avg(testing) FILTER (t >= 0), 9) AS cv_testing, CAST(sum(won) AS BIGINT) AS cvc, round(max(training) FILTER (t = -1), 9) AS overall FROM w GROUP BY ALL")
+def kway_cross_validated(spark, sf_dir):
+    """Every combination of two and three features, five-fold, with its consistency count."""
+    return rounded(search.kway_cross_validated(folded(spark, sf_dir), WIDTH, [2, 3], FOLDS), "cv_training", "cv_testing", "overall")
+
+
+WIDE_KWAY_SQL = f"""{W_SQL}, a AS (SELECT x.i || ',' || y.i || ',' || z.i AS attributes, 3 AS n_attributes, x.i AS i, y.i AS j, z.i AS k FROM range({WIDE}) x(i), range({WIDE}) y(i), range({WIDE}) z(i) WHERE x.i < y.i AND y.i < z.i), """ + "n AS (SELECT" + KWAY_SQL.split("n AS (SELECT")[1]
+
+
+@query(f"WITH {WIDE_KWAY_SQL} SELECT attributes, n_attributes, round(b, 9) AS balanced_accuracy FROM scores")
+def wide_kway_search(spark, sf_dir):
+    """364 combinations of three features: exploded feature by feature."""
+    return rounded(search.kway_models(wide_matrix(spark, sf_dir), WIDE, [3]), "balanced_accuracy")
+
+
+@query()
+def network_study(spark, sf_dir):
+    """The whole study on the wide matrix: scored, thresholded, components re-encoded, classified over
+    two folds on raw features and delta degrees, both cohorts scored, folds averaged."""
+    return study(wide_matrix(spark, sf_dir), WIDE_NAMES, 0.05, 2, 2, SEED)
 
 
 # ---------------------------------------------------------------- scalars and text
 
 
-@query("SELECT o_orderkey AS sid, CASE o_orderkey % 2 + 1 WHEN 1 THEN '0' ELSE '1' END AS l FROM orders")
+@query("SELECT CAST(f1_i AS INTEGER) AS f1_i, f1_v, CAST(f2_i AS INTEGER) AS f2_i, f2_v, l, n FROM (SELECT 0 AS f1_i, CAST(o_orderkey % 3 AS INTEGER) AS f1_v, 1 AS f2_i, CAST(o_custkey % 3 AS INTEGER) AS f2_v, CASE o_orderkey % 2 + 1 WHEN 1 THEN '0' ELSE '1' END AS l, count(*) AS n FROM orders GROUP BY ALL)")
 def label_recode(spark, sf_dir):
-    label = F.col("o_orderkey") % 2 + 1
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sid"), F.when(label == 1, "0").when(label == 2, "1").otherwise(F.raise_error(F.lit("unknown label"))).alias("l"))
+    """Labels 1 and 2 become '0' and '1' in sparse models; any other would be an error."""
+    g = F.array((F.col("o_orderkey") % 3).cast("int"), (F.col("o_custkey") % 3).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("label"), g.alias("g"))
+    return pairs.sparse_models(rows, 2)
 
 
-@query("SELECT o_orderkey AS sid, o_orderkey % 5 AS v, o_custkey % 3 AS label FROM orders WHERE o_orderkey % 5 IN (0, 1, 2) AND o_custkey % 3 IN (0, 1)")
+@query("SELECT 0 AS f1, 1 AS f2, v1, v2, count(*) FILTER (label = 0) AS ctl, count(*) FILTER (label = 1) AS cas FROM (SELECT CAST(o_orderkey % 5 AS INTEGER) AS v1, CAST(o_custkey % 4 AS INTEGER) AS v2, o_custkey % 3 AS label FROM orders) WHERE v1 < 3 AND v2 < 3 AND label < 2 GROUP BY ALL")
 def genotype_domain_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_orderkey") % 5).alias("v"), (F.col("o_custkey") % 3).alias("label"))
-    return rows.where("v IN (0, 1, 2) AND label IN (0, 1)")
+    """Codes over 2 and labels over 1 fall in no cell."""
+    g = F.array((F.col("o_orderkey") % 5).cast("int"), (F.col("o_custkey") % 4).cast("int"))
+    return pairs.pair_cells(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_custkey") % 3).cast("int").alias("label"), g.alias("g")), 2)
 
 
 @query("""SELECT page_id, string_split(string_split(url, '://')[2], '/')[1] AS host, string_split(url, '/')[-1] AS last, string_split(string_split(string_split(url, '/')[-1], '?')[1], '.')[1] AS stem, lpad(CAST(page_id AS VARCHAR), 7, '0') AS padded, right(url, 10) AS tail, len(string_split(url, '/')) - 1 AS slashes FROM pages""")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NETWORK = "snp1 string, snp2 string, ig double, mi double"
+#: Fixed value: what stands for the rank of the unpermuted row in collated files.
+REAL = "=====>"
 REPORT = "metric_row string, precision double, recall double, f1 double, support double"
 
 
@@ -61,16 +63,31 @@ def read_index_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFram
     return rows.select(F.col("f1").cast("int").alias("f1"), F.col("f2").cast("int").alias("f2"))
 
 
+def read_named_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(snp1, snp2) of a headless edge list: its first two columns, whatever follows."""
+    p = F.split("value", sep, -1)
+    return spark.read.text(path).where(F.trim("value") != "").select(F.trim(p[0]).alias("snp1"), F.trim(F.get(p, F.lit(1))).alias("snp2"))
+
+
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("snp string").csv(path)
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """REPORT rows of all files under a path or pattern, with the file's name."""
-    rows = spark.read.schema(REPORT).option("header", True).csv(path)
+def read_reports(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """REPORT rows of all files under a path or pattern, with the file's name. ``keys`` name further
+    index columns behind the first (component, cohort)."""
+    first, rest = REPORT.split(", ", 1)
+    rows = spark.read.schema(", ".join([first, *[f"{k} string" for k in keys or []], rest])).option("header", True).csv(path)
     return rows.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
+def read_permutation_report(spark: SparkSession, path: str, columns: str, sep: str = "\t") -> DataFrame:
+    """Ranked rows of a collated file: rank int (null for the unpermuted row), is_real, ``columns``."""
+    rows = spark.read.schema(f"rank string, {columns}").option("header", True).option("sep", sep).option("mode", "FAILFAST").csv(f"{path}/ranked")
+    real = F.col("rank") == REAL
+    return rows.select(F.when(~real, F.col("rank").cast("int")).alias("rank"), real.alias("is_real"), *rows.columns[1:])
+
+
 def read_lines(spark: SparkSession, folder: str, suffix: str = ".txt", pattern: str | None = None) -> DataFrame:
     """(file, value): lines of all files with the suffix under a folder, at any depth; those that
     match ``pattern`` if given; blank lines are skipped."""
@@ -98,6 +115,25 @@ def write_parts(df: DataFrame, path: str, *keys: str, fmt: str = "parquet") -> N
     df.repartition(*keys).write.partitionBy(*keys).format(fmt).save(path)
 
 
+def write_matrix(df: DataFrame, path: str, names: list[str], column: str = "g", label: str = "label", keys: tuple[str, ...] = ("sid",), header: bool = True, sep: str = "\t", place: int | None = None) -> None:
+    """A matrix (sid, label, array ``column``) as text in the order of ``keys``: a column for each name and
+    the label, last or at ``place``."""
+    cells = [F.get(column, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    cells.insert(len(cells) if place is None else place, F.col("label").alias(label))
+    df.orderBy(*keys).select(*cells).write.option("header", header).option("sep", sep).csv(path)
+
+
+def write_report(report: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """REPORT rows as headed CSV, the row's name (and ``keys``) first."""
+    rows = report.select(F.col("metric_row").alias("row"), *(keys or []), "precision", "recall", F.col("f1").alias("f1-score"), "support")
+    rows.write.option("header", True).csv(path)
+
+
+def write_statistics(stats: DataFrame, path: str, sep: str = "\t") -> None:
+    """Statistics of a threshold sweep as headed text, the highest threshold first."""
+    stats.orderBy(F.desc("th")).write.option("header", True).option("sep", sep).csv(path)
+
+
 def write_models(models: DataFrame, path: str) -> None:
     """Sparse pair models as headed CSV, in the order of their keys."""
     models.orderBy(*[c for c in models.columns if c != "n"]).write.option("header", True).csv(path)
@@ -111,11 +147,11 @@ def write_top_models(top: DataFrame, path: str, level: str = "n_attributes") ->
 
 def write_permutation_report(ranked: DataFrame, p_values: DataFrame, states: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
     """The collated file of a permutation study, in three folders: ``warning`` has a line if results
-    are missing, ``ranked`` the rows in rank order (the unpermuted row's rank is written ``=====>``),
+    are missing, ``ranked`` the rows in rank order (the unpermuted row's rank is written as REAL),
     ``p_values`` the block of p-values."""
     warning = states.where("NOT complete").select(F.concat_ws(" ", F.lit("partial results:"), F.col("found").cast("string"), F.lit("of"), F.col("expected").cast("string"), F.lit("rows")).alias("value"))
     warning.write.text(f"{path}/warning")
-    rows = ranked.orderBy("rank", F.desc("is_real")).select(F.when(F.col("is_real"), "=====>").otherwise(F.col("rank").cast("string")).alias("rank"), *columns)
+    rows = ranked.orderBy("rank", F.desc("is_real")).select(F.when(F.col("is_real"), REAL).otherwise(F.col("rank").cast("string")).alias("rank"), *columns)
     rows.write.option("header", True).option("sep", sep).csv(f"{path}/ranked")
     p_values.orderBy("p_value").select(*columns, F.format_string("%.4f", "p_value").alias("p_value")).write.option("header", True).option("sep", sep).csv(f"{path}/p_values")
 

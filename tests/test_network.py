@@ -314,7 +314,7 @@ def test_streamed_cells_add_up(spark, rows, tmp_path):
 
 @pytest.mark.parametrize("most", [10_000, 2])
 def test_short_and_null_arrays_meet_every_edge(spark, monkeypatch, most):
-    monkeypatch.setattr(pairs, "LITERAL_EDGES", most)
+    monkeypatch.setattr(pairs, "PACKED_EDGES", most)
     m = spark.createDataFrame([(1, 1, [0, 1, 2]), (2, 0, [0]), (3, 1, None), (4, 0, [])], "sid long, label int, g array<int>")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 0)], "f1 int, f2 int")
     met = [(r.sid, r.f1, r.f2) for r in pairs.at_edges(m, edges).collect()]
