@@ -24,10 +24,12 @@ def _lines(text: Column) -> Column:
 def window_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(id, own, at, h1, h2): each window of LINES lines, or of all lines if these are fewer (an empty
     text has none); own is a hash of the whole text."""
-    lines = _lines(F.col(text_col))
-    n = F.size(lines)
-    shifted = [F.when(n >= LINES, F.slice(lines, 1 + i, F.greatest(n - (LINES - 1), F.lit(0)))).otherwise(F.array(F.get(lines, F.lit(i)))).alias(f"l{i}") for i in range(LINES)]
-    each = docs.where(F.col(text_col) != "").select("id", F.xxhash64(text_col).alias("own"), F.least(n, F.lit(LINES)).alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
+    rows = docs.where(F.col(text_col) != "").select("id", F.xxhash64(text_col).alias("own"), _lines(F.col(text_col)).alias("lines"))
+    none = F.array_repeat(F.lit(None).cast("string"), LINES)
+    few = F.size("lines") < LINES
+    rows = rows.select("id", "own", F.least(F.size("lines"), F.lit(LINES)).alias("n"), F.when(few, F.slice(F.concat("lines", none), 1, LINES)).otherwise(F.col("lines")).alias("lines"))
+    shifted = [F.slice("lines", 1 + i, F.size("lines") - (LINES - 1)).alias(f"l{i}") for i in range(LINES)]
+    each = rows.select("id", "own", "n", F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
     parts = [F.col("n"), *[F.col(f"w.l{i}") for i in range(LINES)]]
     return each.select("id", "own", "at", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
 
