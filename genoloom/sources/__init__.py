@@ -74,11 +74,11 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
-    """REPORT rows of all files under a path or pattern, with the file's name. ``keys`` name further
-    index columns behind the first (component, cohort)."""
+    """REPORT rows of all files under a path or pattern, with each one's name (file) and path. ``keys``
+    name further index columns behind the first (component, cohort)."""
     first, rest = REPORT.split(", ", 1)
     rows = spark.read.schema(", ".join([first, *[f"{k} string" for k in keys or []], rest])).option("header", True).csv(path)
-    return rows.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return rows.withColumn("path", F.col("_metadata.file_path")).withColumn("file", F.element_at(F.split("path", "/"), -1))
 
 
 def read_permutation_report(spark: SparkSession, path: str, columns: str, sep: str = "\t") -> DataFrame:

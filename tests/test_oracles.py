@@ -3,6 +3,7 @@
 import pytest
 from conftest import same_rows
 
+import genoloom.plans.files  # noqa: F401  registers its queries
 from genoloom.plans.queries import ORACLES, QUERIES
 
 
