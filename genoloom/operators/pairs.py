@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions import entropy
@@ -154,6 +154,28 @@ def pair_gains(m: DataFrame, width: int, keys: list[str] | None = None, left: ra
     return rows.select(*group, (mi - m1 - m2).alias("ig"), mi.alias("mi"), m1.alias("main_f1"), m2.alias("main_f2"))
 
 
+def covariate_weights(m: DataFrame, covariate: str) -> DataFrame:
+    """``m`` with a column weight under which label and covariate are independent.
+
+    A row of level s and label y weighs n(s) * n(y) / (n * n(s, y)), so every level has the share of
+    cases of all rows and the sums of weights by level and by label stay counts. Rows with another
+    label than 0 and 1 are left out; a null level is a level.
+    """
+    rows = m.where("label IN (0, 1)")
+    both = rows.groupBy(F.col(covariate).alias("_s"), F.col("label").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    by = lambda *c: F.sum("_n").over(Window.partitionBy(*c))
+    total = both.agg(F.sum("_n").alias("_all"))
+    weights = both.crossJoin(F.broadcast(total)).withColumn("weight", by("_s") * by("_y") / (F.col("_all") * F.col("_n"))).drop("_n", "_all")
+    return rows.join(weights, F.col(covariate).eqNullSafe(F.col("_s")) & (F.col("label") == F.col("_y"))).drop("_s", "_y")
+
+
+def adjusted_gains(m: DataFrame, width: int, covariate: str) -> DataFrame:
+    """What ``pair_gains`` gives, adjusted for a covariate: rows count by their ``covariate_weights``."""
+    rows = exploded_pairs(covariate_weights(m, covariate), width, keys=["weight"]).where("v1 IN (0, 1, 2) AND v2 IN (0, 1, 2)")
+    of = lambda y: F.sum(F.when(F.col("label") == y, F.col("weight")).otherwise(0.0))
+    return gain(rows.groupBy("f1", "f2", "v1", "v2").agg(of(0).alias("ctl"), of(1).alias("cas")))
+
+
 def sparse_models(m: DataFrame, width: int) -> DataFrame:
     """(f1_i, f1_v, f2_i, f2_v, l, n): observed genotype pairs by label; 1 is '0', 2 is '1', any other
     label is an error."""

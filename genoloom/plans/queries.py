@@ -493,6 +493,21 @@ def explicit_test(spark, sf_dir):
     return rounded(search.explicit_test(matrix(spark, sf_dir), WIDTH, 5, SEED), "ig")
 
 
+ADJUSTED_SQL = GAIN_SQL.replace(
+    CELLS_SQL,
+    f"""{M_SQL}, {P_SQL}, lev AS (SELECT sid // 3 % 4 AS s, label, count(*) AS n FROM m GROUP BY ALL),
+wt AS (SELECT s, label, sum(n) OVER (PARTITION BY s) * sum(n) OVER (PARTITION BY label) / (sum(n) OVER () * n) AS weight FROM lev),
+cells AS (SELECT f1, f2, g[f1 + 1] AS v1, g[f2 + 1] AS v2, coalesce(sum(weight) FILTER (m.label = 0), 0) AS ctl, coalesce(sum(weight) FILTER (m.label = 1), 0) AS cas FROM m JOIN wt ON wt.s = sid // 3 % 4 AND wt.label = m.label, p GROUP BY ALL)""",
+)
+
+
+@query(f"WITH {ADJUSTED_SQL} SELECT f1, f2, round(mi - main_f1 - main_f2, 8) AS ig, round(mi, 8) AS mi FROM gains")
+def covariate_adjusted_ig(spark, sf_dir):
+    """Gains in which label and a covariate of four levels are made independent."""
+    m = matrix(spark, sf_dir).withColumn("level", F.expr("sid DIV 3 % 4"))
+    return pairs.adjusted_gains(m, WIDTH, "level").select("f1", "f2", F.round("ig", 8).alias("ig"), F.round("mi", 8).alias("mi"))
+
+
 CV_SQL = KWAY_SQL.split("n AS (SELECT")[0] + f"""folds AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {FOLD_SQL}, sid) - 1) % 5 AS fold FROM m),
 c AS (SELECT attributes, n_attributes, g[i + 1] AS x, g[j + 1] AS y, g[k + 1] AS z, fold, count(*) FILTER (label = 0) AS ctl, count(*) FILTER (label = 1) AS cas FROM folds, a GROUP BY ALL),
 r AS (SELECT t, attributes, n_attributes, x, y, z, coalesce(sum(ctl) FILTER (fold <> t), 0) AS r0, coalesce(sum(cas) FILTER (fold <> t), 0) AS r1, coalesce(sum(ctl) FILTER (t = -1 OR fold = t), 0) AS t0, coalesce(sum(cas) FILTER (t = -1 OR fold = t), 0) AS t1 FROM c, range(-1, 5) f(t) GROUP BY ALL),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from genoloom import functions as fn
 from genoloom import sources
-from genoloom.operators import graph, learn, pairs, reports, search, splits
+from genoloom.operators import graph, learn, order, pairs, reports, search, splits
+from genoloom.plans.study import study
+from genoloom.scratch import stage
 from genoloom.streaming import streamed_cells
 
 M = "sid long, label int, g array<int>"
@@ -324,3 +326,142 @@ def test_short_and_null_arrays_meet_every_edge(spark, monkeypatch, most):
     assert dd == dict.fromkeys((1, 2, 3, 4), [3, 2, 3])
     signs = pairs.cell_signs(m, edges).collect()
     assert sum((r.f1, r.f2, r.v1, r.v2) == (0, 1, 0, None) for r in signs) == 1 and len(signs) == 8
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_delta_degrees_keep_subjects_where_they_are(spark, rows, monkeypatch, most):
+    """No subject is shuffled, however many parts the network has."""
+    monkeypatch.setattr(pairs, "PACKED_EDGES", most)
+    m = spark.createDataFrame([r for r in rows if r[1] in (0, 1)], M)
+    e = spark.createDataFrame([(0, 1), (1, 2), (0, 1), (3, 3), (2, 3)], "f1 int, f2 int")
+    signs = stage(pairs.cell_signs(m, e), "signs")
+    found = pairs.delta_degrees(m, e, signs, 4)
+    sign = {(r.f1, r.f2, r.v1, r.v2): r.sign for r in signs.collect()}
+    for r in found.join(m.select("sid", "g"), "sid").collect():
+        want = [0] * 4
+        for i, j in ((0, 1), (1, 2), (0, 1), (3, 3), (2, 3)):
+            s = 1 if None in (r.g[i], r.g[j]) else sign.get((i, j, r.g[i], r.g[j]), 1)
+            want[i] += s
+            want[j] += s
+        assert r.dd == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sid" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x) and "SortMergeJoin [sid" not in plan
+
+
+def test_sums_before_every_row(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), rng.randrange(1000), i, rng.randrange(4)) for i in range(3000)]
+    got = {r.i: r.before for r in order.sum_before(spark.createDataFrame(rows, "a int, b int, i int, w int").repartition(7), [F.desc("a"), F.asc("b"), F.asc("i")], F.col("w"), "before").collect()}
+    total, want = 0, {}
+    for _, _, i, w in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
+        want[i] = total
+        total += w
+    assert got == want
+    assert order.sum_before(spark.createDataFrame([], "a int"), [F.asc("a")], F.lit(1), "n").count() == 0
+
+
+def test_grouped_permutation_ranks(spark):
+    rows = [(k, i * 7 % 40, i % 9 == 0) for k in ("x", "y", None) for i in range(40)]
+    got = search.permutation_rank(spark.createDataFrame(rows, "k string, v int, is_real boolean"), [F.desc("v")], by=["k"]).collect()
+    for r in got:
+        assert r["rank"] == 1 + sum(k == r.k and v > r.v and not real for k, v, real in rows)
+    assert len(got) == len(rows)
+
+
+def test_permuted_gains_are_those_of_each_permutation(spark, rows, monkeypatch):
+    monkeypatch.setattr(search, "COUNTED", 2)
+    m = spark.createDataFrame(rows, M)
+    got = {(r.perm, r.f1, r.f2): round(r.ig, 9) for r in search.permuted_gains(m, 4, 3, 9, start=5).collect()}
+    want = {(r.perm, r.f1, r.f2): round(r.ig, 9) for r in pairs.pair_gains(search.permuted(m, 3, 9, 5), 4, keys=["perm"]).collect()}
+    assert got == want and {k[0] for k in got} == {5, 6, 7}
+
+
+def test_explicit_test_keeps_main_effects(spark):
+    """A pure interaction is found; a label that follows one feature alone gives no interaction."""
+    rng = random.Random(6)
+    rows = []
+    for s in range(600):
+        g = [rng.randrange(3) for _ in range(4)]
+        rows.append((s, int((g[0] + g[1]) % 3 == 0), g))
+    got = {(r.f1, r.f2): r for r in search.explicit_test(spark.createDataFrame(rows, M), 4, 9, 3).collect()}
+    assert got[0, 1].p_value == 0.1 and got[0, 1].n_above == 0 and sum(r.p_value > 0.1 for r in got.values()) >= 3
+
+
+def test_cross_validation_by_hand(spark):
+    rng = random.Random(9)
+    rows = [(s, rng.randrange(2), [rng.randrange(3) for _ in range(3)], rng.randrange(3)) for s in range(90)]
+    m = spark.createDataFrame(rows, "sid long, label int, g array<int>, fold int")
+    got = {r.attributes: r for r in search.kway_cross_validated(m, 3, [1, 2], 3).collect()}
+
+    def balanced(cols, train, test):
+        cells, n = {}, [sum(y == k for _, y, _, _ in train) for k in (0, 1)]
+        for _, y, g, _ in train:
+            cells.setdefault(tuple(g[c] for c in cols), [0, 0])[y] += 1
+        high = {c for c, (a, b) in cells.items() if b * n[0] > a * n[1]}
+        hit = [sum((tuple(g[c] for c in cols) in high) == bool(k) for _, y, g, _ in test if y == k) for k in (0, 1)]
+        size = [sum(y == k for _, y, _, _ in test) for k in (0, 1)]
+        return sum(h / s for h, s in zip(hit, size, strict=True)) / 2
+
+    wins = dict.fromkeys(got, 0)
+    scores = {}
+    for name in got:
+        cols = [int(c) for c in name.split(",")]
+        scores[name] = []
+        for k in range(3):
+            train, test = [r for r in rows if r[3] != k], [r for r in rows if r[3] == k]
+            scores[name].append((balanced(cols, train, train), balanced(cols, train, test)))
+        r = got[name]
+        assert (r.cv_training, r.cv_testing) == pytest.approx(tuple(sum(x) / 3 for x in zip(*scores[name], strict=True)))
+        assert r.overall == pytest.approx(balanced(cols, rows, rows))
+    for k in range(3):
+        for size in (1, 2):
+            wins[min((n for n in scores if n.count(",") == size - 1), key=lambda n: (-round(scores[n][k][0], 9), n))] += 1
+    assert {n: r.cvc for n, r in got.items()} == wins
+
+
+def test_covariates_are_made_independent(spark, rows):
+    m = spark.createDataFrame([(s, y, g, None if s % 7 == 0 else s % 3) for s, y, g in rows], M + ", level int")
+    w = pairs.covariate_weights(m, "level").collect()
+    share = {k: sum(r.weight for r in w if r.level == k and r.label == 1) / sum(r.weight for r in w if r.level == k) for k in {r.level for r in w}}
+    assert len(share) == 4 and max(share.values()) - min(share.values()) < 1e-9
+    assert sum(r.weight for r in w) == pytest.approx(len(w)) and len(w) == sum(y in (0, 1) for _, y, _ in rows)
+    flat = {(r.f1, r.f2): r.ig for r in pairs.adjusted_gains(m.withColumn("level", F.lit(1)), 4, "level").collect()}
+    assert flat == {(r.f1, r.f2): pytest.approx(r.ig) for r in pairs.pair_gains(m, 4).collect()}
+
+
+def test_networks_merge(spark):
+    one = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.1)], "a string, b string, ig double")
+    two = spark.createDataFrame([("b", "a", 0.7), ("c", "d", 0.2), ("d", "c", 0.3)], "a string, b string, ig double")
+    assert sorted(tuple(r) for r in graph.merge_networks([one, two], "ig", 0.2).collect()) == [("a", "b", 0.7), ("c", "d", 0.3)]
+
+
+def test_study_finds_the_planted_pair(spark):
+    rng = random.Random(2)
+    rows = []
+    for s in range(300):
+        g = [rng.randrange(3) for _ in range(5)]
+        rows.append((s, int((g[1] + g[3]) % 3 == 0), g))
+    m = spark.createDataFrame(rows, M)
+    got = study(m, list("vwxyz"), 0.3, 2, 2, kinds=("decisionTree",)).collect()
+    assert {(r.component, r.features, r.cohort) for r in got} == {(0, f, c) for f in ("raw", "delta") for c in ("train", "test")}
+    best = [r.precision for r in got if r.metric_row == "accuracy" and r.cohort == "test"]
+    assert len(got) == 20 and min(best) > 0.8
+    assert study(m, list("vwxyz"), 0.99999, 6, 2).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from genoloom import scratch
+
+    class Cluster:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "x"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda key: None)}))
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Cluster)
+    assert scratch.shared_dir(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert stage(spark.range(3), "x").count() == 3 and spark.conf.get(key) == "false"
