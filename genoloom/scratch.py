@@ -40,23 +40,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: What holds while a query of ours runs: shuffle files end with it, and Python workers get Arrow
+#: batches that are small beside an executor's memory.
+SCOPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 @contextlib.contextmanager
-def _shuffles_end(spark: SparkSession):
-    """Queries in here delete their shuffle files when they end."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def scoped(spark: SparkSession):
+    """Queries that run in here have SCOPED; the session's own values come back after them."""
+    before = {key: spark.conf.get(key, None) for key in SCOPED}
     try:
+        for key, value in SCOPED.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again (its lineage ends there)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _shuffles_end(spark):
+    with scoped(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._genoloom_path = path

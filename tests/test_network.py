@@ -463,5 +463,5 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError):
         scratch.shared_dir(Cluster)
     assert scratch.shared_dir(spark)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    assert stage(spark.range(3), "x").count() == 3 and spark.conf.get(key) == "false"
+    before = {key: spark.conf.get(key) for key in scratch.SCOPED}
+    assert stage(spark.range(3), "x").count() == 3 and before == {key: spark.conf.get(key) for key in scratch.SCOPED} != scratch.SCOPED
