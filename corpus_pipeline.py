@@ -7,7 +7,7 @@ on ids: rows with a null id, an id that other texts have, or copies of a row are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
@@ -35,12 +35,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text without words is a component of its own in every row, so each such row stays.
     """
     tagged = docs.withColumn("_tag", F.xxhash64(*COLUMNS))
-    found = jaccard_join.jaccard_components(tagged, id_col="_tag").dropDuplicates(["doc_id"]).join(tagged.select(F.col("_tag").alias("doc_id"), F.col("doc_id").alias("_id")).dropDuplicates(["doc_id"]), "doc_id")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("doc_id").alias("_tag"), "n_shingles"))
-    kept = found.groupBy("component_id").agg(first.alias("first")).select("first._tag", "first.n_shingles")
-    # Equal rows share a tag; one of them stays.
-    nth = F.row_number().over(Window.partitionBy("_tag").orderBy("_tag"))
-    return tagged.join(kept, "_tag").withColumn("_nth", nth).where("n_shingles = 0 OR _nth = 1").select(*COLUMNS)
+    found = jaccard_join.jaccard_components(tagged, id_col="_tag").groupBy("doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("rows"))
+    ids = tagged.groupBy(F.col("_tag").alias("doc_id")).agg(F.min("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("doc_id").alias("_tag"), "n_shingles", "rows"))
+    kept = found.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select("first._tag", F.expr("first.n_shingles > 0 AND first.rows > 1").alias("_many"))
+    rows = tagged.join(kept, "_tag")
+    # Of equal rows one stays, but for those without words.
+    return rows.where("NOT _many").select(*COLUMNS).unionByName(rows.where("_many").select(*COLUMNS).dropDuplicates())
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
