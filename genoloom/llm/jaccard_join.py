@@ -42,7 +42,7 @@ from genoloom.llm import textscan as ts
 from genoloom.llm.hot import join_groups
 from genoloom.llm.warc import store_of
 from genoloom.operators.graph import connected_components
-from genoloom.scratch import drop, new_path, stage
+from genoloom.scratch import drop, new_path, scoped, stage
 
 #: Groups of the count vectors; counters of the rarity sketch; points of a leaf; children of a box.
 GROUPS, SKETCH, LEAF, FAN = 256, 1 << 20, 16, 8
@@ -208,7 +208,8 @@ def rarity_sketch(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()])], names=["part", "counts"])
 
     shape = "part long, counts binary"
-    found = sets.select("shingles").where("n_shingles > 0").mapInArrow(count, shape).repartition(SKETCH_PARTS, "part").mapInArrow(add, shape).collect()
+    with scoped(sets.sparkSession):
+        found = sets.select("shingles").where("n_shingles > 0").mapInArrow(count, shape).repartition(SKETCH_PARTS, "part").mapInArrow(add, shape).collect()
     out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int32)
     for part, data in found:
         out[part] = np.frombuffer(data, np.int32)
@@ -277,7 +278,9 @@ def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     shape = "part long, bits binary"
     bits = np.zeros((16, FILTER_BITS // 8 // 16), np.uint8)
-    for k, data in rows.select("node").mapInArrow(mark, shape).repartition(4, "part").mapInArrow(either, shape).collect():
+    with scoped(sets.sparkSession):
+        found = rows.select("node").mapInArrow(mark, shape).repartition(4, "part").mapInArrow(either, shape).collect()
+    for k, data in found:
         bits[k] = np.frombuffer(data, np.uint8)
     held = sets.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
