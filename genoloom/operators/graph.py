@@ -17,13 +17,18 @@ def _same(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(h)).first())
 
 
+def _joined(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """(v, m) of each edge (u, v) and the row (u, m) of its node."""
+    return edges.select(F.struct("u").alias("k"), "v").join(low.select(F.struct("u").alias("k"), "m"), "k").select("v", "m")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node reachable; nodes are those of any edge.
 
     Alternating large-star and small-star rounds: every round re-hangs neighbours on the smallest
     node seen, so paths shorten geometrically and a hub costs one row per neighbour, never a pair.
-    Minima are pre-aggregated before each shuffle, and the join back splits hot hubs (adaptive skew
-    join). Each round is cut by a table in the shared folder. Null ends are dropped; a self edge
+    Minima are pre-aggregated before each shuffle. They are joined back on the node in a struct, so
+    that both sides are dealt out anew and adaptive execution can split a hot hub. Each round is cut by a table in the shared folder. Null ends are dropped; a self edge
     keeps its node as a component of its own.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
@@ -34,9 +39,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _joined(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = _joined(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(hung.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
         seen = _same(new)
         if kept is not e:
