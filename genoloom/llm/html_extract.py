@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
-from genoloom.llm.hot import few
+from genoloom.operators.hot import few
 from genoloom.scratch import stage
 
 #: Tokens of a run; pages and code points of a suffix array, about.

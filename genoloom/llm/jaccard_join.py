@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
-from genoloom.llm.hot import join_groups
+from genoloom.operators.hot import join_groups
 from genoloom.llm.warc import store_of
 from genoloom.operators.graph import connected_components
 from genoloom.scratch import drop, new_path, scoped, stage

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.hot import join_groups
+from genoloom.operators.hot import join_groups
 from genoloom.scratch import stage
 
 LINES = 3

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from genoloom.llm.hot import few
+from genoloom.operators.hot import few
 from genoloom.scratch import drop, stage
 
 #: Classes of row size; hash values of each, at least; rows of a class that one task orders, about.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.hot import join_groups
+from genoloom.operators.hot import join_groups
 from genoloom.scratch import new_path, stage
 
 #: Plain bytes of a frame; payloads of fewer bytes are never deduplicated.

@@ -391,7 +391,7 @@ def test_quality_takes_clashing_columns_and_no_rows(spark):
 
 
 def test_hot_keys_join_like_others(spark, monkeypatch):
-    from genoloom.llm import hot
+    from genoloom.operators import hot
 
     rows = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 3), (3, 1), (None, 4), (4, 12)) for i in range(n)], "k int, i int")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least")).where("n > 1")
@@ -433,7 +433,7 @@ def left_lines(rows):
 
 
 def test_lines_match_brute_force(spark, monkeypatch):
-    from genoloom.llm import hot
+    from genoloom.operators import hot
 
     rows = [(i, t, "en") for i, t in enumerate(["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb", "", None, "l\nl\nl\nl\nl", "a\nb\nc\nd", "b\nc\nd\ne\n", "p\na\nb\nc\nd\nq", "a\nb", "one line", "", "one line", "a", "a\n", "a\n", "one line\na\nb"])]
     want = {d: x for (d, *_), x in zip(rows, left_lines(rows), strict=True)}
