@@ -9,6 +9,8 @@ from genoloom.scratch import stage
 
 #: Keys of more rows are hot; so many hot keys are broadcast at most (if there were more, HOT doubles).
 HOT, BROADCAST_KEYS = 50_000, 20_000
+#: Bytes of text that a broadcast of few rows may hold.
+TEXT_BYTES = 16 << 20
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +31,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     return rows.join(few, keys).unionByName(cold)
 
 
-def few(table: DataFrame, most: int) -> DataFrame:
-    """``table`` as a broadcast if it has at most ``most`` rows; else as it is, for a shuffled join."""
+def few(table: DataFrame, most: int, text: str | None = None) -> DataFrame:
+    """``table`` as a broadcast if it has at most ``most`` rows; else as it is, for a shuffled join.
+
+    Rows must be narrow but for the column ``text``, of which a broadcast holds TEXT_BYTES at most; the
+    table should then be a written one.
+    """
+    if text:
+        n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+        return F.broadcast(table) if n <= most and size <= TEXT_BYTES else table
     rows = table.limit(most + 1).collect()
     return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= most else table

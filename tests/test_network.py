@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genoloom import functions as fn
 from genoloom import sources
-from genoloom.operators import graph, learn, order, pairs, reports, search, splits
+from genoloom.operators import graph, hot, learn, order, pairs, reports, search, splits
 from genoloom.plans.study import study
 from genoloom.scratch import stage
 from genoloom.streaming import streamed_cells
@@ -465,3 +465,21 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert scratch.shared_dir(spark)
     before = {key: spark.conf.get(key) for key in scratch.SCOPED}
     assert stage(spark.range(3), "x").count() == 3 and before == {key: spark.conf.get(key) for key in scratch.SCOPED} != scratch.SCOPED
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 3), (3, 1), (None, 4), (4, 12)) for i in range(n)], "k int, i int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least")).where("n > 1")
+    want = sorted((k, i, 0) for k, n in ((1, 30), (2, 3), (4, 12)) for i in range(n))
+    for top, keys in ((50_000, 20_000), (10, 20_000), (10, 1)):
+        monkeypatch.setattr(hot, "HOT", top)
+        monkeypatch.setattr(hot, "BROADCAST_KEYS", keys)
+        assert sorted((r.k, r.i, r.least) for r in hot.join_groups(rows, groups, ["k"]).collect()) == want
+
+
+def test_small_tables_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "ab"), (2, None)], "k int, t string")
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hint(hot.few(table, 2)) and not hint(hot.few(table, 1)) and hint(hot.few(table, 2, "t"))
+    monkeypatch.setattr(hot, "TEXT_BYTES", 1)
+    assert not hint(hot.few(table, 2, "t")) and hint(hot.few(table.limit(0), 2, "t"))
