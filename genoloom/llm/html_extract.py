@@ -388,7 +388,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     extra columns are ignored. scanned: see ``changed_pages``.
     """
     parsed = stage(parsed_pages(pages, id_col, url_col, html_col), "pages")
-    changed = few(stage(changed_pages(parsed, scanned), "changed"), BROADCAST_ROWS)
+    changed = few(stage(changed_pages(parsed, scanned), "changed"), BROADCAST_ROWS, "new_text")
     out = parsed.select("page_id", "url", "page", "text").join(changed, "page", "left")
     return out.select("page_id", "url", F.coalesce("new_text", "text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -260,20 +260,26 @@ def _swap(rows: DataFrame, path: str, touched: set[int]) -> None:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, keys: list[str]) -> None:
     """Write the shards that transfers touch as Parquet folders shard=N; untouched ones are left.
 
-    ``placed`` has all rows of ``docs`` with old, shard and slot. Rows meet null-safely on ``keys`` and
-    all other columns that both have, equal ones one by one; so what both have must tell apart rows
-    of different size or old shard.
+    ``placed`` has all rows of ``docs`` with old, shard and slot. If it has all their columns too, its
+    rows are written. Else rows meet null-safely on ``keys`` and all other columns that both have,
+    equal ones one by one (numbered in one task each, so very many should not be equal); what both
+    have must tell apart rows of different size or old shard.
     """
     touched = {r["shard"] for r in placed.where("old <> shard").select(F.explode(F.array("old", "shard")).alias("shard")).distinct().collect()}
     if not touched:
         return
-    both = [*keys, *[c for c in docs.columns if c in placed.columns and c not in (*keys, "old", "shard", "slot")]]
-    # Grouping takes nulls as equal, so a number among equals needs no key of its own.
-    nth = F.row_number().over(Window.partitionBy(*both).orderBy(F.lit(0)))
-    left = docs.withColumn("_nth", nth)
-    right = placed.withColumn("_nth", nth).where(F.col("shard").isin(*touched)).select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(both)], F.col("_nth").alias("_n"), "shard", "slot")
-    same = F.col("_nth") == F.col("_n")
-    for i, c in enumerate(both):
-        same &= F.col(c).eqNullSafe(F.col(f"_key{i}"))
-    rows = left.drop("old", "shard", "slot").join(right, same)
-    _swap(rows.select(*[c for c in docs.columns if c not in ("old", "shard", "slot")], "slot", "shard").repartition("shard").sortWithinPartitions("shard", "slot"), path, touched)
+    own = [c for c in docs.columns if c not in ("old", "shard", "slot")]
+    right = placed.where(F.col("shard").isin(*touched))
+    if set(own) <= set(placed.columns):
+        rows = right
+    else:
+        both = [*keys, *[c for c in own if c in placed.columns and c not in keys]]
+        # Grouping takes nulls as equal, so a number among equals needs no key of its own.
+        nth = F.row_number().over(Window.partitionBy(*both).orderBy(F.lit(0)))
+        left = docs.withColumn("_nth", nth)
+        right = placed.withColumn("_nth", nth).where(F.col("shard").isin(*touched)).select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(both)], F.col("_nth").alias("_n"), "shard", "slot")
+        same = F.col("_nth") == F.col("_n")
+        for i, c in enumerate(both):
+            same &= F.col(c).eqNullSafe(F.col(f"_key{i}"))
+        rows = left.drop("old", "shard", "slot").join(right, same)
+    _swap(rows.select(*own, "slot", "shard").repartition("shard", F.floor(F.col("slot") / BUCKET)).sortWithinPartitions("shard", "slot"), path, touched)

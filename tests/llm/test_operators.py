@@ -239,6 +239,10 @@ def test_rewrite_leaves_other_shards_and_repeats(spark, tmp_path):
     reshard.rewrite(docs.drop("old"), placed, path, ["doc_id"])
     got = sorted((r.shard, r.slot, r.doc_id or 0, r.text) for r in spark.read.parquet(path).collect())
     assert got == [(0, 0, 0, "x"), (0, 1, 1, "y"), (1, 0, 0, "x"), (1, 1, 1, "z"), (2, 0, 50, "kept")]
+    # Columns that the placement lacks come from the documents.
+    reshard.rewrite(docs.drop("old"), placed.drop("text").where("doc_id IS NOT NULL"), path, ["doc_id"])
+    got = sorted((r.shard, r.slot, r.doc_id or 0, r.text) for r in spark.read.parquet(path).collect())
+    assert (1, 1, 1, "z") in got and (2, 0, 50, "kept") in got
 
 
 # ---------------------------------------------------------------- 3 Jaccard join
@@ -390,18 +394,6 @@ def test_quality_takes_clashing_columns_and_no_rows(spark):
     assert quality_rules.quality(none).count() == 0
 
 
-def test_hot_keys_join_like_others(spark, monkeypatch):
-    from genoloom.operators import hot
-
-    rows = spark.createDataFrame([(k, i) for k, n in ((1, 30), (2, 3), (3, 1), (None, 4), (4, 12)) for i in range(n)], "k int, i int")
-    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least")).where("n > 1")
-    want = Counter((k, i, 0) for k, n in ((1, 30), (2, 3), (4, 12)) for i in range(n))
-    for top, keys in ((50_000, 20_000), (10, 20_000), (10, 1)):
-        monkeypatch.setattr(hot, "HOT", top)
-        monkeypatch.setattr(hot, "BROADCAST_KEYS", keys)
-        assert Counter((r.k, r.i, r.least) for r in hot.join_groups(rows, groups, ["k"]).collect()) == want
-
-
 def test_em_finds_planted_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(20_000) < 0.8
