@@ -6,7 +6,7 @@ twin takes the same rows from the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom import functions as fn
@@ -16,11 +16,14 @@ from genoloom.operators.graph import sweep_statistics
 from genoloom.plans.queries import CELLS_SQL, COHORT_SQL, F4_SQL, G_SQL, GAIN_SQL, KWAY_SQL, M_SQL, NAMES, RANK_SQL, REPORT_SQL, ROUND4, STATS_SQL, WIDTH, folded, kway_search, matrix, network, query, ranked_events, rounded, scored_labels, table
 from genoloom.scratch import new_path, stage
 
-G_COLS = [F.col("g")[i].alias(f"g{i}") for i in range(WIDTH)]
 PLACED_SQL = f"{M_SQL}, s AS (SELECT row_number() OVER (ORDER BY sid) - 1 AS place, * FROM m)"
 G_SELECT = "g[1] AS g0, g[2] AS g1, g[3] AS g2, g[4] AS g3"
 
 
+def _codes() -> list[Column]:
+    return [F.col("g")[i].alias(f"g{i}") for i in range(WIDTH)]
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str, **options) -> str:
     path = new_path(spark, name)
     sources.write_matrix(matrix(spark, sf_dir), path, **({"names": NAMES} | options))
@@ -34,14 +37,14 @@ def _written(spark: SparkSession, sf_dir: str, name: str, **options) -> str:
 def matrix_csv(spark, sf_dir):
     """A headed matrix with its label in the middle; rows are numbered by their place in the files."""
     m, _ = sources.read_matrix_csv(spark, _written(spark, sf_dir, "csv", label="Labels", sep=",", place=2))
-    return m.select(F.col("sid").alias("place"), "label", *G_COLS)
+    return m.select(F.col("sid").alias("place"), "label", *_codes())
 
 
 @query(f"WITH {PLACED_SQL} SELECT place, label, {G_SELECT} FROM s")
 def matrix_tsv(spark, sf_dir):
     """A headless numeric matrix, the label last."""
     m = sources.read_matrix_tsv(spark, _written(spark, sf_dir, "tsv", header=False))
-    return m.select(F.col("sid").alias("place"), "label", *G_COLS)
+    return m.select(F.col("sid").alias("place"), "label", *_codes())
 
 
 @query("SELECT 4 AS n_attributes, 'key,price,month,priority' AS names")
@@ -76,7 +79,7 @@ def simulated_sets(spark, sf_dir):
     sources.label_last(plain).write.option("header", True).csv(path)
     back, names = sources.read_matrix_csv(spark, path)
     assert names == NAMES
-    return back.where("sid % 2 = 0").select(F.col("sid").alias("place"), "label", *G_COLS)
+    return back.where("sid % 2 = 0").select(F.col("sid").alias("place"), "label", *_codes())
 
 
 @query(f"WITH {M_SQL}, f AS (SELECT label, g, (row_number() OVER (PARTITION BY label ORDER BY md5('25:' || sid), sid) - 1) % 5 AS fold FROM m) SELECT fold, label, g[1] AS key, g[2] AS price, g[3] AS month, g[4] AS priority, count(*) AS n FROM f GROUP BY ALL")
