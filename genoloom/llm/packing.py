@@ -275,13 +275,17 @@ def digests(packed: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for sequence, ids, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                flat = np.frombuffer(ids, ID_TYPE).astype("<u4")
-                for p in found:
-                    mine = flat[p["offset"] : p["offset"] + p["length"]]
-                    for column, x in zip(out, (p["doc_id"], p["start"], len(mine), zlib.crc32(mine.tobytes()), p["doc_tokens"], sequence, p["offset"]), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            sequence, ids, pieces = batch.columns
+            length = np.diff(pieces.offsets.to_numpy())
+            flat = pieces.flatten()
+            offset, size, doc, tokens, start = (flat.field(c) for c in ("offset", "length", "doc_id", "doc_tokens", "start"))
+            # All ids of the batch in one array of four bytes each; a piece is a slice of it.
+            whole = b"".join(ids.to_pylist())
+            data = memoryview(np.frombuffer(whole, ID_TYPE).astype("<u4")).cast("B")
+            first = np.cumsum([0, *(len(x) // ID_BYTES for x in ids.to_pylist())])[:-1]
+            at = 4 * (np.repeat(first, length) + offset.to_numpy())
+            to = at + 4 * size.to_numpy()
+            crc = [zlib.crc32(data[i:j]) for i, j in zip(at.tolist(), to.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([doc, start, size, pa.array(crc, pa.int64()), tokens, pa.array(np.repeat(sequence.to_numpy(), length)), offset], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return packed.mapInArrow(scan, DIGESTS)
