@@ -270,6 +270,20 @@ def network_sweep(spark, sf_dir):
     return graph.sweep_statistics(network(spark, sf_dir), "ig", SWEEP)[0]
 
 
+@query(f"""WITH {G_SQL}, t(th) AS (VALUES (0.015::DOUBLE), (0.02), (0.025)), te AS (SELECT th, a, b FROM e, t WHERE ig >= th),
+d AS (SELECT th, node, count(*) AS degree FROM (SELECT th, a AS node FROM te UNION ALL SELECT th, b FROM te) GROUP BY ALL)
+SELECT th, count(DISTINCT degree) AS degrees, count(DISTINCT degree) > 1 AS stationary FROM d GROUP BY th""")
+def power_law_fit(spark, sf_dir):
+    """Whether the fitted power law of the degrees is a least squares fit: both derivatives are 0 there."""
+    ths = F.array(*[F.lit(t) for t in (0.015, 0.02, 0.025)])
+    tagged = network(spark, sf_dir).select("a", "b", F.explode(F.filter(ths, lambda t: F.col("ig") >= t)).alias("th"))
+    h = stage(graph.degree_histogram(tagged, ["th"]), "histogram")
+    x, power = F.col("degree").cast("double"), F.pow(F.col("degree").cast("double"), -F.col("b"))
+    gap = F.col("a") * power - F.col("share")
+    sums = h.join(graph.power_law(h, ["th"]), "th").groupBy("th").agg(F.count(F.lit(1)).alias("degrees"), F.sum(gap * power).alias("by_a"), F.sum(-gap * F.col("a") * F.log(x) * power).alias("by_b"))
+    return sums.select("th", "degrees", F.coalesce((F.abs("by_a") < 1e-7) & (F.abs("by_b") < 1e-7), F.lit(False)).alias("stationary"))
+
+
 @query()
 def threshold_study(spark, sf_dir):
     """Statistics and power-law exponents at 76 thresholds, of the graph and its largest component."""
@@ -401,6 +415,13 @@ def cohort_pivot(spark, sf_dir):
     return rounded(wide, *[c for c in wide.columns if c != "metric_row"])
 
 
+@query(f"""WITH {M_SQL}, f AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY {FOLD_SQL}, sid) - 1) % 5 AS fold FROM m)
+SELECT model, CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS cohort, CASE label WHEN 0 THEN 'control' ELSE 'case' END AS metric_row, count(*)::DOUBLE AS support FROM f, (VALUES ('logisticRegression'), ('decisionTree'), ('randomForest')) k(model) GROUP BY ALL""")
+def ml_support(spark, sf_dir):
+    """How many controls and cases each classifier's reports are about."""
+    return ml_report(spark, sf_dir).where("metric_row IN ('control', 'case')").select("model", "cohort", "metric_row", "support")
+
+
 @query()
 def ml_report(spark, sf_dir):
     """Three classifiers on delta degrees learnt from training folds, scored on two cohorts."""
