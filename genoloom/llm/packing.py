@@ -6,7 +6,8 @@ whole input of the planner: it enumerates shallow combinations of lengths that f
 for non-negative repeat counts whose lengths add up to the histogram, rounds them down, and packs
 the remaining counts greedily (best fit, largest first, by counts of equal bins, so the work
 depends on the window and not on the rows). The plan says for each length where its 1st, 2nd, ...
-piece goes; pieces are numbered inside salted groups of their length and look their place up.
+piece goes. The task that cuts a text numbers its pieces of each length; counts of (task, length) put
+these numbers one behind the other, and each piece looks its place up where it is.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import textscan as ts
-from genoloom.scratch import drop, stage
+from genoloom.scratch import stage
 
 #: Triples are enumerated with one of so many most frequent lengths; combinations may waste SLACK ids.
 COMMON, SLACK = 48, 8
-#: Pieces of a length that one task numbers, and groups of a length at most (then groups are larger).
-GROUP, GROUPS = 500, 1_000_000
+#: Counts of (task, length) that are broadcast; those of more tasks are joined by a shuffle.
+NUMBERS = 300_000
 #: Bytes of an id in binary columns, and their numpy type.
 ID_BYTES, ID_TYPE = 2, "<u2"
 #: Texts up to this code point are encoded by the rank file of the same vocabulary (see Encoder).
@@ -65,35 +66,39 @@ class Encoder:
         return self.full.encode(text, add_special_tokens=False).ids
 
 
-PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
+PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long, part int, nth long"
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, ranks: str | None, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """PIECES rows (and ids binary if asked): each document's ids and end_id, cut at windows.
 
+    part is the task's number, nth counts its pieces of a length; both hold once the rows are written.
     ids are unsigned little-endian numbers of ID_BYTES each, which take half of what integers take.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(vocabulary, ranks)
+        encoder, seen, task = Encoder(vocabulary, ranks), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for part in ts.pieces(batch, "text"):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.array([*encoder.encode(text or ""), end_id], "<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
-                        for column, x in zip(out, (doc, len(ids), at, len(piece), zlib.crc32(piece.tobytes()), piece), strict=True):
+                        for column, x in zip(out, (doc, len(ids), at, len(piece), zlib.crc32(piece.tobytes()), seen[len(piece)], piece), strict=True):
                             column.append(x)
-                columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())]
+                        seen[len(piece)] += 1
+                columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()), pa.array([task] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64())]
                 if with_ids:
-                    if any(len(x) and x.max() >= 1 << 8 * ID_BYTES for x in out[5]):
+                    if any(len(x) and x.max() >= 1 << 8 * ID_BYTES for x in out[6]):
                         raise ValueError("an id does not fit ID_BYTES")
-                    columns.append(pa.array([x.astype(ID_TYPE).tobytes() for x in out[5]], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids"][: len(columns)])
+                    columns.append(pa.array([x.astype(ID_TYPE).tobytes() for x in out[6]], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_tokens", "start", "length", "ids_crc32", "part", "nth", "ids"][: len(columns)])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
@@ -213,29 +218,26 @@ def places(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[in
 
 
 def assign(pieces: DataFrame, window: int = 2048) -> DataFrame:
-    """``pieces`` (a table with length int and columns that order them) with sequence_id, offset long.
+    """A written table of PIECES (and ids), less part and nth, with sequence_id and offset long.
 
-    Pieces of one length may be most of all rows, so they are numbered in groups by a hash, each after
-    the groups before it. Equal rows take different places; which one is open.
+    Only counts of (task, length) are shuffled; a piece's rank among those of its length is its number
+    plus the counts of earlier tasks. Equal rows take different places.
     """
     spark = pieces.sparkSession
-    sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``window`` rows
+    counts = stage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    sizes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     packed = places(plan(sizes, window))
-    where = spark.createDataFrame([(k, -(-n // max(GROUP, -(-n // GROUPS))), [tuple(map(int, p)) for p in packed[k]]) for k, n in sorted(sizes.items())], "length int, _groups long, _places array<struct<first: long, sequence: long, copies: long, offset: long>>")
-    mine = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_groups"))
-    rows = pieces.join(F.broadcast(where.select("length", "_groups")), "length").withColumn("_group", mine)
-    per = rows.groupBy("length", "_group").count()
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    where = spark.createDataFrame([(k, [tuple(map(int, p)) for p in packed[k]]) for k in sorted(sizes)], "length int, _places array<struct<first: long, sequence: long, copies: long, offset: long>>")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     after = lambda i: F.get("_places", i + 1)["first"]
-    near = F.filter("_places", lambda p, i: (p["first"] < F.col("_before") + F.col("count")) & (F.coalesce(after(i), F.lit(2**62)) > F.col("_before")))
-    per = per.join(F.broadcast(where.select("length", "_places")), "length").select("length", "_group", "_before", near.alias("_near"))
-    rank = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "start", "ids_crc32"))
-    rows = rows.withColumn("_rank", rank - 1).join(per, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    near = F.filter("_places", lambda p, i: (p["first"] < F.col("_before") + F.col("n")) & (F.coalesce(after(i), F.lit(2**62)) > F.col("_before")))
+    per = stage(per.join(F.broadcast(where), "length").select("part", "length", "_before", near.alias("_near")), "numbers")
+    rows = pieces.join(F.broadcast(per) if per.count() <= NUMBERS else per, ["part", "length"]).withColumn("_rank", F.col("nth") + F.col("_before"))
     rows = rows.withColumn("_p", F.array_max(F.filter("_near", lambda p: p["first"] <= F.col("_rank"))))
     step = F.col("_rank") - F.col("_p.first")
     rows = rows.withColumns({"sequence_id": F.col("_p.sequence") + F.floor(step / F.col("_p.copies")), "offset": F.col("_p.offset") + F.pmod(step, F.col("_p.copies")) * F.col("length")})
-    return rows.select(*pieces.columns, "sequence_id", "offset")
+    return rows.select(*[c for c in pieces.columns if c not in ("part", "nth")], "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -245,12 +247,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int
     fill at most ``window`` ids; each id of a document lies in one piece. Null ids and repeated rows
     are packed like others; an empty table gives no rows; extra columns are ignored.
     """
-    pieces = stage(token_pieces(docs, vocabulary, ranks, window, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces")
-    out = assign(pieces, window)
-    if with_ids:  # the shuffles of assign() carry ids; they end here
-        out = stage(out, "assigned")
-        drop(pieces)
-    return out
+    return assign(stage(token_pieces(docs, vocabulary, ranks, window, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces"), window)
 
 
 def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -467,12 +467,14 @@ def test_nnls_solves_a_system():
     assert packing.solve_nnls(combos, lengths, counts, 3000) == pytest.approx([5, 5, 3], abs=1e-3)
 
 
-def test_pieces_round_trip(spark, documents):
+@pytest.mark.parametrize("numbers", [300_000, 3])
+def test_pieces_round_trip(spark, documents, monkeypatch, numbers):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "NUMBERS", numbers)
     full = Tokenizer.from_file(queries.vocabulary(queries.VOCABULARY))
     rows = odd_documents() + documents[:120] + [(900, "<|endoftext|> 中文 Ωμέγα ́x 𝒳 ʼn\u00a0\u2003 don't  \n\n 12ⅷ", None), (901, "x <|endoftext|> y", None), (902, "<|endoftext|><|endoftext", None)]
-    got = packing.pack(spark.createDataFrame(rows, DOCS), queries.vocabulary(queries.VOCABULARY), queries.vocabulary(queries.RANKS)).collect()
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(5), queries.vocabulary(queries.VOCABULARY), queries.vocabulary(queries.RANKS)).collect()
     want = Counter()
     for d, t, _ in rows:
         ids = np.array([*full.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
