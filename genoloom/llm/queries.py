@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators; each applies one to its whole table."""
+"""The registered queries of the twelve operators; each applies one to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, reshard, warc
+from genoloom.llm import best_fit, chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, reshard, warc, whitening
 from genoloom.scratch import new_path, stage
 
 #: Public vocabulary files; the first is the one that counts, the second the same as ranks.
@@ -172,8 +172,18 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.digests(best_fit.pack_online(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY), vocabulary(RANKS)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_resharding, op3_jaccard_join, op4_quality_rules, op5_line_dedup, op6_packing, op7_warc, op8_language_id, op9_html_extract, op10_decontaminate)
+    f.__name__: f for f in (op1_chat_format, op2_resharding, op3_jaccard_join, op4_quality_rules, op5_line_dedup, op6_packing, op7_warc, op8_language_id, op9_html_extract, op10_decontaminate, op11_embedding_whitening, op12_best_fit_packing)
 }
-#: Operators 2, 4, 6, 8 and 9 can't be stated in SQL; tests hold them against brute force.
+#: Operators 2, 4, 6, 8, 9, 11 and 12 can't be stated in SQL; tests hold them against brute force.
 ORACLES = {"op1_chat_format": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op10_decontaminate": OP10_SQL}
