@@ -134,14 +134,21 @@ def pair_counts(m: DataFrame, width: int, keys: list[str] | None = None, left: r
 def pair_gains(m: DataFrame, width: int, keys: list[str] | None = None, left: range | None = None, right: range | None = None) -> DataFrame:
     """What ``gain`` gives of ``pair_cells``, from one row a pair: one shuffle, then arithmetic.
 
-    A pair without any valid cell has 0 everywhere. The entropies are sums over an array of buckets
-    (cells, then the margins of either feature), so the plan's code stays small.
+    A pair without any valid cell has 0 everywhere.
+    """
+    return count_gains(pair_counts(m, width, keys, left, right), [*(keys or []), "f1", "f2"])
+
+
+def count_gains(counts: DataFrame, group: list[str]) -> DataFrame:
+    """(group, ig, mi, main_f1, main_f2) of rows with the counters c0..c8, d0..d8 of a pair.
+
+    Row by row, without a shuffle. The entropies are sums over an array of buckets (cells, then the
+    margins of either feature), so the plan's code stays small.
     """
-    group = [*(keys or []), "f1", "f2"]
     plus = lambda columns: reduce(lambda a, b: a + b, columns)
     ways = [*[("h", [k]) for k in range(9)], *[("h1", [3 * v, 3 * v + 1, 3 * v + 2]) for v in range(3)], *[("h2", [v, v + 3, v + 6]) for v in range(3)]]
     buckets = F.array(*[F.struct(F.lit(way).alias("way"), plus([F.col(f"c{k}") for k in ks]).cast("double").alias("ctl"), plus([F.col(f"d{k}") for k in ks]).cast("double").alias("cas")) for way, ks in ways])
-    rows = pair_counts(m, width, keys, left, right).select(*group, buckets.alias("b"), plus([F.col(c) for c in CELLS[:9]]).alias("all_ctl"), plus([F.col(c) for c in CELLS[9:]]).alias("all_cas"))
+    rows = counts.select(*group, buckets.alias("b"), plus([F.col(c) for c in CELLS[:9]]).alias("all_ctl"), plus([F.col(c) for c in CELLS[9:]]).alias("all_cas"))
     rows = rows.withColumn("ratio", F.try_divide(F.col("all_cas").cast("double"), F.col("all_ctl")))
     bits = lambda x: (x["ctl"] * F.col("ratio") + x["cas"]) * entropy(x["ctl"] * F.col("ratio"), x["cas"])
     rows = rows.withColumn("parts", F.transform("b", lambda x: F.struct(x["way"].alias("way"), F.coalesce(bits(x), F.lit(0.0)).alias("bits"))))

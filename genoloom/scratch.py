@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="genoloom-")
-            _MADE.append((spark, _OWN[app]))
+            _MADE.append((spark, f"{_OWN[app]}/genoloom"))
         found = _OWN[app]
     return found.rstrip("/")
 
@@ -40,6 +40,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses and that stays when this process ends."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 #: What holds while a query of ours runs: shuffle files end with it, and Python workers get Arrow
 #: batches that are small beside an executor's memory.
 SCOPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
