@@ -5,7 +5,7 @@ with a list of its items. A text contains a window only if it has all the window
 shingle is a sufficient prefix: the rarest by its count over all documents. Documents meet the index
 of these prefix shingles; each match gives a candidate start (the match less the shingle's place in
 its window), which must lie inside the text with the whole window (positional and length bound); the
-window's words are then compared one by one.
+window's words are then compared one by one, first by hash, then byte by byte.
 
 The index is broadcast, so its size is bounded: items are dealt into blocks whose arrays take about
 ``INDEX_BYTES``. A task cuts each text into words once and runs it against one block after another,
@@ -29,6 +29,15 @@ SHINGLE, INDEX_BYTES, WORD_BYTES, CHUNK = 3, 64 << 20, 64, 1 << 18
 U = np.uint64
 
 
+def _same_windows(a: ts.Words, at: np.ndarray, n: np.ndarray, b: ts.Words, to: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """True where the ``n`` words of ``a`` from ``at`` are the ``m`` words of ``b`` from ``to``, byte by byte."""
+    out = n == m
+    for j in range(int(n.max(initial=0))):
+        k = np.flatnonzero(out & (j < n))
+        out[k] = a.same_words(at[k] + j, b, to[k] + j)
+    return out
+
+
 class WindowIndex:
     """Distinct windows of a block of items, found by their rarest shingle."""
 
@@ -45,10 +54,17 @@ class WindowIndex:
             inside = j < length
             content[inside] = ts.mix(content[inside] + words.hash[start[inside] + j])
         content = ts.mix(content ^ length.astype(U))
-        _, first, window = np.unique(content, return_index=True, return_inverse=True)
+        while True:
+            _, first, window = np.unique(content, return_index=True, return_inverse=True)
+            window = window.reshape(-1)
+            other = np.flatnonzero(~_same_windows(words, start, length, words, start[first[window]], length[first[window]]))
+            if not len(other):
+                break
+            content[other] = ts.mix(content[other] + U(1))  # another window of the same hash
         self.ids, self.words = ids, words.hash
+        self.bytes, self.begin, self.size = words.bytes, words.start, (words.end - words.start)
         self.start, self.length = start[first], length[first].astype(np.int16)
-        pairs = np.unique(window.reshape(-1) * max(len(ids), 1) + item)
+        pairs = np.unique(window * max(len(ids), 1) + item)
         self.item, bounds = pairs % max(len(ids), 1), np.arange(len(first) + 1)
         self.items = np.searchsorted(pairs // max(len(ids), 1), bounds)
         self.kinds = sorted(set(np.minimum(self.length, SHINGLE).tolist()))
@@ -112,6 +128,16 @@ class WindowIndex:
             same = words.hash[np.where(inside, start + j, 0)] == self.words[np.where(inside, self.start[w] + j, 0)]
             ok = same | ~inside
             start, w = start[ok], w[ok]
+        # What has the same hashes is compared byte by byte.
+        for j in range(int(self.length.max()) if len(w) else 0):
+            inside = np.flatnonzero(j < self.length[w])
+            a, b = start[inside] + j, self.start[w[inside]] + j
+            size = self.size[b]
+            same = words.end[a] - words.start[a] == size
+            same[same] = ts.same_spans(words.bytes, words.start[a[same]], self.bytes, self.begin[b[same]], size[same])
+            ok = np.ones(len(w), bool)
+            ok[inside] = same
+            start, w = start[ok], w[ok]
         return start, w
 
 

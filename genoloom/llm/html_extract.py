@@ -57,6 +57,8 @@ RAW = "script style noscript template textarea title iframe svg select object ca
 ASIDE = frozenset("nav footer aside form header menu dialog button head fieldset".split())
 ARTICLE = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body br-block caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements of text, whose ids are the anchors of links and name their content.
+ANCHORS = frozenset("a b blockquote cite code dd dfn dt em figcaption h1 h2 h3 h4 h5 h6 i li mark p pre q span strong td th".split())
 #: Names of what is no article, as a part of a class or id; names that say so only if
 #: no other word stands beside them but words of layout; names of a page's own header; what an
 #: article element is if it is no article; words that tell of a layout with or without a part.
@@ -98,7 +100,7 @@ def _dropped(tag: str, attrs: str, inside: bool = False) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and tag not in ("html", "body") and _named(tag, value, inside):
+        if (name == "class" or name == "id" and tag not in ANCHORS) and tag not in ("html", "body") and _named(tag, value, inside):
             return True
         if name == "role" and value.lower() in ROLES:
             return True

@@ -10,12 +10,12 @@ the sum of two looked-up rows, so a batch of windows costs a few gathers and a m
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 4, 6), 12, 8
 #: each document (and a short beginning).
 DOCUMENTS, WINDOWS_EACH = 2400, 6
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 LETTER_BYTE = ts.byte_class(letters=True)
 LETTER_BYTE[48:58] = False

@@ -8,7 +8,7 @@ is on good and on bad texts. The posterior probability of good replaces "all rul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,25 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 
 
+def _classes(of: np.ndarray, h: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first item of each item's class: equal ``of``, ``h``, and by ``same`` (of two index arrays).
+
+    Items of one hash that are not the same are told apart by taking those that differ from the first
+    again and again, so hashes decide nothing.
+    """
+    out, live = np.arange(len(h)), np.arange(len(h))
+    while len(live):
+        order = live[np.lexsort((live, h[live], of[live]))]
+        new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])))
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = order != first
+        order, first = order[later], first[later]
+        equal = same(order, first)
+        out[order[equal]] = first[equal]
+        live = order[~equal]
+    return out
+
+
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """COUNTS of each text; a null is empty."""
     w = ts.Words(texts, ts.SPACED, lower=False)
@@ -57,20 +76,15 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     starts, ends = starts[full], ends[full]
     ends = ends - (cut[ends - 1] if len(ends) else 0)
     of = np.searchsorted(offs, starts, "right") - 1
-    h = w.spans(starts, ends, lower=False)
-    order = np.lexsort((h, of))
-    again = (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1])
-    out["n_dup_lines"] = np.bincount(of[order][1:][again], minlength=w.n_texts)
+    line = _classes(of, w.spans(starts, ends), lambda a, b: (ends[a] - starts[a] == ends[b] - starts[b]) & ts.same_spans(buf, starts[a], buf, starts[b], np.minimum(ends[a] - starts[a], ends[b] - starts[b])))
+    out["n_dup_lines"] = np.bincount(of[line != np.arange(len(line))], minlength=w.n_texts)
     out["n_lines"] = np.bincount(of, minlength=w.n_texts)
     closing = np.searchsorted(w.start, ends) - 1  # the line's last word
     out["n_closed"] = np.bincount(of, weights=_table(CLOSERS)[buf[w.end[closing] - 1]] if len(of) else None, minlength=w.n_texts).astype(np.int64)
     # words in five-word windows that the text has twice or more
     at, h = w.windows(5)
-    keys = (w.of[at].astype(U) << U(48)) | (h >> U(16))
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    same = _classes(w.of[at], h, lambda a, b: np.logical_and.reduce([w.same_words(at[a] + j, w, at[b] + j) for j in range(5)]))
+    twice = np.bincount(same, minlength=len(at))[same] > 1
     edge = np.zeros(len(w.hash) + 1, np.int64)
     edge[at[twice]] += 1
     edge[at[twice] + 5] -= 1

@@ -1,9 +1,10 @@
 """Vectorised word scanning of Arrow string arrays: words and their hashes without a Python loop.
 
-All texts of a batch lie in one byte buffer. Word borders come from a 256-entry class table, word
-hashes from prefix sums of a polynomial modulo 2**64 (divided by the power at the word's start, so
-the hash does not depend on where the word lies), then a bit mixer. Equal words have equal hashes;
-two different words share one with a chance of about 2**-64.
+All texts of a batch lie in one byte buffer. Word borders come from a 256-entry class table. A word is
+hashed eight bytes at a time, all words side by side, with a bit mixer after every step; words of more
+than LONG bytes are hashed by xxh3. Equal words have equal hashes. Different words of up to eight bytes
+and one length never share one; others do with a chance of about 2**-64, so ``same_spans`` is there for
+callers whose results must be exact.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS: dict = {}
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,16 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = np.full(size, base, U)
-        have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
-    return have
-
-
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Slices of a batch whose texts hold about ``most_bytes`` each (a longer text stands alone)."""
     sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)
@@ -62,7 +53,29 @@ SPACED = byte_class()
 ALNUM = byte_class(letters=True)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The number that eight bytes from each place of ``buf`` make (behind its end stand zeros)."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """True where the ``size`` bytes of ``a`` from ``at`` are those of ``b`` from ``to``."""
+    out = np.ones(len(at), bool)
+    long = size > LONG
+    for k in np.flatnonzero(long).tolist():
+        out[k] = a[at[k] : at[k] + size[k]].tobytes() == b[to[k] : to[k] + size[k]].tobytes()
+    live, x, y, step = np.flatnonzero(~long & (size > 0)), _eights(a), _eights(b), 0
+    while len(live):
+        differ = (x[at[live] + step] ^ y[to[live] + step]) & _FIRST[np.minimum(size[live] - step, 8)]
+        out[live[differ != 0]] = False
+        step += 8
+        live = live[(differ == 0) & (size[live] > step)]
+    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +107,30 @@ class Words:
         self.of = np.searchsorted(self.offs, self.start, "right") - 1
         self.count = np.bincount(self.of, minlength=self.n_texts)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
-        self.hash = self.spans(self.start, self.end, lower)
-
-    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-        """Hashes of the byte spans [start, end)."""
-        n = len(self.buf)
-        sums = np.zeros(n + 1, U)
-        values = _VALUES[LOWER] if lower else _VALUES
-        np.cumsum(values[self.buf] * _powers(_BASE, n)[:n], out=sums[1:])
-        h = (sums[end] - sums[start]) * _powers(_INV, n + 1)[start]
-        return mix(h + (end - start).astype(U) * U(0xA0761D6478BD642F))
+        self.bytes = LOWER[self.buf] if lower else self.buf
+        self.hash = self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte spans [start, end), A-Z lower-cased if the words are."""
+        size = end - start
+        h = mix(size.astype(U) * U(0xA0761D6478BD642F))
+        long = size > LONG
+        for k in np.flatnonzero(long).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(self.bytes[start[k] : end[k]].tobytes())
+        live, x, step = np.flatnonzero(~long & (size > 0)), _eights(self.bytes), 0
+        while len(live):
+            part = x[start[live] + step] & _FIRST[np.minimum(size[live] - step, 8)]
+            h[live] = mix(h[live] * U(0x9FB21C651E98DF25) + part)
+            step += 8
+            live = live[size[live] > step]
+        return h
+
+    def same_words(self, at: np.ndarray, other: "Words", to: np.ndarray) -> np.ndarray:
+        """True where word ``at`` is word ``to`` of ``other``, byte by byte."""
+        size = self.end[at] - self.start[at]
+        out = size == other.end[to] - other.start[to]
+        out[out] = same_spans(self.bytes, self.start[at[out]], other.bytes, other.start[to[out]], size[out])
+        return out
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each window of ``size`` words that lies in one text."""
