@@ -32,13 +32,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-copy component: of those with the smallest id (null last) any one.
 
-    A text without words is a component of its own in every row, so each such row stays.
+    A text without words is a component of its own in every row, so each such row stays. Rows are told
+    apart by a hash of all columns; different rows of one hash (a second one says so) stay as they are.
     """
-    tagged = docs.withColumn("_tag", F.xxhash64(*COLUMNS))
+    tagged = docs.withColumns({"_tag": F.xxhash64(*COLUMNS), "_other": F.xxhash64(F.lit(1), *COLUMNS)})
     found = jaccard_join.jaccard_components(tagged, id_col="_tag").groupBy("doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("rows"))
-    ids = tagged.groupBy(F.col("_tag").alias("doc_id")).agg(F.min("doc_id").alias("_id"))
+    ids = tagged.groupBy(F.col("_tag").alias("doc_id")).agg(F.min("doc_id").alias("_id"), (F.min("_other") != F.max("_other")).alias("_mixed"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("doc_id").alias("_tag"), "n_shingles", "rows"))
-    kept = found.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select("first._tag", F.expr("first.n_shingles > 0 AND first.rows > 1").alias("_many"))
+    named = stage(found.join(ids, "doc_id"), "named")
+    kept = named.where("NOT _mixed").groupBy("component_id").agg(first.alias("first")).select("first._tag", F.expr("first.n_shingles > 0 AND first.rows > 1").alias("_many"))
+    kept = kept.unionByName(named.where("_mixed").select(F.col("doc_id").alias("_tag"), F.lit(False).alias("_many")).distinct())
     rows = tagged.join(kept, "_tag")
     # Of equal rows one stays, but for those without words.
     return rows.where("NOT _many").select(*COLUMNS).unionByName(rows.where("_many").select(*COLUMNS).dropDuplicates())
