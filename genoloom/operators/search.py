@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, product
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators.order import sum_before
-from genoloom.operators.pairs import exploded_pairs, gain, pair_gains
+from genoloom.operators.pairs import CELLS, ROWS, _codes, count_gains, exploded_pairs, gain, pair_gains
 from genoloom.operators.splits import shuffled_rank
 from genoloom.scratch import stage
 
@@ -74,25 +77,55 @@ def permuted(m: DataFrame, permutations: int, seed: int, start: int = 0) -> Data
     return rows.select("sid", "g", F.posexplode("labels").alias("perm", "label")).select((F.col("perm") + start).alias("perm"), "sid", "label", "g")
 
 
-#: Permutations that one aggregation counts, each in two columns.
-COUNTED = 50
+#: Bytes of counters that a task holds (more pairs take another scan); pairs in one product.
+HELD, PAIRS = 256 << 20, 512
+
+
+def _permuted_counts(rows: DataFrame, width: int, pairs: list[tuple[int, int]], permutations: int) -> DataFrame:
+    """(perm, f1, f2, c0..c8, d0..d8), a row a task, of rows (g, labels).
+
+    With a 0/1 column for every cell of every pair, and one for the controls (cases) of every
+    permutation, the product of the two is all counters.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, len(pairs) * 9, permutations), np.int32)
+        first, second = (np.array([p[k] for p in pairs]) for k in (0, 1))
+        some = False
+        for batch in batches:
+            g, labels = _codes(batch.column(0), width), _codes(batch.column(1), permutations)
+            g, some = np.where((g >= 0) & (g <= 2), g, 9), some or len(g) > 0
+            for at in range(0, len(g), ROWS):
+                codes = g[at : at + ROWS]
+                classes = [(labels[at : at + ROWS] == y).astype(np.float32) for y in (0, 1)]
+                for k in range(0, len(pairs), PAIRS):
+                    cell = 3 * codes[:, first[k : k + PAIRS]] + codes[:, second[k : k + PAIRS]]
+                    cell[(codes[:, first[k : k + PAIRS]] == 9) | (codes[:, second[k : k + PAIRS]] == 9)] = 9
+                    hot = (cell[:, :, None] == np.arange(9)).reshape(len(codes), -1).astype(np.float32).T
+                    for y in (0, 1):
+                        held[y, 9 * k : 9 * k + len(hot)] += (hot @ classes[y]).astype(np.int32)
+        for perm in range(permutations if some else 0):
+            cells = held[:, :, perm].reshape(2, len(pairs), 9)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), perm, np.int32)), pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *[pa.array(np.ascontiguousarray(cells[y, :, k])) for y in (0, 1) for k in range(9)]], names=["perm", "f1", "f2", *CELLS])
+
+    return rows.select(F.col("g").cast("array<int>").alias("g"), F.col("labels").cast("array<int>").alias("labels")).mapInArrow(count, "perm int, f1 int, f2 int, " + ", ".join(f"{c} int" for c in CELLS))
 
 
 def permuted_gains(m: DataFrame, width: int, permutations: int, seed: int, start: int = 0) -> DataFrame:
     """(perm, f1, f2, ig, mi, main_f1, main_f2) of every pair under every permutation of labels.
 
-    All permutations of a slice are counted at once: a row's pairs are exploded once, and each cell
-    has two counters a permutation.
+    All permutations are counted at once, by matrix products of cells and labels; no subject is
+    exploded. A pair without a valid cell has no row.
     """
     rows = stage(permuted_labels(m, permutations, seed, start), "permuted")
-    cells = exploded_pairs(rows, width, keys=["labels"]).where("v1 IN (0, 1, 2) AND v2 IN (0, 1, 2)")
-    parts = []
-    for at in range(0, permutations, COUNTED):
-        numbers = range(at, min(at + COUNTED, permutations))
-        counts = [F.count_if(F.get("labels", F.lit(p)) == y).alias(f"{n}{p}") for p in numbers for y, n in ((0, "ctl"), (1, "cas"))]
-        each = F.array(*[F.struct(F.lit(p + start).alias("perm"), F.col(f"ctl{p}").alias("ctl"), F.col(f"cas{p}").alias("cas")) for p in numbers])
-        parts.append(cells.groupBy("f1", "f2", "v1", "v2").agg(*counts).select("f1", "f2", "v1", "v2", F.inline(each)))
-    return gain(reduce(DataFrame.unionByName, parts).where("ctl + cas > 0"), ["perm"])
+    pairs = list(combinations(range(width), 2))
+    each = max(1, HELD // (2 * 9 * 4 * max(permutations, 1)))
+    parts = [_permuted_counts(rows, width, pairs[i : i + each], permutations) for i in range(0, len(pairs), each)]
+    if not parts or not permutations:
+        return gain(exploded_pairs(rows.limit(0), max(width, 2), keys=["labels"]).select(F.lit(0).alias("perm"), "f1", "f2", "v1", "v2", F.lit(0).alias("ctl"), F.lit(0).alias("cas")), ["perm"])
+    sums = reduce(DataFrame.unionByName, parts).groupBy("perm", "f1", "f2").agg(*[F.sum(c).alias(c) for c in CELLS])
+    some = reduce(Column.__add__, [F.col(c) for c in CELLS]) > 0
+    return count_gains(sums.where(some), ["perm", "f1", "f2"]).withColumn("perm", (F.col("perm") + start).cast("int"))
 
 
 def explicit_test(m: DataFrame, width: int, permutations: int, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom import functions as fn
-from genoloom.operators import graph, learn, pairs, reports, search, splits
+from genoloom.operators import forest, graph, learn, pairs, reports, search, splits
 from genoloom.plans.study import study
 from genoloom.scratch import stage
 
@@ -266,8 +266,8 @@ SWEEP = [round(0.03 - 0.0002 * i, 4) for i in range(76)]
 
 @query(STATS_SQL.replace("t(th) AS (VALUES (0.02::DOUBLE), (0.025), (0.03))", f"t(th) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in SWEEP)})"))
 def network_sweep(spark, sf_dir):
-    """Statistics at all 76 thresholds, in one component loop."""
-    return graph.sweep_statistics(network(spark, sf_dir), "ig", SWEEP)[0]
+    """Statistics at all 76 thresholds, from one maximum spanning forest."""
+    return forest.threshold_statistics(stage(forest.threshold_nodes(network(spark, sf_dir), "ig", SWEEP), "nodes"))
 
 
 @query(f"""WITH {G_SQL}, t(th) AS (VALUES (0.015::DOUBLE), (0.02), (0.025)), te AS (SELECT th, a, b FROM e, t WHERE ig >= th),
@@ -287,9 +287,10 @@ def power_law_fit(spark, sf_dir):
 @query()
 def threshold_study(spark, sf_dir):
     """Statistics and power-law exponents at 76 thresholds, of the graph and its largest component."""
-    stats, tagged = graph.sweep_statistics(network(spark, sf_dir), "ig", SWEEP)
-    whole = graph.power_law(graph.degree_histogram(tagged, ["th"]), ["th"]).select("th", F.col("b").alias("power_coeff"))
-    lc = graph.power_law(graph.degree_histogram(tagged.where("in_lc"), ["th"]), ["th"]).select("th", F.col("b").alias("lc_power_coeff"))
+    nodes = stage(forest.threshold_nodes(network(spark, sf_dir), "ig", SWEEP), "nodes")
+    stats = forest.threshold_statistics(nodes)
+    whole = graph.power_law(forest.degree_shares(nodes), ["th"]).select("th", F.col("b").alias("power_coeff"))
+    lc = graph.power_law(forest.degree_shares(forest.in_largest(nodes)), ["th"]).select("th", F.col("b").alias("lc_power_coeff"))
     return stats.join(whole, "th", "left").join(lc, "th", "left")
 
 
