@@ -31,8 +31,8 @@ def estimator(kind: str, n: int, c: float = 1.0, max_iter: int = 10_000, seed: i
     raise ValueError(kind)
 
 
-def featured(rows: DataFrame, column: str) -> DataFrame:
-    return rows.select("label", array_to_vector(F.col(column).cast("array<double>")).alias("features"))
+def featured(rows: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    return rows.select(*(keep or []), "label", array_to_vector(F.col(column).cast("array<double>")).alias("features"))
 
 
 def fit(train: DataFrame, column: str, kind: str, **options):

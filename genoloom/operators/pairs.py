@@ -226,6 +226,62 @@ def cell_signs(train: DataFrame, edges: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(ratio)).select("f1", "f2", "v1", "v2", sign.alias("sign"))
 
 
+#: Cells (subjects times edges) that a task looks at together.
+TOGETHER = 32 << 20
+
+
+def fold_signs(rows: DataFrame, edges: DataFrame, folds: int) -> DataFrame:
+    """(fold, f1, f2, v1, v2, sign): ``cell_signs`` of each fold's training rows, those of other folds.
+
+    ``rows`` has a column fold. Cells are counted by fold in one scan (for each PACKED_EDGES edges), as an
+    array of edges, cells and classes that a task keeps; what a fold learns from is the sum less its
+    own. No row is copied for an edge. Codes other than 0, 1, 2 make no cell; rows of another fold than
+    0 to ``folds`` - 1 are left out.
+    """
+    rows = rows.where(F.col("label").isin(0, 1) & F.col("fold").between(0, folds - 1)).select(F.col("fold").cast("int").alias("fold"), F.col("label").cast("int").alias("label"), F.col("g").cast("array<int>").alias("g"))
+    distinct = edges.select("f1", "f2").distinct()
+    parts = -(-distinct.count() // PACKED_EDGES) or 1
+
+    def counted(part: int) -> DataFrame:
+        mine = distinct.where(F.pmod(F.xxhash64("f1", "f2"), F.lit(parts)) == part).orderBy("f1", "f2").collect()  # PACKED_EDGES about
+        held = rows.sparkSession.sparkContext.broadcast((np.array([r["f1"] for r in mine], np.int32), np.array([r["f2"] for r in mine], np.int32)))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, second = held.value
+            sums, some = np.zeros((folds, 2, 9, len(first)), np.int64), False
+            width = int(max(first.max(initial=-1), second.max(initial=-1))) + 1
+            for batch in batches:
+                some = some or batch.num_rows > 0
+                fold, label, g = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _codes(batch.column(2), width)
+                g = np.where((g >= 0) & (g <= 2), g, 9).astype(np.int8)
+                step = max(1, TOGETHER // max(len(first), 1))
+                for k in range(folds):
+                    for y in (0, 1):
+                        own = np.flatnonzero((fold == k) & (label == y))
+                        for at in range(0, len(own), step):
+                            a, b = g[own[at : at + step]][:, first], g[own[at : at + step]][:, second]
+                            cell = np.where((a == 9) | (b == 9), 9, 3 * a + b)
+                            for c in range(9):
+                                sums[k, y, c] += (cell == c).sum(axis=0)
+            for k in range(folds if some else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(first), pa.array(second), *[pa.array(sums[k, y, c]) for y in (0, 1) for c in range(9)]], names=["fold", "f1", "f2", *CELLS])
+
+        return rows.mapInArrow(count, "fold int, f1 int, f2 int, " + ", ".join(f"{c} long" for c in CELLS))
+
+    own = reduce(DataFrame.unionByName, map(counted, range(parts))).groupBy("fold", "f1", "f2").agg(*[F.sum(c).alias(c) for c in CELLS])
+    every = own.groupBy("f1", "f2").agg(*[F.sum(c).alias(f"all_{c}") for c in CELLS])
+    each = every.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).join(own, ["fold", "f1", "f2"], "left")
+    left = lambda c: F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))
+    cells = F.array(*[F.struct(F.lit(k // 3).alias("v1"), F.lit(k % 3).alias("v2"), left(f"c{k}").alias("ctl"), left(f"d{k}").alias("cas")) for k in range(9)])
+    classes = rows.groupBy("fold").agg(F.count_if(F.col("label") == 0).alias("c"), F.count_if(F.col("label") == 1).alias("d"))
+    total = classes.agg(F.sum("c").alias("all_c"), F.sum("d").alias("all_d"))
+    numbers = rows.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold")).join(classes, "fold", "left").crossJoin(F.broadcast(total))
+    ratio = F.try_divide((F.col("all_d") - F.coalesce("d", F.lit(0))).cast("double"), F.col("all_c") - F.coalesce("c", F.lit(0))).alias("ratio")
+    rows_ = each.select("fold", "f1", "f2", F.inline(cells)).where("ctl + cas > 0").join(F.broadcast(numbers.select("fold", ratio)), "fold")  # a row a fold
+    sign = F.when(F.col("ctl") * F.col("ratio") >= F.col("cas"), 1).otherwise(-1)
+    return rows_.select("fold", "f1", "f2", "v1", "v2", sign.alias("sign"))
+
+
 def delta_degrees(subjects: DataFrame, edges: DataFrame, signs: DataFrame, width: int) -> DataFrame:
     """(sid, label, dd array<int>): the signed degree of each feature for each subject.
 

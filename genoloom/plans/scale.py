@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from genoloom.operators import bitmaps, search
-from genoloom.plans.queries import CELLS_SQL, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, SEED, W_SQL, WIDE, WP_SQL, query, rounded, table, wide_matrix
+from genoloom.operators import bitmaps, keyed, pairs, reports, search, splits
+from genoloom.plans.queries import CELLS_SQL, FOLD_SQL, FOLDS, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, SEED, SIGN_SQL, W_SQL, WIDE, WP_SQL, edge_table, folded, query, rounded, table, wide_matrix
+from genoloom.scratch import stage
 
 #: Columns of the widest matrix, and of that of three-way searches.
 COLUMNS, SEARCHED, NODES = 200, 60, 16
@@ -76,3 +77,62 @@ cells AS (SELECT perm, f1, f2, g[f1 + 1] AS v1, g[f2 + 1] AS v2, count(*) FILTER
 def wide_permuted_gains(spark, sf_dir):
     """91 pairs under a hundred permutations of the labels, by products of cells and labels."""
     return rounded(search.permuted_gains(wide_matrix(spark, sf_dir), WIDE, PERMUTATIONS, SEED).select("perm", "f1", "f2", "ig"), "ig")
+
+
+# ---------------------------------------------------------------- many models at once
+
+FOLDED_SQL = f"""{W_SQL}, f AS (SELECT sid, label, g, (row_number() OVER (PARTITION BY label ORDER BY {FOLD_SQL}, sid) - 1) % {FOLDS} AS fold FROM m)"""
+
+
+def keyed_rows(spark, sf_dir):
+    """The fourteen features of orders by fold, as one set."""
+    rows = splits.kfold(wide_matrix(spark, sf_dir), FOLDS, SEED, by=["label"])
+    return stage(rows.select("fold", "label", F.lit("all").alias("set"), F.col("g").alias("x")), "keyed")
+
+
+@query(f"WITH {FOLDED_SQL}, n AS (SELECT k, count(*) FILTER (fold <> k) AS n FROM f, range({FOLDS}) t(k) GROUP BY k) SELECT 'all/' || k AS model, CAST(i AS INTEGER) AS coefficient, n, true AS stationary FROM n, range({WIDE + 1}) c(i)")
+def logistic_gradients(spark, sf_dir):
+    """Five logistic regressions fitted together: the penalised gradient is 0 at each weight found."""
+    rows = keyed_rows(spark, sf_dir)
+    models = stage(keyed.logistic_models(keyed.training_sets(rows, FOLDS)), "models")
+    seen = keyed.training_sets(rows, FOLDS).join(F.broadcast(models.select("model", "w", "n0", "n1")), "model")
+    x = F.concat(F.array(F.lit(1.0)), "x")
+    score = F.aggregate(F.zip_with(x, "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    weight = (F.col("n0") + F.col("n1")) / (2 * F.when(F.col("label") == 1, F.col("n1")).otherwise(F.col("n0")))
+    slope = seen.select("model", F.posexplode(F.arrays_zip(x.alias("x"), F.col("w").alias("w"))).alias("coefficient", "e"), (weight * (1 / (1 + F.exp(-score)) - F.col("label"))).alias("s"))
+    sums = slope.groupBy("model", "coefficient").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s") * F.col("e.x")).alias("g"), F.first("e.w").alias("w"))
+    penalty = F.when(F.col("coefficient") == 0, 0.0).otherwise(F.col("w"))
+    return sums.select("model", "coefficient", "n", (F.abs(F.col("g") + penalty) < 1e-6 * F.col("n")).alias("stationary"))
+
+
+@query(f"""WITH {FOLDED_SQL}, x AS (SELECT k, label, i AS feature, g[i + 1] AS v FROM f, range({FOLDS}) t(k), range({WIDE}) c(i) WHERE fold <> k),
+h AS (SELECT k, feature, v, count(*) FILTER (label = 0) AS c, count(*) FILTER (label = 1) AS d FROM x GROUP BY ALL),
+s AS (SELECT k, feature, v, lead(v) OVER w AS next, sum(c) OVER w AS l0, sum(d) OVER w AS l1, sum(c) OVER (PARTITION BY k, feature) AS n0, sum(d) OVER (PARTITION BY k, feature) AS n1 FROM h WINDOW w AS (PARTITION BY k, feature ORDER BY v)),
+p AS (SELECT k, feature, (v + next) / 2.0 AS threshold, n0, n1, l0 / (2.0 * n0) AS a, l1 / (2.0 * n1) AS b, (n0 - l0) / (2.0 * n0) AS c, (n1 - l1) / (2.0 * n1) AS d FROM s
+  WHERE next IS NOT NULL AND l0 + l1 >= ceil(0.05 * (n0 + n1)) AND n0 + n1 - l0 - l1 >= ceil(0.05 * (n0 + n1))),
+q AS (SELECT k, feature, threshold, round(2 * (0.25 - coalesce(a * b / nullif(a + b, 0), 0) - coalesce(c * d / nullif(c + d, 0), 0)), 9) AS gain, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1 FROM p)
+SELECT 'all/' || k AS model, CAST(feature AS INTEGER) AS feature, threshold::DOUBLE AS threshold, n0, n1 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, feature, threshold) AS r FROM q WHERE gain > 0) WHERE r = 1""")
+def tree_roots(spark, sf_dir):
+    """The first split of five decision trees grown together."""
+    trees = keyed.tree_models(keyed.training_sets(keyed_rows(spark, sf_dir), FOLDS))
+    return trees.where("node = 1 AND feature IS NOT NULL").select("model", "feature", "threshold", "n0", "n1")
+
+
+@query(f"WITH {FOLDED_SQL} SELECT 'all/' || k AS model, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS cohort, CASE label WHEN 0 THEN 'control' ELSE 'case' END AS metric_row, count(*)::DOUBLE AS support, true AS whole FROM f, range({FOLDS}) t(k) GROUP BY ALL")
+def tree_reports(spark, sf_dir):
+    """Reports of five trees on both cohorts; every row ends in a leaf whose class is predicted."""
+    rows = keyed_rows(spark, sf_dir)
+    trees = stage(keyed.tree_models(keyed.training_sets(rows, FOLDS)), "trees")
+    scored = keyed.tree_predictions(keyed.scoring_sets(rows, FOLDS), trees)
+    ends = trees.where("feature IS NULL").select("model", "node", F.col("label").alias("class"))
+    whole = scored.join(ends, ["model", "node"], "left").groupBy("model", "cohort").agg(F.bool_and(F.coalesce(F.col("class") == F.col("prediction"), F.lit(False))).alias("whole"))
+    found = reports.classification_report(scored, ["model", "cohort"]).where("metric_row IN ('control', 'case')")
+    return found.join(whole, ["model", "cohort"]).select("model", "cohort", "metric_row", "support", "whole")
+
+
+@query(f"""WITH {SIGN_SQL.split("train AS")[0]} k AS (SELECT * FROM range({FOLDS}) t(k)),
+ratio AS (SELECT k, count(*) FILTER (label = 1 AND fold <> k)::DOUBLE / count(*) FILTER (label = 0 AND fold <> k) AS r FROM folds, k GROUP BY k)
+SELECT CAST(k AS INTEGER) AS fold, f1, f2, g[f1 + 1] AS v1, g[f2 + 1] AS v2, CASE WHEN count(*) FILTER (label = 0) * any_value(r) >= count(*) FILTER (label = 1) THEN 1 ELSE -1 END AS sign FROM folds JOIN ratio ON fold <> k, e GROUP BY k, f1, f2, v1, v2""")
+def fold_cell_signs(spark, sf_dir):
+    """Signs of every cell of four edges for five folds, from one count by fold."""
+    return pairs.fold_signs(stage(folded(spark, sf_dir), "folds"), edge_table(spark), FOLDS)
