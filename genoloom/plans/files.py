@@ -6,14 +6,16 @@ twin takes the same rows from the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom import functions as fn
 from genoloom import sources
 from genoloom.operators import pairs, reports, search
 from genoloom.operators.graph import sweep_statistics
-from genoloom.plans.queries import CELLS_SQL, COHORT_SQL, F4_SQL, G_SQL, GAIN_SQL, KWAY_SQL, M_SQL, NAMES, RANK_SQL, REPORT_SQL, ROUND4, STATS_SQL, WIDTH, folded, kway_search, matrix, network, query, ranked_events, rounded, scored_labels, table
+from genoloom.plans.queries import CELLS_SQL, COHORT_SQL, F4_SQL, FOLDS, G_SQL, GAIN_SQL, KWAY_SQL, M_SQL, NAMES, RANK_SQL, REPORT_SQL, ROUND4, SIGN_SQL, STATS_SQL, WIDTH, edge_table, folded, kway_search, matrix, network, query, ranked_events, rounded, scored_labels, table
 from genoloom.scratch import new_path, stage
 
 PLACED_SQL = f"{M_SQL}, s AS (SELECT row_number() OVER (ORDER BY sid) - 1 AS place, * FROM m)"
@@ -68,7 +70,7 @@ def two_file_pairs(spark, sf_dir):
     return rounded(found.select("f1", "f2", "ig", "mi"), "ig", "mi")
 
 
-@query(f"WITH {PLACED_SQL} SELECT place, label, {G_SELECT} FROM s WHERE place % 2 = 0")
+@query(f"WITH {PLACED_SQL} SELECT place, label, {G_SELECT} FROM s")
 def simulated_sets(spark, sf_dir):
     """A simulated set (TAB, label named target) recoded to commas with its label renamed and last."""
     source = new_path(spark, "simulated")
@@ -79,7 +81,7 @@ def simulated_sets(spark, sf_dir):
     sources.label_last(plain).write.option("header", True).csv(path)
     back, names = sources.read_matrix_csv(spark, path)
     assert names == NAMES
-    return back.where("sid % 2 = 0").select(F.col("sid").alias("place"), "label", *_codes())
+    return back.select(F.col("sid").alias("place"), "label", *_codes())
 
 
 @query(f"WITH {M_SQL}, f AS (SELECT label, g, (row_number() OVER (PARTITION BY label ORDER BY md5('25:' || sid), sid) - 1) % 5 AS fold FROM m) SELECT fold, label, g[1] AS key, g[2] AS price, g[3] AS month, g[4] AS priority, count(*) AS n FROM f GROUP BY ALL")
@@ -92,6 +94,29 @@ def fold_files(spark, sf_dir):
     return back.groupBy(F.col("fold").cast("long").alias("fold"), "label", *NAMES).agg(F.count(F.lit(1)).alias("n"))
 
 
+FOLD_DELTA_SQL = f"""{SIGN_SQL.split("train AS")[0]} k AS (SELECT * FROM range({FOLDS}) t(k)), ratio AS (SELECT k, count(*) FILTER (label = 1 AND fold <> k)::DOUBLE / count(*) FILTER (label = 0 AND fold <> k) AS r FROM folds, k GROUP BY k),
+signs AS (SELECT k, f1, f2, g[f1 + 1] AS v1, g[f2 + 1] AS v2, CASE WHEN count(*) FILTER (label = 0) * any_value(r) >= count(*) FILTER (label = 1) THEN 1 ELSE -1 END AS sign FROM folds JOIN ratio ON fold <> k, e GROUP BY k, f1, f2, v1, v2),
+x AS (SELECT k, fold, sid, label, g, f1, f2 FROM folds, k, e),
+s AS (SELECT x.k, fold, sid, label, x.f1, x.f2, coalesce(sign, 1) AS sign FROM x LEFT JOIN signs ON signs.k = x.k AND signs.f1 = x.f1 AND signs.f2 = x.f2 AND v1 = g[x.f1 + 1] AND v2 = g[x.f2 + 1]),
+d AS (SELECT k, fold, sid, label, f1 AS f, sign FROM s UNION ALL SELECT k, fold, sid, label, f2, sign FROM s),
+w AS (SELECT k, fold, sid, label, {", ".join(f"CAST(coalesce(sum(sign) FILTER (f = {i}), 0) AS INTEGER) AS d{i}" for i in range(WIDTH))} FROM d GROUP BY k, fold, sid, label)"""
+
+
+@query(f"WITH {FOLD_DELTA_SQL} SELECT CAST(k AS INTEGER) AS fold, CASE WHEN fold = k THEN 'Test' ELSE 'Train' END AS cohort, label, d0, d1, d2, d3, count(*) AS n FROM w GROUP BY ALL")
+def subject_network_files(spark, sf_dir):
+    """Signed degrees under the signs of every fold, headed files by fold and cohort."""
+    rows, edges = stage(folded(spark, sf_dir), "folds"), edge_table(spark)
+    signs = stage(pairs.fold_signs(rows, edges, FOLDS), "signs")
+    path = new_path(spark, "subject-networks")
+    parts = []
+    for k in range(FOLDS):
+        encoded = pairs.delta_degrees(rows.withColumn("sid", F.struct("sid", "fold")), edges, signs.where(F.col("fold") == k), WIDTH)
+        parts.append(encoded.select(F.lit(k).alias("fold"), F.when(F.col("sid.fold") == k, "Test").otherwise("Train").alias("cohort"), "label", "dd"))
+    sources.write_subject_networks(reduce(DataFrame.unionByName, parts), path, WIDTH)
+    back = sources.read_subject_networks(spark, path, WIDTH)
+    return back.select("fold", "cohort", "label", *[F.col("dd")[i].alias(f"d{i}") for i in range(WIDTH)]).groupBy("fold", "cohort", "label", *[f"d{i}" for i in range(WIDTH)]).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- networks
 
 NET_SQL = f"{G_SQL}, w AS (SELECT a AS snp1, b AS snp2, round(ig / 3, 9) AS ig, round(ig / 7, 9) AS mi FROM e)"
@@ -126,11 +151,11 @@ def named_edges_file(spark, sf_dir):
     return sources.read_named_edges(spark, path)
 
 
-@query("SELECT CAST(l_partkey AS INTEGER) AS f1, CAST(l_suppkey AS INTEGER) AS f2, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL")
+@query("SELECT CAST(l_partkey AS INTEGER) AS f1, CAST(l_suppkey AS INTEGER) AS f2, count(*) AS n FROM lineitem GROUP BY ALL")
 def index_edges_file(spark, sf_dir):
     """Index edges written as decimals."""
     path = new_path(spark, "index-edges")
-    table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").cast("double"), F.col("l_suppkey")).write.csv(path)
+    table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("double"), F.col("l_suppkey")).write.csv(path)
     return sources.read_index_edges(spark, path).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,9 +223,9 @@ def permutation_file(spark, sf_dir):
     return back.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {KWAY_SQL}, t AS (SELECT n_attributes, attributes, row_number() OVER (PARTITION BY n_attributes ORDER BY round(b, 9) DESC, attributes) AS k FROM scores) SELECT n_attributes, attributes FROM t WHERE k <= 2")
+@query(f"WITH {KWAY_SQL}, t AS (SELECT n_attributes, attributes, row_number() OVER (PARTITION BY n_attributes ORDER BY round(b, 9) DESC, attributes) AS k FROM scores) SELECT DISTINCT l.n_attributes, t.attributes FROM t JOIN t l ON t.n_attributes <= l.n_attributes WHERE t.k <= 2")
 def top_model_files(spark, sf_dir):
-    """The best models' attribute lists, a folder for each number of attributes."""
+    """The best models' attribute lists, a folder for each number of attributes with those of fewer too."""
     top = search.top_per_level(kway_search(spark, sf_dir), "n_attributes", 2, [F.desc("balanced_accuracy"), F.asc("attributes")])
     path = new_path(spark, "top")
     sources.write_top_models(top.withColumn("attributes", F.split("attributes", ",")), path)
@@ -214,20 +239,17 @@ def reanalysed_search(spark, sf_dir):
     return rounded(search.reanalysed(matrix(spark, sf_dir), WIDTH, [2, 3], top), "balanced_accuracy")
 
 
-@query("SELECT attributes, rank FROM (SELECT CAST(l_partkey AS VARCHAR) AS attributes, row_number() OVER (ORDER BY max(l_quantity) DESC, count(*) DESC, sum(l_extendedprice) DESC, CAST(l_partkey AS VARCHAR)) AS rank FROM lineitem GROUP BY l_partkey) WHERE rank <= 20")
-def search_result_order(spark, sf_dir):
-    """Search results in the order of a measure, then consistency, then overall score."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.array(F.col("l_partkey").cast("string")).alias("attributes")).agg(F.max("l_quantity").alias("cv_testing"), F.count(F.lit(1)).alias("cvc"), F.sum("l_extendedprice").alias("overall"))
-    top = search.top_per_level(rows.withColumn("level", F.lit(1)), "level", 20, search.search_order("cv_test"))
-    return top.select(F.array_join("attributes", ",").alias("attributes"), F.col("rank").cast("long").alias("rank"))
+RESULTS_SQL = "r AS (SELECT CAST(l_partkey AS VARCHAR) AS attributes, max(l_quantity) AS cv_testing, count(*) AS cvc, min(l_quantity) AS model_testing, sum(l_extendedprice) AS overall FROM lineitem GROUP BY l_partkey)"
+ORDERS = {"cv_test": "cv_testing DESC, cvc DESC, ", "cvc_cv_test": "cvc DESC, cv_testing DESC, ", "cvc_model_test": "cvc DESC, model_testing DESC, ", "single": ""}
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS running, count(*) FILTER (o_orderstatus = 'P') AS failed, 0::BIGINT AS missing, sum(o_custkey)::BIGINT AS expected, sum(CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE 0 END)::BIGINT AS found, sum(o_custkey) = sum(CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE 0 END) AS complete FROM orders")
-def job_counters(spark, sf_dir):
-    """Counters of job states, and whether all expected rows are there."""
-    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
-    jobs = table(spark, sf_dir, "orders").select(state.alias("state"), F.col("o_custkey").alias("expected"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(0).alias("found"))
-    return search.job_states(jobs)
+@query(f"WITH {RESULTS_SQL} " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, attributes, rank FROM (SELECT attributes, row_number() OVER (ORDER BY {first}overall DESC, attributes) AS rank FROM r) WHERE rank <= 20" for kind, first in ORDERS.items()))
+def search_result_order(spark, sf_dir):
+    """The twenty best search results in each of the four orders of measures."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.array(F.col("l_partkey").cast("string")).alias("attributes")).agg(F.max("l_quantity").alias("cv_testing"), F.count(F.lit(1)).alias("cvc"), F.min("l_quantity").alias("model_testing"), F.sum("l_extendedprice").alias("overall"))
+    rows = stage(rows, "results")
+    tops = [search.top_per_level(rows.withColumn("kind", F.lit(kind)), "kind", 20, search.search_order(kind)) for kind in ORDERS]
+    return reduce(DataFrame.unionByName, tops).select("kind", F.array_join("attributes", ",").alias("attributes"), F.col("rank").cast("long").alias("rank"))
 
 
 # ---------------------------------------------------------------- lines of text
@@ -244,11 +266,11 @@ def line_files(spark, sf_dir):
     return found.groupBy(F.concat(F.lit("c"), F.regexp_extract("file", "/k=([0-9]+)/", 1), F.lit(".txt")).alias("file"), F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END AS tail FROM events WHERE event_id < 500")
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END AS tail FROM events")
 def search_lines(spark, sf_dir):
     """Search output lines as columns: a trailing empty field counts, another number of fields is an error."""
     path = new_path(spark, "search-lines")
-    rows = table(spark, sf_dir, "events").where("event_id < 500")
+    rows = table(spark, sf_dir, "events")
     rows.select(F.concat_ws("\t", F.col("event_id").cast("string"), "event_type", F.when(F.col("event_id") % 2 == 0, "").otherwise("x"))).write.text(path)
     return sources.search_rows(sources.read_lines(spark, path), ["id", "kind", "tail"]).drop("file")
 
@@ -268,9 +290,10 @@ def file_stems(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.file_stem(F.col("url")).alias("stem"))
 
 
-@query("SELECT i AS n, printf('%.4f', 0.015 + 0.0002 * i) AS th, ceil(i / 7.0)::BIGINT AS up, pow(2, i % 9)::BIGINT AS power, least(i, 40) AS low, greatest(i, 40) AS high, round(i / 7.0, 4)::DOUBLE AS part FROM range(76) t(i)")
+@query("SELECT p_partkey, printf('%.4f', 0.015 + 0.0002 * p_size) AS th, ceil(p_size / 7.0)::BIGINT AS up, pow(2, p_size % 9)::BIGINT AS power, least(p_size, 40) AS low, greatest(p_size, 40) AS high, round(p_size / 7.0, 4)::DOUBLE AS part, len(range(p_size)) AS steps, list_sum(range(p_size))::BIGINT AS total FROM part")
 def numeric_functions(spark, sf_dir):
-    """Sequences, rounding, powers, extremes."""
-    i = F.col("n")
-    rows = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(75).cast("long"))).alias("n"))
-    return rows.select("n", F.format_string("%.4f", 0.015 + 0.0002 * i).alias("th"), F.ceil(i / 7).alias("up"), F.pow(F.lit(2.0), i % 9).cast("long").alias("power"), F.least(i, F.lit(40).cast("long")).alias("low"), F.greatest(i, F.lit(40).cast("long")).alias("high"), F.round(i / 7, 4).alias("part"))
+    """Sequences, rounding, powers, extremes of each part's size."""
+    i = F.col("p_size")
+    steps = F.transform(F.sequence(F.lit(1), i), lambda k: k - 1)
+    total = F.aggregate(steps, F.lit(0).cast("long"), lambda a, k: a + k)
+    return table(spark, sf_dir, "part").select("p_partkey", F.format_string("%.4f", 0.015 + 0.0002 * i).alias("th"), F.ceil(i / 7).alias("up"), F.pow(F.lit(2.0), i % 9).cast("long").alias("power"), F.least(i, F.lit(40)).alias("low"), F.greatest(i, F.lit(40)).alias("high"), F.round(i / 7, 4).alias("part"), F.size(steps).cast("long").alias("steps"), total.alias("total"))

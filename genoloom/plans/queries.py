@@ -370,10 +370,13 @@ def subset_merge(spark, sf_dir):
     return both.select("sid", "label", *[F.col("g")[i].alias(f"g{i}") for i in range(WIDTH)])
 
 
-@query("SELECT * FROM (VALUES (3, 1), (0, 2), (1, 1)) t(f1, f2)")
+@query("""WITH n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS at FROM (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part)), e AS (SELECT DISTINCT p_brand, p_type FROM part)
+SELECT CAST(a.at AS INTEGER) AS f1, CAST(b.at AS INTEGER) AS f2 FROM e JOIN n a ON a.name = p_brand JOIN n b ON b.name = p_type""")
 def edge_name_to_index(spark, sf_dir):
-    named = spark.createDataFrame([("priority", "price"), ("key", "month"), ("price", "price")], "snp1 string, snp2 string")
-    return pairs.name_edges_to_index(named, NAMES)
+    """Edges between brands and types, by their places in the list of all names."""
+    edges = table(spark, sf_dir, "part").select(F.col("p_brand").alias("snp1"), F.col("p_type").alias("snp2")).distinct()
+    names = edges.select(F.explode(F.array("snp1", "snp2")).alias("name")).distinct().orderBy("name").collect()  # the header's names
+    return pairs.name_edges_to_index(edges, [r["name"] for r in names])
 
 
 # ---------------------------------------------------------------- reports

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from genoloom.operators import bitmaps, keyed, pairs, reports, search, splits
-from genoloom.plans.queries import CELLS_SQL, FOLD_SQL, FOLDS, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, SEED, SIGN_SQL, W_SQL, WIDE, WP_SQL, edge_table, folded, query, rounded, table, wide_matrix
-from genoloom.scratch import stage
+from genoloom.operators import bitmaps, chunked, keyed, pairs, reports, search, splits
+from genoloom.plans.queries import CELLS_SQL, FOLD_SQL, FOLDS, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, PERMUTED_SQL, SEED, SIGN_SQL, W_SQL, WIDE, WIDTH, WP_SQL, edge_table, folded, matrix, query, rounded, table, wide_matrix
+from genoloom.scratch import new_path, stage
 
 #: Columns of the widest matrix, and of that of three-way searches.
 COLUMNS, SEARCHED, NODES = 200, 60, 16
@@ -136,3 +136,33 @@ SELECT CAST(k AS INTEGER) AS fold, f1, f2, g[f1 + 1] AS v1, g[f2 + 1] AS v2, CAS
 def fold_cell_signs(spark, sf_dir):
     """Signs of every cell of four edges for five folds, from one count by fold."""
     return pairs.fold_signs(stage(folded(spark, sf_dir), "folds"), edge_table(spark), FOLDS)
+
+
+# ---------------------------------------------------------------- studies in chunks
+
+
+def interrupted(spark, sf_dir):
+    """(results, plan) of ten permutations in five jobs: two ran, one lost rows, then the study went on."""
+    m, path = stage(matrix(spark, sf_dir), "matrix"), new_path(spark, "study")
+    run = lambda only=None: chunked.permutation_study(m, WIDTH, 10, 5, SEED, path, only)
+    assert run([1, 3])[1] == [1, 3]
+    found = run([])[0]
+    stage(found.where("chunk = 3 AND f1 > 0"), "kept").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+    return run, chunked.permutation_plan(spark, WIDTH, 10, 5)
+
+
+@query(f"WITH {PERMUTED_SQL} SELECT CAST(perm AS INTEGER) AS perm, CAST(perm // 2 AS INTEGER) AS chunk, f1, f2, ig FROM rounded WHERE perm >= 0")
+def resumed_permutations(spark, sf_dir):
+    """A study of permutations whose missing and partial chunks, and no others, ran a second time."""
+    run, _ = interrupted(spark, sf_dir)
+    found, ran = run()
+    assert ran == [0, 2, 3, 4] and run()[1] == []
+    return rounded(found.select("perm", "chunk", "f1", "f2", "ig"), "ig")
+
+
+@query(f"""WITH {PERMUTED_SQL}, c AS (SELECT perm // 2 AS chunk, count(*) AS expected, count(*) FILTER (perm // 2 = 1 OR perm // 2 = 3 AND f1 > 0) AS found FROM rounded WHERE perm >= 0 GROUP BY ALL)
+SELECT count(*) FILTER (found = expected) AS done, count(*) FILTER (found > 0 AND found < expected) AS partial, count(*) FILTER (found = 0) AS missing, sum(expected)::BIGINT AS expected, sum(found)::BIGINT AS found, bool_and(found = expected) AS complete FROM c""")
+def job_counters(spark, sf_dir):
+    """Counters of a study's jobs before it goes on: what is done, partial and missing."""
+    run, plan = interrupted(spark, sf_dir)
+    return chunked.state_counters(chunked.chunk_states(run([])[0], plan))

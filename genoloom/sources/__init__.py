@@ -123,6 +123,22 @@ def write_matrix(df: DataFrame, path: str, names: list[str], column: str = "g",
     df.orderBy(*keys).select(*cells).write.option("header", header).option("sep", sep).csv(path)
 
 
+def write_subject_networks(encoded: DataFrame, path: str, width: int, column: str = "dd", sep: str = "\t") -> None:
+    """Signed degrees (fold, cohort, label, array ``column``) as headed text, a folder a fold and cohort.
+
+    Columns are named by number, 0 up, the label is last.
+    """
+    cells = [F.get(column, F.lit(i)).alias(str(i)) for i in range(width)]
+    encoded.select("fold", "cohort", *cells, "label").repartition("fold", "cohort").write.partitionBy("fold", "cohort").option("header", True).option("sep", sep).csv(path)
+
+
+def read_subject_networks(spark: SparkSession, path: str, width: int, sep: str = "\t") -> DataFrame:
+    """(fold, cohort, label, dd array<int>) of the files that ``write_subject_networks`` wrote."""
+    shape = ", ".join(f"`{i}` int" for i in range(width)) + ", label int, fold int, cohort string"
+    rows = spark.read.schema(shape).option("header", True).option("enforceSchema", False).option("sep", sep).csv(path)
+    return rows.select("fold", "cohort", "label", F.array(*[F.col(f"`{i}`") for i in range(width)]).alias("dd"))
+
+
 def write_report(report: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """REPORT rows as headed CSV, the row's name (and ``keys``) first."""
     rows = report.select(F.col("metric_row").alias("row"), *(keys or []), "precision", "recall", F.col("f1").alias("f1-score"), "support")
@@ -140,8 +156,15 @@ def write_models(models: DataFrame, path: str) -> None:
 
 
 def write_top_models(top: DataFrame, path: str, level: str = "n_attributes") -> None:
-    """One folder per level, one distinct attribute set (comma list) per line, in order."""
-    sets = top.select(level, F.array_join("attributes", ",").alias("value")).distinct()
+    """One folder per level, one distinct attribute set (comma list) per line, in order.
+
+    Lists grow over the levels: that of a level also has the sets of all lower ones. So a set is written
+    from its first level on; there are few levels.
+    """
+    sets = top.groupBy(F.array_join("attributes", ",").alias("value")).agg(F.min(level).alias("_first"))
+    levels = sorted(r[0] for r in top.select(level).distinct().collect())
+    each = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("_first")) if levels else F.array().cast("array<int>")
+    sets = sets.select(F.explode(each).alias(level), "value")
     sets.repartition(level).sortWithinPartitions(level, "value").write.partitionBy(level).text(path)
 
 
