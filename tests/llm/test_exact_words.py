@@ -105,3 +105,29 @@ def test_rows_of_one_hash_stay(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(corpus_pipeline, "F", Weak())
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()) == list(range(6))
+
+
+def test_unmarked_articles_stay_whole(spark, sf_dir):
+    """Passages that articles of a host share are no boilerplate, whether or not a page marks its article."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1div"))
+    text = lambda df: {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert text(bare) == text(pages)
+
+
+def test_boilerplate_without_a_name_goes_by_the_array(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    top, bottom, quoted = said(12), said(30), said(40)
+    rows, want = [], {}
+    for i in range(40):
+        body = [said(rng.randrange(20, 60)) for _ in range(4)]
+        if i % 5 == 0:
+            body.insert(2, quoted)  # a passage that a fifth of the articles quote
+        want[i] = "\n".join(body)
+        rows.append((i, f"http://h.example/{i}", "".join(f"<div>{x}</div>" for x in [top, *body, bottom])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parsed = {r["page_id"]: r["text"] for r in html_extract.parsed_pages(pages).collect()}
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert found == want and sum(found[i] != parsed[i] for i in found) == 40
