@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,20 +51,34 @@ def kept_path(spark: SparkSession, name: str) -> str:
 SCOPED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+_LOCK = threading.Lock()
+#: By session: how many threads are inside ``scoped``, and the values from before the first of them.
+_INSIDE: dict[int, tuple[int, dict[str, str | None]]] = {}
+
+
 @contextlib.contextmanager
 def scoped(spark: SparkSession):
-    """Queries that run in here have SCOPED; the session's own values come back after them."""
-    before = {key: spark.conf.get(key, None) for key in SCOPED}
+    """Queries that run in here have SCOPED; the session's own values come back after the last of them."""
+    with _LOCK:
+        n, before = _INSIDE.get(id(spark), (0, {}))
+        if not n:
+            before = {key: spark.conf.get(key, None) for key in SCOPED}
+            for key, value in SCOPED.items():
+                spark.conf.set(key, value)
+        _INSIDE[id(spark)] = n + 1, before
     try:
-        for key, value in SCOPED.items():
-            spark.conf.set(key, value)
         yield
     finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
+        with _LOCK:
+            n, before = _INSIDE.pop(id(spark))
+            if n > 1:
+                _INSIDE[id(spark)] = n - 1, before
             else:
-                spark.conf.set(key, value)
+                for key, value in before.items():
+                    if value is None:
+                        spark.conf.unset(key)
+                    else:
+                        spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

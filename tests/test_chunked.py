@@ -8,7 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from genoloom import sources
+from genoloom import scratch, sources
 from genoloom.operators import chunked, search
 from genoloom.plans import files
 
@@ -69,3 +69,18 @@ def test_subject_networks_have_a_header_and_cohorts(spark, sf_dir, tmp_path):
     back = sorted(map(tuple, sources.read_subject_networks(spark, str(tmp_path / "n"), 2).collect()), key=repr)
     assert back == sorted([(0, "Train", 1, [1, -1]), (0, "Test", 0, [0, 2]), (1, "Test", 1, [None, None])], key=repr)
     assert files.subject_network_files(spark, sf_dir).count() > 0
+
+
+def test_settings_come_back_after_the_last_thread(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "5m")
+    try:
+        one, two = scratch.scoped(spark), scratch.scoped(spark)
+        one.__enter__()
+        two.__enter__()
+        one.__exit__(None, None, None)
+        assert spark.conf.get(key) == scratch.SCOPED[key]
+        two.__exit__(None, None, None)
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key)
