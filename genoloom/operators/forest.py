@@ -132,3 +132,14 @@ def degree_shares(nodes: DataFrame) -> DataFrame:
     """(th, degree, n, share): the degree histogram of each threshold."""
     counts = nodes.groupBy("th", "degree").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("th")))
+
+
+def kept_components(nodes: DataFrame, sizes: list[int]) -> DataFrame:
+    """(th, at_least, components, nodes, edges): what every threshold and smallest size of a component keep.
+
+    A sweep over both parameters of a network, from ``threshold_nodes``; a pair that keeps nothing has
+    no row.
+    """
+    parts = nodes.groupBy("th", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("degree").alias("ends"))
+    each = parts.select("th", "size", "ends", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: F.col("size") >= s)).alias("at_least"))
+    return each.groupBy("th", "at_least").agg(F.count(F.lit(1)).alias("components"), F.sum("size").alias("nodes"), F.shiftright(F.sum("ends"), 1).alias("edges"))

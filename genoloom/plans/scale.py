@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from genoloom.operators import bitmaps, chunked, keyed, pairs, reports, search, splits
-from genoloom.plans.queries import CELLS_SQL, FOLD_SQL, FOLDS, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, PERMUTED_SQL, SEED, SIGN_SQL, W_SQL, WIDE, WIDTH, WP_SQL, edge_table, folded, matrix, query, rounded, table, wide_matrix
+from genoloom.operators import bitmaps, chunked, forest, keyed, pairs, reports, search, splits
+from genoloom.plans.queries import CELLS_SQL, FOLD_SQL, FOLDS, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, PERMUTED_SQL, SEED, SIGN_SQL, STATS_SQL, W_SQL, WIDE, WIDTH, WP_SQL, edge_table, folded, matrix, network, query, rounded, table, wide_matrix
 from genoloom.scratch import new_path, stage
 
 #: Columns of the widest matrix, and of that of three-way searches.
@@ -166,3 +166,17 @@ def job_counters(spark, sf_dir):
     """Counters of a study's jobs before it goes on: what is done, partial and missing."""
     run, plan = interrupted(spark, sf_dir)
     return chunked.state_counters(chunked.chunk_states(run([])[0], plan))
+
+
+# ---------------------------------------------------------------- sweeps of a network's parameters
+
+CUTOFFS, SIZES = [0.015, 0.02, 0.025], [2, 3, 5, 10]
+KEPT_SQL = STATS_SQL.split("deg AS (")[0].replace("(VALUES (0.02::DOUBLE), (0.025), (0.03))", f"(VALUES {', '.join(f'({x}::DOUBLE)' for x in CUTOFFS)})")
+
+
+@query(f"""{KEPT_SQL} n AS (SELECT th, c.component, count(*) AS edges FROM te JOIN comp c ON c.th = te.th AND c.node = te.a GROUP BY ALL)
+SELECT s.th, at_least, count(*) AS components, sum(size)::BIGINT AS nodes, sum(edges)::BIGINT AS edges FROM sizes s JOIN n ON n.th = s.th AND n.component = s.component, (VALUES {', '.join(f'({x})' for x in SIZES)}) v(at_least) WHERE size >= at_least GROUP BY ALL""".replace("n AS (SELECT th, c.component", "n AS (SELECT te.th, c.component"))
+def parameter_sweep(spark, sf_dir):
+    """Components, nodes and edges that every cutoff and smallest component size keep."""
+    nodes = stage(forest.threshold_nodes(network(spark, sf_dir), "ig", CUTOFFS), "nodes")
+    return forest.kept_components(nodes, SIZES)

@@ -149,6 +149,21 @@ def test_thresholds_from_the_forest_are_those_of_the_sweep(spark):
     assert same(forest.degree_shares(forest.in_largest(nodes)), graph.degree_histogram(tagged.where("in_lc"), ["th"]))
 
 
+def test_sweeps_keep_what_union_find_keeps(spark):
+    rows = random_network(3)
+    got = {(r["th"], r["at_least"]): (r["components"], r["nodes"], r["edges"]) for r in forest.kept_components(forest.threshold_nodes(spark.createDataFrame(rows, "a string, b string, ig double"), "ig", [0.2, 0.5]), [1, 3, 99]).collect()}
+    want = {}
+    for th in (0.2, 0.5):
+        edges = [(a, b) for a, b, w in rows if w >= th]
+        of = union_find({x for e in edges for x in e}, edges)
+        sizes = Counter(of.values())
+        for least in (1, 3, 99):
+            kept = {c for c, n in sizes.items() if n >= least}
+            if kept:
+                want[th, least] = (len(kept), sum(sizes[c] for c in kept), sum(of[a] in kept for a, _ in edges))
+    assert got == want
+
+
 # ---------------------------------------------------------------- permutations
 
 
