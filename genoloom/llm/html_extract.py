@@ -7,7 +7,7 @@ of the host's distinct pages are concatenated and their suffixes sorted, which b
 substrings together. A run of RUN tokens that stands on enough distinct pages is boilerplate, what
 such runs cover is removed, and the unique runs stay.
 
-Enough is half of the host's distinct pages, 3 at least (LOOSE), inside a marked article 4 (STRICT):
+Enough is half of the host's distinct pages, 2 at least (LOOSE), inside a marked article 4 (STRICT):
 articles of a host quote each other, so fewer pages tell nothing, marked or not. Two guards keep copies whole: an article of
 which runs cover more than half is a copy of others, not boilerplate; and on a page without a marked
 article of which all but a tenth is covered (COPY, from COPY_TOKENS tokens on), only STRICT runs go.
@@ -44,7 +44,7 @@ from genoloom.scratch import stage
 RUN, GROUP, GROUP_CHARS = 6, 500, 8 << 20
 #: Boilerplate stands on so many of a host's distinct pages, and on this share of them: elsewhere,
 #: and inside an article that its page marks.
-LOOSE, STRICT = (3, 0.5), (4, 0.5)
+LOOSE, STRICT = (2, 0.5), (4, 0.5)
 #: Covered shares from which a text is a copy of others: marked articles; other pages of so many tokens.
 ARTICLE_COPY, COPY, COPY_TOKENS = 0.5, 0.9, 64
 #: Large hosts, or changed pages, that are broadcast at most; more are joined by a shuffle.
