@@ -369,7 +369,7 @@ def test_grouped_permutation_ranks(spark):
 
 
 def test_permuted_gains_are_those_of_each_permutation(spark, rows, monkeypatch):
-    monkeypatch.setattr(search, "COUNTED", 2)
+    monkeypatch.setattr(search, "HELD", 1 << 10)  # several scans
     m = spark.createDataFrame(rows, M)
     got = {(r.perm, r.f1, r.f2): round(r.ig, 9) for r in search.permuted_gains(m, 4, 3, 9, start=5).collect()}
     want = {(r.perm, r.f1, r.f2): round(r.ig, 9) for r in pairs.pair_gains(search.permuted(m, 3, 9, 5), 4, keys=["perm"]).collect()}
