@@ -4,12 +4,12 @@ Old shard sizes and new capacities make a small transport problem: staying is fr
 costs one (or what a cost matrix says). Its solution, by successive shortest paths, names the block
 transfers that move the fewest bytes. Rows of an old shard stand in one order (large ones first);
 the flow cuts that order into a part that stays and blocks that go, so cuts fall among small rows
-and new sizes are near equal. Only shards that a transfer touches are rewritten, each under a new name
-that is then renamed.
+and new sizes are near equal. Only shards that a transfer touches are rewritten, beside the others; a
+folder of whole shards is then renamed into its place, and a reader finishes what a lost driver left.
 
 The order needs running sums over a whole shard. They come from sums of buckets (size classes times
-hash values, added up on executors; the driver sees buckets, never rows) and a window inside each
-bucket. A document's columns travel in one struct, so their names can't clash with those used here.
+hash values), which are a table, and a window inside a bucket; the driver sees shards and transfers.
+A document's columns travel in one struct, so their names can't clash with those used here.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from genoloom.scratch import drop, stage
 
 #: Classes of row size; hash values of each, at least; rows of a class that one task orders, about.
 SIZE_CLASSES, SPREAD, BUCKET = 40, 16, 1_000_000
-#: Files of a layout whose row counts are broadcast; those of more are joined by a shuffle.
-FILES = 100_000
+#: Files of a layout, or parts of its shards, that are broadcast; those of more are joined by a shuffle.
+FILES, PARTS = 100_000, 100_000
+CUTS = "old int, from long, to long, new int"
 
 
 def capacities(total: int, shards: int) -> list[int]:
@@ -102,61 +103,61 @@ def _spread(rows: DataFrame) -> int:
 def _bucketed(rows: DataFrame, spread: int) -> DataFrame:
     band = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(SIZE_CLASSES - 1))
     part = F.pmod("tie", F.lit(spread))
-    return rows.withColumns({"_spread": part, "_bucket": ((SIZE_CLASSES - 1 - band) * spread + part).cast("int")})
+    return rows.withColumn("_bucket", ((SIZE_CLASSES - 1 - band) * spread + part).cast("int"))
 
 
-def _solve(rows: DataFrame, new_shards: int, cost: list[list[float]] | None) -> tuple[dict[tuple[int, int], int], DataFrame, DataFrame]:
-    """(transfers, offsets of buckets, cuts of old shards) of bucketed rows."""
-    sums = {(r["old"], r["_bucket"]): r["bytes"] for r in rows.groupBy("old", "_bucket").agg(F.sum("size").alias("bytes")).collect()}
-    n_old = 1 + max([k[0] for k in sums], default=-1)
-    supply = [0] * n_old
-    for (old, _), b in sums.items():
-        supply[old] += b
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(old, _bucket, _bytes, _offset) of bucketed rows: where a bucket begins in its shard's order."""
+    sums = rows.groupBy("old", "_bucket").agg(F.sum("size").alias("_bytes"))
+    before = Window.partitionBy("old").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return stage(sums.withColumn("_offset", F.coalesce(F.sum("_bytes").over(before), F.lit(0))), "buckets")
+
+
+def _solve(buckets: DataFrame, new_shards: int, cost: list[list[float]] | None) -> tuple[dict[tuple[int, int], int], DataFrame]:
+    """(transfers, CUTS) of the old shards' sums: a shard's order is cut at these byte positions.
+
+    What stays comes first. The driver sees a row a shard and a cut a transfer.
+    """
+    sums = {r["old"]: r["bytes"] for r in buckets.groupBy("old").agg(F.sum("_bytes").alias("bytes")).collect()}
+    supply = [sums.get(old, 0) for old in range(1 + max(sums, default=-1))]
     transfers = min_cost_flow(supply, capacities(sum(supply), new_shards), cost)
-    starts, at = {}, [0] * n_old
-    for old, b in sorted(sums):
-        starts[old, b] = at[old]
-        at[old] += sums[old, b]
-    # Each old shard's order is cut at these byte positions; what stays comes first.
-    cuts = []
-    for old in range(n_old):
-        here = 0
-        for new in sorted((j for i, j in transfers if i == old), key=lambda j: (j != old, j)):
-            cuts.append((old, here, here + transfers[old, new], new))
-            here += transfers[old, new]
-    spark = rows.sparkSession
-    # Both tables have at most shards times buckets (or shards times shards) rows.
-    offsets = spark.createDataFrame([(o, b, s) for (o, b), s in starts.items()], "old int, _bucket int, _offset long")
-    pieces = spark.createDataFrame([(o, [(x, y, n) for c, x, y, n in cuts if c == o]) for o in range(n_old)], "old int, _cuts array<struct<from: long, to: long, new: int>>")
-    return transfers, offsets, pieces
-
-
-def _cut(rows: DataFrame, offsets: DataFrame, pieces: DataFrame, ties: list[str]) -> DataFrame:
-    """Bucketed rows with shard and _rank (in the part of a bucket that goes to one shard)."""
-    group = ["old", "_spread", "_bucket"]
-    order = [F.desc("size"), "tie", *ties]
-    placed = rows.repartition("old", "_spread").join(F.broadcast(offsets), ["old", "_bucket"]).join(F.broadcast(pieces), "old")
-    middle = F.col("_offset") + F.sum("size").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") + F.floor((F.col("size") - 1) / 2)
-    placed = placed.withColumn("_at", middle)
-    placed = placed.withColumn("shard", F.filter("_cuts", lambda c: (F.col("_at") >= c["from"]) & (F.col("_at") < c["to"]))[0]["new"]).drop("_cuts", "_at", "_offset")
-    rank = F.row_number().over(Window.partitionBy(*group, "shard").orderBy(*order))
-    return placed.withColumn("_rank", (rank - 1).cast("long"))
-
-
-def _bases(placed: DataFrame) -> tuple[DataFrame, set[int]]:
-    """(the first slot of each part of a bucket, the shards that rows leave or enter)."""
-    counts = placed.groupBy("shard", "old", "_bucket").count().collect()  # at most shards * buckets * cuts
-    base, total = [], {}
-    for r in sorted(counts):
-        base.append((r["shard"], r["old"], r["_bucket"], total.get(r["shard"], 0)))
-        total[r["shard"]] = base[-1][-1] + r["count"]
-    table = placed.sparkSession.createDataFrame(base, "shard int, old int, _bucket int, _base long")
-    return table, {k for r in counts if r["old"] != r["shard"] for k in (r["old"], r["shard"])}
-
-
-def _slots(placed: DataFrame, bases: DataFrame) -> DataFrame:
-    out = placed.join(F.broadcast(bases), ["shard", "old", "_bucket"])
-    return out.withColumn("slot", F.col("_base") + F.col("_rank")).drop("_bucket", "_spread", "_rank", "_base")
+    cuts, at = [], [0] * len(supply)
+    for old, new in sorted(transfers, key=lambda k: (k[0], k[1] != k[0], k[1])):
+        cuts.append((old, at[old], at[old] + transfers[old, new], new))
+        at[old] += transfers[old, new]
+    return transfers, buckets.sparkSession.createDataFrame(cuts, CUTS)
+
+
+def _ends(buckets: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(old, _cuts: each cut's first and last bucket), (old, _bucket, _offset: buckets that a cut divides).
+
+    Buckets follow each other in a shard's order, so a cut is a range of them. Neither table has more
+    rows than there are cuts.
+    """
+    met = buckets.join(F.broadcast(cuts), "old").where("_offset < `to` AND _offset + _bytes > `from`")
+    spans = met.groupBy("old", "new").agg(F.min("_bucket").alias("first"), F.max("_bucket").alias("last"))
+    spans = spans.groupBy("old").agg(F.collect_list(F.struct("first", "last", "new")).alias("_cuts"))
+    divided = met.groupBy("old", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.first("_offset").alias("_offset")).where("n > 1").drop("n")
+    return spans, divided
+
+
+def _cut(rows: DataFrame, offsets: DataFrame, cuts: DataFrame, ties: list[str]) -> DataFrame:
+    """Bucketed rows (of the buckets in ``offsets``) with shard: the cut that a row's middle byte lies in."""
+    pieces = cuts.groupBy("old").agg(F.collect_list(F.struct("from", "to", "new")).alias("_pieces"))
+    placed = rows.join(offsets, ["old", "_bucket"]).join(F.broadcast(pieces), "old")
+    so_far = F.sum("size").over(Window.partitionBy("old", "_bucket").orderBy(F.desc("size"), "tie", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.withColumn("_at", F.col("_offset") + so_far - F.col("size") + F.floor((F.col("size") - 1) / 2))
+    inside = F.filter("_pieces", lambda c: (F.col("_at") >= c["from"]) & (F.col("_at") < c["to"]))
+    return placed.withColumn("shard", inside[0]["new"]).drop("_pieces", "_at", "_offset")
+
+
+def _slots(placed: DataFrame) -> DataFrame:
+    """A written table of placed rows with slot: shards number their buckets' rows one bucket after another."""
+    group = ["shard", "old", "_bucket"]
+    before = Window.partitionBy("shard").orderBy("old", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stage(placed.groupBy(*group).count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"), "bases")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("size"), "tie"))
+    return placed.withColumn("_rank", rank - 1).join(few(bases, PARTS), group).withColumn("slot", F.col("_base") + F.col("_rank")).drop("_bucket", "_rank", "_base")
 
 
 def _packed(rows: DataFrame, own: list[str]) -> DataFrame:
@@ -180,9 +181,9 @@ def reshard(rows: DataFrame, new_shards: int, cost: list[list[float]] | None = N
     """
     own = ["old", "size", "tie"]
     packed = _bucketed(_packed(rows, own), _spread(rows))
-    transfers, offsets, pieces = _solve(packed, new_shards, cost)
-    placed = stage(_cut(packed, offsets, pieces, []), "placed")
-    out = _slots(placed, _bases(placed)[0])
+    buckets = _buckets(packed)
+    transfers, cuts = _solve(buckets, new_shards, cost)
+    out = _slots(stage(_cut(packed, few(buckets.drop("_bytes"), PARTS), cuts, []), "placed"))
     return out.select(*own, *_fields([c for c in rows.columns if c.lower() not in own]), "shard", "slot"), transfers
 
 
@@ -193,68 +194,102 @@ def _stored(name: str) -> str:
 
 def write_shards(docs: DataFrame, old: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` as Parquet folders shard=N, by ``old``; its columns shard and slot as ~shard and ~slot."""
-    spread = F.pmod(F.xxhash64(text_col, id_col), F.lit(SPREAD))
+    spread = F.pmod(F.xxhash64(text_col, id_col), F.lit(max(SPREAD, docs.count() // BUCKET)))
     rows = docs.select(*[F.col(f"`{c}`").alias(_stored(c)) for c in docs.columns], old.alias("shard"), spread.alias("~"))
     rows.repartition("shard", "~").drop("~").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """(_doc, shard, slot, _file, _row): documents in a struct, and their place in the files."""
     full = StructType([*[StructField(_stored(f.name), f.dataType) for f in schema], StructField("slot", LongType()), StructField("shard", IntegerType())])
     doc = F.struct(*[F.col(f"`{_stored(f.name)}`").alias(f.name) for f in schema])
-    rows = spark.read.schema(full).parquet(path).select(doc.alias("_doc"), "shard", "slot", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("shard", "_file").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return rows.join(few(files, FILES), ["shard", "_file"]).withColumn("slot", F.coalesce("slot", F.col("_before") + F.col("_row"))).drop("_before")
+    return spark.read.schema(full).parquet(path).select(doc.alias("_doc"), "shard", "slot", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of shard folders: columns of ``schema`` (but any named shard or slot), shard and slot.
 
-    slot is what the file says; files of the first layout don't, there it is the row's place in the
-    shard's files in the order of their names.
+    slot is what the file says (those of ``rewrite`` do), else the row's place in the shard's files in
+    the order of their names. A change of the layout that lost its driver is finished first.
     """
-    return _read(spark, path, schema).select(*_fields(schema.names), "shard", "slot")
+    _finish(spark, path)
+    rows = _rows(spark, path, schema)
+    before = Window.partitionBy("shard").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("shard", "_file").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rows = rows.join(few(files, FILES), ["shard", "_file"]).withColumn("slot", F.coalesce("slot", F.col("_before") + F.col("_row")))
+    return rows.select(*_fields(schema.names), "shard", "slot")
 
 
-def reshard_files(spark: SparkSession, path: str, schema: StructType, new_shards: int, cost: list[list[float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict[tuple[int, int], int]:
+def reshard_files(spark: SparkSession, path: str, schema: StructType, new_shards: int, cost: list[list[float]] | None = None, text_col: str = "text") -> dict[tuple[int, int], int]:
     """Reshard the folders shard=N of ``path`` in place; the transfers {(old, new): bytes}.
 
-    Rows are told apart by file and place in it, so null and repeated ids are rows like others. A
-    narrow table gives cuts and slots; then rows of touched shards are read, placed by the same
-    order and written. Shards that no row leaves or enters keep their files.
+    Rows are told apart by file and place in it, so null and repeated ids are rows like others. Only
+    rows of the buckets that a cut divides are put in order, in a narrow table; of all others the
+    bucket tells the shard. Shards that no transfer touches keep their files. Of touched ones, rows
+    that stay are copied where they are read; only rows that move are shuffled. One call at a time.
     """
-    docs = _read(spark, path, schema).drop("slot").withColumnRenamed("shard", "old")
-    text, key = F.col("_doc").getField(text_col), F.col("_doc").getField(id_col)
-    docs = docs.withColumns({"size": row_size(text), "tie": F.xxhash64(text, key)})
+    _finish(spark, path)
+    fs, at = _files(spark, path)
+    for half in fs.globStatus(at(f"{path}/_new-*")) or []:
+        fs.delete(half.getPath(), True)
+    docs = _rows(spark, path, schema).drop("slot").withColumnRenamed("shard", "old")
+    docs = docs.withColumns({"size": row_size(F.col("_doc").getField(text_col)), "tie": F.xxhash64("_file", "_row")})
     place = ["_file", "_row"]
-    rows = stage(docs.select("old", "size", "tie", *place), "rows")
-    spread = _spread(rows)
-    transfers, offsets, pieces = _solve(_bucketed(rows, spread), new_shards, cost)
-    placed = stage(_cut(_bucketed(rows, spread), offsets, pieces, place), "placed")
-    bases, touched = _bases(placed)
-    drop(rows, placed)
+    narrow = stage(docs.select("old", "size", "tie", *place), "rows")
+    spread = _spread(narrow)
+    rows = _bucketed(narrow, spread)
+    buckets = _buckets(rows)
+    transfers, cuts = _solve(buckets, new_shards, cost)
+    touched = {k for i, j in transfers if i != j for k in (i, j)}
     if touched:
-        moved = _slots(_cut(_bucketed(docs.where(F.col("old").isin(*touched)), spread), offsets, pieces, place), bases)
-        _swap(moved.select(*[F.col("_doc").getField(f.name).alias(_stored(f.name)) for f in schema], "slot", "shard"), path, touched)
+        spans, divided = _ends(buckets, cuts)
+        ordered = stage(_cut(rows, F.broadcast(divided), cuts, place).select("old", *place, F.col("shard").alias("_ordered")), "ordered")
+        whole = F.filter("_cuts", lambda c: (F.col("_bucket") >= c["first"]) & (F.col("_bucket") <= c["last"]))
+        told = _bucketed(docs.where(F.col("old").isin(*touched)), spread).join(F.broadcast(spans), "old").withColumn("shard", F.when(F.size(whole) == 1, whole[0]["new"]))
+        moved = told.where("shard IS NULL OR shard <> old").join(ordered, ["old", *place], "left").withColumn("shard", F.coalesce("shard", "_ordered"))
+        moved = moved.repartition("shard", F.pmod("tie", F.lit(spread)))
+        stored = [F.col("_doc").getField(f.name).alias(_stored(f.name)) for f in schema]
+        _publish(told.where("shard = old").select(*stored, "shard").unionByName(moved.select(*stored, "shard")), path, touched)
+        drop(ordered)
+    drop(narrow, buckets)
     return transfers
 
 
-def _swap(rows: DataFrame, path: str, touched: set[int]) -> None:
-    """Write ``rows`` beside the shards of ``path``, then rename each touched shard into its place."""
-    spark = rows.sparkSession
-    name = uuid.uuid4().hex
-    new, gone = f"{path}/_new-{name}", f"{path}/_gone-{name}"
-    rows.write.option("compression", "zstd").partitionBy("shard").parquet(new)
+def _files(spark: SparkSession, path: str):
+    """(the file system of ``path``, a function that makes its paths)."""
     at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at(gone))
-    for a, b in ((path, gone), (new, path)):
-        for k in sorted(touched):
-            if fs.exists(at(f"{a}/shard={k}")) and not fs.rename(at(f"{a}/shard={k}"), at(f"{b}/shard={k}")):
-                raise OSError(f"{a}/shard={k} can't be renamed")
-    for x in (gone, new):
-        fs.delete(at(x), True)
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _publish(rows: DataFrame, path: str, touched: set[int]) -> None:
+    """Write the touched shards beside the others, rename that folder once it is whole, put it in place."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    new = f"{path}/_new-{name}"
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(new)
+    fs, at = _files(spark, path)
+    for k in sorted(touched):
+        if not fs.exists(at(f"{new}/shard={k}")):
+            fs.mkdirs(at(f"{new}/_empty/shard={k}"))
+    if not fs.rename(at(new), at(f"{path}/_ready-{name}")):
+        raise OSError(f"{new} can't be renamed")
+    _finish(spark, path)
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Put shards of a whole folder (_ready) in their places; repeated after a failure, it goes on.
+
+    An old shard is deleted only while its new rows lie in that folder, so no row is lost.
+    """
+    fs, at = _files(spark, path)
+    for ready in fs.globStatus(at(f"{path}/_ready-*")) or []:
+        for shard in fs.globStatus(at(f"{ready.getPath()}/_empty/shard=*")) or []:
+            fs.delete(at(f"{path}/{shard.getPath().getName()}"), True)
+        for shard in fs.globStatus(at(f"{ready.getPath()}/shard=*")) or []:
+            old = at(f"{path}/{shard.getPath().getName()}")
+            fs.delete(old, True)
+            if not fs.rename(shard.getPath(), old):
+                raise OSError(f"{shard.getPath()} can't be renamed")
+        fs.delete(ready.getPath(), True)
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, keys: list[str]) -> None:
@@ -282,4 +317,4 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, keys: list[str]) -> N
         for i, c in enumerate(both):
             same &= F.col(c).eqNullSafe(F.col(f"_key{i}"))
         rows = left.drop("old", "shard", "slot").join(right, same)
-    _swap(rows.select(*own, "slot", "shard").repartition("shard", F.floor(F.col("slot") / BUCKET)).sortWithinPartitions("shard", "slot"), path, touched)
+    _publish(rows.select(*own, "slot", "shard").repartition("shard", F.floor(F.col("slot") / BUCKET)).sortWithinPartitions("shard", "slot"), path, touched)

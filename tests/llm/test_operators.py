@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -245,6 +246,71 @@ def test_rewrite_leaves_other_shards_and_repeats(spark, tmp_path):
     assert (1, 1, 1, "z") in got and (2, 0, 50, "kept") in got
 
 
+def layout(spark, path, seed=0, shards=4, rows=400):
+    """Uneven shards of rows of many sizes, some of them equal; (schema, rows)."""
+    pick = random.Random(seed)
+    given = [(pick.choice((0, 0, 0, *range(shards))), pick.choice((None, i)), pick.choice((None, "same", "t" * pick.randrange(300)))) for i in range(rows)]
+    df = spark.createDataFrame(given, "shard int, doc_id long, text string")
+    df.repartition(3).write.partitionBy("shard").parquet(path)
+    return df.drop("shard").schema, given
+
+
+def moved_bytes(given, got):
+    """The least bytes that can leave their shard, by the sizes before and after."""
+    before, after = Counter(), Counter()
+    for k, _, t in given:
+        before[k] += len(t or "") + 1
+    for r in got:
+        after[r.shard] += len(r.text or "") + 1
+    return sum(max(0, before[k] - after[k]) for k in before | after), after
+
+
+@pytest.mark.parametrize(("new", "bucket"), [(4, 1_000_000), (6, 20), (2, 3)])
+def test_layouts_move_the_fewest_bytes(spark, tmp_path, monkeypatch, new, bucket):
+    monkeypatch.setattr(reshard, "BUCKET", bucket)
+    path = str(tmp_path / "shards")
+    schema, given = layout(spark, path, seed=new)
+    transfers = reshard.reshard_files(spark, path, schema, new)
+    got = reshard.read_shards(spark, path, schema).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for _, d, t in given)
+    sizes = Counter()
+    for k, _, t in given:
+        sizes[k] += len(t or "") + 1
+    want = reshard.capacities(sum(sizes.values()), new)
+    assert sum(f for (i, j), f in transfers.items() if i != j) == sum(max(0, sizes[i] - (want[i] if i < new else 0)) for i in sizes)
+    _, after = moved_bytes(given, got)
+    assert set(after) == set(range(new)) and all(abs(after[j] - want[j]) < 300 * 4 for j in after)
+    for k in range(new):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    # Rows move only where the flow says: a shard that gains nothing has rows of its own alone.
+    mine = Counter((k, d, t) for k, d, t in given)
+    for k in {i for i, j in transfers if i != j} - {j for i, j in transfers if i != j}:
+        assert not Counter((r.shard, r.doc_id, r.text) for r in got if r.shard == k) - mine
+    again = reshard.reshard_files(spark, path, schema, new)
+    assert sum(f for (i, j), f in again.items() if i != j) <= 300 * 4 * new
+
+
+def test_lost_driver_between_renames(spark, tmp_path, monkeypatch):
+    """A reader finishes a change whose driver was lost after some renames; half-written folders are ignored."""
+    path = tmp_path / "shards"
+    schema, given = layout(spark, str(path), seed=9)
+    with monkeypatch.context() as m:
+        m.setattr(reshard, "_finish", lambda *_: None)
+        reshard.reshard_files(spark, str(path), schema, 2)
+    ready = next(path.glob("_ready-*"))
+    assert {p.name for p in (ready / "_empty").iterdir()} == {"shard=2", "shard=3"}
+    shutil.rmtree(path / "shard=0")
+    (ready / "shard=0").rename(path / "shard=0")
+    shutil.rmtree(path / "shard=1")
+    shutil.copytree(path / "shard=0", path / "_new-half" / "shard=0")
+    got = reshard.read_shards(spark, str(path), schema).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for _, d, t in given)
+    assert {r.shard for r in got} == {0, 1} and not list(path.glob("_ready-*"))
+    reshard.reshard_files(spark, str(path), schema, 3)
+    assert not list(path.glob("_new-*"))
+    assert Counter((r.doc_id, r.text) for r in reshard.read_shards(spark, str(path), schema).collect()) == Counter((d, t) for _, d, t in given)
+
+
 # ---------------------------------------------------------------- 3 Jaccard join
 
 
