@@ -267,8 +267,8 @@ def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFra
 DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    """DIGESTS of each piece, from the ids that ``sequences`` gave."""
+def digests(packed: DataFrame, with_ids: bool = False) -> DataFrame:
+    """DIGESTS of each piece (and its ids if asked), read back from the sequences that ``sequences`` gave."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,6 +283,9 @@ def digests(packed: DataFrame) -> DataFrame:
             at = 4 * (np.repeat(first, length) + offset.to_numpy())
             to = at + 4 * size.to_numpy()
             crc = [zlib.crc32(data[i:j]) for i, j in zip(at.tolist(), to.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([doc, start, size, pa.array(crc, pa.int64()), tokens, pa.array(np.repeat(sequence.to_numpy(), length)), offset], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            columns = {"doc_id": doc, "start": start, "length": size, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": tokens, "sequence_id": pa.array(np.repeat(sequence.to_numpy(), length)), "offset": offset}
+            if with_ids:
+                columns["ids"] = pa.array([whole[i:j] for i, j in zip((at // 4 * ID_BYTES).tolist(), (to // 4 * ID_BYTES).tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return packed.mapInArrow(scan, DIGESTS)
+    return packed.mapInArrow(scan, DIGESTS + ", ids binary" * with_ids)

@@ -1,11 +1,16 @@
 """The pipeline against brute force, stage by stage, each on what its predecessor really kept."""
 
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import base_counts, components, contaminated, left_lines
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from genoloom.llm import packing, queries
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +78,46 @@ def test_packing_stage_and_run(kept, spark, sf_dir):
     assert sorted(pipeline.run(spark, sf_dir).collect()) == sorted(pieces)
 
 
+def test_pieces_carry_their_sequences(kept):
+    """The rows of the last stage are whole sequences: their ids decode to the texts they were made of."""
+    vocabulary = Tokenizer.from_file(queries.vocabulary(queries.VOCABULARY))
+    by_sequence, by_doc = {}, {}
+    for r in kept[5].collect():
+        ids = np.frombuffer(r.ids, packing.ID_TYPE)
+        assert len(ids) == r.length and zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault(r.doc_id, {})[r.start] = ids.tolist()
+    for places in by_sequence.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(places), sorted(places)[1:], strict=False)) and min(places)[0] == 0
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    texts = dict(rows(kept[4]))
+    for doc, parts in by_doc.items():
+        assert [x for at in sorted(parts) for x in parts[at]] == [*vocabulary.encode(texts[doc], add_special_tokens=False).ids, 1]
+    made = packing.sequences(kept[5]).select("sequence_id", "ids").collect()
+    assert {r.sequence_id for r in made} == set(by_sequence) and all(len(r.ids) == 2048 * packing.ID_BYTES for r in made)
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, sf_dir):
+    """No rows in, none out, with the same columns; columns that operators use inside are left out."""
+    none = spark.createDataFrame([], ROW)
+    names = ["_tag", "_other", "_id", "_many", "n_words", "kept", "n_removed", "component_id", "dc_runs", "contaminated", "sequence_id", "offset", "ids"]
+    more = none.withColumns({c: F.lit("user") for c in names})
+    for _, step in pipeline.STAGES:
+        columns = step(spark, none, sf_dir).columns
+        for docs in (none, more):
+            got = step(spark, docs, sf_dir)
+            assert got.columns == columns and got.count() == 0
+        if step is not pipeline.packed:
+            assert columns == pipeline.COLUMNS
+
+
+def test_stages_leave_out_clashing_columns_of_rows(kept, spark, sf_dir):
+    names = ["_tag", "_other", "n_words", "kept", "n_removed", "component_id", "dc_runs", "contaminated", "sequence_id", "offset", "ids"]
+    for k, (_, step) in enumerate(pipeline.STAGES[:-1]):
+        more = kept[k].withColumns({c: F.lit("user") for c in names})
+        assert Counter(rows(step(spark, more, sf_dir))) == Counter(rows(kept[k + 1]))
+
+
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
 
