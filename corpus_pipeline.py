@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text without words is a component of its own in every row, so each such row stays. Rows are told
     apart by a hash of all columns; different rows of one hash (a second one says so) stay as they are.
     """
-    tagged = docs.withColumns({"_tag": F.xxhash64(*COLUMNS), "_other": F.xxhash64(F.lit(1), *COLUMNS)})
+    tagged = docs.select(*COLUMNS).withColumns({"_tag": F.xxhash64(*COLUMNS), "_other": F.xxhash64(F.lit(1), *COLUMNS)})
     found = jaccard_join.jaccard_components(tagged, id_col="_tag").groupBy("doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("rows"))
     ids = tagged.groupBy(F.col("_tag").alias("doc_id")).agg(F.min("doc_id").alias("_id"), (F.min("_other") != F.max("_other")).alias("_mixed"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col("doc_id").alias("_tag"), "n_shingles", "rows"))
@@ -54,8 +54,9 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    return packing.pack(docs, vocabulary(VOCABULARY), vocabulary(RANKS))
+    """Token pieces with their ids, read back from the padded sequences that hold them."""
+    pieces = packing.pack(docs, vocabulary(VOCABULARY), vocabulary(RANKS), with_ids=True)
+    return packing.digests(packing.sequences(pieces), with_ids=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", clean_of_benchmarks), ("packing", packed)]
