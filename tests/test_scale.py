@@ -1,17 +1,19 @@
 """Bitmaps, ranges of combinations, forests and permutation products against plain Python and numpy."""
 
+import hashlib
 import itertools
 import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from genoloom.operators import bitmaps, forest, graph, search
+from genoloom.operators import bitmaps, dealt, forest, graph, search
 from genoloom.operators.pairs import pair_gains
 
 
@@ -179,3 +181,27 @@ def test_a_thousand_permutations_by_products(spark, monkeypatch):
             assert abs(found[perm + 40, r["f1"], r["f2"]]["ig"] - r["ig"]) < 1e-12
     assert search.permuted_gains(m.limit(0), 6, 3, 7).count() == 0
     assert np.isfinite([r["mi"] for r in found.values()]).all()
+
+
+@pytest.mark.parametrize("leading", [8, 1])
+def test_values_dealt_in_ranges_and_chunks(spark, monkeypatch, leading):
+    """Ranges of hashes, chunks of ranks, hashes that tie: the order stays that of md5."""
+    for name, value in (("BUCKET", 30), ("CHUNK", 16), ("LEADING", leading)):
+        monkeypatch.setattr(dealt, name, value)
+    rows = [(i * 10**9, i % 2, [i % 3, i // 3 % 3]) for i in range(200)]
+    taken = [[0, 1], [2], [1, 0]]
+    codes = F.concat(F.col("g"), F.array("label"))
+    m = spark.createDataFrame(rows, MATRIX).repartition(3)
+    runs = dealt.dealt(m, 3, codes, F.col("label"), 5, ["place", "0", "long" * 20], taken)
+    got = {}
+    for r in runs.orderBy("k", "c", "at").collect():
+        planes = dealt._unpacked(bytes(r["codes"]), r["n"], len(taken[r["k"]]))
+        assert r["at"] == len(got.setdefault((r["k"], r["c"]), []))
+        got[r["k"], r["c"]] += [tuple(map(int, x)) for x in planes.T]
+    for k, name in enumerate(["place", "0", "long" * 20]):
+        for c in (0, 1):
+            order = sorted((hashlib.md5(f"5:{name}:{i}".encode()).hexdigest(), [*g, y]) for i, y, g in rows if y == c)
+            assert got[k, c] == [tuple(x[j] for j in taken[k]) for _, x in order]
+    # Chunks hold the same ranks of every sequence.
+    seen = [(c, [x.shape[1] for x in codes]) for c, codes in dealt.chunks(iter(pa.Table.from_pandas(dealt.chunked(runs, taken).toPandas()).to_batches()), taken)]
+    assert sorted(seen) == sorted((c, [n] * 3) for c in (0, 1) for n in [16] * 6 + [4])
