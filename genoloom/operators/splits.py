@@ -37,6 +37,9 @@ def holdout(rows: DataFrame, share: float, seed: int, key: str = "sid", by: str
 
 
 def chunks(rows: DataFrame, k: int, rank: str = "rank") -> DataFrame:
-    """``rows`` (rank 1 up) with chunk: balanced pieces [i * n // k, (i + 1) * n // k)."""
+    """``rows`` (rank 1 up) with chunk: balanced pieces [i * n // k, (i + 1) * n // k).
+
+    Whole numbers only: a quotient has too few decimals to tell a piece's last rank from the next.
+    """
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    return rows.crossJoin(F.broadcast(n)).withColumn("chunk", F.expr(f"CAST(ceil((CAST({rank} AS DECIMAL(38,0)) * {k}) / _n) - 1 AS INT)")).drop("_n")
+    return rows.crossJoin(F.broadcast(n)).withColumn("chunk", F.expr(f"CAST((CAST({rank} AS DECIMAL(20,0)) * {k} - 1) DIV _n AS INT)")).drop("_n")

@@ -368,6 +368,13 @@ def test_grouped_permutation_ranks(spark):
     assert len(got) == len(rows)
 
 
+def test_chunks_of_many_rows_end_where_they_should(spark):
+    """The quotient of the first rank of a piece is less than 1e-6 over a whole number."""
+    n = 3_000_001
+    got = splits.chunks(spark.range(1, n + 1).withColumnRenamed("id", "rank"), 7).groupBy("chunk").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).collect()
+    assert {r["chunk"]: (r["first"], r["last"]) for r in got} == {i: (i * n // 7 + 1, (i + 1) * n // 7) for i in range(7)}
+
+
 def test_permuted_gains_are_those_of_each_permutation(spark, rows, monkeypatch):
     monkeypatch.setattr(search, "HELD", 1 << 10)  # several scans
     m = spark.createDataFrame(rows, M)
