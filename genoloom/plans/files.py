@@ -78,7 +78,7 @@ def simulated_sets(spark, sf_dir):
     sources.write_matrix(m, source, NAMES, label="target", place=0)
     plain = spark.read.option("header", True).option("sep", "\t").csv(source)
     path = new_path(spark, "relabelled")
-    sources.label_last(plain).write.option("header", True).csv(path)
+    sources.label_last(sources.in_file_order(plain)).write.option("header", True).csv(path)
     back, names = sources.read_matrix_csv(spark, path)
     assert names == NAMES
     return back.select(F.col("sid").alias("place"), "label", *_codes())

@@ -11,8 +11,8 @@ REAL = "=====>"
 REPORT = "metric_row string, precision double, recall double, f1 double, support double"
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Rows of a file scan with sid, their number from 0: files in path order, lines in file order.
+def _numbered(lines: DataFrame, name: str = "sid") -> DataFrame:
+    """Rows of a file scan with sid (or ``name``), their number from 0: files in path order, lines in file order.
 
     Rows of a split lie together in one task, so a row's number is its distance from the split's
     first row plus the rows of all splits before it. Splits are counted, rows are not moved, and the
@@ -22,7 +22,15 @@ def _numbered(lines: DataFrame) -> DataFrame:
     splits = rows.groupBy("_file", "_from").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_first", "_n")
-    return rows.join(splits, ["_file", "_from"]).withColumn("sid", F.col("_place") + F.col("_before")).drop("_file", "_from", "_place", "_before")
+    return rows.join(splits, ["_file", "_from"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_file", "_from", "_place", "_before")
+
+
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """Rows of a file scan in the order of files and lines, so that files written from them keep it.
+
+    A scan itself deals out files by size, the largest first.
+    """
+    return _numbered(lines, "_at").orderBy("_at").drop("_at")
 
 
 def attribute_count(spark: SparkSession, path: str, sep: str = "\t") -> int:
@@ -185,8 +193,8 @@ def result_path(root: str, **parameters) -> str:
 
 
 def transcode(spark: SparkSession, source: str, target: str, sep_in: str, sep_out: str) -> None:
-    """A headless delimited text with another delimiter, cells unchanged."""
-    spark.read.option("sep", sep_in).csv(source).write.option("sep", sep_out).csv(target)
+    """A headless delimited text with another delimiter, cells and their order unchanged."""
+    in_file_order(spark.read.option("sep", sep_in).csv(source)).write.option("sep", sep_out).csv(target)
 
 
 def replace_text(spark: SparkSession, source: str, old: str, new: str) -> DataFrame:

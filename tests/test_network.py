@@ -375,6 +375,26 @@ def test_chunks_of_many_rows_end_where_they_should(spark):
     assert {r["chunk"]: (r["first"], r["last"]) for r in got} == {i: (i * n // 7 + 1, (i + 1) * n // 7) for i in range(7)}
 
 
+def test_files_written_from_files_keep_their_order(spark, tmp_path):
+    """A scan takes the largest file first; rows keep their places all the same."""
+    source = tmp_path / "source"
+    source.mkdir()
+    sizes, at = [3, 400, 20, 900, 1], 0
+    for i, n in enumerate(sizes):
+        (source / f"part-{i}.csv").write_text("target\ta\tsid\n" + "".join(f"{k % 2}\t{k}\t9\n" for k in range(at, at + n)))
+        at += n
+    plain = spark.read.option("header", True).option("sep", "\t").csv(str(source))
+    sources.label_last(sources.in_file_order(plain)).write.option("header", True).csv(str(tmp_path / "relabelled"))
+    lines = [x for f in sorted((tmp_path / "relabelled").glob("part-*")) for x in f.read_text().splitlines() if x != "a,sid,Labels"]
+    assert lines == [f"{k},9,{k % 2}" for k in range(at)]
+    (tmp_path / "tabs").mkdir()
+    for i, n in enumerate((2, 50, 9)):
+        (tmp_path / "tabs" / f"part-{i}.csv").write_text("".join(f"{i}\t{k}\n" for k in range(n)))
+    sources.transcode(spark, str(tmp_path / "tabs"), str(tmp_path / "commas"), "\t", ",")
+    lines = [x for f in sorted((tmp_path / "commas").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f"{i},{k}" for i, n in enumerate((2, 50, 9)) for k in range(n)]
+
+
 def test_permuted_gains_are_those_of_each_permutation(spark, rows, monkeypatch):
     monkeypatch.setattr(search, "HELD", 1 << 10)  # several scans
     m = spark.createDataFrame(rows, M)
