@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,26 +54,38 @@ def _classes(data: DataFrame) -> DataFrame:
 STATE = "model string, n0 long, n1 long, w array<double>, step array<double>, norm double, gradient double, rounds int"
 
 
-def _slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(model, sums): of each model in a task the gradient, then the Hessian, of the weighted loss."""
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        model, label, x, w, n0, n1 = batch.columns
-        model = model.to_numpy(zero_copy_only=False)
-        order = np.argsort(model, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], model[order][1:] != model[order][:-1]))) if len(order) else []
-        label, n0, n1 = label.to_numpy(), n0.to_numpy(), n1.to_numpy()
-        for at, to in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            mine = order[at:to]
-            v = np.array(w[int(mine[0])].as_py())
-            a = np.column_stack((np.ones(len(mine)), np.array(x.take(pa.array(mine)).to_pylist(), float).reshape(len(mine), -1)))
-            y, n = label[mine], float(n0[mine[0]] + n1[mine[0]])
-            s = np.where(y == 1, n / (2 * n1[mine[0]]), n / (2 * n0[mine[0]]))
-            p = 1 / (1 + np.exp(-np.clip(a @ v, -700, 700)))
-            total = np.concatenate((a.T @ (s * (p - y)), ((a * (s * p * (1 - p))[:, None]).T @ a).reshape(-1)))
-            key = str(model[mine[0]])
-            sums[key] = sums[key] + total if key in sums else total
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["model", "sums"])
+def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(model, places, labels, rows by features) of each model in a batch (model, label, x); null is NaN."""
+    model, x = batch.column(0).dictionary_encode(), batch.column(2)
+    code, label = model.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    flat, sizes = x.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(x).to_numpy(zero_copy_only=False)
+    starts, order = np.cumsum(sizes) - sizes, np.argsort(code, kind="stable")
+    for k, mine in enumerate(np.split(order, np.cumsum(np.bincount(code, minlength=len(model.dictionary)))[:-1])):
+        if len(mine):
+            yield model.dictionary[k].as_py(), mine, label[mine], flat[starts[mine][:, None] + np.arange(sizes[mine[0]])].astype(float, copy=False)
+
+
+def _slopes(held: dict[str, tuple] | None):
+    """(model, sums): of each model in a task the gradient, then the Hessian, of the weighted loss.
+
+    ``held``: w, n0 and n1 of every model; None if rows carry them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for model, mine, y, x in _by_model(batch):
+                if held is not None and model not in held:
+                    continue
+                w, n0, n1 = held[model] if held is not None else (batch.column(k)[int(mine[0])].as_py() for k in (3, 4, 5))
+                a = np.column_stack((np.ones(len(x)), x))
+                s = np.where(y == 1, (n0 + n1) / (2 * n1), (n0 + n1) / (2 * n0))
+                p = 1 / (1 + np.exp(-np.clip(a @ np.array(w), -700, 700)))
+                total = np.concatenate((a.T @ (s * (p - y)), ((a * (s * p * (1 - p))[:, None]).T @ a).reshape(-1)))
+                sums[model] = sums[model] + total if model in sums else total
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["model", "sums"])
+
+    return run
 
 
 def _newton(strength: float, tolerance: float):
@@ -114,8 +127,12 @@ def logistic_models(data: DataFrame, c: float = 1.0, tolerance: float = 1e-10, m
     for _ in range(most_rounds):
         if state.isEmpty():
             break
-        sums = rows.join(few(state.select("model", "w", "n0", "n1"), MODELS), "model").select("model", "label", "x", "w", "n0", "n1").mapInArrow(_slopes, "model string, sums array<double>")
-        sums = sums.select("model", F.posexplode("sums").alias("i", "s")).groupBy("model", "i").agg(F.sum("s").alias("s"))
+        held = state.select("model", "w", "n0", "n1").limit(MODELS + 1).collect()
+        if len(held) <= MODELS:  # they travel with the function, not with each row
+            each = rows.select("model", "label", "x").mapInArrow(_slopes({r["model"]: (r["w"], r["n0"], r["n1"]) for r in held}), "model string, sums array<double>")
+        else:
+            each = rows.join(state.select("model", "w", "n0", "n1"), "model").select("model", "label", "x", "w", "n0", "n1").mapInArrow(_slopes(None), "model string, sums array<double>")
+        sums = each.select("model", F.posexplode("sums").alias("i", "s")).groupBy("model", "i").agg(F.sum("s").alias("s"))
         sums = sums.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("sums"))
         new = stage(state.join(sums, "model").select("model", "n0", "n1", "w", "step", "norm", "rounds", "sums").mapInPandas(_newton(1.0 / c, tolerance), STATE), "weights")
         still = F.col("gradient") > tolerance * (F.col("n0") + F.col("n1"))
@@ -164,6 +181,76 @@ def tree_histograms(placed: DataFrame) -> DataFrame:
     return rows.groupBy("model", "node", "feature", "v").agg(F.count_if(F.col("label") == 0).alias("ctl"), F.count_if(F.col("label") == 1).alias("cas"))
 
 
+#: Whole numbers from -SPAN to SPAN - 1 are counted in arrays; bytes of them that a task holds.
+SPAN, HELD = 128, 64 << 20
+
+
+def _descend(splits: tuple[np.ndarray, np.ndarray, np.ndarray] | None, x: np.ndarray, levels: int) -> np.ndarray:
+    """What ``_walk`` gives, for all rows of a model at once; ``splits``: nodes in order, features, thresholds."""
+    node = np.ones(len(x), np.int64)
+    going = np.arange(len(x))
+    for _ in range(levels if splits is not None else 0):
+        at = np.minimum(np.searchsorted(splits[0], node[going]), len(splits[0]) - 1)
+        split = splits[0][at] == node[going]
+        going, at = going[split], at[split]
+        if not len(going):
+            break
+        node[going] = 2 * node[going] + ~(x[going, splits[1][at]] <= splits[2][at])
+    return node
+
+
+def _split_arrays(splits: DataFrame | None) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The splits of each model, at most 1 / leaf share of them."""
+    found: dict[str, list] = {}
+    for r in splits.where("feature IS NOT NULL").select("model", "node", "feature", "threshold").collect() if splits is not None else []:
+        found.setdefault(r["model"], []).append((r["node"], r["feature"], r["threshold"]))
+    return {k: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v), strict=True), (np.int64, np.int64, float), strict=True)) for k, v in found.items()}
+
+
+def _level_histograms(rows: DataFrame, splits: DataFrame | None, level: int) -> DataFrame:
+    """``tree_histograms`` of the rows that reach a level: a task walks them down and counts them in arrays."""
+    held = _split_arrays(splits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows_of(model, node, feature, v, ctl, cas):
+            n = len(node)
+            return pa.RecordBatch.from_arrays([pa.array([model] * n, pa.string()), pa.array(node, pa.int64()), pa.array(feature, pa.int32()), pa.array(v, pa.float64(), from_pandas=True), pa.array(ctl, pa.int64()), pa.array(cas, pa.int64())], names=["model", "node", "feature", "v", "ctl", "cas"])
+
+        def kept():
+            for (model, node), counts in sums.items():
+                f, v = np.nonzero(counts.any(axis=2))
+                yield rows_of(model, np.full(len(f), node), f, v - float(SPAN), counts[f, v, 0], counts[f, v, 1])
+
+        for batch in batches:
+            for model, _, y, x in _by_model(batch):
+                if level and model not in held:
+                    continue
+                nodes = _descend(held.get(model), x, level)
+                for node in np.unique(nodes[nodes >= 1 << level]):
+                    own = nodes == node
+                    mine, label, width = x[own], y[own].astype(np.int64), x.shape[1]
+                    whole = (np.abs(mine) < SPAN).all() and (mine == np.trunc(mine)).all()
+                    if whole:
+                        cell = ((mine.astype(np.int64) + SPAN) + 2 * SPAN * np.arange(width)) * 2 + label[:, None]
+                        found = np.bincount(cell.ravel(), minlength=width * 4 * SPAN).reshape(width, 2 * SPAN, 2)
+                        key = model, int(node)
+                        sums[key] = sums[key] + found if key in sums else found
+                    else:
+                        for f in range(width):
+                            v, at = np.unique(mine[:, f], return_inverse=True)
+                            pair = np.bincount(2 * at + label, minlength=2 * len(v)).reshape(-1, 2)
+                            yield rows_of(model, np.full(len(v), node), np.full(len(v), f), v, pair[:, 0], pair[:, 1])
+            if sum(c.nbytes for c in sums.values()) > HELD:
+                yield from kept()
+                sums.clear()
+        yield from kept()
+
+    found = rows.select("model", "label", "x").mapInArrow(count, "model string, node long, feature int, v double, ctl long, cas long")
+    return found.groupBy("model", "node", "feature", "v").agg(F.sum("ctl").alias("ctl"), F.sum("cas").alias("cas"))
+
+
 def best_splits(histograms: DataFrame, classes: DataFrame, leaf: float) -> DataFrame:
     """(model, node, feature, threshold, gain): the split of each node that lowers weighted Gini most.
 
@@ -194,14 +281,16 @@ def tree_models(data: DataFrame, leaf: float = 0.05) -> DataFrame:
     feature, threshold) are null at leaves; label is the heavier class of a node's rows (0 if equal).
     """
     rows, classes = data.where("label IN (0, 1) AND x IS NOT NULL"), stage(_classes(data).drop("width"), "classes")
-    splits, nodes = None, []
+    splits, nodes, small = None, [], classes.limit(MODELS + 1).count() <= MODELS
     for level in range(math.ceil(1 / leaf) + 1):
-        if splits is None:
+        if small:
+            placed = None
+        elif splits is None:
             placed = rows.withColumn("node", F.lit(1).cast("long"))
         else:
             walked = rows.join(few(_maps(splits), MODELS), "model").withColumn("node", _walk(F.col("_splits"), F.col("x"), level))
             placed = walked.where(F.col("node") >= 1 << level).select("model", "node", "label", "x")
-        hist = stage(tree_histograms(placed), "histograms")
+        hist = stage(_level_histograms(rows, splits, level) if small else tree_histograms(placed), "histograms")
         nodes.append(hist.where("feature = 0").groupBy("model", "node").agg(F.sum("ctl").alias("n0"), F.sum("cas").alias("n1")))
         new = stage(best_splits(hist, classes, leaf), "splits")
         if new.isEmpty():
@@ -221,7 +310,21 @@ def tree_models(data: DataFrame, leaf: float = 0.05) -> DataFrame:
 
 
 def tree_predictions(rows: DataFrame, trees: DataFrame, leaf: float = 0.05) -> DataFrame:
-    """``rows`` (model, ..., x) with node (the leaf reached) and prediction int."""
+    """``rows`` (model, ..., x) with node (the leaf reached) and prediction int; ``trees`` is a table."""
+    levels = math.ceil(1 / leaf)
+    if trees.select("model").distinct().limit(MODELS + 1).count() <= MODELS:
+        splits = _split_arrays(trees)
+        known = trees.select("model").distinct()
+
+        @F.arrow_udf("long")
+        def leaf_of(model: pa.Array, x: pa.Array) -> pa.Array:
+            out = np.ones(len(model), np.int64)
+            for name, mine, _, values in _by_model(pa.RecordBatch.from_arrays([model, model, x], names=["model", "label", "x"])):
+                out[mine] = _descend(splits.get(name), values, levels)
+            return pa.array(out)
+
+        ends = F.broadcast(trees.select("model", "node", F.col("label").alias("prediction")))  # at most 2 / leaf a model
+        return rows.join(F.broadcast(known), "model", "left_semi").withColumn("node", leaf_of("model", "x")).join(ends, ["model", "node"], "left")
     labels = F.map_from_entries(F.collect_list(F.struct("node", "label"))).alias("_labels")
     splits = F.map_from_entries(F.filter(F.collect_list(F.struct("node", F.struct("feature", "threshold").alias("s"))), lambda e: e["s"]["feature"].isNotNull())).alias("_splits")
     held = few(stage(trees.groupBy("model").agg(labels, splits), "trees"), MODELS)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from genoloom.operators import bitmaps, chunked, forest, keyed, pairs, reports, search, splits
@@ -96,11 +99,13 @@ def logistic_gradients(spark, sf_dir):
     rows = keyed_rows(spark, sf_dir)
     models = stage(keyed.logistic_models(keyed.training_sets(rows, FOLDS)), "models")
     seen = keyed.training_sets(rows, FOLDS).join(F.broadcast(models.select("model", "w", "n0", "n1")), "model")
-    x = F.concat(F.array(F.lit(1.0)), "x")
-    score = F.aggregate(F.zip_with(x, "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    score = F.col("w")[0] + reduce(Column.__add__, [F.col("x")[i] * F.col("w")[i + 1] for i in range(WIDE)])
     weight = (F.col("n0") + F.col("n1")) / (2 * F.when(F.col("label") == 1, F.col("n1")).otherwise(F.col("n0")))
-    slope = seen.select("model", F.posexplode(F.arrays_zip(x.alias("x"), F.col("w").alias("w"))).alias("coefficient", "e"), (weight * (1 / (1 + F.exp(-score)) - F.col("label"))).alias("s"))
-    sums = slope.groupBy("model", "coefficient").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s") * F.col("e.x")).alias("g"), F.first("e.w").alias("w"))
+    slope = seen.select("model", "x", "w", (weight * (1 / (1 + F.exp(-score)) - F.col("label"))).alias("s"))
+    # A sum for each coefficient beside the others: no row is copied for its features.
+    each = [F.sum("s"), *[F.sum(F.col("s") * F.col("x")[i]) for i in range(WIDE)]]
+    wide = slope.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("g"), F.first("w").alias("w"))
+    sums = wide.select("model", "n", F.posexplode(F.arrays_zip("g", "w")).alias("coefficient", "e")).select("model", "n", "coefficient", "e.g", "e.w")
     penalty = F.when(F.col("coefficient") == 0, 0.0).otherwise(F.col("w"))
     return sums.select("model", "coefficient", "n", (F.abs(F.col("g") + penalty) < 1e-6 * F.col("n")).alias("stationary"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import keyed, learn, pairs, splits
 from genoloom.plans.study import study
+from genoloom.scratch import stage
 
 ROWS = "set string, fold int, label int, x array<double>"
 
@@ -141,3 +142,21 @@ def test_study_scores_a_validation_cohort(spark):
     assert {r["support"] for r in got if r["cohort"] == "validation" and r["metric_row"] == "macro avg"} == {60.0}
     assert min(r["precision"] for r in got if r["metric_row"] == "accuracy" and (r["model"], r["features"]) != ("logisticRegression", "raw")) > 0.8
     assert splits.kfold(m, 2, 25, by=["label"]).count() == 360
+
+
+def test_models_that_travel_with_tasks_are_those_that_are_joined(spark, monkeypatch):
+    """Weights and splits held by a task, or joined to each row: the same models, nodes and predictions."""
+    rng = random.Random(11)
+    rows = [(f"m{k}", int(sum(x) + rng.gauss(0, 1) > 2), x) for k in (0, 1) for _ in range(150) for x in [[float(rng.randrange(-2, 3)), rng.choice([0.5, 1.0, 2.25]), float(rng.randrange(3))]]]
+    data = spark.createDataFrame(rows, "model string, label int, x array<double>").repartition(3).cache()
+
+    def found():
+        trees = stage(keyed.tree_models(data), "trees")
+        models = {r["model"]: [round(v, 7) for v in r["w"]] for r in keyed.logistic_models(data).collect()}
+        nodes = sorted(tuple(map(str, r)) for r in trees.collect())
+        ends = sorted(keyed.tree_predictions(data, trees).groupBy("model", "node", "prediction", "label").count().collect())
+        return models, nodes, [tuple(r) for r in ends]
+
+    held = found()
+    monkeypatch.setattr(keyed, "MODELS", 1)
+    assert found() == held
