@@ -35,9 +35,14 @@ def featured(rows: DataFrame, column: str, keep: list[str] | None = None) -> Dat
     return rows.select(*(keep or []), "label", array_to_vector(F.col(column).cast("array<double>")).alias("features"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores: the files of a narrow table are few however many rows it has."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+
+
 def fit(train: DataFrame, column: str, kind: str, **options):
-    """The fitted model of (label, column array)."""
-    weighted = featured(train, column).join(F.broadcast(class_weights(train).select("label", F.col("weight").alias("w"))), "label").cache()
+    """The fitted model of (label, column array); every round scans all rows."""
+    weighted = spread(featured(train, column).join(F.broadcast(class_weights(train).select("label", F.col("weight").alias("w"))), "label")).cache()
     model = estimator(kind, weighted.count(), **options).fit(weighted)
     weighted.unpersist()
     return model
@@ -45,5 +50,5 @@ def fit(train: DataFrame, column: str, kind: str, **options):
 
 def report(model, cohorts: dict[str, DataFrame], column: str) -> DataFrame:
     """Classification reports of one model on each cohort."""
-    scored = {name: classification_report(model.transform(featured(df, column)).select("label", F.col("prediction").cast("int").alias("prediction"))) for name, df in cohorts.items()}
+    scored = {name: classification_report(model.transform(spread(featured(df, column))).select("label", F.col("prediction").cast("int").alias("prediction"))) for name, df in cohorts.items()}
     return stack(scored, "cohort")

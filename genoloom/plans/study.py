@@ -70,7 +70,7 @@ def study(m: DataFrame, names: list[str], threshold: float, at_least: int = 2, f
             found.append(_reports(keyed.tree_predictions(every, stage(keyed.tree_models(train), "trees")), kind))
         else:
             for r in train.select("model").distinct().orderBy("model").collect():  # components times folds
-                mine = stage(every.where(F.col("model") == r["model"]), "mine")
+                mine = stage(learn.spread(every.where(F.col("model") == r["model"])), "mine")
                 scored = learn.featured(mine, "x", ["model", "cohort"])
                 model = learn.fit(mine.where("cohort = 'train'"), "x", kind)
                 found.append(_reports(model.transform(scored).withColumn("prediction", F.col("prediction").cast("int")), kind))

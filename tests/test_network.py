@@ -91,6 +91,34 @@ def test_delta_degrees_match_a_recount(spark, rows):
         assert all(abs(d) <= k and (d - k) % 2 == 0 for d, k in zip(want, [2, 3, 1, 2], strict=True))
 
 
+@pytest.mark.parametrize("tabled", [pairs.TABLED, 0])
+def test_delta_degrees_of_any_codes_are_looked_up_in_batches(spark, monkeypatch, tabled):
+    """No row goes through a map or a join of its own; -1 is a code, null is none."""
+    monkeypatch.setattr(pairs, "TABLED", tabled)
+    codes = [-1, 0, 7, 2**31 - 1, None]
+    m = spark.createDataFrame([(5 * i + j, 0, [a, b]) for i, a in enumerate(codes) for j, b in enumerate(codes)] + [(99, 0, [-1])], M)
+    minus = [(0, 1, -1, 7), (0, 1, 2**31 - 1, -1), (1, 5, 0, 0)]
+    signs = spark.createDataFrame([(*c, -1) for c in minus] + [(0, 1, 0, 0, 1)], "f1 int, f2 int, v1 int, v2 int, sign int")
+    found = pairs.delta_degrees(m, spark.createDataFrame([(0, 1), (0, 1), (1, 5)], "f1 int, f2 int"), signs, 2)
+    want = {r.sid: (-2 if (0, 1, *r.g) in minus else 2) for r in m.collect()}
+    assert {r.sid: r.dd for r in found.collect()} == {sid: [n, n + 1] for sid, n in want.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Join" not in plan
+
+
+def test_classifiers_fit_on_all_cores(spark, monkeypatch):
+    """A table in one file is dealt out before its rows are scanned again and again."""
+    seen = []
+
+    class Fits:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    monkeypatch.setattr(learn, "estimator", lambda *_: Fits())
+    learn.fit(spark.createDataFrame([(i % 2, [i]) for i in range(1000)], "label int, dd array<int>").coalesce(1), "dd", "randomForest")
+    assert seen == [(spark.sparkContext.defaultParallelism, 1000)]
+
+
 def test_lookup_errors(spark):
     named = spark.createDataFrame([("a", "zz")], "snp1 string, snp2 string")
     with pytest.raises(PySparkException):
