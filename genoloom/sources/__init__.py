@@ -134,10 +134,11 @@ def write_matrix(df: DataFrame, path: str, names: list[str], column: str = "g",
 def write_subject_networks(encoded: DataFrame, path: str, width: int, column: str = "dd", sep: str = "\t") -> None:
     """Signed degrees (fold, cohort, label, array ``column``) as headed text, a folder a fold and cohort.
 
-    Columns are named by number, 0 up, the label is last.
+    Columns are named by number, 0 up, the label is last. Rows of a folder are brought together, but one
+    that is large is cut into several files, each written (and sorted) by another task.
     """
     cells = [F.get(column, F.lit(i)).alias(str(i)) for i in range(width)]
-    encoded.select("fold", "cohort", *cells, "label").repartition("fold", "cohort").write.partitionBy("fold", "cohort").option("header", True).option("sep", sep).csv(path)
+    encoded.select("fold", "cohort", *cells, "label").hint("rebalance", F.col("fold"), F.col("cohort")).write.partitionBy("fold", "cohort").option("header", True).option("sep", sep).csv(path)
 
 
 def read_subject_networks(spark: SparkSession, path: str, width: int, sep: str = "\t") -> DataFrame:

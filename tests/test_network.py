@@ -119,6 +119,21 @@ def test_classifiers_fit_on_all_cores(spark, monkeypatch):
     assert seen == [(spark.sparkContext.defaultParallelism, 1000)]
 
 
+def test_subject_networks_of_a_large_folder_are_cut(spark, tmp_path):
+    """No task sorts and writes all rows of a fold and cohort."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        rows = spark.range(0, 40_000, 1, 8).select(F.lit(0).alias("fold"), F.lit("Train").alias("cohort"), (F.col("id") % 2).cast("int").alias("label"), F.array(*[(F.hash("id") + i).alias("x") for i in range(2)]).alias("dd"))
+        sources.write_subject_networks(rows, f"file://{tmp_path}/s", 2)
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "s" / "fold=0" / "cohort=Train").glob("*.csv"))) > 1
+    back = sources.read_subject_networks(spark, f"file://{tmp_path}/s", 2)
+    assert back.exceptAll(rows.select(*back.columns)).isEmpty() and back.count() == 40_000
+
+
 def test_lookup_errors(spark):
     named = spark.createDataFrame([("a", "zz")], "snp1 string, snp2 string")
     with pytest.raises(PySparkException):
