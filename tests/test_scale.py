@@ -51,6 +51,19 @@ def test_block_gains_read_the_matrix_once_and_keep_nothing_else(spark):
     assert bitmaps.vertical(m, 12, 5).select("block").distinct().count() == 3
 
 
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_block_gains_move_no_bitmap_if_counters_fit_and_else_each_a_few_times(spark, monkeypatch, most):
+    """What is shuffled grows no faster than the rows: blocks keep their columns however many there are."""
+    monkeypatch.setattr(bitmaps, "COUNTERS", most)
+    monkeypatch.setattr(bitmaps, "GROUP_BYTES", 1 << 12)
+    m = spark.createDataFrame(matrix_rows(700, 80, 3), MATRIX).repartition(3)
+    found = bitmaps.block_gains(m, 80, 0.02)
+    want = {(r["f1"], r["f2"]): r["ig"] for r in pair_gains(m, 80).collect() if r["ig"] >= 0.02}
+    assert {(r["f1"], r["f2"]): r["ig"] for r in found.collect()} == pytest.approx(want, abs=1e-12) and want
+    assert ("partner" in found._jdf.queryExecution().analyzed().toString()) == (not most)
+    assert bitmaps.block_of(80) == 20
+
+
 @given(st.integers(1, 9), st.integers(1, 9), st.data())
 @settings(max_examples=150, deadline=None)
 def test_ranks_are_those_of_itertools(n, k, data):
