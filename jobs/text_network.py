@@ -57,6 +57,17 @@ def coded(documents: DataFrame, features: dict) -> DataFrame:
     return rows.select("doc_id", F.array(*[code(f) for f in features.values()]).cast("array<int>").alias("g"))
 
 
+#: Labels whose ids are broadcast, so that other documents are not measured; with more, all are.
+LABELS = 1_000_000
+
+
+def labelled(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents that have a label, their texts left where they are; all of them if labels are many."""
+    if known.limit(LABELS + 1).count() > LABELS:
+        return documents
+    return documents.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def run(spark: SparkSession, documents: str, labels: str, output: str, config: dict) -> tuple[DataFrame, DataFrame]:
     """(OUTPUT/network, OUTPUT/subjects) as written.
 
@@ -65,7 +76,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, config: d
     """
     names, docs = list(config["features"]), spark.read.parquet(documents)
     known = spark.read.parquet(labels).select("doc_id", F.expr(config["label"]).cast("int").alias("label")).where("label IN (0, 1)")
-    rows = coded(docs, config["features"]).join(known, "doc_id").select(F.col("doc_id").alias("sid"), "label", "g")
+    rows = coded(labelled(docs, known), config["features"]).join(known, "doc_id").select(F.col("doc_id").alias("sid"), "label", "g")
     rows = stage(splits.kfold(stage(rows, "coded"), config["folds"], config["seed"], by=["label"]), "folds")
     log.info("read %d documents from %s; %d have a label in %s", docs.count(), documents, rows.count(), labels)
     train = rows.where("fold <> 0")

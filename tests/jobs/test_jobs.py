@@ -102,6 +102,18 @@ def test_text_network_odd_rows_and_reruns(spark, sf_dir, tmp_path):
     assert sorted(os.listdir(f"{out}/subjects"))[-2:] == ["cohort=test", "cohort=train"]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_text_network_measures_labelled_documents_only(spark, sf_dir, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(text_network, "LABELS", most, raising=False)
+    seen, coded = [], text_network.coded
+    monkeypatch.setattr(text_network, "coded", lambda docs, features: seen.append(docs.count()) or coded(docs, features))
+    docs, labels = (f"{sf_dir}/{n}.parquet" for n in ("documents", "labels"))
+    text_network.run(spark, docs, labels, str(tmp_path / "out"), NETWORK)
+    every, known = spark.read.parquet(docs), spark.read.parquet(labels).where("1 - quality IN (0, 1)")
+    some = every.join(known, "doc_id", "left_semi").count()
+    assert seen == [some if most else every.count()] and some < every.count()
+
+
 def test_text_network_without_documents(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents"))
     network, subjects = text_network.run(spark, str(tmp_path / "documents"), f"{sf_dir}/labels.parquet", str(tmp_path / "out"), NETWORK)
