@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.operators.hot import few
+from genoloom.operators.hot import even, few
 from genoloom.operators.pairs import _codes
 from genoloom.scratch import drop, stage
 
@@ -160,8 +160,9 @@ def dealt(m: DataFrame, width: int, codes: Column, class_: Column, seed: int, na
     packed by place. Leading bytes of the hash decide; if rows of other codes have the same, the work
     is done again with the whole hash.
     """
+    m, n = even(m.select("sid", "label", "g"), "sid")
     rows = m.select(F.col("sid").cast("string").cast("binary").alias("sid"), class_.cast("int").alias("c"), codes.cast("array<int>").alias("codes"))
-    bits = max(0, (max(1, -(-m.count() // BUCKET)) - 1).bit_length())
+    bits = max(0, (max(1, -(-n // BUCKET)) - 1).bit_length())
     found = stage(_runs(rows, width, seed, names, taken, bits, LEADING), "runs")
     if not found.where("tied").isEmpty():
         drop(found)

@@ -42,3 +42,20 @@ def few(table: DataFrame, most: int, text: str | None = None) -> DataFrame:
         return F.broadcast(table) if n <= most and size <= TEXT_BYTES else table
     rows = table.limit(most + 1).collect()
     return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= most else table
+
+
+#: Rows of one part that are worth no shuffle.
+PART = 1 << 16
+
+
+def even(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``rows`` in parts of like size, and their number.
+
+    A narrow table has few row groups for very many rows, and a row group is read by one task. If a part
+    holds more than twice its share, the rows are dealt out to all cores by a hash of ``key``.
+    """
+    parts = [r["count"] for r in rows.select(F.spark_partition_id().alias("_p")).groupBy("_p").count().collect()]  # a row a task
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, sum(parts)
+    if max(parts, default=0) * cores > max(2 * n, PART * cores):
+        rows = rows.repartition(max(cores, len(parts)), key)
+    return rows, n

@@ -218,3 +218,13 @@ def test_values_dealt_in_ranges_and_chunks(spark, monkeypatch, leading):
     # Chunks hold the same ranks of every sequence.
     seen = [(c, [x.shape[1] for x in codes]) for c, codes in dealt.chunks(iter(pa.Table.from_pandas(dealt.chunked(runs, taken).toPandas()).to_batches()), taken)]
     assert sorted(seen) == sorted((c, [n] * 3) for c in (0, 1) for n in [16] * 6 + [4])
+
+
+def test_rows_of_one_row_group_are_hashed_by_all_cores(spark, tmp_path, monkeypatch):
+    path, seen, runs = str(tmp_path / "one"), [], dealt._runs
+    spark.range(200_000).selectExpr("id AS sid", "CAST(id % 2 AS INT) AS label", "array(CAST(id % 3 AS INT)) AS g").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(dealt, "_runs", lambda rows, *a: seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]) or runs(rows, *a))
+    m = spark.read.parquet(path)
+    found = dealt.dealt(m, 1, F.col("g"), F.col("label"), 5, ["0", "1"], [[0], [0]])
+    assert found.agg(F.sum("n")).first()[0] == 400_000
+    assert sum(seen[0]) == 200_000 and max(seen[0]) * spark.sparkContext.defaultParallelism < 2 * 200_000
