@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators.dealt import OTHER, chunked, chunks, dealt
 from genoloom.operators.order import sum_before
-from genoloom.operators.pairs import CELLS, ROWS, count_gains, exploded_pairs, gain, pair_gains
+from genoloom.operators.pairs import CELLS, EXPLODED, ROWS, count_gains, exploded_pairs, gain, pair_gains
 from genoloom.operators.splits import shuffled_rank
 
 
@@ -133,6 +133,8 @@ def permuted_gains(m: DataFrame, width: int, permutations: int, seed: int, start
 
 def padded(width: int) -> Column:
     """The row's codes, as many as there are features; null for what it lacks."""
+    if 0 < width <= EXPLODED:
+        return F.array(*[F.get("g", F.lit(i)).cast("int") for i in range(width)])
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("g", i).cast("int"))
 
 

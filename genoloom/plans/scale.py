@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from genoloom.operators import bitmaps, chunked, forest, keyed, pairs, reports, search, splits
+from genoloom.operators.hot import even
 from genoloom.plans.queries import CELLS_SQL, FOLD_SQL, FOLDS, GAIN_COLS, GAIN_SQL, M_SQL, P_SQL, PERMUTED_SQL, SEED, SIGN_SQL, STATS_SQL, W_SQL, WIDE, WIDTH, WP_SQL, edge_table, folded, matrix, network, query, rounded, table, wide_matrix
 from genoloom.scratch import new_path, stage
 
@@ -148,7 +149,7 @@ def fold_cell_signs(spark, sf_dir):
 
 def interrupted(spark, sf_dir):
     """(results, plan) of ten permutations in five jobs: two ran, one lost rows, then the study went on."""
-    m, path = stage(matrix(spark, sf_dir), "matrix"), new_path(spark, "study")
+    m, path = stage(even(matrix(spark, sf_dir), "sid")[0], "matrix"), new_path(spark, "study")
     run = lambda only=None: chunked.permutation_study(m, WIDTH, 10, 5, SEED, path, only)
     assert run([1, 3])[1] == [1, 3]
     found = run([])[0]

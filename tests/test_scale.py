@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import bitmaps, dealt, forest, graph, search
 from genoloom.operators.pairs import pair_gains
+from genoloom.plans import scale
 
 
 def matrix_rows(n, width, seed, odd=True):
@@ -228,3 +229,19 @@ def test_rows_of_one_row_group_are_hashed_by_all_cores(spark, tmp_path, monkeypa
     found = dealt.dealt(m, 1, F.col("g"), F.col("label"), 5, ["0", "1"], [[0], [0]])
     assert found.agg(F.sum("n")).first()[0] == 400_000
     assert sum(seen[0]) == 200_000 and max(seen[0]) * spark.sparkContext.defaultParallelism < 2 * 200_000
+
+
+def test_matrix_of_a_resumed_study_is_written_by_all_cores(spark, monkeypatch):
+    """Each chunk of the study reads it again, so one large file would be read by one task each time."""
+
+    class Seen(Exception):
+        pass
+
+    def stage(rows, name):
+        raise Seen([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+
+    monkeypatch.setattr(scale, "stage", stage)
+    with pytest.raises(Seen) as seen:
+        scale.interrupted(spark, "/root/testdata/sf0.1")  # one row group
+    parts = seen.value.args[0]
+    assert sum(parts) == 150_000 and max(parts) * spark.sparkContext.defaultParallelism < 2 * 150_000
