@@ -8,7 +8,7 @@ learn from it, inside the scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -207,8 +207,17 @@ def _split_arrays(splits: DataFrame | None) -> dict[str, tuple[np.ndarray, np.nd
     return {k: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v), strict=True), (np.int64, np.int64, float), strict=True)) for k, v in found.items()}
 
 
-def _level_histograms(rows: DataFrame, splits: DataFrame | None, level: int) -> DataFrame:
-    """``tree_histograms`` of the rows that reach a level: a task walks them down and counts them in arrays."""
+def _each_once(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, None]]:
+    for found in _by_model(batch):
+        yield *found, None
+
+
+def _level_histograms(rows: DataFrame, splits: DataFrame | None, level: int, each: Callable = _each_once) -> DataFrame:
+    """``tree_histograms`` of the rows that reach a level: a task walks them down and counts them in arrays.
+
+    ``each`` gives (model, places, labels, rows by features, times) of each model in a batch of ``rows``;
+    times is how often each row counts, None for once.
+    """
     held = _split_arrays(splits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,30 +233,31 @@ def _level_histograms(rows: DataFrame, splits: DataFrame | None, level: int) ->
                 yield rows_of(model, np.full(len(f), node), f, v - float(SPAN), counts[f, v, 0], counts[f, v, 1])
 
         for batch in batches:
-            for model, _, y, x in _by_model(batch):
+            for model, _, y, x, times in each(batch):
                 if level and model not in held:
                     continue
                 nodes = _descend(held.get(model), x, level)
                 for node in np.unique(nodes[nodes >= 1 << level]):
                     own = nodes == node
                     mine, label, width = x[own], y[own].astype(np.int64), x.shape[1]
+                    n = None if times is None else times[own].astype(float)  # whole numbers, exact to 2 ** 53
                     whole = (np.abs(mine) < SPAN).all() and (mine == np.trunc(mine)).all()
                     if whole:
                         cell = ((mine.astype(np.int64) + SPAN) + 2 * SPAN * np.arange(width)) * 2 + label[:, None]
-                        found = np.bincount(cell.ravel(), minlength=width * 4 * SPAN).reshape(width, 2 * SPAN, 2)
+                        found = np.bincount(cell.ravel(), None if n is None else np.repeat(n, width), width * 4 * SPAN).astype(np.int64).reshape(width, 2 * SPAN, 2)
                         key = model, int(node)
                         sums[key] = sums[key] + found if key in sums else found
                     else:
                         for f in range(width):
                             v, at = np.unique(mine[:, f], return_inverse=True)
-                            pair = np.bincount(2 * at + label, minlength=2 * len(v)).reshape(-1, 2)
+                            pair = np.bincount(2 * at + label, n, 2 * len(v)).astype(np.int64).reshape(-1, 2)
                             yield rows_of(model, np.full(len(v), node), np.full(len(v), f), v, pair[:, 0], pair[:, 1])
             if sum(c.nbytes for c in sums.values()) > HELD:
                 yield from kept()
                 sums.clear()
         yield from kept()
 
-    found = rows.select("model", "label", "x").mapInArrow(count, "model string, node long, feature int, v double, ctl long, cas long")
+    found = (rows.select("model", "label", "x") if each is _each_once else rows).mapInArrow(count, "model string, node long, feature int, v double, ctl long, cas long")
     return found.groupBy("model", "node", "feature", "v").agg(F.sum("ctl").alias("ctl"), F.sum("cas").alias("cas"))
 
 

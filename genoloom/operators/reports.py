@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
-    """(label, n, weight): n of all rows / (classes * n of the class)."""
-    counts = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+def class_weights(rows: DataFrame, label: str = "label", times: str | None = None) -> DataFrame:
+    """(label, n, weight): n of all rows / (classes * n of the class); ``times``: a row stands for so many."""
+    counts = rows.groupBy(F.col(label).alias("label")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes"))
     return counts.crossJoin(F.broadcast(total)).select("label", "n", (F.col("all") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
-def classification_report(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def classification_report(scored: DataFrame, keys: list[str] | None = None, times: str | None = None) -> DataFrame:
     """(keys, metric_row, precision, recall, f1, support) of label and prediction in {0, 1}.
 
     Rows: control (0), case (1), accuracy (its value in all four columns), macro avg, weighted avg.
-    A ratio without a denominator is 0.
+    A ratio without a denominator is 0. ``times`` names a column that says for how many a row stands.
     """
     keys = keys or []
-    ok = lambda a, b: F.count_if((F.col("label") == a) & (F.col("prediction") == b)).cast("double")
+    number = F.col(times) if times else F.lit(1)
+    ok = lambda a, b: F.coalesce(F.sum(F.when((F.col("label") == a) & (F.col("prediction") == b), number)), F.lit(0)).cast("double")
     c = scored.groupBy(*keys).agg(ok(0, 0).alias("tn"), ok(0, 1).alias("fp"), ok(1, 0).alias("fn"), ok(1, 1).alias("tp"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))

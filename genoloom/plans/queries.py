@@ -432,8 +432,8 @@ def ml_report(spark, sf_dir):
     rows = stage(folded(spark, sf_dir), "folds")
     edges = edge_table(spark)
     signs = stage(pairs.cell_signs(rows.where("fold <> 0"), edges), "signs")
-    train, test = (stage(pairs.delta_degrees(rows.where(w), edges, signs, WIDTH), "delta") for w in ("fold <> 0", "fold = 0"))
-    return reports.stack({kind: learn.report(learn.fit(train, "dd", kind), {"train": train, "test": test}, "dd") for kind in learn.KINDS}, "model")
+    train, test = (stage(learn.counted(pairs.delta_degrees(rows.where(w), edges, signs, WIDTH), "dd"), "delta") for w in ("fold <> 0", "fold = 0"))
+    return reports.stack({kind: learn.report(learn.fit(train, "dd", kind, "n"), {"train": train, "test": test}, "dd", "n") for kind in learn.KINDS}, "model")
 
 
 # ---------------------------------------------------------------- search and permutations

@@ -70,15 +70,14 @@ def study(m: DataFrame, names: list[str], threshold: float, at_least: int = 2, f
             found.append(_reports(keyed.tree_predictions(every, stage(keyed.tree_models(train), "trees")), kind))
         else:
             for r in train.select("model").distinct().orderBy("model").collect():  # components times folds
-                mine = stage(learn.spread(every.where(F.col("model") == r["model"])), "mine")
-                scored = learn.featured(mine, "x", ["model", "cohort"])
-                model = learn.fit(mine.where("cohort = 'train'"), "x", kind)
-                found.append(_reports(model.transform(scored).withColumn("prediction", F.col("prediction").cast("int")), kind))
+                mine = stage(learn.counted(every.where(F.col("model") == r["model"]), "x", ["model", "cohort"]), "mine")
+                model = learn.fit(mine.where("cohort = 'train'"), "x", kind, "n")
+                found.append(_reports(learn.predictions(model, mine, "x"), kind, "n"))
     return reports.fold_mean(reduce(DataFrame.unionByName, found), ["component", "features", "model", "cohort"])
 
 
-def _reports(scored: DataFrame, kind: str) -> DataFrame:
+def _reports(scored: DataFrame, kind: str, times: str | None = None) -> DataFrame:
     """A report of each model and cohort, with its component, features and fold."""
     part = lambda i: F.split("_key", "/")[i]
-    found = reports.classification_report(scored.select("model", "cohort", "label", "prediction"), ["model", "cohort"]).withColumnRenamed("model", "_key")
+    found = reports.classification_report(scored, ["model", "cohort"], times).withColumnRenamed("model", "_key")
     return found.withColumns({"component": part(0).cast("long"), "features": part(1), "fold": part(2).cast("int"), "model": F.lit(kind)}).drop("_key")
